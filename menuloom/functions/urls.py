@@ -6,8 +6,9 @@ with higher-order array functions, so no row leaves the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .let import let
 from .text import strip_space
 
 # Parameters that only track a click.
@@ -56,14 +57,16 @@ def domain_of(url: Column) -> Column:
 
 def domain_suffixes(domain: Column) -> Column:
     """All dotted suffixes that keep at least two labels, longest first."""
-    labels = F.split(F.lower(domain), r"\.")
-    n = F.size(labels)
-    return F.when(
-        n >= 2,
-        F.transform(
-            F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n - i + 1), ".")
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    return let(
+        F.split(F.lower(domain), r"\."),
+        lambda labels: F.when(
+            F.size(labels) >= 2,
+            F.transform(
+                F.sequence(F.lit(1), F.size(labels) - 1),
+                lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."),
+            ),
+        ).otherwise(F.array().cast("array<string>")),
+    )
 
 
 def _decode(part: Column) -> Column:
@@ -93,46 +96,66 @@ def clean_query(query: Column) -> Column:
     return F.array_join(F.transform(kept, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&")
 
 
-def with_canonical_url(df, raw: str, url_col: str = "canonical_url", reason_col: str = "reject_reason"):
-    """Add the canonical URL, or the reason there is none, to every row."""
-    text = strip_space(F.col(raw))
+def _split(text: Column) -> Column:
     absolute = F.when(F.contains(text, F.lit("://")), text).otherwise(F.concat(F.lit("https://"), text))
-    parts = df.withColumn("_u", F.regexp_replace(absolute, r"^[\x00-\x20]+|[\t\r\n]", ""))
-    for i, name in enumerate(("_scheme", "_auth", "_tail", "_query"), start=1):
-        parts = parts.withColumn(name, F.regexp_extract("_u", GENERIC, i))
-    parts = (
-        parts.withColumn("_scheme", F.lower("_scheme"))
-        .withColumn("_host", host_of_authority(F.col("_auth")))
-        .withColumn("_port", port_text(F.col("_auth")))
-        .withColumn("_path", F.regexp_extract("_tail", LAST_SEGMENT, 1))
-        .withColumn("_params", F.regexp_extract("_tail", LAST_SEGMENT, 2))
-        .withColumn("_clean", clean_query(F.col("_query")))
+    cleaned = F.regexp_replace(absolute, r"^[\x00-\x20]+|[\t\r\n]", "")
+    return let(
+        cleaned,
+        lambda u: F.struct(
+            text.alias("text"),
+            F.lower(F.regexp_extract(u, GENERIC, 1)).alias("scheme"),
+            F.regexp_extract(u, GENERIC, 2).alias("authority"),
+            F.regexp_extract(u, GENERIC, 3).alias("tail"),
+            F.regexp_extract(u, GENERIC, 4).alias("query"),
+        ),
     )
-    port = F.col("_port").try_cast("int")
-    default_port = F.when(F.col("_scheme") == "https", DEFAULT_PORTS["https"]).otherwise(DEFAULT_PORTS["http"])
-    reason = (
-        F.when(F.coalesce(text, F.lit("")) == "", "empty")
-        .when(F.col("_host") == "", "no_hostname")
-        .when(~F.col("_scheme").isin("http", "https"), "unsupported_scheme")
-        .when(is_ip_literal(F.col("_host")), "ip_literal")
-        .when((F.col("_port") != "") & ~(F.col("_port").rlike("^[0-9]+$") & F.coalesce(port <= 65535, F.lit(False))), "invalid_port")
+
+
+def _parts(split: Column) -> Column:
+    return F.struct(
+        split["text"].alias("text"),
+        split["scheme"].alias("scheme"),
+        host_of_authority(split["authority"]).alias("host"),
+        port_text(split["authority"]).alias("port"),
+        F.regexp_extract(split["tail"], LAST_SEGMENT, 1).alias("path"),
+        F.regexp_extract(split["tail"], LAST_SEGMENT, 2).alias("params"),
+        clean_query(split["query"]).alias("query"),
     )
-    path = (
-        F.when(F.col("_path").isin("", "/"), "/")
-        .otherwise(F.regexp_replace("_path", r"/+$", ""))
+
+
+def _assembled(p: Column) -> Column:
+    port = p["port"].try_cast("int")
+    default_port = F.when(p["scheme"] == "https", DEFAULT_PORTS["https"]).otherwise(DEFAULT_PORTS["http"])
+    bad_port = (p["port"] != "") & ~(p["port"].rlike("^[0-9]+$") & F.coalesce(port <= 65535, F.lit(False)))
+    reason = (
+        F.when(F.coalesce(p["text"], F.lit("")) == "", "empty")
+        .when(p["host"] == "", "no_hostname")
+        .when(~p["scheme"].isin("http", "https"), "unsupported_scheme")
+        .when(is_ip_literal(p["host"]), "ip_literal")
+        .when(bad_port, "invalid_port")
     )
-    path = F.when(F.col("_params") != "", F.concat(path, F.lit(";"), F.col("_params"))).otherwise(path)
+    path = F.when(p["path"].isin("", "/"), "/").otherwise(F.regexp_replace(p["path"], r"/+$", ""))
+    path = F.concat(path, F.when(p["params"] != "", F.concat(F.lit(";"), p["params"])).otherwise(""))
     # Anything after a host starts with a slash.
-    path = F.when((path != "") & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/"), path)).otherwise(path)
-    netloc = F.when((F.col("_port") == "") | (port == default_port), F.col("_host")).otherwise(
-        F.concat("_host", F.lit(":"), port.cast("string"))
-    )
-    url = F.concat(
-        "_scheme", F.lit("://"), netloc, path,
-        F.when(F.col("_clean") != "", F.concat(F.lit("?"), F.col("_clean"))).otherwise(""),
+    path = F.regexp_replace(path, r"^(?=[^/])", "/")
+    netloc = F.when((p["port"] == "") | (port == default_port), p["host"]).otherwise(
+        F.concat(p["host"], F.lit(":"), port.cast("string"))
     )
+    query = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")
+    url = F.concat(p["scheme"], F.lit("://"), netloc, path, query)
+    return let(reason, lambda r: F.struct(F.when(r.isNull(), url).alias("url"), r.alias("reason")))
+
+
+def canonical_url(raw: Column) -> Column:
+    """struct<url, reason>: the canonical URL, or why there is none."""
+    return let(strip_space(raw), lambda text: let(_split(text), lambda s: let(_parts(s), _assembled)))
+
+
+def with_canonical_url(df: DataFrame, raw: str, url_col: str = "canonical_url", reason_col: str = "reject_reason") -> DataFrame:
+    """Add the canonical URL and the reject reason to every row."""
     return (
-        parts.withColumn(reason_col, reason)
-        .withColumn(url_col, F.when(F.col(reason_col).isNull(), url))
-        .drop("_u", "_scheme", "_auth", "_tail", "_query", "_host", "_port", "_path", "_params", "_clean")
+        df.withColumn("_c", canonical_url(F.col(raw)))
+        .withColumn(url_col, F.col("_c.url"))
+        .withColumn(reason_col, F.col("_c.reason"))
+        .drop("_c")
     )

@@ -6,11 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.let import let
 from ..functions.text import strip_space
 from ..schema import Record, Rule
 
 CODE = "schema_violation"
-MAX_DEPTH = 10
+MAX_DEPTH = 6
 
 # Message texts.
 MISSING = "Field required"
@@ -84,29 +85,42 @@ def _unknown_keys(keys: Column, prefix: str) -> Column:
 
 
 def _record_problems(record: Record, json: Column) -> Column:
-    """All violations of one record as array<struct<path, message>>."""
-    doc = F.try_parse_json(json)
-    rules = record.rules()
-    by_object: dict[str, list[str]] = {"": []}
-    for rule in rules:
-        parent, _, leaf = rule.name.rpartition(".")
-        by_object.setdefault(parent, []).append(leaf)
-    found, extra = [], []
-    for parent, known in by_object.items():
-        node = F.get_json_object(json, "$." + parent) if parent else json
-        keys = F.coalesce(F.json_object_keys(node), F.array().cast("array<string>"))
-        allowed = F.array(*[F.lit(k) for k in known])
+    """All violations of one record as array<struct<path, message>>. The text is
+    parsed once; the keys of each object in it are read once."""
+    by_object: dict[str, list[Rule]] = {"": []}
+    for rule in record.rules():
+        by_object.setdefault(rule.name.rpartition(".")[0], []).append(rule)
+    empty = F.array().cast("array<string>")
+
+    def object_problems(doc: Column, parent: str, rules: list[Rule]) -> Column:
         prefix = parent + "." if parent else ""
-        extra.append(_unknown_keys(F.array_except(keys, allowed), prefix))
-        for rule in rules:
-            head, _, leaf = rule.name.rpartition(".")
-            if head == parent:
-                message = _problem(rule, doc, F.array_contains(keys, leaf))
-                found.append(F.when(message.isNotNull(), F.struct(F.lit(rule.name).alias("path"), message.alias("message"))))
-    fields = F.filter(F.array(*found), lambda p: p.isNotNull())
-    is_object = F.startswith(F.coalesce(F.schema_of_variant(doc), F.lit("")), F.lit("OBJECT"))
-    root = F.array(F.struct(F.lit("<root>").alias("path"), F.lit(TYPE_TEXT["object"]).alias("message")))
-    return F.when(is_object, F.concat(fields, *extra)).otherwise(root)
+        node = F.get_json_object(json, "$." + parent) if parent else json
+        allowed = F.array(*[F.lit(r.name.rpartition(".")[2]) for r in rules])
+
+        def with_keys(keys: Column) -> Column:
+            found = []
+            for rule in rules:
+                message = _problem(rule, doc, F.array_contains(keys, rule.name.rpartition(".")[2]))
+                found.append(_when_given(rule.name, message))
+            return F.concat(F.array(*found), _unknown_keys(F.array_except(keys, allowed), prefix))
+
+        return let(F.coalesce(F.json_object_keys(node), empty), with_keys)
+
+    def problems(doc: Column) -> Column:
+        is_object = F.startswith(F.coalesce(F.schema_of_variant(doc), F.lit("")), F.lit("OBJECT"))
+        found = F.concat(*[object_problems(doc, parent, rules) for parent, rules in by_object.items()])
+        root = F.array(_at("<root>", F.lit(TYPE_TEXT["object"])))
+        return F.when(is_object, F.array_compact(found)).otherwise(root)
+
+    return let(F.try_parse_json(json), problems)
+
+
+def _when_given(path: str, message: Column) -> Column:
+    return let(message, lambda m: F.when(m.isNotNull(), _at(path, m)))
+
+
+def _at(path: str, message: Column) -> Column:
+    return F.struct(F.lit(path).alias("path"), message.alias("message"))
 
 
 def _issue_rows(records: DataFrame, record: Record, keys: list[str]) -> DataFrame:

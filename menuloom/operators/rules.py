@@ -172,10 +172,11 @@ def dish_issues(dishes: DataFrame, keys: Sequence[str], rules: Sequence[Column]
     """Issue rows of all single-row rules, in rule order, without a shuffle.
     ``dishes`` has the dish columns and ``path``, the label of its place."""
     single = list(rules) if rules is not None else [*presence_rules(), *nutrition_rules(), *price_rules()]
-    found = F.filter(F.array(*single), lambda i: i.isNotNull())
+    found = F.array(*single)
     if rules is None:
         found = F.concat(found, undeclared_allergens())
-    return dishes.select(*keys, F.explode(found).alias("_i")).select(*keys, "_i.*")
+    exploded = dishes.select(*keys, F.explode(found).alias("_i"))
+    return exploded.filter(F.col("_i").isNotNull()).select(*keys, "_i.*")
 
 
 def allergen_issues(dishes: DataFrame, keys: Sequence[str]) -> DataFrame:

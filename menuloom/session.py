@@ -24,6 +24,8 @@ def build_session(app: str = "menuloom", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Whole pages go to Python in batches bounded by size, not only by rows.
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     )
     if master:
         builder = builder.master(master)
