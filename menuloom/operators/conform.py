@@ -47,9 +47,15 @@ def _right_type(rule: Rule, kind: Column, text: Column) -> Column:
 
 def _problem(rule: Rule, doc: Column, present: Column) -> Column:
     """Message of the first constraint a field breaks; null when it meets all."""
-    value = F.variant_get(doc, "$." + rule.name, "variant")
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(doc, "$." + rule.name, "string")
+    seen = F.struct(
+        F.schema_of_variant(F.variant_get(doc, "$." + rule.name, "variant")).alias("kind"),
+        F.try_variant_get(doc, "$." + rule.name, "string").alias("text"),
+        present.alias("present"),
+    )
+    return let(seen, lambda s: _first_broken(rule, doc, s["kind"], s["text"], s["present"]))
+
+
+def _first_broken(rule: Rule, doc: Column, kind: Column, text: Column, present: Column) -> Column:
     number = text.try_cast("double")
     tests: list[tuple[Column, Column | str]] = []
     null = present & (kind == "VOID")

@@ -1,6 +1,6 @@
 """Queries over the shared tables, one per operator, with SQL twins."""
 
 from .base import QUERIES, SQL, Tables
-from . import validation, web  # noqa: F401
+from . import catalog, validation, web  # noqa: F401
 
 __all__ = ["QUERIES", "SQL", "Tables"]
