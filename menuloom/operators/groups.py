@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import HOT_GROUP_ROWS_CONF, HOT_GROUP_ROWS_DEFAULT, int_conf, reliable_checkpoint
 
-CHUNK = "_chunk"
+CHUNK = "chunk_no"
 
 
 def hot_limit(df: DataFrame) -> int:

@@ -239,14 +239,14 @@ def touched(t: Tables):
     return delta.touched_keys(_delta(t), ["p_partkey"])
 
 
-_NULL_SIDE = "SELECT k AS p_partkey, coalesce(array_to_string(tags, '|'), '') AS tags, p_name, p_size, price::VARCHAR AS price FROM "
+_NULL_SIDE = "SELECT k AS p_partkey, coalesce(array_to_string(tags, '|'), '') AS tags, p_name, coalesce(p_size, -1) AS p_size, price::VARCHAR AS price FROM "
 
 
 @query("d05_patch_rows", f"WITH {_VERSIONS} {_NULL_SIDE} (SELECT c.* REPLACE (CASE WHEN c.p_name = x.p_name AND c.p_size IS NOT DISTINCT FROM x.p_size AND c.price = x.price AND c.k % 13 <> 0 THEN c.tags ELSE x.tags END AS tags, x.p_name AS p_name, x.p_size AS p_size, x.price AS price) FROM cur c JOIN tgt x ON c.k = x.k UNION ALL SELECT * FROM tgt WHERE k >= 1000000000000)")
 def patch_rows(t: Tables):
     current, target = _versions(t)
     patched = delta.patch_rows(current, target, _delta(t), ["p_partkey"])
-    return patched.select("p_partkey", F.array_join("tags", "|").alias("tags"), "p_name", "p_size", F.col("price").cast("string").alias("price"))
+    return patched.select("p_partkey", F.array_join("tags", "|").alias("tags"), "p_name", F.coalesce("p_size", F.lit(-1)).alias("p_size"), F.col("price").cast("string").alias("price"))
 
 
 @query("d05_patch_law")
@@ -304,10 +304,12 @@ def _price_issues(t: Tables):
 
 @query("j09_scoped_issues", with_dishes(f""", i AS ({_PRICE_CASES})
 SELECT restaurant_id, dish_id, code FROM i WHERE dish_id IN ({_TOUCH})
-UNION ALL SELECT DISTINCT restaurant_id, NULL::BIGINT, 'missing_locations' FROM dishes"""))
+UNION ALL SELECT DISTINCT restaurant_id, -1::BIGINT, 'missing_locations' FROM dishes"""))
 def scoped(t: Tables):
     issues, touched = _price_issues(t)
-    return delta.scoped_issues(issues, touched, ["dish_id"]).select("restaurant_id", "dish_id", "code")
+    return delta.scoped_issues(issues, touched, ["dish_id"]).select(
+        "restaurant_id", F.coalesce("dish_id", F.lit(-1)).alias("dish_id"), "code"
+    )
 
 
 @query("d04_scoped_report", with_dishes(f""", i AS ({_PRICE_CASES}), r AS (SELECT DISTINCT restaurant_id FROM dishes)

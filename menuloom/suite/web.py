@@ -256,7 +256,7 @@ _WORD_TEST = "(" + " OR ".join(f"contains(lower(href), '{w}') OR contains(lower(
 
 @query("u01_page_metadata", """
 SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&middot;', '·'), '&amp;', '&')) AS title,
-  NULL AS description, NULL AS canonical_url FROM pages""")
+  NULL::VARCHAR AS description, NULL::VARCHAR AS canonical_url FROM pages""")
 def metadata(t: Tables):
     parsed = pg.parse_pages(t.pages, ["page_id"])
     return pg.page_metadata(parsed).select("page_id", "title", "description", "canonical_url")
