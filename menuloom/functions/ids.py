@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .let import let
+
 # Fixed value: the URL name space of RFC 4122.
 URL_NAMESPACE_HEX = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -15,7 +17,10 @@ def sha256_hex(c: Column) -> Column:
 def uuid5_url(name: Column) -> Column:
     """Name-based UUID (version 5) in the URL name space, JVM-side: SHA-1 of
     name space and name, with the version and variant bits set."""
-    digest = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE_HEX)), F.encode(name, "UTF-8")))
+    return let(F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE_HEX)), F.encode(name, "UTF-8"))), _as_uuid5)
+
+
+def _as_uuid5(digest: Column) -> Column:
     variant = F.lower(
         F.hex(F.conv(F.substring(digest, 17, 2), 16, 10).cast("int").bitwiseAND(0x3F).bitwiseOR(0x80))
     )

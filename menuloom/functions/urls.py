@@ -29,25 +29,33 @@ def is_ip_literal(host: Column) -> Column:
 
 def host_of_authority(authority: Column) -> Column:
     """Lower-case host without user info, port or brackets."""
-    rest = F.regexp_replace(authority, r"(?s)^.*@", "")
     return F.lower(
-        F.when(F.contains(rest, F.lit("[")), F.regexp_extract(rest, r"\[([^\]]*)", 1)).otherwise(
-            F.regexp_extract(rest, r"^[^:]*", 0)
+        let(
+            _without_user(authority),
+            lambda rest: F.when(F.contains(rest, F.lit("[")), F.regexp_extract(rest, r"\[([^\]]*)", 1)).otherwise(
+                F.regexp_extract(rest, r"^[^:]*", 0)
+            ),
         )
     )
 
 
 def port_text(authority: Column) -> Column:
-    rest = F.regexp_replace(authority, r"(?s)^.*@", "")
-    return F.when(F.contains(rest, F.lit("[")), F.regexp_extract(rest, r"\]:(.*)$", 1)).otherwise(
-        F.regexp_extract(rest, r"(?s):(.*)$", 1)
+    return let(
+        _without_user(authority),
+        lambda rest: F.when(F.contains(rest, F.lit("[")), F.regexp_extract(rest, r"\]:(.*)$", 1)).otherwise(
+            F.regexp_extract(rest, r"(?s):(.*)$", 1)
+        ),
     )
 
 
+def _without_user(authority: Column) -> Column:
+    return F.regexp_replace(authority, r"(?s)^.*@", "")
+
+
 def host_of(url: Column) -> Column:
     """Host of an absolute URL; null when there is none."""
-    host = host_of_authority(F.regexp_extract(url, r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
-    return F.when(host != "", host)
+    authority = F.regexp_extract(url, r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
+    return F.nullif(host_of_authority(authority), F.lit(""))
 
 
 def domain_of(url: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.ids import uuid5_url
 from ..functions.text import DOCUMENT_CHARS, list_or, strip_space, text_or, truncate
 from ..schema import DEFAULT_CURRENCY, MACROS, MICRONUTRIENTS, MONEY, NUTRIENT, Record
+from ..session import reliable_checkpoint
 from .conform import conforming, flat_schema_issues
 
 # How documents are joined.
@@ -40,13 +41,14 @@ def extract(
 ) -> tuple[DataFrame, DataFrame]:
     """Run a caller's extractor over document batches and check what it returns
     against the closed schema: (conforming rows, violations). ``schema`` has the
-    key columns and the record's fields."""
+    key columns and the record's fields. The extractor is costly and need not
+    repeat its answers, so its rows are fixed in the shared folder: it runs once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield fn(pdf)
 
-    rows = documents.mapInPandas(run, schema)
+    rows = reliable_checkpoint(documents.mapInPandas(run, schema))
     fields = [f.name for f in schema.fields if f.name not in keys]
     with_json = rows.withColumn("_json", F.to_json(F.struct(*fields)))
     issues = flat_schema_issues(with_json, list(keys), "_json", record)
@@ -72,7 +74,9 @@ def extraction_metadata(dishes: DataFrame, run: str = "run_id") -> DataFrame:
     )
 
 
-def map_dishes(extracted: DataFrame, category_key: Column, natural_key: Sequence[str]) -> DataFrame:
+def map_dishes(
+    extracted: DataFrame, category_key: Column, natural_key: Sequence[str], keep: Sequence[str] = ()
+) -> DataFrame:
     """Extracted rows to dish rows: floats to decimals, blank ingredients dropped,
     currency by default USD, ids from the natural key so a re-run repeats them."""
 
@@ -88,6 +92,7 @@ def map_dishes(extracted: DataFrame, category_key: Column, natural_key: Sequence
         uuid5_url(F.concat_ws(":", F.lit("dish"), *[F.col(k).cast("string") for k in natural_key])).alias("id"),
         category_key.alias("category_id"),
         *[k for k in natural_key if k not in ("name",)],
+        *keep,
         name.alias("name"),
         "description",
         "image_url",

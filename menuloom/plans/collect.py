@@ -13,6 +13,7 @@ from ..functions.text import batch_name_key
 from ..functions.urls import canonical_url, domain_of
 from ..operators import authority, groups, mapping, pages as pg, report, review, workqueue
 from ..operators.conform import gate
+from ..session import reliable_checkpoint as fixed
 from ..schema import EXTRACTED_DISH, EXTRACTED_DISH_RECORD, Record, Rule
 from ..sources import snapshots as snap
 from ..sources.upload import upload_items
@@ -59,10 +60,11 @@ class Collected:
 
 
 def captured_pages(pages: DataFrame) -> DataFrame:
-    """Pages (url, html, fetched_at) under their canonical URL."""
-    return pages.withColumn("_url", canonical_url(F.col("url"))["url"]).filter(F.col("_url").isNotNull()).select(
-        F.col("_url").alias("page_url"), "html", "fetched_at"
-    )
+    """The newest capture (url, html, fetched_at) of each canonical URL. It is
+    chosen on the small columns; page bodies are not aggregated."""
+    known = pages.withColumn("page_url", canonical_url(F.col("url"))["url"]).filter(F.col("page_url").isNotNull())
+    newest = known.groupBy("page_url").agg(F.max(F.struct("fetched_at", "url")).alias("_n")).select("page_url", "_n.*")
+    return known.join(newest, ["page_url", "fetched_at", "url"], "left_semi").select("page_url", "html", "fetched_at")
 
 
 def extract_dishes(documents: DataFrame, extractor: Extractor) -> Extraction:
@@ -78,13 +80,14 @@ def extract_dishes(documents: DataFrame, extractor: Extractor) -> Extraction:
         ordered.join(menus.drop("menu_order"), ["restaurant_id", "menu_name"]),
         ["restaurant_id", "menu_name"], ["category_order", "category_name"], "_c",
     ).select("restaurant_id", "menu_name", "category_name", (F.col("_m") - 1).alias("menu_pos"), (F.col("_c") - 1).alias("category_pos"))
-    placed = rows.join(categories, ["restaurant_id", "menu_name", "category_name"])
+    placed = fixed(rows.join(categories, ["restaurant_id", "menu_name", "category_name"]))
     category_key = uuid5_url(F.concat_ws(":", F.lit("category"), "restaurant_id", "menu_name", "category_name"))
-    refs = placed.select("restaurant_id", "stub_pos", "pos", "source_snapshot_ids", "menu_pos", "category_pos", "menu_name", "category_name")
-    mapped = mapping.map_dishes(placed, category_key, ["restaurant_id", "menu_name", "category_name", "stub_pos", "pos", "name"])
+    mapped = mapping.map_dishes(
+        placed, category_key, ["restaurant_id", "menu_name", "category_name", "stub_pos", "pos", "name"],
+        keep=["source_snapshot_ids", "menu_pos", "category_pos"],
+    )
     dishes = (
-        mapped.join(refs.drop("menu_name", "category_name"), DISH_KEYS)
-        .withColumnRenamed("id", "dish_id")
+        mapped.withColumnRenamed("id", "dish_id")
         .withColumn(
             "path",
             F.concat(
@@ -99,9 +102,13 @@ def extract_dishes(documents: DataFrame, extractor: Extractor) -> Extraction:
 def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, extractor: Extractor) -> Collected:
     """``uploads`` are request bodies (batch_id, body); ``pages`` are captures made
     by a crawler (url, html, fetched_at). A stage that cannot go on for a record
-    writes an error row and the record stops there."""
+    writes an error row and the record stops there.
+
+    What a stage hands on is fixed in the shared folder, since several later
+    stages read it: without that each would run all earlier ones again. Page
+    bodies are never part of what is fixed."""
     items, upload_issues = upload_items(uploads)
-    queue = workqueue.enqueue_batch(items)
+    queue = fixed(workqueue.enqueue_batch(fixed(items)))
     queued = queue.filter(F.col("status") == "queued").withColumn(
         "restaurant_id", uuid5_url(F.concat(F.lit(SEED_PREFIX), F.col("batch_id").cast("string"), F.lit(":"), batch_name_key(F.col("name"))))
     )
@@ -110,8 +117,8 @@ def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, e
         "restaurant_id", F.lit(0).alias("pos"), F.col("menu_url").alias("url"),
         F.lit(1.0).alias("provider_confidence"), F.lit("manual").alias("provider_name"),
     )
-    resolved = authority.resolve_sources(queued, candidates)
-    verified = queued.join(resolved.filter(F.col("status") == "verified").select("restaurant_id", "resolved_url"), "restaurant_id")
+    resolved = fixed(authority.resolve_sources(queued, candidates))
+    verified = fixed(queued.join(resolved.filter(F.col("status") == "verified").select("restaurant_id", "resolved_url"), "restaurant_id"))
     unresolved = resolved.filter(F.col("status") != "verified").select(
         "restaurant_id", F.lit("source_authority").alias("stage"), F.col("reason").alias("error_message")
     )
@@ -122,18 +129,19 @@ def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, e
     ).withColumn("domain", domain_of(F.col("resolved_url")))
     with_page, no_page = gate(roots, "extraction", ["html"])
     parsed = pg.parse_pages(with_page, ["restaurant_id", "domain"], "resolved_url", "html")
-    links = pg.discover_links(parsed, ["restaurant_id"], "domain")
+    links = fixed(pg.discover_links(parsed, ["restaurant_id"], "domain"))
+    crawled = fixed(with_page.select("restaurant_id", "resolved_url"))
 
     # Root first, then links in page order, then the nutrition page.
-    wanted = (
-        with_page.select("restaurant_id", F.lit(0).alias("rank"), F.col("resolved_url").alias("page_url"))
+    wanted = fixed(
+        crawled.select("restaurant_id", F.lit(0).alias("rank"), F.col("resolved_url").alias("page_url"))
         .unionByName(links.select("restaurant_id", (F.col("rank") + 1).alias("rank"), canonical_url(F.col("absolute_url"))["url"].alias("page_url")))
         .unionByName(
-            verified.select("restaurant_id", F.lit(pg.LINKS_PER_PAGE + 1).alias("rank"), canonical_url(F.col("nutrition_url"))["url"].alias("page_url"))
+            verified.join(crawled.select("restaurant_id"), "restaurant_id", "left_semi").select("restaurant_id", F.lit(pg.LINKS_PER_PAGE + 1).alias("rank"), canonical_url(F.col("nutrition_url"))["url"].alias("page_url"))
         )
         .groupBy("restaurant_id", "page_url").agg(F.min("rank").alias("rank"))
     )
-    captured = wanted.join(stored, "page_url").join(with_page.select("restaurant_id"), "restaurant_id", "left_semi")
+    captured = wanted.join(stored, "page_url")
     snapshots = snap.with_snapshot_id(
         snap.capture(captured, "restaurant_id", "html", F.lit("html"), ["rank", "page_url", "fetched_at"])
     )
@@ -141,11 +149,12 @@ def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, e
     documents = mapping.assemble_documents(texts, "restaurant_id", "rank", "snapshot", "html")
     extraction = extract_dishes(documents, extractor)
 
-    restaurants = with_page.select("restaurant_id")
+    restaurants = crawled.select("restaurant_id")
     menus = extraction.dishes.select("restaurant_id", "menu_name").distinct()
     no_locations = restaurants.limit(0)
     outcome = report.run_rules(restaurants, no_locations, menus, extraction.dishes)
-    outcomes = report.outcome_per_record(restaurants, outcome.issues, ["restaurant_id"], outcome.log)
+    outcome.issues = fixed(outcome.issues)
+    outcomes = fixed(report.outcome_per_record(restaurants, outcome.issues, ["restaurant_id"], outcome.log))
     messages = report.first_messages(
         outcome.issues.withColumn("_order", F.coalesce("dish_id", F.lit(""))), ["restaurant_id"], ["_order", "field_path", "code"]
     )

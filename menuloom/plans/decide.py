@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import delta as deltas, review
+from ..session import reliable_checkpoint as fixed
 from ..sources import audit, versions
 
 
@@ -41,10 +42,11 @@ def decide_and_publish(
         judged.filter(F.col("workflow_type") == "reviewer_workflow").join(has_delta, "entity_id", "left"),
         outcomes, live_dishes.select("entity_id"),
     )
+    first, patches = fixed(first.select("id", "entity_id")), fixed(patches.select("id", "entity_id"))
+    published = first.unionByName(patches)
     new_rows = target_dishes.join(first.select("entity_id"), "entity_id", "left_semi")
     patch_delta = delta.join(patches.select("entity_id"), "entity_id", "left_semi")
     patched = deltas.patch_rows(live_dishes, target_dishes, patch_delta, ["entity_id", *keys])
-    published = first.select("id", "entity_id").unionByName(patches.select("id", "entity_id"))
     final = review.apply_decisions(changes, decisions, published)
     publish_events = published.select(
         F.lit("proposed_change.publish").alias("action"), F.lit("proposed_change").alias("entity_type"),

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ids import uuid5_url
+from ..session import reliable_checkpoint as fixed
 from ..operators import authority, delta, mapping, report, review, workqueue
 from .collect import Extractor, captured_pages, extract_dishes
 
@@ -39,7 +40,7 @@ def review_sweep(
     content_hash), ``pages`` fresh captures (url, html, fetched_at). The hash gate
     is a filter before the extractor, so unchanged pages never reach Python."""
     due = workqueue.due_entities(live, running)
-    current = authority.current_source(due, sources, hints)
+    current = fixed(authority.current_source(due, sources, hints))
     no_source = current.filter(F.col("url").isNull()).select(
         "restaurant_id", F.lit("temporal_hash_polling").alias("stage"), F.lit("no verified active source found").alias("error_message")
     )
@@ -60,15 +61,16 @@ def review_sweep(
         gate.filter("changed").withColumn("rank", F.lit(0)), "restaurant_id", "rank", "content_hash", "html"
     )
     extraction = extract_dishes(documents, extractor)
-    checked = gate.filter("changed").select("restaurant_id")
+    verdicts = fixed(gate.select("restaurant_id", "previous_hash", "content_hash", "changed"))
+    checked = verdicts.filter("changed").select("restaurant_id")
     fresh = extraction.dishes
     live_of_checked = live_dishes.join(checked, "restaurant_id", "left_semi")
     # An entity for which nothing was extracted keeps its live menus.
     columns = [c for c in live_of_checked.columns if c in fresh.columns]
     target_rows = mapping.merge_menus(live_of_checked.select(*columns), fresh.select(*columns))
     outcome = report.run_rules(checked, checked.limit(0), target_rows.select("restaurant_id").distinct(), target_rows)
-    target = keyed(outcome.dishes)
-    changes = delta.table_diff(keyed(live_of_checked.select(*columns)), target, NATURAL_KEY, DIFF_FIELDS)
+    target = fixed(keyed(outcome.dishes))
+    changes = fixed(delta.table_diff(keyed(live_of_checked.select(*columns)), target, NATURAL_KEY, DIFF_FIELDS))
     refs = keyed(fresh).select(*NATURAL_KEY, "source_snapshot_ids")
     no_profile = checked.limit(0).withColumn("source_snapshot_ids", F.array().cast("array<string>"))
     traced = delta.with_provenance(changes, refs, no_profile, NATURAL_KEY, "restaurant_id")
@@ -76,7 +78,7 @@ def review_sweep(
     reports = delta.scoped_report(checked, outcome.issues, touched, "restaurant_id", ["restaurant_id", "dish_id"])
     sizes = changes.groupBy("restaurant_id").agg(F.count(F.lit(1)).alias("changes"))
     batch = (
-        reports.join(sizes, "restaurant_id", "left").join(gate.select("restaurant_id", "content_hash"), "restaurant_id")
+        reports.join(sizes, "restaurant_id", "left").join(verdicts.select("restaurant_id", "content_hash"), "restaurant_id")
         .select(
             uuid5_url(F.concat_ws(":", F.lit("review"), "restaurant_id", "content_hash")).alias("id"),
             F.lit("restaurant").alias("entity_type"),
@@ -92,6 +94,6 @@ def review_sweep(
         "restaurant_id", F.lit("targeted_reextraction").alias("stage"), F.concat_ws(" ", "field_path", "message").alias("error_message")
     )
     return Reviewed(
-        due, gate.select("restaurant_id", "previous_hash", "content_hash", "changed"), target, traced, reports,
+        due, verdicts, target, traced, reports,
         review.new_changes(existing_changes, batch).drop("pos"), no_source.unionByName(failed).unionByName(bad_rows),
     )

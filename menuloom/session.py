@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,8 @@ def build_session(app: str = "menuloom", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Recording the Python line of every column costs more than planning.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Whole pages go to Python in batches bounded by size, not only by rows.
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     )
@@ -67,3 +71,21 @@ def fits_broadcast(df: DataFrame) -> bool:
     spark = df.sparkSession
     limit = int_conf(spark, BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT)
     return df.limit(limit + 1).count() <= limit
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that
+    functions run inside tasks can be imported there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = pathlib.Path(__file__).parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="menuloom-")) / "menuloom_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
