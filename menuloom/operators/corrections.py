@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.let import let
 from ..functions.text import collapse_space, normalize_name
 
 # Reasons.
@@ -27,8 +28,11 @@ def correct_description(c: Column) -> Column:
 
 def correct_ingredients(c: Column) -> Column:
     """Keep the first of every normalised name, in order."""
-    names = F.transform(c, lambda i: normalize_name(i["name"]))
-    return F.filter(c, lambda i, at: F.array_position(names, F.get(names, at)) == at + 1)
+
+    def firsts(names: Column) -> Column:
+        return F.filter(c, lambda i, at: F.array_position(names, F.get(names, at)) == at + 1)
+
+    return let(F.transform(c, lambda i: normalize_name(i["name"])), firsts)
 
 
 def _listing(c: Column) -> Column:

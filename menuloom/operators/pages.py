@@ -10,6 +10,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.let import let
 from ..functions.urls import OCTET, domain_of
 from .groups import top_of_group
 
@@ -269,14 +270,27 @@ def address_key(address: Column) -> Column:
     """Address as lower-case hex of fixed width, 8 digits (v4) or 32 (v6), so
     that text order is numeric order. A v4-mapped v6 address counts as v4."""
     plain = F.regexp_replace(F.lower(address), r"^::ffff:(?=[0-9.]+$)", "")
-    octets = F.split(plain, r"\.")
-    v4 = F.array_join(F.transform(octets, lambda o: F.lpad(F.lower(F.hex(o.try_cast("int"))), 2, "0")), "")
-    sides = F.split(plain, "::", 2)
-    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    head, tail = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
-    gap = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(head) - F.size(tail)))
-    v6 = F.array_join(F.transform(F.concat(head, gap, tail), lambda g: F.lpad(g, 4, "0")), "")
-    return F.when(F.contains(plain, F.lit(":")), v6).when(plain.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), v4)
+
+    def v4(text: Column) -> Column:
+        octets = F.split(text, r"\.")
+        return F.array_join(F.transform(octets, lambda o: F.lpad(F.lower(F.hex(o.try_cast("int"))), 2, "0")), "")
+
+    def v6(text: Column) -> Column:
+        groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+        halves = F.struct(
+            groups(F.substring_index(text, "::", 1)).alias("head"),
+            groups(F.when(F.contains(text, F.lit("::")), F.substring_index(text, "::", -1)).otherwise("")).alias("tail"),
+        )
+
+        def filled(h: Column) -> Column:
+            gap = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(h["head"]) - F.size(h["tail"])))
+            return F.array_join(F.transform(F.concat(h["head"], gap, h["tail"]), lambda g: F.lpad(g, 4, "0")), "")
+
+        return let(halves, filled)
+
+    return let(
+        plain, lambda p: F.when(F.contains(p, F.lit(":")), v6(p)).when(p.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), v4(p))
+    )
 
 
 def _bounds(cidr: str) -> tuple[str, str]:
@@ -294,8 +308,10 @@ def _in_ranges(key: Column, ranges: Sequence[str]) -> Column:
 
 def is_unsafe_address(address: Column) -> Column:
     """The ranges are a short fixed list, so they are tested inside the row."""
-    key = address_key(address)
-    return F.coalesce(_in_ranges(key, UNSAFE_RANGES) & ~_in_ranges(key, PUBLIC_INSIDE), F.lit(False))
+    return let(
+        address_key(address),
+        lambda key: F.coalesce(_in_ranges(key, UNSAFE_RANGES) & ~_in_ranges(key, PUBLIC_INSIDE), F.lit(False)),
+    )
 
 
 def unsafe_hosts(resolved: DataFrame, host: str = "host", address: str = "address") -> DataFrame:

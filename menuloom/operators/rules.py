@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.let import let
 from ..functions.text import normalize_name
 from ..session import fits_broadcast
 from .groups import join_group_facts
@@ -146,18 +147,21 @@ def price_rules() -> list[Column]:
 def implied_allergens(ingredients: Column) -> Column:
     """Allergens the ingredient names imply, sorted. The word list is a fixed 21
     entries, so it is tested inside the row and nothing is joined."""
-    text = F.lower(F.array_join(F.transform(ingredients, lambda i: i["name"]), "\n"))
-    hits = F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(a)) for w, a in ALLERGEN_WORDS.items()])
-    return F.array_sort(F.array_distinct(F.filter(hits, lambda a: a.isNotNull())))
+
+    def hits(text: Column) -> Column:
+        return F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(a)) for w, a in ALLERGEN_WORDS.items()])
+
+    names = F.array_join(F.transform(ingredients, lambda i: i["name"]), "\n")
+    return F.sort_array(F.array_distinct(F.array_compact(let(F.lower(names), hits))))
 
 
 def undeclared_allergens() -> Column:
     declared = F.coalesce(F.col("allergens"), F.array().cast("array<string>"))
-    found = F.array_except(implied_allergens(F.col("ingredients")), declared)
+    found = F.array_except(implied_allergens(F.col("ingredients")), declared)  # keeps the order
     at = F.concat(F.col("path"), F.lit(".allergens"))
     return F.coalesce(
         F.transform(
-            F.array_sort(found),
+            found,
             lambda a: F.struct(
                 at.alias("field_path"), F.lit("possible_undeclared_allergen").alias("code"),
                 F.lit(WARNING).alias("severity"),
