@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..session import HOT_GROUP_ROWS_CONF, HOT_GROUP_ROWS_DEFAULT, int_conf, reliable_checkpoint
+from ..session import HOT_GROUP_ROWS_CONF, HOT_GROUP_ROWS_DEFAULT, fits_broadcast, int_conf, reliable_checkpoint
 
 CHUNK = "chunk_no"
 
@@ -275,16 +275,16 @@ def hold_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str
 def join_group_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], size: str, how: str = "inner") -> DataFrame:
     """Join rows with one fact row per key. ``size`` is the fact's row count.
 
-    The facts of hot keys are few (at most rows/limit), so those rows meet them
-    by a broadcast and stay where they are; all other keys are joined by a
-    shuffle in which no key is large."""
+    The facts of hot keys are few (at most rows/limit). Once counted to fit, they
+    are broadcast and the rows of those keys stay where they are; all other keys
+    are joined by a shuffle in which no key is large. Should they not fit, the
+    plain join remains, whose large partitions adaptive execution splits."""
     limit = hot_limit(rows)
     hot = facts.filter(F.col(size) > limit)
-    if hot.isEmpty():
+    if hot.isEmpty() or not fits_broadcast(hot):
         return rows.join(facts, list(keys), how)
-    hot_keys = F.broadcast(hot.select(*keys))
     on_hot = rows.join(F.broadcast(hot), list(keys), "inner")
-    rest = rows.join(hot_keys, list(keys), "left_anti").join(
+    rest = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(
         facts.filter(F.col(size) <= limit), list(keys), how
     )
     return on_hot.unionByName(rest)

@@ -111,16 +111,24 @@ def _common_refusals(required: Sequence[str]) -> Column:
     )
 
 
-def collector_gate(changes: DataFrame, outcomes: DataFrame, published: DataFrame) -> tuple[DataFrame, DataFrame]:
+def collector_gate(
+    changes: DataFrame, outcomes: DataFrame, published: DataFrame, order: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(changes that may be published, refused ones with the reason): approved,
-    valid when checked again, and no other change published for the entity."""
+    valid when checked again, and no other change published for the entity. With
+    ``order``, of several that pass for one entity only the first does."""
     others = published.groupBy("entity_id").agg(
         F.count(F.lit(1)).alias("_n"), F.min("id").alias("_one")
     )
     joined = changes.join(outcomes.select("id", "errors"), "id", "left").join(others, "entity_id", "left")
     taken = F.coalesce((F.col("_n") > 1) | (F.col("_one") != F.col("id")), F.lit(False))
     refusal = F.coalesce(_common_refusals(["structured_json", "id"]), F.when(taken, "already_published"))
-    return _split(joined.withColumn("refusal", refusal).drop("_n", "_one"))
+    good, bad = _split(joined.withColumn("refusal", refusal).drop("_n", "_one"))
+    if order is None:
+        return good, bad
+    ranked = first_rows(good, ["entity_id"], order, "_first")
+    late = ranked.filter(~F.col("_first")).withColumn("refusal", F.lit("already_published"))
+    return ranked.filter("_first").drop("_first"), bad.unionByName(late.drop("_first"))
 
 
 def reviewer_gate(changes: DataFrame, outcomes: DataFrame, production: DataFrame) -> tuple[DataFrame, DataFrame]:

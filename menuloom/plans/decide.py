@@ -36,15 +36,16 @@ def decide_and_publish(
     already = changes.filter(F.col("status") == "published").select("id", "entity_id")
     has_delta = delta.select("entity_id").distinct().withColumn("delta", F.lit("given"))
     first, refused_first = review.collector_gate(
-        judged.filter(F.col("workflow_type") != "reviewer_workflow"), outcomes, already
+        judged.filter(F.col("workflow_type") != "reviewer_workflow"), outcomes, already, order="id"
     )
     patches, refused_patches = review.reviewer_gate(
         judged.filter(F.col("workflow_type") == "reviewer_workflow").join(has_delta, "entity_id", "left"),
         outcomes, live_dishes.select("entity_id"),
     )
     first, patches = fixed(first.select("id", "entity_id")), fixed(patches.select("id", "entity_id"))
+    replaced = first.select("entity_id")
     published = first.unionByName(patches)
-    new_rows = target_dishes.join(first.select("entity_id"), "entity_id", "left_semi")
+    new_rows = target_dishes.join(replaced, "entity_id", "left_semi")
     patch_delta = delta.join(patches.select("entity_id"), "entity_id", "left_semi")
     patched = deltas.patch_rows(live_dishes, target_dishes, patch_delta, ["entity_id", *keys])
     final = review.apply_decisions(changes, decisions, published)
@@ -57,7 +58,7 @@ def decide_and_publish(
     refused = refused_first.select("id", "entity_id", "refusal").unionByName(refused_patches.select("id", "entity_id", "refusal"))
     return Published(
         final.changes, final.approvals, final.refused, refused, published,
-        patched.unionByName(new_rows), audit.audit_rows(events),
+        patched.join(replaced, "entity_id", "left_anti").unionByName(new_rows), audit.audit_rows(events),
     )
 
 

@@ -13,7 +13,7 @@ from ..plans import collect as c, decide, operations, review_sweep
 from ..schema import MACROS, MICRONUTRIENTS
 from .base import Tables, query
 from .catalog import _restaurants
-from .work import _changes, _decisions, _jobs, _outcomes, run_events
+from .work import _DECIDED, _ERRORS, _changes, _decisions, _jobs, _outcomes, run_events
 
 _TEXT = re.compile(r'<a href="[^"]*">([^<]+)</a>')
 _EMPTY = {"serving_size": None, "macros": dict.fromkeys(MACROS), "micronutrients": dict.fromkeys(MICRONUTRIENTS)}
@@ -108,12 +108,26 @@ def published(t: Tables):
     return decide.decide_and_publish(_changes(t), _decisions(t), runs, _outcomes(t), live, target, changed, keys)
 
 
-@query("b03_decided_changes")
+_PUBLISHED = f"""{_DECIDED}, {_ERRORS},
+tg AS (SELECT o_custkey AS entity_id, l_orderkey AS id, l_linenumber AS line, l_partkey, l_suppkey, min(l_quantity) AS qty FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+ok AS (SELECT ch.id, ch.entity_id, agent_run_id < 25 AND agent_run_id % 2 = 1 AS reviewer FROM ch JOIN a ON a.proposed_change_id = ch.id LEFT JOIN e ON e.id = ch.id
+  WHERE decision = 'approved' AND coalesce(errors, 0) = 0),
+firsts AS (SELECT min(id) AS id, entity_id FROM ok WHERE NOT reviewer
+  AND NOT EXISTS (SELECT 1 FROM ch p WHERE p.status = 'published' AND p.entity_id = ok.entity_id AND p.id <> ok.id) GROUP BY entity_id),
+patches AS (SELECT id, entity_id FROM ok WHERE reviewer AND entity_id IN (SELECT entity_id FROM tg WHERE entity_id % 2 = 0 AND l_partkey % 4 = 0)),
+pub AS (SELECT id FROM firsts UNION ALL SELECT id FROM patches)"""
+
+
+@query("b03_decided_changes", f"""WITH {_PUBLISHED}
+SELECT CASE WHEN decision IS NULL THEN status WHEN ch.id IN (SELECT id FROM pub) THEN 'published' ELSE decision END AS status, count(*) AS changes
+FROM ch LEFT JOIN a ON a.proposed_change_id = ch.id GROUP BY 1""")
 def decided(t: Tables):
     return published(t).changes.groupBy("status").agg(F.count(F.lit(1)).alias("changes"))
 
 
-@query("b03_published_dishes")
+@query("b03_published_dishes", f"""WITH {_PUBLISHED}
+SELECT entity_id, count(*) AS rows, sum(CASE WHEN entity_id IN (SELECT entity_id FROM firsts) OR entity_id IN (SELECT entity_id FROM patches) OR l_partkey % 4 <> 0
+  THEN qty ELSE qty + 1 END) AS qty FROM tg WHERE entity_id % 2 = 0 OR entity_id IN (SELECT entity_id FROM firsts) GROUP BY 1""")
 def published_dishes(t: Tables):
     return published(t).dishes.groupBy("entity_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("qty").alias("qty"))
 
