@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import normalize_name
+from ..session import broadcast_if_small
 from .groups import number_rows
 
 # Bookkeeping fields no diff reports, fields a patch may write, and
@@ -131,10 +132,10 @@ def one_op_per_key(delta: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def patch_rows(current: DataFrame, target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Current rows without the touched ones, plus the touched ones whole from the
-    target. The touched set is small beside the table and is normally broadcast
-    by the optimizer, so untouched rows are not shuffled."""
+    target. The touched keys are fixed and counted; when they fit they are
+    broadcast and untouched rows are not shuffled, else both sides are."""
     keys = list(keys)
-    ops = one_op_per_key(delta, keys)
+    ops = broadcast_if_small(one_op_per_key(delta, keys))
     kept = current.join(ops.select(*keys), keys, "left_anti")
     put = target.join(ops.filter(~F.col("is_removed")).select(*keys), keys, "left_semi")
     return kept.unionByName(put)

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..session import HOT_GROUP_ROWS_CONF, HOT_GROUP_ROWS_DEFAULT, fits_broadcast, int_conf, reliable_checkpoint
+from ..session import HOT_GROUP_ROWS_CONF, HOT_GROUP_ROWS_DEFAULT, broadcast_if_small, int_conf, reliable_checkpoint
 
 CHUNK = "chunk_no"
 
@@ -35,6 +35,7 @@ def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame
     )
     if hot_keys.isEmpty():
         return df, None
+    hot_keys = broadcast_if_small(hot_keys)
     matches = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
     return df.join(hot_keys, matches, "left_anti"), df.join(hot_keys, matches, "left_semi")
 
@@ -277,14 +278,15 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], siz
 
     The facts of hot keys are few (at most rows/limit). Once counted to fit, they
     are broadcast and the rows of those keys stay where they are; all other keys
-    are joined by a shuffle in which no key is large. Should they not fit, the
-    plain join remains, whose large partitions adaptive execution splits."""
+    are joined by a shuffle in which no key is large. Should they not fit, they
+    are joined by a shuffle too, whose large partitions adaptive execution splits."""
     limit = hot_limit(rows)
     hot = facts.filter(F.col(size) > limit)
-    if hot.isEmpty() or not fits_broadcast(hot):
+    if hot.isEmpty():
         return rows.join(facts, list(keys), how)
-    on_hot = rows.join(F.broadcast(hot), list(keys), "inner")
-    rest = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(
+    hot = broadcast_if_small(hot)
+    on_hot = rows.join(hot, list(keys), "inner")
+    rest = rows.join(hot.select(*keys), list(keys), "left_anti").join(
         facts.filter(F.col(size) <= limit), list(keys), how
     )
     return on_hot.unionByName(rest)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pathlib
 import tempfile
-import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A group with more rows than this is never handed to one task.
 HOT_GROUP_ROWS_CONF = "spark.menuloom.hotGroupRows"
@@ -73,19 +71,9 @@ def fits_broadcast(df: DataFrame) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, so that
-    functions run inside tasks can be imported there."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = pathlib.Path(__file__).parent
-    archive = pathlib.Path(tempfile.mkdtemp(prefix="menuloom-")) / "menuloom_package.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    sc.addPyFile(str(archive))
-    _shipped.add(sc.applicationId)
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Fix a table that should be small, count it, and mark it for broadcast only
+    if it is. Marking it beforehand keeps the large side of the join from being
+    shuffled, which a later decision by adaptive execution would not."""
+    stored = reliable_checkpoint(df)
+    return F.broadcast(stored) if fits_broadcast(stored) else stored

@@ -7,8 +7,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import ship_package
-
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -18,7 +16,6 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        ship_package(spark)
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
