@@ -61,14 +61,8 @@ def without_listed(df: DataFrame, domain: str, blocklist: DataFrame, listed: str
     return df.join(listed_hosts(df, domain, blocklist, listed), domain, "left_anti")
 
 
-def canonical_groups(df: DataFrame, raw: str) -> DataFrame:
-    """Canonical URL, reject reason, and the number of equivalent rows. The
-    group itself is the canonical URL; its size is counted before it is joined."""
-    urls = with_canonical_url(df, raw)
-    return urls.withColumn("group_key", F.when(F.col("reject_reason").isNull(), F.sha2("canonical_url", 256)))
-
-
 def canonical_group_sizes(urls: DataFrame) -> DataFrame:
+    """Rows per canonical URL, which names the group of equivalent raw URLs."""
     return (
         urls.filter(F.col("canonical_url").isNotNull())
         .groupBy("canonical_url")

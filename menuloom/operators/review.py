@@ -111,19 +111,24 @@ def _common_refusals(required: Sequence[str]) -> Column:
     )
 
 
+def _with_taken(changes: DataFrame, published: DataFrame) -> DataFrame:
+    """Flag changes whose entity has a published change with another id. The first
+    and last id per entity tell, so an entity's changes are never paired."""
+    ids = published.groupBy("entity_id").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
+    joined = changes.join(ids, "entity_id", "left")
+    other = (F.col("_lo") != F.col("id")) | (F.col("_hi") != F.col("id"))
+    return joined.withColumn("_taken", F.coalesce(other, F.lit(False))).drop("_lo", "_hi")
+
+
 def collector_gate(
     changes: DataFrame, outcomes: DataFrame, published: DataFrame, order: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(changes that may be published, refused ones with the reason): approved,
     valid when checked again, and no other change published for the entity. With
     ``order``, of several that pass for one entity only the first does."""
-    others = published.groupBy("entity_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("id").alias("_one")
-    )
-    joined = changes.join(outcomes.select("id", "errors"), "id", "left").join(others, "entity_id", "left")
-    taken = F.coalesce((F.col("_n") > 1) | (F.col("_one") != F.col("id")), F.lit(False))
-    refusal = F.coalesce(_common_refusals(["structured_json", "id"]), F.when(taken, "already_published"))
-    good, bad = _split(joined.withColumn("refusal", refusal).drop("_n", "_one"))
+    joined = _with_taken(changes.join(outcomes.select("id", "errors"), "id", "left"), published)
+    refusal = F.coalesce(_common_refusals(["structured_json", "id"]), F.when(F.col("_taken"), "already_published"))
+    good, bad = _split(joined.withColumn("refusal", refusal).drop("_taken"))
     if order is None:
         return good, bad
     ranked = first_rows(good, ["entity_id"], order, "_first")
@@ -144,8 +149,7 @@ def reviewer_gate(changes: DataFrame, outcomes: DataFrame, production: DataFrame
 
 def not_published_elsewhere(changes: DataFrame, published: DataFrame) -> DataFrame:
     """Changes whose entity has no published change but their own."""
-    other = published.select("entity_id", F.col("id").alias("_id"))
-    return changes.join(other, (changes.entity_id == other.entity_id) & (changes.id != other._id), "left_anti")
+    return _with_taken(changes, published).filter(~F.col("_taken")).drop("_taken")
 
 
 def in_production(changes: DataFrame, production: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ def build_session(app: str = "menuloom", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Checkpoints that nothing refers to any more are removed.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Recording the Python line of every column costs more than planning.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Whole pages go to Python in batches bounded by size, not only by rows.
