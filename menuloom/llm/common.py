@@ -107,7 +107,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def odd_numbers(n: int, seed: int) -> np.ndarray:
     """n fixed odd multipliers."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) % 2**64)) | np.uint64(1)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

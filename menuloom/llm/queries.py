@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, pii, token_counts
+from . import decontamination, minhash, mixing, pii, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,3 +77,53 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         hex_of(F.array_join("items", ",")).alias("items_sha256"), decontamination.contaminated(n, F.col("n_words")).alias("contaminated"),
     )
+
+
+_SPACED_WORD = r"[^\x20\x09-\x0D]+"
+
+MIXING_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') AS tie,
+   coalesce(len(regexp_extract_all(text, '{_SPACED_WORD}')), 0) AS size, length(text)::DOUBLE AS chars FROM documents),
+ q AS (SELECT *, CASE WHEN size > 0 THEN greatest(0.25::DOUBLE, 1.0::DOUBLE / (1.0::DOUBLE
+   + ((chars / size::DOUBLE - 6.0::DOUBLE) / 3.0::DOUBLE) * ((chars / size::DOUBLE - 6.0::DOUBLE) / 3.0::DOUBLE))) ELSE 0.25::DOUBLE END AS quality FROM d),
+ k AS (SELECT *, -ln((CAST('0x' || substr(md5('{mixing.SEED}:' || tie), 1, 13) AS BIGINT)::DOUBLE + 1) / {2**52}::DOUBLE) / quality AS key FROM q),
+ s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS w FROM k GROUP BY source),
+ o AS (SELECT *, {mixing.CAP} * source_size / w::DOUBLE AS ratio, (SELECT sum(source_size) FROM s) AS total, (SELECT sum(w) FROM s) AS heavy FROM s),
+ c AS (SELECT *, sum({mixing.CAP} * source_size) OVER (ORDER BY ratio, w, source_size, source) AS taken,
+   sum(w) OVER (ORDER BY ratio, w, source_size, source) AS weight,
+   lead(ratio) OVER (ORDER BY ratio, w, source_size, source) AS next FROM o),
+ levels AS (SELECT max(total)::DOUBLE / max(heavy)::DOUBLE AS level, 0::DOUBLE AS low, min(ratio) AS high FROM c
+   UNION ALL SELECT (total - taken)::DOUBLE / (heavy - weight)::DOUBLE, ratio, next FROM c WHERE weight < heavy),
+ l AS (SELECT max(level) AS level FROM levels WHERE level >= low AND level <= high),
+ t AS (SELECT source, source_size, CASE WHEN w * level > {mixing.CAP} * source_size THEN ({mixing.CAP} * source_size)::DOUBLE ELSE w * level END AS target FROM s, l),
+ r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs,
+   CASE WHEN source_size > 0 THEN floor(target)::BIGINT % source_size ELSE 0 END AS rest,
+   coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+   FROM k JOIN t USING (source))
+SELECT doc_id, size::BIGINT AS size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM r"""
+
+
+@query("op1_mixing", MIXING_SQL)
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    size = mixing.word_count()
+    return mixing.mix(docs, size, mixing.prose_quality(size), narrow=True).select("doc_id", *mixing.OUTPUT)
+
+
+NEAR_DUPLICATES_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LETTERS}, '{_SPACED_WORD}') AS w FROM documents),
+ g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s
+   FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+ e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= {minhash.PERCENT} * (x.n + y.n - common)),
+ sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ reach AS (WITH RECURSIVE r(doc_id, other) AS (SELECT a, b FROM sym UNION SELECT r.doc_id, sym.b FROM r JOIN sym ON r.other = sym.a) SELECT * FROM r),
+ m AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id,
+ d.doc_id <= coalesce(other, d.doc_id) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+@query("op6_minmax_near_duplicates", NEAR_DUPLICATES_SQL)
+def op6_minmax_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
