@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, minhash, mixing, pii, token_counts
+from . import decontamination, minhash, mixing, pii, substring, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,3 +127,21 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d
 @query("op6_minmax_near_duplicates", NEAR_DUPLICATES_SQL)
 def op6_minmax_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+SUBSTRING_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '{_SPACED_WORD}'), []) AS w FROM documents),
+ p AS (SELECT r, i, md5(array_to_string(w[i : i + {substring.WINDOW - 1}], ' ')) AS s
+   FROM d, unnest(range(1, len(w) - {substring.WINDOW - 2})) AS t(i)),
+ c AS (SELECT s FROM p GROUP BY s HAVING count(*) > 1),
+ gone AS (SELECT r, list(DISTINCT j) AS l FROM p JOIN c USING (s), unnest(range(i, i + {substring.WINDOW})) AS t(j) GROUP BY r),
+ kept AS (SELECT d.r, array_to_string(list(w[j] ORDER BY j), ' ') AS k FROM d, unnest(range(1, len(w) + 1)) AS t(j)
+   WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.r = d.r AND list_contains(l, j)) GROUP BY d.r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(l), 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)"""
+
+
+@query("op2_substring_dedup", SUBSTRING_SQL)
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", hex_of(F.col("kept")).alias("kept_sha256"))
