@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, minhash, mixing, pii, substring, token_counts
+from . import decontamination, embedding_dedup, minhash, mixing, pii, substring, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -145,3 +145,20 @@ FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)"""
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring.remove_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", hex_of(F.col("kept")).alias("kept_sha256"))
+
+
+EMBEDDING_SQL = rf"""
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ u AS (SELECT vec_id, label, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+   WHERE list_cosine_similarity(a.e, b.e) >= {embedding_dedup.THRESHOLD}),
+ reach AS (WITH RECURSIVE r(vec_id, other) AS (SELECT a, b FROM p UNION SELECT r.vec_id, p.b FROM r JOIN p ON r.other = p.a) SELECT * FROM r),
+ n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a),
+ m AS (SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id,
+ vec_id <= coalesce(other, vec_id) AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN m USING (vec_id)"""
+
+
+@query("op4_embedding_near_dedup", EMBEDDING_SQL)
+def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, folder, "embeddings"))
