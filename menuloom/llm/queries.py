@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, embedding_dedup, language, minhash, mixing, pii, substring, token_counts
+from . import decontamination, embedding_dedup, language, minhash, mixing, pii, substring, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -167,3 +167,8 @@ def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
