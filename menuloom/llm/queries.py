@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, embedding_dedup, language, minhash, mixing, pii, substring, token_counts, toxicity
+from . import decontamination, embedding_dedup, language, licenses, minhash, mixing, pii, substring, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -172,3 +172,12 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of a tree: the source is the repository, and ids stand in
+    directories of a thousand and of a hundred."""
+    n = F.col("doc_id")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(n / 1000).cast("string"), F.floor(n / 100).cast("string"), F.concat(n.cast("string"), F.lit(".txt")))
+    return licenses.scan(table(spark, folder, "documents"), path)
