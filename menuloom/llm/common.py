@@ -110,6 +110,25 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) % 2**64)) | np.uint64(1)
 
 
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Indices of pairs that join all that the pairs join, n - 1 at most."""
+    up = np.arange(n)
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    keep = []
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+        i, j = root(i), root(j)
+        if i != j:
+            up[max(i, j)] = min(i, j)
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table as rows (node, component), the
     component being its smallest node; nodes without an edge are absent.

@@ -307,16 +307,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 
         return rewrite_texts(docs, make, text)
 
+    names = docs.columns
     numbered = reliable_checkpoint(docs.withColumn("__row", F.monotonically_increasing_id()))
     found = benchmark_hits(numbered, benchmark, "__row", text, window=window, shard_words=shard_words).where(F.size("spans") > 0)
-    joined = numbered.join(found.select("__row", "n_words", "spans"), "__row", "left")
+    joined = numbered.join(found.select("__row", F.col("n_words").alias("__n"), F.col("spans").alias("__spans")), "__row", "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sizes, spans = (batch.column(c).to_pylist() for c in (text, "n_words", "spans"))
+            texts, sizes, spans = (batch.column(c).to_pylist() for c in (text, "__n", "__spans"))
             hits = [(n or 0, [[x["start"], x["end"]] for x in s or []]) for n, s in zip(sizes, spans)]
             keep, new = judged(texts, hits)
-            columns = {c: batch.column(c) for c in docs.columns}
+            columns = {c: batch.column(c) for c in names}
             columns[text] = pa.array(new, columns[text].type)
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(n) if n != o else c for n, o, c in zip(new, texts, columns["n_chars"].to_pylist())], columns["n_chars"].type)

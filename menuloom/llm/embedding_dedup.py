@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from menuloom.session import reliable_checkpoint
 
-from .common import components
+from .common import components, forest
 
 THRESHOLD = 0.98
 #: Vectors that codebooks are trained on, at most (smallest digests of the ids).
@@ -113,25 +113,6 @@ def traverse(x: np.ndarray, one: np.ndarray, two: np.ndarray, limit: float) -> t
     return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(cells or [np.zeros(0, np.int64)]), own1.astype(np.int64) * len(two) + own2
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Indices of pairs that join all that the pairs join, n - 1 at most."""
-    up = np.arange(n)
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    keep = []
-    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
-        i, j = root(i), root(j)
-        if i != j:
-            up[max(i, j)] = min(i, j)
-            keep.append(k)
-    return np.array(keep, np.int64)
-
-
 def near_vectors(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD,
     sample: int = SAMPLE, radius: float = 1.0,

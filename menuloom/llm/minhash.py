@@ -7,9 +7,11 @@ fill a signature; bands of it propose pairs, full shingle sets confirm them.
    a class, stood for by its smallest id; a class of any size costs one row.
 2. In each bucket (equal band value) every class is paired with the bucket's smallest,
    never with all others. Confirmed pairs are links, and links give components.
-3. Buckets that still hold several components pair the classes outside the largest
-   one with the others of another component. So no link between classes that share
-   a bucket is lost, while a group of near copies costs about one pair a member.
+3. Pairs of step 2, confirmed or not, join classes to clusters. In a cluster that still
+   holds several components, the classes outside the largest one are compared with all
+   classes of other components. This goes by blocks of at most ``CHUNK`` by ``VISITORS`` full
+   sets, which send on a spanning forest of confirmed links only. So no link between
+   classes of a cluster is lost, and no list of pairs is ever made.
 
 With the default bands (20 of two permutations, so four components each) a pair at
 the threshold 0.85 shares no bucket with a probability under one in a million.
@@ -26,11 +28,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from menuloom.session import broadcast_if_small, reliable_checkpoint
 
-from .common import components, map_texts, mix, odd_numbers, word_names, words_of
+from .common import components, forest, map_texts, mix, odd_numbers, word_names, words_of
 
 WIDTH = 5
 #: Two sets are linked from this share of their union on, in percent.
@@ -38,6 +40,8 @@ PERCENT = 85
 BANDS = 20
 #: Permutations of a band; each gives two components of the signature.
 PERMUTATIONS = 2
+#: Sets on the two sides of a block.
+CHUNK, VISITORS = 512, 2048
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,6 +125,79 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _across(clusters: DataFrame, joined: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Confirmed links (a, b) between components of one cluster; None if every cluster
+    is one component already."""
+    parts = joined.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
+    at = clusters.join(parts, F.col("node") == F.col("n2"), "left").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), F.coalesce("c2", "node").alias("c"))
+    at = reliable_checkpoint(at)
+    of = at.groupBy("cluster", "c").agg(F.count("*").alias("n")).groupBy("cluster").agg(
+        F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"),
+    ).where("parts > 1")
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    todo = at.join(of, "cluster").select(
+        "rep", "cluster", "c", (F.col("c") != F.col("main")).alias("visitor"),
+        blocks(F.col("all"), CHUNK).alias("chunks"), blocks(F.col("all") - F.col("most"), VISITORS).alias("groups"),
+    )
+    todo = broadcast_if_small(todo)
+    if todo.isEmpty():
+        return None
+    bodies = docs.join(todo, F.col("doc_id") == F.col("rep")).select(*todo.columns, "text")
+
+    def make() -> Callable[[list], list]:
+        return lambda texts: [[s.tobytes() for s in shingle_sets(texts, width)]]
+
+    sets = map_texts(bodies, todo.columns, [StructField("shingles", BinaryType())], make)
+    own = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    place = lambda chunk, group, home: F.struct(chunk.alias("chunk"), group.alias("group"), F.lit(home).alias("home"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    places = F.concat(
+        F.transform(upto("groups"), lambda g: place(own("chunks", 1), g, True)),
+        F.when(F.col("visitor"), F.transform(upto("chunks"), lambda k: place(k, own("groups", 2), False))).otherwise(F.array().cast("array<struct<chunk:int,group:int,home:boolean>>")),
+    )
+    met = sets.withColumn("p", F.explode(places)).select("cluster", "p.chunk", "p.group", "p.home", "rep", "c", "shingles")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        home = rows.column("home").to_numpy(zero_copy_only=False)
+        ids, c = rows.column("rep").to_numpy(), rows.column("c").to_numpy()
+        blobs = rows.column("shingles").to_pylist()
+        a, b = similar_pairs([np.frombuffer(x, np.uint64) for x in blobs], np.flatnonzero(~home), np.flatnonzero(home), c, percent)
+        number = np.unique(c, return_inverse=True)[1]
+        tree = forest(number[a], number[b], len(number))
+        return pa.table({"a": pa.array(ids[a[tree]], pa.int64()), "b": pa.array(ids[b[tree]], pa.int64())})
+
+    return reliable_checkpoint(met.groupBy("cluster", "chunk", "group").applyInArrow(compare, "a long, b long"))
+
+
+def similar_pairs(sets: list[np.ndarray], some: np.ndarray, others: np.ndarray, c: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one of ``some``, one of ``others``) with different ``c`` that are similar enough.
+    Common shingles are counted through an index of the others' shingles."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(some) and len(others):
+        owner = np.repeat(np.arange(len(others)), sizes[others])
+        index = np.concatenate([sets[i] for i in others])
+        order = np.argsort(index, kind="stable")
+        index, owner = index[order], owner[order]
+        start = 0
+        while start < len(some):
+            # As many at a time as keep the expanded postings bounded.
+            stop = start + max(1, int(4_000_000 // max(1, len(others) * sizes[some[start : start + 256]].max())))
+            mine = some[start:stop]
+            start = stop
+            asked = np.concatenate([sets[i] for i in mine])
+            of = np.repeat(np.arange(len(mine)), sizes[mine])
+            low, high = np.searchsorted(index, asked, "left"), np.searchsorted(index, asked, "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(np.repeat(of, n) * len(others) + owner[at], minlength=len(mine) * len(others)).reshape(len(mine), len(others))
+            good = (common > 0) & (100 * common >= percent * (sizes[mine][:, None] + sizes[others][None, :] - common)) & (c[mine][:, None] != c[others][None, :])
+            i, j = np.nonzero(good)
+            found_a.append(mine[i])
+            found_b.append(others[j])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
     bands: int = BANDS, permutations: int = PERMUTATIONS,
@@ -143,21 +220,9 @@ def near_duplicates(
     links = reliable_checkpoint(confirmed(stars, docs, "doc_id", "text", width, percent))
     joined = components(links)
 
-    # Buckets that still hold more than one component.
-    at = members.join(joined, F.col("rep") == F.col("node"), "left").select("value", "rep", F.coalesce("component", "rep").alias("c"))
-    at = reliable_checkpoint(at)
-    open_buckets = (
-        at.groupBy("value", "c").agg(F.count("*").alias("n"))
-        .groupBy("value").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main")).where("parts > 1").select("value", "main")
-    )
-    left = at.join(open_buckets, "value").where("c <> main").select("value", "rep", "c")
-    right = at.select("value", F.col("rep").alias("rep2"), F.col("c").alias("c2"))
-    rest = left.join(right, "value").where("c <> c2").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    rest = reliable_checkpoint(rest.join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = reliable_checkpoint(confirmed(rest, docs, "doc_id", "text", width, percent))
-        if not more.isEmpty():
-            joined = components(links.union(more))
+    more = _across(components(stars), joined, docs, width, percent)
+    if more is not None:
+        joined = components(links.union(more))
 
     named = classes.select(*key, "rep").join(joined, F.col("rep") == F.col("node"), "left")
     named = named.select(*(F.col(k).alias(f"c_{k}") for k in key), F.coalesce("component", "rep").alias("component_id"))
