@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.let import let
 from ..functions.text import strip_space
 from ..schema import Record, Rule
+from ..session import reliable_checkpoint
 
 CODE = "schema_violation"
-MAX_DEPTH = 6
+# Words taken as booleans, whatever their case.
+BOOL_WORDS = ("true", "false", "1", "0", "yes", "no", "on", "off", "y", "n", "t", "f")
 
 # Message texts.
 MISSING = "Field required"
@@ -30,18 +32,23 @@ def _characters(n: int) -> str:
     return f"{n} character" + ("" if n == 1 else "s")
 
 
+def _finite(text: Column) -> Column:
+    value = text.try_cast("double")
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+
+
 def _right_type(rule: Rule, kind: Column, text: Column) -> Column:
     number = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
     if rule.type == "string":
         return kind == "STRING"
     if rule.type == "decimal":
-        return number | ((kind == "STRING") & text.try_cast("double").isNotNull())
+        return number | ((kind == "STRING") & _finite(text))
     if rule.type == "int":
         return (number | (kind == "STRING")) & F.coalesce(
-            text.try_cast("double") == F.floor(text.try_cast("double")), F.lit(False)
+            _finite(text) & (text.try_cast("double") == F.floor(text.try_cast("double"))), F.lit(False)
         )
     if rule.type == "bool":
-        return (kind == "BOOLEAN") | F.lower(text).isin("true", "false", "1", "0", "yes", "no", "on", "off")
+        return (kind == "BOOLEAN") | F.lower(text).isin(*BOOL_WORDS)
     return F.startswith(kind, F.lit("ARRAY" if rule.type == "array" else "OBJECT"))
 
 
@@ -151,31 +158,27 @@ def _children(records: DataFrame, name: str, keys: list[str]) -> DataFrame:
     )
 
 
-def schema_issues(df: DataFrame, keys: list[str], json: str, record: Record, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row per offending field of every record, arrays of records included.
-    Records of one kind are gathered from all depths and tested once. Rows stay
-    partitioned as they come: nothing is shuffled."""
+def schema_issues(df: DataFrame, keys: list[str], json: str, record: Record) -> DataFrame:
+    """One row per offending field of every record, arrays of records included, at
+    any depth. Records of one kind are gathered from all depths and tested once. Each
+    level is read out of the one above and fixed, so the input is read once and no text
+    is parsed again; the levels end where no record holds another. Nothing is shuffled."""
     issues: list[DataFrame] = []
 
     def visit(rows: DataFrame, kind: Record) -> None:
         for name in [n for n, child in kind.children.items() if child == "self"]:
-            levels = [rows]
-            for _ in range(max_depth):
-                levels.append(_children(levels[-1], name, keys))
-            # Never passed over in silence: what lies deeper is reported as it is.
-            issues.append(
-                _children(levels[-1], name, keys).select(
-                    *keys, F.col("_at").alias("field_path"), F.lit(CODE).alias("code"), F.lit("error").alias("severity"),
-                    F.lit(f"Records are nested deeper than {max_depth} levels").alias("message"),
-                )
-            )
-            rows = reduce(DataFrame.unionByName, levels)
+            level = rows
+            while True:
+                level = reliable_checkpoint(_children(level, name, keys))
+                if level.isEmpty():
+                    break
+                rows = rows.unionByName(level)
         issues.append(_issue_rows(rows, kind, keys))
         for name, child in kind.children.items():
             if child != "self":
-                visit(_children(rows, name, keys), child)
+                visit(reliable_checkpoint(_children(rows, name, keys)), child)
 
-    visit(df.select(*keys, F.lit("").alias("_at"), F.col(json).alias("_json")), record)
+    visit(reliable_checkpoint(df.select(*keys, F.lit("").alias("_at"), F.col(json).alias("_json"))), record)
     return reduce(DataFrame.unionByName, issues)
 
 

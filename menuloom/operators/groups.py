@@ -65,7 +65,10 @@ def by_group_size(
 
 
 def _join_back(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.join(carried, [*keys, CHUNK], "left")
+    """Left join on the keys and the chunk; a null key is a key like any other."""
+    on = [*keys, CHUNK]
+    facts = carried.withColumnsRenamed({k: f"_f_{k}" for k in on})
+    return rows.join(facts, [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in on], "left").drop(*[f"_f_{k}" for k in on])
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
@@ -108,47 +111,6 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
     return by_group_size(df, keys, order, plain, chunked)
 
 
-def serial_schedule(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], arrival: str, busy: str, out: str
-) -> DataFrame:
-    """Earliest start of each request when a key serves one at a time and is
-    busy for ``busy`` after each start.
-
-    With c = sum of ``busy`` over earlier rows, start = c + max(arrival - c)
-    over the rows so far. ``arrival`` and ``busy`` are integers, so the result
-    is exact. Sums and maxima combine over chunks: a chunk that begins c later
-    sees every arrival c earlier."""
-
-    def local_terms(rows: DataFrame, part: Sequence[str]) -> DataFrame:
-        w = Window.partitionBy(*part).orderBy(*order)
-        c = F.coalesce(F.sum(busy).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return rows.withColumn("_c", c).withColumn(
-            "_slack", F.max(F.col(arrival) - F.col("_c")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        )
-
-    def plain(rows: DataFrame) -> DataFrame:
-        return local_terms(rows, keys).withColumn(out, F.col("_c") + F.col("_slack")).drop("_c", "_slack")
-
-    def chunked(rows: DataFrame) -> DataFrame:
-        local = local_terms(rows, [*keys, CHUNK])
-        totals = local.groupBy(*keys, CHUNK).agg(
-            F.sum(busy).alias("_busy"), F.max(F.col(arrival) - F.col("_c")).alias("_peak")
-        )
-        before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            totals.withColumn("_offset", F.coalesce(F.sum("_busy").over(before), F.lit(0)))
-            .withColumn("_prior", F.max(F.col("_peak") - F.col("_offset")).over(before))
-            .drop("_busy", "_peak")
-        )
-        joined = _join_back(local, carried, keys)
-        slack = F.greatest(F.col("_slack") - F.col("_offset"), F.col("_prior"))
-        return joined.withColumn(out, F.col("_c") + F.col("_offset") + slack).drop(
-            "_c", "_slack", "_offset", "_prior"
-        )
-
-    return by_group_size(df, keys, order, plain, chunked)
-
-
 def _next_holder(ts: np.ndarray, release: np.ndarray) -> np.ndarray:
     """For each row the first later row at or after its release."""
     later = np.searchsorted(ts, release, side="left")
@@ -283,7 +245,7 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], siz
     limit = hot_limit(rows)
     hot = facts.filter(F.col(size) > limit)
     if hot.isEmpty():
-        return rows.join(facts, list(keys), how)
+        return rows.join(facts, list(keys), how)  # facts of null keys are never joined
     hot = broadcast_if_small(hot)
     on_hot = rows.join(hot, list(keys), "inner")
     rest = rows.join(hot.select(*keys), list(keys), "left_anti").join(
@@ -302,6 +264,9 @@ def top_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 def first_rows(df: DataFrame, keys: Sequence[str], pos: str, flag: str) -> DataFrame:
     """Flag the first row of every key by position. The key's first position is
     a map-side minimum; it meets its row on (key, position), which is unique, so
-    a key with many copies is spread over all tasks."""
-    firsts = df.groupBy(*keys).agg(F.min(pos).alias(pos)).withColumn(flag, F.lit(True))
-    return df.join(firsts, [*keys, pos], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    a key with many copies is spread over all tasks. Rows without a key form one
+    group, as in a window."""
+    on = [*keys, pos]
+    firsts = df.groupBy(*keys).agg(F.min(pos).alias(pos)).withColumn(flag, F.lit(True)).withColumnsRenamed({k: f"_f_{k}" for k in on})
+    joined = df.join(firsts, [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in on], "left")
+    return joined.drop(*[f"_f_{k}" for k in on]).withColumn(flag, F.coalesce(flag, F.lit(False)))

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.let import let
 from ..functions.text import normalize_name
-from ..session import fits_broadcast
 from .groups import join_group_facts
 
 ERROR, WARNING = "error", "warning"
@@ -190,17 +189,20 @@ def allergen_issues(dishes: DataFrame, keys: Sequence[str]) -> DataFrame:
 def undeclared_by_word_table(
     ingredients: DataFrame, declared: DataFrame, words: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
-    """The same test against a word table of the caller: (keys, name) rows
-    against (word, allergen) rows by ``contains``, minus what is declared. The
-    words are folded into one constant first, so each ingredient is read once
-    and only its hits become rows; a table too large for that is refused."""
-    if not fits_broadcast(words):
-        raise ValueError("the word table is too large to be sent to every task")
-    folded = words.agg(F.collect_set(F.struct("word", "allergen")).alias("w")).scalar()
-    hits = F.filter("_words", lambda w: F.contains(F.lower(F.col("name")), w["word"]))
-    found = ingredients.withColumn("_words", folded).select(
-        *keys, F.explode(F.transform(hits, lambda w: w["allergen"])).alias("allergen")
-    )
+    """The same test against a word table of the caller, of any size: (keys, name) rows
+    against (word, allergen) rows by ``contains``, minus what is declared. Each name
+    gives its substrings of the lengths that words have, and these meet the words in an
+    equality join; so the work follows the names, not names times words."""
+    known = words.where(F.length("word") > 0).select(F.col("word").alias("_word"), "allergen").distinct()
+    # One row per length that occurs; a word of n characters is one length.
+    lengths = [r[0] for r in known.select(F.length("_word").alias("n")).distinct().orderBy("n").toLocalIterator()]
+    if not lengths:
+        return ingredients.select(*keys, F.lit(None).cast("string").alias("allergen")).limit(0)
+    name = F.lower(F.col("name"))
+    places = lambda n: F.when(F.length("_name") >= n, F.transform(F.sequence(F.lit(1), F.length("_name") - n + 1), lambda i: F.substring(F.col("_name"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    pieces = F.array_distinct(F.flatten(F.array(*[places(n) for n in lengths])))
+    asked = ingredients.withColumn("_name", name).select(*keys, F.explode(pieces).alias("_word"))
+    found = asked.join(known, "_word").select(*keys, "allergen")
     return found.distinct().join(declared.select(*keys, "allergen"), [*keys, "allergen"], "left_anti")
 
 

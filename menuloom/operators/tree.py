@@ -6,32 +6,41 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import reliable_checkpoint
+from .groups import number_rows
+
 # The most children one exported array holds; further ones go to further rows.
 PART_ROWS = 10_000
 
 
 def category_paths(
-    nodes: DataFrame, node: str, parent: str, label: Column, separator: str = ".", max_depth: int = 64
+    nodes: DataFrame, node: str, parent: str, label: Column, separator: str = "."
 ) -> tuple[DataFrame, DataFrame]:
-    """(path of every node from its root, nodes on a cycle or deeper than
-    ``max_depth``). Pointers are doubled, so depth d takes log2(d) joins, and each
-    join has one row per node on its right side."""
+    """(path of every node from its root, nodes on or below a cycle or a missing
+    parent). Pointers are doubled, so depth d takes log2(d) rounds, and only nodes without
+    a root yet take part in a round. After k rounds these are the nodes deeper than
+    2^k and those that never reach a root; so when a round resolves none, none ever will."""
     reach = nodes.select(node, F.col(parent).alias("_up"), label.cast("string").alias("path"), F.lit(1).alias("depth"))
-    steps = max(1, (max_depth - 1).bit_length())
-    for _ in range(steps):
+    reach = reliable_checkpoint(reach.withColumn("_open", F.col("_up").isNotNull()))
+    left = reach.where("_open").count()
+    while left:
+        done, active = reach.where("NOT _open"), reach.where("_open")
         upper = reach.select(
             F.col(node).alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_prefix"), F.col("depth").alias("_more"),
         )
-        reach = (
-            reach.join(upper, "_up", "left")
-            .select(
-                node,
-                # A parent that is not in the table leaves the node unresolved.
-                F.when(F.col("_prefix").isNull(), F.col("_up")).otherwise(F.col("_next")).alias("_up"),
-                F.when(F.col("_prefix").isNull(), F.col("path")).otherwise(F.concat("_prefix", F.lit(separator), "path")).alias("path"),
-                (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"),
-            )
+        # A parent that is not in the table closes the node; it keeps its pointer.
+        moved = active.join(upper, "_up", "left").select(
+            node,
+            F.when(F.col("_prefix").isNull(), F.col("_up")).otherwise(F.col("_next")).alias("_up"),
+            F.when(F.col("_prefix").isNull(), F.col("path")).otherwise(F.concat("_prefix", F.lit(separator), "path")).alias("path"),
+            (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"),
+            (F.col("_prefix").isNotNull() & F.col("_next").isNotNull()).alias("_open"),
         )
+        reach = reliable_checkpoint(done.unionByName(moved))
+        still = reach.where("_open").count()
+        if still == left:
+            break
+        left = still
     return (
         reach.filter(F.col("_up").isNull()).select(node, "path", "depth"),
         reach.filter(F.col("_up").isNotNull()).select(node, F.col("_up").alias("unresolved_parent")),
@@ -59,27 +68,57 @@ def nest(
 
 
 def assemble(
-    restaurants: DataFrame, locations: DataFrame, menus: DataFrame, categories: DataFrame, dishes: DataFrame
-) -> DataFrame:
-    """Flat tables to nested rows, built bottom-up. Categories stay a flat list
-    under their menu with ``parent_id`` (a row type cannot contain itself);
-    roots have a null parent."""
-    with_dishes = nest(
-        categories, dishes, ["category_id"], "pos",
-        [c for c in dishes.columns if c not in ("category_id", "pos")], "dishes",
-    ).drop("dishes_part")
-    in_menu = nest(
-        menus, with_dishes.withColumnRenamed("pos", "category_pos"), ["menu_id"], "category_pos",
-        [c for c in with_dishes.columns if c not in ("menu_id", "pos")], "categories",
-    ).drop("categories_part")
-    with_menus = nest(
-        restaurants, in_menu, ["restaurant_id"], "pos",
-        [c for c in in_menu.columns if c not in ("restaurant_id", "pos")], "menus",
+    restaurants: DataFrame, locations: DataFrame, menus: DataFrame, categories: DataFrame, dishes: DataFrame,
+    part_rows: int = PART_ROWS,
+) -> dict[str, DataFrame]:
+    """Flat tables to the rows of two exports that are never joined to each other:
+    ``menus`` has per restaurant its menus, categories and dishes, ``locations`` its
+    locations. Both are numbered in parts.
+
+    Every menu, category and dish is one entry, in document order, and a part is
+    ``part_rows`` entries in a row, so a row's size is bounded by its entries, not by level.
+    A category or menu that goes on in the next part is named there again by its
+    keys alone; its further columns stand where it begins, so nothing is listed twice.
+    Categories stay a flat list under their menu with ``parent_id`` (a row type cannot
+    contain itself); roots have a null parent."""
+    menu = menus.select("menu_id", "restaurant_id", F.col("pos").cast("long").alias("menu_pos"), _rest(menus, "menu_id", "restaurant_id", "pos").alias("menu"))
+    category = categories.select("category_id", "menu_id", F.col("pos").cast("long").alias("category_pos"), "parent_id", _rest(categories, "category_id", "menu_id", "parent_id", "pos").alias("category"))
+    dish = dishes.select("category_id", F.col("pos").cast("long").alias("dish_pos"), _rest(dishes, "category_id", "pos").alias("dish"))
+    # Depth first: a menu (-1, -1), its categories (pos, -1), their dishes (pos, pos).
+    place = menu.select("menu_id", "restaurant_id", "menu_pos")
+    of_category = category.join(place, "menu_id")
+    of_dish = dish.join(of_category.select("category_id", "menu_id", "category_pos", "parent_id", "restaurant_id", "menu_pos"), "category_id")
+    entries = (
+        menu.withColumns({"category_pos": F.lit(-1).cast("long"), "dish_pos": F.lit(-1).cast("long")})
+        .unionByName(of_category.withColumn("dish_pos", F.lit(-1).cast("long")), allowMissingColumns=True)
+        .unionByName(of_dish, allowMissingColumns=True)
+    )
+    order = ["menu_pos", "menu_id", "category_pos", "category_id", "dish_pos"]
+    placed = number_rows(entries, ["restaurant_id"], order, "entry_no")
+    placed = placed.withColumn("part", F.floor((F.col("entry_no") - 1) / part_rows).cast("long"))
+    menu_keys = ["restaurant_id", "part", "menu_pos", "menu_id"]
+    listed = lambda test, *fields: F.sort_array(F.collect_list(F.when(test, F.struct(*fields))))
+    in_category = placed.where("category_pos >= 0").groupBy(*menu_keys, "category_pos", "category_id").agg(
+        F.first("parent_id").alias("parent_id"), F.first("category", ignorenulls=True).alias("category"),
+        listed(F.col("dish_pos") >= 0, F.col("dish_pos").alias("pos"), "dish").alias("dishes"),
+    )
+    in_menu = placed.where("category_pos < 0").select(*menu_keys, "menu").unionByName(in_category, allowMissingColumns=True).groupBy(*menu_keys).agg(
+        F.first("menu", ignorenulls=True).alias("menu"),
+        listed(F.col("category_id").isNotNull(), F.col("category_pos").alias("pos"), "category_id", "parent_id", "category", "dishes").alias("categories"),
     )
-    return nest(
-        with_menus, locations, ["restaurant_id"], "pos",
-        [c for c in locations.columns if c not in ("restaurant_id", "pos")], "locations",
+    rows = in_menu.groupBy("restaurant_id", "part").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("menu_pos").alias("pos"), "menu_id", "menu", "categories"))).alias("menus")
     )
+    return {
+        "restaurants": restaurants,
+        "menus": rows,
+        "locations": nest(restaurants.select("restaurant_id"), locations, ["restaurant_id"], "pos", [c for c in locations.columns if c not in ("restaurant_id", "pos")], "locations", part_rows).where(F.size("locations") > 0),
+    }
+
+
+def _rest(table: DataFrame, *known: str) -> Column:
+    """The further columns as one value; it is never null, so it marks where a record begins."""
+    return F.struct(F.lit(True).alias("first"), *[c for c in table.columns if c not in known])
 
 
 def shred(nested: DataFrame, keys: Sequence[str], array: str) -> DataFrame:
@@ -87,18 +126,18 @@ def shred(nested: DataFrame, keys: Sequence[str], array: str) -> DataFrame:
     return nested.select(*keys, F.inline(array))
 
 
-def shred_all(nested: DataFrame) -> dict[str, DataFrame]:
-    """The flat tables of ``assemble``'s rows."""
-    rows = nested.drop("menus", "locations", "menus_part", "locations_part").distinct()
-    menus = shred(nested.filter(F.col("locations_part") == 0), ["restaurant_id"], "menus")
-    categories = shred(menus, ["menu_id"], "categories").withColumnRenamed("category_pos", "pos")
-    dishes = shred(categories.drop("pos"), ["category_id"], "dishes")
+def shred_all(exports: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The flat tables of ``assemble``'s exports, whatever the parts and positions."""
+    menus = exports["menus"].select("restaurant_id", F.inline("menus"))
+    categories = menus.select("menu_id", F.inline("categories"))
+    dishes = categories.select("category_id", F.inline("dishes"))
+    flat = lambda df, name: df.where(F.col(name).isNotNull()).select(*[c for c in df.columns if c not in (name, "categories", "dishes")], f"{name}.*").drop("first")
     return {
-        "restaurants": rows,
-        "locations": shred(nested.filter(F.col("menus_part") == 0), ["restaurant_id"], "locations"),
-        "menus": menus.drop("categories").distinct(),
-        "categories": categories.drop("dishes").distinct(),
-        "dishes": dishes,
+        "restaurants": exports["restaurants"],
+        "locations": exports["locations"].select("restaurant_id", F.inline("locations")),
+        "menus": flat(menus, "menu"),
+        "categories": flat(categories, "category"),
+        "dishes": flat(dishes, "dish"),
     }
 
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A group with more rows than this is never handed to one task.
 HOT_GROUP_ROWS_CONF = "spark.menuloom.hotGroupRows"
 HOT_GROUP_ROWS_DEFAULT = 2_000_000
-# The most rows an explicitly broadcast table may have.
+# The most rows and bytes an explicitly broadcast table may have.
 BROADCAST_ROWS_CONF = "spark.menuloom.broadcastRows"
 BROADCAST_ROWS_DEFAULT = 100_000
+BROADCAST_BYTES_CONF = "spark.menuloom.broadcastBytes"
+BROADCAST_BYTES_DEFAULT = 32 << 20
 
 
 def build_session(app: str = "menuloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,8 +43,8 @@ def int_conf(spark: SparkSession, key: str, default: int) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``. Only a session that
-    names none (a local test) gets a folder of its own."""
+    """The shared folder named by ``spark.checkpoint.dir``. A local session that names
+    none uses a folder beside its warehouse, which is on the default file system."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
@@ -53,7 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="menuloom-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/menuloom-shared"
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
@@ -65,12 +65,19 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_FIXED_WIDTH = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz")
+
+
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether a lookup table is small enough to send to every executor. Reads
-    no more than the limit plus one row."""
+    """Whether a lookup table is small enough to send to every executor, in rows and
+    in bytes of its values. Reads no more than the limit plus one row."""
     spark = df.sparkSession
     limit = int_conf(spark, BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT)
-    return df.limit(limit + 1).count() <= limit
+    texts = [c for c, kind in df.dtypes if kind not in _FIXED_WIDTH]
+    wide = [F.coalesce(F.length(F.to_json(F.struct(*texts))), F.lit(0))] if texts else []
+    width = sum(wide, F.lit(8 * len(df.columns)))
+    rows, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return rows <= limit and size <= int_conf(spark, BROADCAST_BYTES_CONF, BROADCAST_BYTES_DEFAULT)
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:

@@ -22,39 +22,62 @@ def tree_paths(t: Tables):
         .unionByName(t.nation.select(s("n", "n_nationkey").alias("node"), s("r", "n_regionkey").alias("parent"), F.col("n_name").alias("name")))
         .unionByName(t.customer.select(s("c", "c_custkey").alias("node"), s("n", "c_nationkey").alias("parent"), F.col("c_name").alias("name")))
     )
-    return tree.category_paths(nodes, "node", "parent", F.col("name"), max_depth=4)[0]
+    return tree.category_paths(nodes, "node", "parent", F.col("name"))[0]
 
 
-def _order_tree(t: Tables):
-    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("pos"), "l_partkey", "l_returnflag")
-    # Several lines may share a number in the shared data; the part key is part of the element.
-    orders = tree.nest(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), lines, ["o_orderkey"], "pos", ["l_partkey", "l_returnflag"], "lines")
-    return tree.nest(
-        t.customer.select("c_custkey", "c_name"),
-        orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus", "lines"),
-        ["c_custkey"], "o_orderkey", ["o_orderstatus", "lines"], "orders",
-    )
+@query("s05_tree_deep_chain", """
+WITH d AS (SELECT DISTINCT doc_id FROM documents), n AS (SELECT 100 * (doc_id // 100) AS root, doc_id FROM d WHERE doc_id % 100 <> 50)
+SELECT doc_id::VARCHAR AS node, string_agg(up::VARCHAR, '.' ORDER BY up) AS path, count(*)::INTEGER AS depth
+FROM n, unnest(range(root, doc_id + 1)) AS t(up) WHERE doc_id % 100 < 50 GROUP BY 1""")
+def deep_chain(t: Tables):
+    """Documents as chains of up to fifty nodes; the fifty-first of each hundred is missing,
+    so what hangs on it has no root."""
+    k = F.col("doc_id")
+    nodes = t.documents.where(k % 100 != 50).select(k.cast("string").alias("node"), F.when(k % 100 != 0, (k - 1).cast("string")).alias("parent"))
+    return tree.category_paths(nodes.distinct(), "node", "parent", F.col("node"))[0]
+
+
+def _exports(t: Tables):
+    """nation = restaurant, customer = menu, order = category, part and supplier of a line = dish."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("category_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("pos"), "l_partkey", "l_returnflag")
+    return {
+        "restaurants": t.nation.select(F.col("n_nationkey").alias("restaurant_id"), "n_name"),
+        "locations": t.supplier.select(F.col("s_nationkey").alias("restaurant_id"), F.col("s_suppkey").alias("pos"), "s_name"),
+        "menus": t.customer.select(F.col("c_custkey").alias("menu_id"), F.col("c_nationkey").alias("restaurant_id"), F.col("c_custkey").alias("pos"), "c_name"),
+        "categories": t.orders.select(F.col("o_orderkey").alias("category_id"), F.col("o_custkey").alias("menu_id"), F.col("o_orderkey").alias("pos"), F.lit(None).cast("long").alias("parent_id"), "o_orderstatus"),
+        "dishes": lines,
+    }
 
 
 @query("s04_assemble_tree", """
-WITH l AS (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey || l_returnflag, ',' ORDER BY l_linenumber, l_partkey, l_returnflag) AS lines FROM lineitem GROUP BY 1),
-o AS (SELECT o_custkey, o_orderkey // 10000 AS part, string_agg(o_orderkey || o_orderstatus || '(' || coalesce(lines, '') || ')', ';' ORDER BY o_orderkey) AS orders
-  FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1, 2)
-SELECT c_custkey, c_name, coalesce(part, 0) AS orders_part, coalesce(orders, '') AS orders FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
+WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
+e AS (SELECT c_nationkey, count(DISTINCT c_custkey) + count(DISTINCT o_orderkey) + coalesce(sum(n), 0) AS entries
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT c_nationkey AS restaurant_id, p AS part, least(500, entries - 500 * p)::BIGINT AS entries FROM e, unnest(range(0, (entries::BIGINT - 1) // 500 + 1)) AS t(p)""")
 def assemble(t: Tables):
-    line = lambda x: F.concat(x["pos"].cast("string"), F.lit(":"), x["l_partkey"].cast("string"), x["l_returnflag"])
-    order = lambda o: F.concat(
-        o["o_orderkey"].cast("string"), o["o_orderstatus"], F.lit("("), F.array_join(F.transform(o["lines"], line), ","), F.lit(")")
-    )
-    return _order_tree(t).select("c_custkey", "c_name", "orders_part", F.array_join(F.transform("orders", order), ";").alias("orders"))
+    """Parts of five hundred entries each: menus and categories where they begin, and dishes."""
+    menus = tree.assemble(**_exports(t), part_rows=500)["menus"]
+    begun = lambda x: F.when(x.isNotNull(), 1).otherwise(0)
+    entries = F.aggregate("menus", F.lit(0), lambda n, m: n + begun(m["menu"]) + F.aggregate(
+        m["categories"], F.lit(0), lambda k, c: k + begun(c["category"]) + F.size(c["dishes"])))
+    return menus.select("restaurant_id", "part", entries.cast("long").alias("entries"))
 
 
 @query("s05_shred_tree", """
-SELECT o_custkey AS c_custkey, o_orderkey, l_linenumber AS pos, l_partkey, l_returnflag FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
+SELECT l_orderkey AS category_id, l_linenumber * 1000000 + l_suppkey AS pos, l_partkey, l_returnflag FROM lineitem
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey)""")
 def shred(t: Tables):
-    orders = tree.shred(_order_tree(t), ["c_custkey"], "orders")
-    return tree.shred(orders, ["c_custkey", "o_orderkey"], "lines")
+    return tree.shred_all(tree.assemble(**_exports(t), part_rows=500))["dishes"]
+
+
+@query("s05_shred_menus", "SELECT c_nationkey AS restaurant_id, c_custkey AS pos, c_custkey AS menu_id, c_name FROM customer")
+def shred_menus(t: Tables):
+    return tree.shred_all(tree.assemble(**_exports(t), part_rows=500))["menus"]
+
+
+@query("s05_shred_locations", "SELECT s_nationkey AS restaurant_id, s_suppkey AS pos, s_name FROM supplier")
+def shred_locations(t: Tables):
+    return tree.shred_all(tree.assemble(**_exports(t), part_rows=500))["locations"]
 
 
 @query("a12_top_level_dish_count", """

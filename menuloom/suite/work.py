@@ -144,20 +144,6 @@ def due(t: Tables):
     return rows.withColumn("swept", rows.agg(F.count(F.lit(1))).scalar())
 
 
-@query("w07_crawl_schedule", """
-WITH e AS (SELECT event_id, user_id % 20 AS domain, epoch_us(ts) // 1000 AS arrival, (event_id * 7919 % 9000000) + 1000 AS busy FROM events),
-c AS (SELECT *, coalesce(sum(busy) OVER (PARTITION BY domain ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e)
-SELECT event_id, domain, (c + max(arrival - c) OVER (PARTITION BY domain ORDER BY arrival, event_id))::BIGINT AS start_ms FROM c""")
-def schedule(t: Tables):
-    """Start times when a domain serves one request at a time, one second apart."""
-    e = t.events.select(
-        "event_id", (F.col("user_id") % 20).alias("domain"), F.unix_millis(F.col("ts").cast("timestamp")).alias("arrival"),
-        (F.col("event_id") * 7919 % 9000000 + 1000).alias("busy"),
-    )
-    out = groups.serial_schedule(e, ["domain"], ["arrival", "event_id"], "arrival", "busy", "start_ms")
-    return out.select("event_id", "domain", "start_ms")
-
-
 # --- staged changes ----------------------------------------------------------------
 
 def _changes(t: Tables):

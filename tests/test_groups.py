@@ -27,7 +27,6 @@ def collected(df):
 CASES = {
     "previous_value": lambda d: groups.previous_value(d, ["key"], ["ts", "id"], "value", "out"),
     "number_rows": lambda d: groups.number_rows(d, ["key"], ["ts", "id"], "out"),
-    "serial_schedule": lambda d: groups.serial_schedule(d, ["key"], ["ts", "id"], "ts", "busy", "out"),
     "hold_chain_fixed": lambda d: groups.hold_chain(d.withColumn("release", F.col("ts") + 20), ["key"], ["ts", "id"], "ts", "release"),
     "hold_chain_varied": lambda d: groups.hold_chain(d, ["key"], ["ts", "id"], "ts", "release"),
 }
@@ -45,15 +44,6 @@ def test_hot_equals_plain(spark, rows, name):
     assert len(plain) == 600
 
 
-def test_schedule_against_one_by_one(rows):
-    got = {r["id"]: r["out"] for r in CASES["serial_schedule"](rows).collect()}
-    free = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["ts"], r["id"])):
-        start = max(r["ts"], free.get(r["key"], r["ts"]))
-        free[r["key"]] = start + r["busy"]
-        assert got[r["id"]] == start
-
-
 def test_hold_chain_against_one_by_one(rows):
     got = {r["id"]: (r["is_holder"], r["rank"], r["holder_ts"]) for r in CASES["hold_chain_varied"](rows).collect()}
     state = {}

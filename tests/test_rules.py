@@ -158,21 +158,23 @@ def test_nest_and_shred_are_inverse(spark, part_rows):
     assert nested.filter("p = 3").count() == 1
 
 
-def test_assemble_and_shred_all(spark):
+@pytest.mark.parametrize("part_rows", [10_000, 2])
+def test_assemble_and_shred_all(spark, part_rows):
     s = spark.createDataFrame
     flat = {
         "restaurants": s([("r1", "A"), ("r2", "B")], "restaurant_id string, name string"),
-        "locations": s([("r1", 0, "X"), ("r1", 1, "Y")], "restaurant_id string, pos int, city string"),
-        "menus": s([("m1", "r1", 0), ("m2", "r2", 0)], "menu_id string, restaurant_id string, pos int"),
+        "locations": s([("r1", 10_000, "X"), ("r1", 10_001, "Y")], "restaurant_id string, pos int, city string"),
+        "menus": s([("m1", "r1", 0), ("m2", "r2", 10_000)], "menu_id string, restaurant_id string, pos int"),
         "categories": s([("c1", "m1", None, 0), ("c2", "m1", "c1", 1)], "category_id string, menu_id string, parent_id string, pos int"),
         "dishes": s([("c1", 0, "d1"), ("c2", 0, "d2"), ("c2", 1, "d3")], "category_id string, pos int, dish string"),
     }
-    nested = tree.assemble(**flat)
+    nested = tree.assemble(**flat, part_rows=part_rows)
     back = tree.shred_all(nested)
+    assert nested["menus"].filter("restaurant_id = 'r1'").count() == (1 if part_rows > 9 else 3)
     for name, df in flat.items():
         columns = sorted(df.columns)
         assert sorted(map(tuple, back[name].select(columns).collect()), key=str) == sorted(map(tuple, df.select(columns).collect()), key=str), name
-    counts = {r.restaurant_id: r.n for r in nested.select("restaurant_id", tree.top_level_dish_count().alias("n")).collect()}
+    counts = {r.restaurant_id: r.n for r in nested["menus"].select("restaurant_id", tree.top_level_dish_count().alias("n")).groupBy("restaurant_id").agg(F.sum("n").alias("n")).collect()}
     assert counts == {"r1": 1, "r2": 0}
 
 
