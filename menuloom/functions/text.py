@@ -11,7 +11,7 @@ SPACE_RUN = rf"(?U){SPACE_CLASS}+"
 
 # Text limits, confidence levels, retry waits in seconds.
 ERROR_CHARS = 2000
-DOCUMENT_CHARS = 20_000
+SECTION_CHARS = 20_000
 HIGH_CONFIDENCE = 0.75
 MEDIUM_CONFIDENCE = 0.5
 RETRY_WAITS = (30, 120)

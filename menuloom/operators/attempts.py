@@ -55,6 +55,10 @@ def limit_logins(attempts: DataFrame, ip: str = "ip", identifier: str = "identif
     return by_id.unionByName(rest).withColumn("allowed", F.col("ip_ok") & F.col("id_ok"))
 
 
+def limit_refreshes(attempts: DataFrame, ip: str = "ip", ts_us: str = "ts_us", attempt: str = "attempt_id") -> DataFrame:
+    return limit_attempts(attempts, ip, ts_us, attempt, REFRESH_PER_IP, "allowed")
+
+
 def one_at_a_time(
     events: DataFrame, keys: Sequence[str], ts_us: str = "ts_us", token: str = "token", kind: str = "kind", hold_seconds: int = HOLD_SECONDS
 ) -> DataFrame:

@@ -8,47 +8,67 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.ids import uuid5_url
-from ..functions.text import DOCUMENT_CHARS, list_or, strip_space, text_or, truncate
+from ..functions.text import SECTION_CHARS, list_or, strip_space, text_or
 from ..schema import DEFAULT_CURRENCY, MACROS, MICRONUTRIENTS, MONEY, NUTRIENT, Record
 from ..session import reliable_checkpoint
 from .conform import conforming, flat_schema_issues
+from .groups import number_rows
 
 # How documents are joined.
 SECTION_SEPARATOR = "\n\n---\n\n"
 SECTION_FORMAT = "[snapshot:%s]\n%s"
-# Positions one assembled text covers, at most 20 000 characters each.
+# Positions one assembled text covers.
 PART_POSITIONS = 1000
 
 
 def assemble_documents(
-    documents: DataFrame, source: str, pos: str, snapshot: str, text: str, part_positions: int = PART_POSITIONS
+    documents: DataFrame, source: str, pos: str, snapshot: str, text: str, part_positions: int = PART_POSITIONS,
+    section_chars: int = SECTION_CHARS,
 ) -> DataFrame:
     """Text of each source, sections in order of ``pos`` (an integer unique per
-    source). A source of any size is whole: it takes one row per
-    ``part_positions`` positions, and its rows joined by the separator in
-    ``part`` order are the full text. Each section is cut before the shuffle."""
-    section = F.format_string(SECTION_FORMAT, F.col(snapshot).cast("string"), truncate(F.col(text), DOCUMENT_CHARS))
-    listed = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), section.alias("s"))))
-    return documents.groupBy(source, F.floor(F.col(pos) / part_positions).cast("long").alias("part")).agg(
+    source). Nothing is cut off: a text of more than ``section_chars`` characters goes on
+    in further sections, its n-th one in the row with ``piece`` n, and a source takes one
+    row per ``part_positions`` positions and piece. So a row has at most one section a
+    position, and all rows together hold all texts."""
+    cut = F.posexplode(sections(F.col(text), section_chars)).alias("piece", "_text")
+    pieces = documents.select(source, F.col(pos).alias("_pos"), F.col(snapshot).cast("string").alias("_snapshot"), cut)
+    section = F.format_string(SECTION_FORMAT, F.col("_snapshot"), F.col("_text"))
+    listed = F.sort_array(F.collect_list(F.struct(F.col("_pos").alias("p"), section.alias("s"))))
+    return pieces.groupBy(source, F.floor(F.col("_pos") / part_positions).cast("long").alias("part"), "piece").agg(
         F.array_join(F.transform(listed, lambda x: x["s"]), SECTION_SEPARATOR).alias("content"),
         F.count(F.lit(1)).alias("sections"),
     )
 
 
+def sections(text: Column, chars: int) -> Column:
+    """A text in consecutive sections of at most ``chars`` characters that together are
+    the text. A section ends before a line break or an opening tag where there is one."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{chars}}}(?=\n|<[A-Za-z]|\z)|.{{1,{chars}}}"), F.lit(0))
+    return F.when(F.length(text) <= chars, F.array(text)).when(text.isNotNull(), found)
+
+
 def extract(
     documents: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType,
     keys: Sequence[str], record: Record,
 ) -> tuple[DataFrame, DataFrame]:
-    """Run a caller's extractor over document batches and check what it returns
-    against the closed schema: (conforming rows, violations). ``schema`` has the
-    key columns and the record's fields. The extractor is costly and need not
-    repeat its answers, so its rows are fixed in the shared folder: it runs once."""
+    """Run a caller's extractor over the assembled documents, one at a time, and check
+    what it returns against the closed schema: (conforming rows, violations).
+    ``schema`` has the key columns and the record's fields; the last key is a position
+    within the document, and rows are known by it together with the document's part
+    and piece. The extractor is costly and need not repeat its answers, so its rows
+    are fixed in the shared folder: it runs once."""
+    placed = T.StructType([*schema.fields, T.StructField("part", T.LongType()), T.StructField("piece", T.IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield fn(pdf)
-
-    rows = reliable_checkpoint(documents.mapInPandas(run, schema))
+            for i in range(len(pdf)):
+                one = pdf.iloc[[i]].reset_index(drop=True)
+                yield fn(one).assign(part=one["part"][0], piece=one["piece"][0])
+
+    raw = reliable_checkpoint(documents.mapInPandas(run, placed))
+    group, pos = list(keys[:-1]), keys[-1]
+    rows = number_rows(raw, group, ["part", "piece", pos], "_no").withColumn(pos, (F.col("_no") - 1).cast(schema[pos].dataType)).drop("_no", "part", "piece")
+    rows = reliable_checkpoint(rows)
     fields = [f.name for f in schema.fields if f.name not in keys]
     with_json = rows.withColumn("_json", F.to_json(F.struct(*fields)))
     issues = flat_schema_issues(with_json, list(keys), "_json", record)

@@ -62,7 +62,8 @@ def run_lifecycle(events: DataFrame) -> DataFrame:
         "started_at",
         F.col("_end.ts").alias("completed_at"),
         elapsed_ms(F.col("started_at"), F.col("_end.ts")).alias("duration_ms"),
-        F.when(F.col("_end.kind") == "failed", truncate(F.col("_end.error"), ERROR_CHARS)).alias("error_message"),
+        F.when(F.col("_end.kind") == "failed", F.col("_end.error")).alias("error_message"),
+        F.when(F.col("_end.kind") == "failed", truncate(F.col("_end.error"), ERROR_CHARS)).alias("error_shown"),
     )
 
 

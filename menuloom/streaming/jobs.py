@@ -1,8 +1,8 @@
 """Stateful streaming forms of the change gate, attempt limits, one-at-a-time
 holds and run lifecycle.
 
-State is a few fields per key and is dropped by event-time timers. The watermark
-is only there to let those timers fire; it adds no meaning of its own.
+State is two numbers per key, kept in RocksDB. There is no watermark and no timer: a row
+that comes late is judged against the state it meets, and no row is ever dropped.
 """
 
 from __future__ import annotations
@@ -26,18 +26,21 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
+# Files of one micro-batch: a backlog is worked off in batches of bounded size.
+FILES_PER_BATCH = 100
+
+
+def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def drain(stream: DataFrame, mode: str = "append", timeout: int = 600) -> str:
+def drain(stream: DataFrame, mode: str = "append", target: str | None = None, timeout: int | None = None) -> str:
     """Process everything available into a parquet folder and return its path. The
-    folder and the query's own checkpoint are in the shared folder. Updated rows
-    carry the number of the micro-batch that wrote them."""
-    root = f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4()}"
+    folder and the query's own checkpoint are under ``target``, by default in the shared
+    folder; a target that was drained before goes on where it stopped. Updated rows carry
+    the number of the micro-batch that wrote them. ``timeout`` in seconds; none by default."""
+    root = (target or f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4()}").rstrip("/")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").start(f"{root}/out")
@@ -45,7 +48,9 @@ def drain(stream: DataFrame, mode: str = "append", timeout: int = 600) -> str:
         # A repeated micro-batch overwrites its own folder, so nothing is doubled.
         query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}")).start()
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError(f"stream did not finish within {timeout} s")
     finally:
         query.stop()
@@ -97,7 +102,6 @@ class AttemptLimit(StatefulProcessor):
         self._window = window_seconds * SECOND_US
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
         self._open = handle.getValueState("open", "start_us long, count long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -115,16 +119,8 @@ class AttemptLimit(StatefulProcessor):
             flags.append(count <= self._limit)
         if start is not None:
             self._open.update((start, count))
-            self._handle.registerTimer((start + self._window) // 1000)
         yield attempts.assign(**{self._flag: flags})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self._open.exists():
-            start, _ = self._open.get()
-            if expiredTimerInfo.getExpiryTimeInMs() >= (start + self._window) // 1000:
-                self._open.clear()
-        yield from ()
-
     def close(self) -> None:
         pass
 
@@ -132,24 +128,28 @@ class AttemptLimit(StatefulProcessor):
 def _limited(attempts: DataFrame, key: str, limit: int, flag: str, window_seconds: int, active: str | None) -> DataFrame:
     schema = T.StructType([*attempts.schema.fields, T.StructField(flag, T.BooleanType())])
     return attempts.groupBy(key).transformWithStateInPandas(
-        AttemptLimit(limit, flag, window_seconds, active), schema, "Append", "EventTime", eventTimeColumnName="ts"
+        AttemptLimit(limit, flag, window_seconds, active), schema, "Append", "None"
     )
 
 
-def limit_logins(attempts: DataFrame, delay: str = "1 minute") -> DataFrame:
+def limit_logins(attempts: DataFrame) -> DataFrame:
     """Attempts (attempt_id, ip, identifier, ts, ts_us), address first, then
-    identifier: two stateful steps in one query."""
+    identifier: two stateful steps in one query. Attempts that the second step need not
+    count (refused by address, or without an identifier) are spread over keys of
+    their own, which hold no state."""
     prepare(attempts.sparkSession)
-    rows = attempts.withColumn("identifier", limits.normal_identifier(F.col("identifier"))).withWatermark("ts", delay)
+    rows = attempts.withColumn("identifier", limits.normal_identifier(F.col("identifier")))
     by_ip = _limited(rows, "ip", limits.LOGIN_PER_IP, "ip_ok", limits.WINDOW_SECONDS, None)
     counted = by_ip.withColumn("counted", F.col("ip_ok") & (F.col("identifier") != ""))
-    by_id = _limited(counted, "identifier", limits.LOGIN_PER_IDENTIFIER, "id_ok", limits.WINDOW_SECONDS, "counted")
-    return by_id.drop("counted").withColumn("allowed", F.col("ip_ok") & F.col("id_ok"))
+    spread = F.concat(F.lit("-"), F.pmod(F.xxhash64("attempt_id"), F.lit(4096)).cast("string"))
+    routed = counted.withColumn("route", F.when(F.col("counted"), F.concat(F.lit("+"), "identifier")).otherwise(spread))
+    by_id = _limited(routed, "route", limits.LOGIN_PER_IDENTIFIER, "id_ok", limits.WINDOW_SECONDS, "counted")
+    return by_id.drop("counted", "route").withColumn("allowed", F.col("ip_ok") & F.col("id_ok"))
 
 
-def limit_refreshes(attempts: DataFrame, delay: str = "1 minute") -> DataFrame:
+def limit_refreshes(attempts: DataFrame) -> DataFrame:
     prepare(attempts.sparkSession)
-    return _limited(attempts.withWatermark("ts", delay), "ip", limits.REFRESH_PER_IP, "allowed", limits.WINDOW_SECONDS, None)
+    return _limited(attempts, "ip", limits.REFRESH_PER_IP, "allowed", limits.WINDOW_SECONDS, None)
 
 
 class OneAtATime(StatefulProcessor):
@@ -159,7 +159,6 @@ class OneAtATime(StatefulProcessor):
         self._keys, self._hold = keys, hold_seconds * SECOND_US
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
         self._held = handle.getValueState("held", "token long, until_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -181,32 +180,24 @@ class OneAtATime(StatefulProcessor):
             self._held.clear()
         else:
             self._held.update((token, until))
-            self._handle.registerTimer(until // 1000)
         yield pd.DataFrame(
             {**{k: [v] * len(starts) for k, v in zip(self._keys, key)}, "ts_us": [s[0] for s in starts],
              "token": [s[1] for s in starts], "accepted": accepted}
         )
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self._held.exists():
-            _, until = self._held.get()
-            if expiredTimerInfo.getExpiryTimeInMs() >= until // 1000:
-                self._held.clear()
-        yield from ()
-
     def close(self) -> None:
         pass
 
 
-def one_at_a_time(events: DataFrame, keys: list[str], hold_seconds: int = limits.HOLD_SECONDS, delay: str = "1 minute") -> DataFrame:
+def one_at_a_time(events: DataFrame, keys: list[str], hold_seconds: int = limits.HOLD_SECONDS) -> DataFrame:
     """Job events (keys, token, kind, ts, ts_us) to accepted and refused starts."""
     prepare(events.sparkSession)
     fields = [events.schema[k] for k in keys]
     schema = T.StructType(
         [*fields, T.StructField("ts_us", T.LongType()), T.StructField("token", T.LongType()), T.StructField("accepted", T.BooleanType())]
     )
-    return events.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(
-        OneAtATime(keys, hold_seconds), schema, "Append", "EventTime"
+    return events.groupBy(*keys).transformWithStateInPandas(
+        OneAtATime(keys, hold_seconds), schema, "Append", "None"
     )
 
 

@@ -79,6 +79,22 @@ def login_limits_stream(t: Tables):
     return out.select("attempt_id", "ip_ok", "allowed")
 
 
+_REFRESH = """WITH RECURSIVE e AS (SELECT event_id, user_id % 5 AS ip, epoch_us(ts) // 600 AS ts FROM events),
+a AS (SELECT ip, min(ts) AS s FROM e GROUP BY ip UNION ALL SELECT a.ip, min(e.ts) FROM a JOIN e ON e.ip = a.ip AND e.ts >= a.s + 60000000 GROUP BY a.ip, a.s)
+SELECT event_id AS attempt_id, row_number() OVER (PARTITION BY e.ip, a.s ORDER BY e.ts, event_id) <= 20 AS allowed
+FROM e JOIN a ON a.ip = e.ip AND e.ts >= a.s AND e.ts < a.s + 60000000"""
+
+
+@query("t02_refresh_limits", _REFRESH)
+def refresh_limits(t: Tables):
+    return limits.limit_refreshes(_attempts(t)).select("attempt_id", "allowed")
+
+
+@query("t02_refresh_limits_stream", _REFRESH)
+def refresh_limits_stream(t: Tables):
+    return t.spark.read.parquet(jobs.drain(jobs.limit_refreshes(_attempts(_streams(t))))).select("attempt_id", "allowed")
+
+
 # Every second event starts a job; most jobs end up to 50 minutes later.
 def _job_events(t: Tables):
     e = F.col("event_id")
@@ -116,5 +132,6 @@ def one_at_a_time_stream(t: Tables):
 @query("t04_run_lifecycle_stream", RUN_SQL)
 def run_lifecycle_stream(t: Tables):
     return jobs.drain_run_lifecycle(run_events(_streams(t))).select(
-        "run_id", "status", F.coalesce("duration_ms", F.lit(-1.0)).alias("duration_ms"), F.coalesce("error_message", F.lit("")).alias("error_message")
+        "run_id", "status", F.coalesce("duration_ms", F.lit(-1.0)).alias("duration_ms"), F.coalesce("error_message", F.lit("")).alias("error_message"),
+        F.coalesce("error_shown", F.lit("")).alias("error_shown"),
     )

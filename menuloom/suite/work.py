@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-from ..functions.text import DOCUMENT_CHARS
 from ..operators import groups, mapping, review, runs, workqueue
 from ..schema import MACROS, MICRONUTRIENTS, Record, Rule
 from ..sources import audit, upload
@@ -230,6 +229,23 @@ def approvals(t: Tables):
     return review.apply_decisions(_changes(t), _decisions(t)).approvals.select("proposed_change_id", "decision")
 
 
+@query("w02_hot_groups", """
+SELECT event_id, nullif(user_id % 3, 1) AS key, row_number() OVER w AS no, coalesce(lag(event_type) OVER w, '-') AS previous FROM events
+WINDOW w AS (PARTITION BY nullif(user_id % 3, 1) ORDER BY ts, event_id)""")
+def hot_groups(t: Tables):
+    """Every key, the null key included, takes the path of groups too large for a task."""
+    e = t.events.select("event_id", F.nullif(F.col("user_id") % 3, F.lit(1)).alias("key"), "ts", "event_type")
+    conf, name = t.spark.conf, "spark.menuloom.hotGroupRows"
+    before = conf.get(name, None)
+    conf.set(name, "200")
+    try:
+        numbered = groups.number_rows(e, ["key"], ["ts", "event_id"], "no")
+        out = groups.previous_value(numbered, ["key"], ["ts", "event_id"], "event_type", "previous")
+    finally:
+        conf.set(name, before) if before else conf.unset(name)
+    return out.select("event_id", "key", "no", F.coalesce("previous", F.lit("-")).alias("previous"))
+
+
 @query("s06_audit_of_decisions", f"""WITH {_DECIDED}
 SELECT unnest(CASE action WHEN 'reject' THEN ['proposed_change.reject'] WHEN 'approve' THEN ['proposed_change.approve'] ELSE ['proposed_change.edit', 'proposed_change.approve'] END) AS action,
   'proposed_change' AS entity_type, proposed_change_id::VARCHAR AS entity_id, 'u1@example.com' AS actor_email FROM a""")
@@ -343,13 +359,15 @@ WITH e AS (SELECT event_id // 5 AS run_id, event_id, ts, CASE WHEN event_id % 5
 x AS (SELECT run_id, min(ts) FILTER (kind = 'start') AS s, arg_max(kind, (ts, event_id)) FILTER (kind IN ('failed', 'succeeded')) AS k,
   arg_max(ts, (ts, event_id)) FILTER (kind IN ('failed', 'succeeded')) AS en, arg_max(props, (ts, event_id)) FILTER (kind IN ('failed', 'succeeded')) AS p FROM e GROUP BY 1)
 SELECT run_id, coalesce(k, 'running') AS status, coalesce((epoch_us(en) - epoch_us(s) + 5) // 10 / 100.0, -1) AS duration_ms,
-  coalesce(CASE WHEN k = 'failed' THEN substr(repeat(p, 300), 1, 2000) END, '') AS error_message FROM x"""
+  coalesce(CASE WHEN k = 'failed' THEN repeat(p, 300) END, '') AS error_message,
+  coalesce(CASE WHEN k = 'failed' THEN substr(repeat(p, 300), 1, 2000) END, '') AS error_shown FROM x"""
 
 
 @query("t04_run_lifecycle", RUN_SQL)
 def lifecycle(t: Tables):
     return runs.run_lifecycle(run_events(t)).select(
-        "run_id", "status", F.coalesce("duration_ms", F.lit(-1.0)).alias("duration_ms"), F.coalesce("error_message", F.lit("")).alias("error_message")
+        "run_id", "status", F.coalesce("duration_ms", F.lit(-1.0)).alias("duration_ms"),
+        F.coalesce("error_message", F.lit("")).alias("error_message"), F.coalesce("error_shown", F.lit("")).alias("error_shown"),
     )
 
 
@@ -372,12 +390,15 @@ def menus(t: Tables):
     return mapping.menus_in_first_seen_order(stubs)
 
 
-@query("a13_document_assembly", f"""
-SELECT source, doc_id // 1000 AS part, sha256(string_agg('[snapshot:' || doc_id || ']' || chr(10) || substr(text, 1, {DOCUMENT_CHARS}), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS content_hash,
-  count(*) AS sections FROM documents GROUP BY 1, 2""")
+@query("a13_document_assembly", "SELECT source, doc_id, sha256(text) AS text_hash, greatest(1, ceil(length(text) / 700.0))::BIGINT <= 1 AS whole FROM documents")
 def assembly(t: Tables):
-    out = mapping.assemble_documents(t.documents, "source", "doc_id", "doc_id", "text")
-    return out.select("source", "part", F.sha2("content", 256).alias("content_hash"), "sections")
+    """Every text put together again from its sections, which are short here so that most
+    texts take several."""
+    out = mapping.assemble_documents(t.documents, "source", "doc_id", "doc_id", "text", section_chars=700)
+    pieces = out.select("source", "piece", F.explode(F.split("content", mapping.SECTION_SEPARATOR)).alias("s"))
+    named = pieces.select("source", F.regexp_extract("s", r"^\[snapshot:(\d+)\]", 1).cast("long").alias("doc_id"), F.struct("piece", F.regexp_replace("s", r"^\[snapshot:\d+\]\n", "").alias("text")).alias("p"))
+    whole = named.groupBy("source", "doc_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return whole.select("source", "doc_id", F.sha2(F.array_join(F.transform("p", lambda x: x["text"]), ""), 256).alias("text_hash"), (F.size("p") <= 1).alias("whole"))
 
 
 def _extracted(t: Tables):

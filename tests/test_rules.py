@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from menuloom.operators import conform, corrections, report, rules, tree
-from menuloom.schema import DISH_RECORD, MACROS, MICRONUTRIENTS, NUTRITION, RESTAURANT_RECORD
+from menuloom.schema import Record, Rule, DISH_RECORD, MACROS, MICRONUTRIENTS, NUTRITION, RESTAURANT_RECORD
 from menuloom.suite.base import dishes as derived_dishes
 
 COLUMNS = (
@@ -117,8 +117,8 @@ def test_nested_records_and_depth(spark):
     tree_json = leaf
     for i in range(2):
         tree_json = {"name": f"level {i}", "children": [tree_json]}
-    deep = {"name": "d"}
-    for i in range(9):
+    deep = {"name": ""}
+    for i in range(10):
         deep = {"name": "d", "children": [deep]}
     rows = spark.createDataFrame(
         [("a", json.dumps({"name": "r", "menus": [{"categories": [tree_json]}]})), ("b", json.dumps({"name": "r", "menus": [{"categories": [deep]}]}))],
@@ -126,7 +126,21 @@ def test_nested_records_and_depth(spark):
     )
     got = {(r.k, r.field_path) for r in conform.schema_issues(rows, ["k"], "j", RESTAURANT_RECORD).collect()}
     assert ("a", "menus.0.categories.0.children.0.children.0.dishes.0.name") in got
-    assert {k for k, _ in got} == {"a", "b"} and any(p.count("children") > conform.MAX_DEPTH for k, p in got if k == "b")
+    assert {p for k, p in got if k == "b" and p.endswith(".name")} == {"menus.0.categories.0" + ".children.0" * 10 + ".name"}
+
+
+def test_long_chains_and_cycles(spark):
+    nodes = [(str(i), str(i - 1) if i else None) for i in range(100)] + [("p", "q"), ("q", "p"), ("below", "p")]
+    good, bad = tree.category_paths(spark.createDataFrame(nodes, "id string, parent string"), "id", "parent", F.col("id"))
+    assert {r.id: r.depth for r in good.collect()} == {str(i): i + 1 for i in range(100)}
+    assert {r.id for r in bad.collect()} == {"p", "q", "below"}
+
+
+def test_numbers_are_finite_and_boolean_words(spark):
+    record = Record((Rule("n", "decimal"), Rule("b", "bool")))
+    rows = spark.createDataFrame([(i, json.dumps({"n": n, "b": b})) for i, (n, b) in enumerate([("NaN", True), ("Infinity", "y"), ("1.5", "T"), (2, "f"), (3, "maybe")])], "k int, j string")
+    got = {(r.k, r.field_path) for r in conform.schema_issues(rows, ["k"], "j", record).collect()}
+    assert got == {(0, "n"), (1, "n"), (4, "b")}
 
 
 def test_gate(spark):
