@@ -19,6 +19,8 @@ from ..sources import snapshots as snap
 from ..sources.upload import upload_items
 
 SEED_PREFIX = "restaurant-seed:"
+# No limit where links are only listed.
+ALL_LINKS = 2**31 - 1
 DISH_KEYS = ["restaurant_id", "stub_pos", "pos"]
 STUB_FIELDS = (
     Rule("menu_name", required=True, nullable=False, min_len=1, max_len=255),
@@ -60,11 +62,51 @@ class Collected:
 
 
 def captured_pages(pages: DataFrame) -> DataFrame:
-    """The newest capture (url, html, fetched_at) of each canonical URL. It is
-    chosen on the small columns; page bodies are not aggregated."""
+    """The newest capture (page_url, html, fetched_at) of each canonical URL, of equal
+    ones the one whose digest is first. It is chosen on small columns; page bodies are
+    not aggregated."""
     known = pages.withColumn("page_url", canonical_url(F.col("url"))["url"]).filter(F.col("page_url").isNotNull())
-    newest = known.groupBy("page_url").agg(F.max(F.struct("fetched_at", "url")).alias("_n")).select("page_url", "_n.*")
-    return known.join(newest, ["page_url", "fetched_at", "url"], "left_semi").select("page_url", "html", "fetched_at")
+    known = known.withColumn("_hash", F.sha2("html", 256))
+    newest = known.groupBy("page_url").agg(F.max(F.struct("fetched_at", "url", "_hash")).alias("_n")).select("page_url", "_n.*")
+    chosen = known.join(newest, ["page_url", "fetched_at", "url", "_hash"], "left_semi")
+    # What repeats in every column is one capture.
+    return chosen.dropDuplicates(["page_url"]).select("page_url", "html", "fetched_at")
+
+
+@dataclass
+class Material:
+    """What there is to read of each restaurant: captured pages, links, documents."""
+
+    captured: DataFrame
+    links: DataFrame
+    lost_links: DataFrame
+    documents: DataFrame
+    no_page: DataFrame
+
+
+def material(sites: DataFrame, stored: DataFrame) -> Material:
+    """Root page first, then the linked pages in page order, then the nutrition page, as
+    far as they were captured and lie in the verified domain. ``sites`` has restaurant_id,
+    resolved_url and nutrition_url. Collecting and reviewing read by this one function,
+    so a review compares like with like. Links beyond the limit of a page are told."""
+    roots = sites.join(stored, F.col("resolved_url") == F.col("page_url"), "left").withColumn("domain", domain_of(F.col("resolved_url")))
+    with_page, no_page = gate(roots, "extraction", ["html"])
+    parsed = pg.parse_pages(with_page, ["restaurant_id", "domain"], "resolved_url", "html")
+    every = fixed(pg.discover_links(parsed, ["restaurant_id"], "domain", limit=ALL_LINKS))
+    links = every.filter(F.col("rank") < pg.LINKS_PER_PAGE)
+    crawled = fixed(with_page.select("restaurant_id", "resolved_url", "domain", canonical_url(F.col("nutrition_url"))["url"].alias("nutrition")))
+    wanted = (
+        crawled.select("restaurant_id", F.lit(0).alias("rank"), F.col("resolved_url").alias("page_url"))
+        .unionByName(links.select("restaurant_id", (F.col("rank") + 1).alias("rank"), canonical_url(F.col("absolute_url"))["url"].alias("page_url")))
+        .unionByName(
+            crawled.filter(F.col("nutrition").isNotNull() & pg.is_inside_domain(F.col("nutrition"), F.col("domain")))
+            .select("restaurant_id", F.lit(pg.LINKS_PER_PAGE + 1).alias("rank"), F.col("nutrition").alias("page_url"))
+        )
+        .groupBy("restaurant_id", "page_url").agg(F.min("rank").alias("rank"))
+    )
+    captured = fixed(wanted).join(stored, "page_url")
+    documents = mapping.assemble_documents(captured.withColumn("snapshot", F.sha2("html", 256)), "restaurant_id", "rank", "snapshot", "html")
+    return Material(captured, links, every.filter(F.col("rank") >= pg.LINKS_PER_PAGE), documents, no_page)
 
 
 def extract_dishes(documents: DataFrame, extractor: Extractor) -> Extraction:
@@ -124,32 +166,14 @@ def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, e
     )
 
     stored = captured_pages(pages)
-    roots = verified.select("restaurant_id", "resolved_url").join(
-        stored, F.col("resolved_url") == F.col("page_url"), "left"
-    ).withColumn("domain", domain_of(F.col("resolved_url")))
-    with_page, no_page = gate(roots, "extraction", ["html"])
-    parsed = pg.parse_pages(with_page, ["restaurant_id", "domain"], "resolved_url", "html")
-    links = fixed(pg.discover_links(parsed, ["restaurant_id"], "domain"))
-    crawled = fixed(with_page.select("restaurant_id", "resolved_url"))
-
-    # Root first, then links in page order, then the nutrition page.
-    wanted = fixed(
-        crawled.select("restaurant_id", F.lit(0).alias("rank"), F.col("resolved_url").alias("page_url"))
-        .unionByName(links.select("restaurant_id", (F.col("rank") + 1).alias("rank"), canonical_url(F.col("absolute_url"))["url"].alias("page_url")))
-        .unionByName(
-            verified.join(crawled.select("restaurant_id"), "restaurant_id", "left_semi").select("restaurant_id", F.lit(pg.LINKS_PER_PAGE + 1).alias("rank"), canonical_url(F.col("nutrition_url"))["url"].alias("page_url"))
-        )
-        .groupBy("restaurant_id", "page_url").agg(F.min("rank").alias("rank"))
-    )
-    captured = wanted.join(stored, "page_url")
+    read = material(verified.select("restaurant_id", "resolved_url", "nutrition_url"), stored)
+    links, no_page, captured, documents = read.links, read.no_page, read.captured, read.documents
     snapshots = snap.with_snapshot_id(
         snap.capture(captured, "restaurant_id", "html", F.lit("html"), ["rank", "page_url", "fetched_at"])
     )
-    texts = captured.withColumn("snapshot", F.sha2("html", 256))
-    documents = mapping.assemble_documents(texts, "restaurant_id", "rank", "snapshot", "html")
     extraction = extract_dishes(documents, extractor)
 
-    restaurants = crawled.select("restaurant_id")
+    restaurants = fixed(captured.filter("rank = 0").select("restaurant_id"))
     menus = extraction.dishes.select("restaurant_id", "menu_name").distinct()
     no_locations = restaurants.limit(0)
     outcome = report.run_rules(restaurants, no_locations, menus, extraction.dishes)
@@ -181,8 +205,11 @@ def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, e
     bad_rows = extraction.issues.select(
         "restaurant_id", F.lit("multimodal_translation").alias("stage"), F.concat_ws(" ", "field_path", "message").alias("error_message")
     )
+    too_many = read.lost_links.groupBy("restaurant_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "restaurant_id", F.lit("discovery").alias("stage"), F.format_string("%d link(s) beyond the first %d not followed", F.col("n"), F.lit(pg.LINKS_PER_PAGE)).alias("error_message"),
+    )
     errors = bad_uploads
-    for e in (unresolved, no_page.select("restaurant_id", "stage", "error_message"), bad_rows, invalid):
+    for e in (too_many, unresolved, no_page.select("restaurant_id", "stage", "error_message"), bad_rows, invalid):
         errors = errors.unionByName(e)
     return Collected(
         queue, resolved, authority.verified_source_rows(resolved, F.current_timestamp()), snapshots, links,

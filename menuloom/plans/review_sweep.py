@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.ids import uuid5_url
 from ..session import reliable_checkpoint as fixed
 from ..operators import authority, delta, mapping, report, review, workqueue
-from .collect import Extractor, captured_pages, extract_dishes
+from .collect import Extractor, captured_pages, extract_dishes, material
 
 NATURAL_KEY = ["restaurant_id", "menu_name", "category_name", "name_key", "occurrence"]
 DIFF_FIELDS = ["name", "description", "image_url", "nutrition", "allergens", "ingredients", "quantity", "price", "currency"]
@@ -35,33 +35,42 @@ def review_sweep(
     live: DataFrame, live_dishes: DataFrame, sources: DataFrame, hints: DataFrame, snapshots: DataFrame,
     running: DataFrame, pages: DataFrame, existing_changes: DataFrame, extractor: Extractor,
 ) -> Reviewed:
-    """``live`` are published restaurants (restaurant_id), ``snapshots`` earlier
-    captures per restaurant (source_id, id, fetched_at, content_type,
-    content_hash), ``pages`` fresh captures (url, html, fetched_at). The hash gate
-    is a filter before the extractor, so unchanged pages never reach Python."""
+    """``live`` are published restaurants (restaurant_id, and nutrition_url if known),
+    ``snapshots`` earlier captures per restaurant (source_id, id, fetched_at, content_type,
+    content_hash, and page_url if linked pages were kept too; without it a row is of the
+    root page), ``pages`` fresh captures (url, html, fetched_at). Root, linked and nutrition
+    pages are read just as when the restaurant was collected. The hash gate is a filter
+    before the extractor, so restaurants none of whose pages changed never reach Python."""
     due = workqueue.due_entities(live, running)
     current = fixed(authority.current_source(due, sources, hints))
     no_source = current.filter(F.col("url").isNull()).select(
         "restaurant_id", F.lit("temporal_hash_polling").alias("stage"), F.lit("no verified active source found").alias("error_message")
     )
-    polled = current.filter(F.col("url").isNotNull()).join(
-        captured_pages(pages), F.col("url") == F.col("page_url"), "left"
+    nutrition = live.select("restaurant_id", "nutrition_url" if "nutrition_url" in live.columns else F.lit(None).cast("string").alias("nutrition_url"))
+    sites = current.filter(F.col("url").isNotNull()).select("restaurant_id", F.col("url").alias("resolved_url")).join(nutrition, "restaurant_id", "left")
+    read = material(sites, captured_pages(pages))
+    failed = read.no_page.select(
+        "restaurant_id", F.lit("temporal_hash_polling").alias("stage"), F.concat(F.lit("failed to re-fetch "), "resolved_url").alias("error_message")
     )
-    failed = polled.filter(F.col("html").isNull()).select(
-        "restaurant_id", F.lit("temporal_hash_polling").alias("stage"), F.concat(F.lit("failed to re-fetch "), "url").alias("error_message")
-    )
-    known = authority.latest_snapshot(snapshots).select(F.col("source_id").alias("restaurant_id"), F.col("content_hash").alias("previous_hash"))
-    gate = (
-        polled.filter(F.col("html").isNotNull())
-        .withColumn("content_hash", F.sha2("html", 256))
-        .join(known, "restaurant_id", "left")
-        .withColumn("changed", ~F.col("content_hash").eqNullSafe(F.col("previous_hash")))
-    )
-    documents = mapping.assemble_documents(
-        gate.filter("changed").withColumn("rank", F.lit(0)), "restaurant_id", "rank", "content_hash", "html"
+    hashes = fixed(read.captured.select("restaurant_id", "rank", "page_url", F.sha2("html", 256).alias("content_hash")))
+    by_page = "page_url" in snapshots.columns
+    place = ["restaurant_id", "known_page"]
+    known = authority.latest_snapshot(snapshots.withColumn("source_id", F.struct("source_id", F.col("page_url") if by_page else F.lit(None).cast("string").alias("page_url"))))
+    known = known.select(F.col("source_id.source_id").alias("restaurant_id"), F.coalesce("source_id.page_url", F.lit("")).alias("known_page"), F.col("content_hash").alias("previous_hash"))
+    # The root page is known under its address or, where none was kept, as the root.
+    root_hashes = known.withColumnsRenamed({"previous_hash": "root_hash"}).filter("known_page = ''").drop("known_page")
+    compared = hashes.withColumn("known_page", F.col("page_url")).join(known, place, "left").join(root_hashes, "restaurant_id", "left")
+    previous = F.coalesce("previous_hash", F.when(F.col("rank") == 0, F.col("root_hash")))
+    other = ~F.col("content_hash").eqNullSafe(previous) & ((F.col("rank") == 0) | F.lit(by_page))
+    at_root = lambda c: F.max(F.when(F.col("rank") == 0, c))
+    gate = compared.groupBy("restaurant_id").agg(
+        at_root(previous).alias("previous_hash"), at_root(F.col("content_hash")).alias("content_hash"), F.bool_or(other).alias("changed"),
+        # At most a root, ten links and a nutrition page.
+        F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "page_url", "content_hash"))), "\n"), 256).alias("material_hash"),
     )
+    verdicts = fixed(gate)
+    documents = read.documents.join(verdicts.filter("changed").select("restaurant_id"), "restaurant_id", "left_semi")
     extraction = extract_dishes(documents, extractor)
-    verdicts = fixed(gate.select("restaurant_id", "previous_hash", "content_hash", "changed"))
     checked = verdicts.filter("changed").select("restaurant_id")
     fresh = extraction.dishes
     live_of_checked = live_dishes.join(checked, "restaurant_id", "left_semi")
@@ -78,15 +87,15 @@ def review_sweep(
     reports = delta.scoped_report(checked, outcome.issues, touched, "restaurant_id", ["restaurant_id", "dish_id"])
     sizes = changes.groupBy("restaurant_id").agg(F.count(F.lit(1)).alias("changes"))
     batch = (
-        reports.join(sizes, "restaurant_id", "left").join(verdicts.select("restaurant_id", "content_hash"), "restaurant_id")
+        reports.join(sizes, "restaurant_id", "left").join(verdicts.select("restaurant_id", "material_hash"), "restaurant_id")
         .select(
-            uuid5_url(F.concat_ws(":", F.lit("review"), "restaurant_id", "content_hash")).alias("id"),
+            uuid5_url(F.concat_ws(":", F.lit("review"), "restaurant_id", "material_hash")).alias("id"),
             F.lit("restaurant").alias("entity_type"),
             F.col("restaurant_id").alias("entity_id"),
             F.to_json(F.struct(F.coalesce("changes", F.lit(0)).alias("changes"))).alias("structured_json"),
             F.to_json(F.struct("is_valid", "errors", "warnings", "reported_issues")).alias("validation_result"),
             F.lit("pending").alias("status"),
-            F.concat_ws(":", F.lit("review"), "restaurant_id", "content_hash").alias("thread_id"),
+            F.concat_ws(":", F.lit("review"), "restaurant_id", "material_hash").alias("thread_id"),
             F.lit(0).cast("long").alias("pos"),
         )
     )

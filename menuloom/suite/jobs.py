@@ -11,9 +11,9 @@ from ..functions.urls import canonical_url
 from ..operators import delta as deltas
 from ..plans import collect as c, decide, operations, review_sweep
 from ..schema import MACROS, MICRONUTRIENTS
-from .base import Tables, query
+from .base import SQL, Tables, query
 from .catalog import _restaurants
-from .work import _DECIDED, _ERRORS, _changes, _decisions, _jobs, _outcomes, run_events
+from .work import _CHANGES, _DECIDED, _ERRORS, _changes, _decisions, _jobs, _outcomes, run_events
 
 _TEXT = re.compile(r'<a href="[^"]*">([^<]+)</a>')
 _EMPTY = {"serving_size": None, "macros": dict.fromkeys(MACROS), "micronutrients": dict.fromkeys(MICRONUTRIENTS)}
@@ -21,12 +21,12 @@ _EMPTY = {"serving_size": None, "macros": dict.fromkeys(MACROS), "micronutrients
 
 def link_text_extractor(pdf: pd.DataFrame) -> pd.DataFrame:
     """A deterministic extractor: every link text of the material is a dish, its
-    length the price; texts of a page alternate between two categories."""
+    length the price; odd and even lengths are two categories."""
     rows = []
     for restaurant, content in zip(pdf["restaurant_id"], pdf["content"]):
         for i, name in enumerate(_TEXT.findall(content)):
             rows.append({
-                "restaurant_id": restaurant, "stub_pos": i % 2, "pos": i, "menu_name": "Menu", "category_name": f"Part {i % 2}",
+                "restaurant_id": restaurant, "stub_pos": len(name) % 2, "pos": i, "menu_name": "Menu", "category_name": f"Part {len(name) % 2}",
                 "name": name, "description": None, "image_url": None, "nutrition": _EMPTY, "allergens": [], "ingredient_names": [name, " "],
                 "quantity": None, "price": float(len(name)), "currency": None, "confidence": 0.5,
                 "source_snapshot_ids": [content[10:74]],
@@ -68,20 +68,26 @@ def collect_staged(t: Tables):
     return staged.select(F.get_json_object("structured_json", "$.name").alias("name"), "status")
 
 
-def sweep(t: Tables):
-    """Live: what an earlier capture of each page gave; fresh: pages of which every
-    third gained a link."""
+def _sweep(t: Tables, pages, linked):
+    """Live: what an earlier capture of each site gave; fresh: the same pages, of which the
+    root of every third site gained a link. ``pages`` are roots (page_id, url, html), ``linked``
+    pages below them (url, html)."""
     k = F.col("page_id")
-    page = _sites(t).select(k, k.cast("string").alias("restaurant_id"), canonical_url(F.col("url"))["url"].alias("url"), "html")
-    live_docs = page.select("restaurant_id", F.concat(F.lit("[snapshot:"), F.sha2("html", 256), F.lit("]\n"), "html").alias("content"))
-    live_dishes = c.extract_dishes(live_docs, link_text_extractor).dishes
+    page = pages.select(k, k.cast("string").alias("restaurant_id"), canonical_url(F.col("url"))["url"].alias("url"), "html")
+    before = page.select("url", "html").unionByName(linked).withColumn("fetched_at", F.timestamp_seconds(F.lit(0)))
+    sites = page.select("restaurant_id", F.col("url").alias("resolved_url"), F.lit(None).cast("string").alias("nutrition_url"))
+    read = c.material(sites, c.captured_pages(before))
+    live_dishes = c.extract_dishes(read.documents, link_text_extractor).dishes
     sources = page.select(
         F.col("restaurant_id").alias("id"), "restaurant_id", F.lit("restaurant_website").alias("source_type"), "url", F.lit(True).alias("is_verified_domain"), k.alias("created_at"),
     )
-    snapshots = page.select(F.col("restaurant_id").alias("source_id"), k.alias("id"), k.alias("fetched_at"), F.lit("html").alias("content_type"), F.sha2("html", 256).alias("content_hash"))
-    fresh = page.select(
-        "url", F.when(k % 3 == 0, F.concat("html", F.lit('<a href="/new">Brand new dish</a>'))).otherwise(F.col("html")).alias("html"), F.timestamp_seconds(k).alias("fetched_at")
+    snapshots = read.captured.select(
+        F.col("restaurant_id").alias("source_id"), F.col("rank").cast("long").alias("id"), F.lit(0).cast("long").alias("fetched_at"), F.lit("html").alias("content_type"),
+        F.sha2("html", 256).alias("content_hash"), "page_url",
     )
+    fresh = page.select(
+        "url", F.when(k % 3 == 0, F.concat("html", F.lit('<a href="/new">Brand new dish</a>'))).otherwise(F.col("html")).alias("html"),
+    ).unionByName(linked).withColumn("fetched_at", F.timestamp_seconds(F.lit(1)))
     running = page.filter(k % 10 == 9).select("restaurant_id")
     hints = page.limit(0).select("restaurant_id", "url", F.lit(True).alias("is_verified_domain"))
     return review_sweep.review_sweep(
@@ -89,14 +95,37 @@ def sweep(t: Tables):
     )
 
 
-@query("b02_review_delta", """
-SELECT page_id::VARCHAR AS restaurant_id, 'brand new dish' AS name_key, 'added' AS op FROM pages WHERE page_id % 3 = 0 AND page_id % 10 <> 9
--- material beyond 20 000 characters is not read, as in the job
-  AND length(html) + 33 <= 20000""")
+def sweep(t: Tables):
+    return _sweep(t, _sites(t), t.pages.limit(0).select("url", "html"))
+
+
+_NEW_DISH = "SELECT page_id::VARCHAR AS restaurant_id, 'brand new dish' AS name_key, 'added' AS op FROM pages WHERE page_id % 3 = 0 AND page_id % 10 <> 9"
+
+
+@query("b02_review_delta", _NEW_DISH)
 def review_delta(t: Tables):
     return sweep(t).delta.select("restaurant_id", "name_key", "op")
 
 
+@query("b02_review_gate", """
+SELECT page_id::VARCHAR AS restaurant_id, sha256(html) AS previous_hash,
+  sha256(html || CASE WHEN page_id % 3 = 0 THEN '<a href="/new">Brand new dish</a>' ELSE '' END) AS content_hash, page_id % 3 = 0 AS changed
+FROM pages WHERE page_id % 10 <> 9""")
+def review_gate(t: Tables):
+    return sweep(t).gate.select("restaurant_id", "previous_hash", "content_hash", "changed")
+
+
+@query("b02_review_linked_pages", _NEW_DISH + " AND page_id % 2 = 0")
+def review_linked_pages(t: Tables):
+    """Even pages are roots that link to the page after them: no dish of a linked page is
+    taken for removed when only the root changed."""
+    k = F.col("page_id")
+    site = lambda n: F.concat(F.lit("https://site"), n.cast("string"), F.lit(".example.org/"))
+    roots = t.pages.filter(k % 2 == 0).select(k, site(k).alias("url"), F.concat("html", F.lit('<a href="/menu">Whole menu</a>')).alias("html"))
+    linked = t.pages.filter(k % 2 == 1).select(F.concat(site(k - 1), F.lit("menu")).alias("url"), "html")
+    return _sweep(t, roots, linked).delta.select("restaurant_id", "name_key", "op")
+
+
 def published(t: Tables):
     lines = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), "l_partkey", "l_suppkey", F.col("l_quantity").alias("qty"))
     rows = lines.join(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity_id")), "id")
@@ -132,13 +161,37 @@ def published_dishes(t: Tables):
     return published(t).dishes.groupBy("entity_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("qty").alias("qty"))
 
 
-@query("b04_operations_report", """
-WITH e AS (SELECT event_id // 5 AS run_id, event_id, ts, CASE WHEN event_id % 5 = 0 THEN 'start' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'succeeded' ELSE 'note' END AS kind FROM events),
-x AS (SELECT run_id, coalesce(arg_max(kind, (ts, event_id)) FILTER (kind IN ('failed', 'succeeded')), 'running') AS status FROM e GROUP BY 1)
-SELECT status, count(*) AS runs FROM x GROUP BY 1""")
-def operations_report(t: Tables):
+_RUN_STATES = """WITH e AS (SELECT event_id // 5 AS run_id, event_id, ts, CASE WHEN event_id % 5 = 0 THEN 'start' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'succeeded' ELSE 'note' END AS kind FROM events),
+x AS (SELECT run_id, coalesce(arg_max(kind, (ts, event_id)) FILTER (kind IN ('failed', 'succeeded')), 'running') AS status FROM e GROUP BY 1)"""
+
+
+def _report(t: Tables):
     restaurants = _restaurants(t)
     lines = t.lineitem.select(F.col("l_orderkey").alias("restaurant_id"), F.col("l_returnflag").alias("city"), F.struct("l_linenumber", "l_partkey").alias("location_id"))
     updates = t.events.select(F.floor(F.col("event_id") / 5).cast("long").alias("run_id"), F.col("event_id").alias("seq"), F.create_map(F.lit("node"), F.col("event_type")).alias("metrics"))
-    out = operations.operations_report(restaurants, lines, lines, _changes(t), run_events(t), updates, _jobs(t))
-    return out.run_outcomes.select("status", "runs")
+    return operations.operations_report(restaurants, lines, lines, _changes(t), run_events(t), updates, _jobs(t))
+
+
+@query("b04_operations_report", f"""{_RUN_STATES}
+SELECT status, count(*) AS runs FROM x GROUP BY 1""")
+def run_outcomes(t: Tables):
+    return _report(t).run_outcomes.select("status", "runs")
+
+
+@query("b04_dead_letters", SQL["a08_dead_letter_sweep"])
+def dead_letters(t: Tables):
+    return _report(t).dead_letters
+
+
+@query("b04_counters", f"""{_RUN_STATES}, {_CHANGES.removeprefix("WITH ")}
+SELECT (SELECT count(*) FROM orders) AS published, (SELECT count(*) FROM ch WHERE status = 'pending') AS pending_reviews,
+ count(*) FILTER (status = 'running') AS running_runs, count(*) FILTER (status = 'failed') AS failed_runs FROM x""")
+def report_counters(t: Tables):
+    return _report(t).counters
+
+
+@query("b04_newest_restaurants", """
+WITH p AS (SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20)
+SELECT o_orderkey AS restaurant_id, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS menu_item_count, (SELECT count(*) FROM orders) AS total FROM p""")
+def newest_restaurants(t: Tables):
+    return _report(t).newest.select("restaurant_id", "menu_item_count", "total")

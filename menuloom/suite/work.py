@@ -248,11 +248,11 @@ def hot_groups(t: Tables):
 
 @query("s06_audit_of_decisions", f"""WITH {_DECIDED}
 SELECT unnest(CASE action WHEN 'reject' THEN ['proposed_change.reject'] WHEN 'approve' THEN ['proposed_change.approve'] ELSE ['proposed_change.edit', 'proposed_change.approve'] END) AS action,
-  'proposed_change' AS entity_type, proposed_change_id::VARCHAR AS entity_id, 'u1@example.com' AS actor_email FROM a""")
+  'proposed_change' AS entity_type, proposed_change_id::VARCHAR AS entity_id, 'u1' AS actor_id, 'u1@example.com' AS actor_email, NULL::VARCHAR AS old_values, NULL::VARCHAR AS agent_run_id FROM a""")
 def audit_rows(t: Tables):
     events = review.apply_decisions(_changes(t), _decisions(t)).audit
     actors = t.spark.createDataFrame([("u1", "u1@example.com")], "actor_id string, actor_email string")
-    return audit.audit_rows(events, actors).select("action", "entity_type", "entity_id", "actor_email")
+    return audit.audit_rows(events, actors).select("action", "entity_type", "entity_id", "actor_id", "actor_email", "old_values", "agent_run_id")
 
 
 @query("w09_latest_decision", """
