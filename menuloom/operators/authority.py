@@ -149,9 +149,9 @@ def resolve_sources(
         )
         .withColumn(
             "reason",
-            F.when(F.col("status") == "not_found", "Provider returned no candidates")
-            .when(F.col("status") == "rejected", "All candidates were rejected (aggregator or invalid domain)")
-            .when(F.col("status") == "needs_review", "Best candidate is below the auto-verify confidence threshold"),
+            F.when(F.col("status") == "not_found", "no_candidates")
+            .when(F.col("status") == "rejected", "all_rejected")
+            .when(F.col("status") == "needs_review", "low_confidence"),
         )
     )
 
@@ -186,9 +186,10 @@ def latest_snapshot(snapshots: DataFrame, content_type: str | None = None) -> Da
 
 
 def current_source(entities: DataFrame, sources: DataFrame, hints: DataFrame, entity: str = "restaurant_id") -> DataFrame:
-    """The verified website on record; else the caller's hint if that is verified."""
+    """The verified website on record; else the caller's hint if that is verified. Of
+    several such hints the first address counts, so an entity stays one row."""
     stored = latest_verified_website(sources, entity).select(entity, F.col("url").alias("_stored"))
-    hinted = hints.filter(F.col("is_verified_domain")).select(entity, F.col("url").alias("_hint"))
+    hinted = hints.filter(F.col("is_verified_domain")).groupBy(entity).agg(F.min("url").alias("_hint"))
     return (
         entities.select(entity).join(stored, entity, "left").join(hinted, entity, "left")
         .select(

@@ -10,12 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.let import let
 from ..functions.text import collapse_space, normalize_name
 
-# Reasons.
-REASONS = {
-    "currency": "Normalized currency code casing to uppercase ISO 4217.",
-    "description": "Collapsed redundant whitespace.",
-    "ingredients": "Removed exact-duplicate ingredient entries.",
-}
+REASONS = {"currency": "upper_case_code", "description": "single_spaces", "ingredients": "repeated_ingredient"}
 
 
 def correct_currency(c: Column) -> Column:

@@ -27,26 +27,27 @@ def decide_and_publish(
     target_dishes: DataFrame, delta: DataFrame, keys: list[str],
 ) -> Published:
     """``outcomes`` is the re-validation per change (id, errors); ``target_dishes``
-    and ``delta`` carry ``entity_id``. First publications bring all rows of their
-    entity; reviews touch only the rows their delta names."""
+    carries ``entity_id``, ``delta`` also the ``change_id`` it belongs to. First publications
+    bring all rows of their entity; reviews touch only the rows that their own delta
+    names, so another pending change of the entity stays pending."""
     decided = review.apply_decisions(changes, decisions)
     judged = review.with_workflow(decided.changes, runs).join(
         decided.approvals.select(F.col("proposed_change_id").alias("id")), "id", "left_semi"
     ).filter(F.col("status") == "approved")
     already = changes.filter(F.col("status") == "published").select("id", "entity_id")
-    has_delta = delta.select("entity_id").distinct().withColumn("delta", F.lit("given"))
+    has_delta = delta.select(F.col("change_id").alias("id")).distinct().withColumn("delta", F.lit("given"))
     first, refused_first = review.collector_gate(
         judged.filter(F.col("workflow_type") != "reviewer_workflow"), outcomes, already, order="id"
     )
     patches, refused_patches = review.reviewer_gate(
-        judged.filter(F.col("workflow_type") == "reviewer_workflow").join(has_delta, "entity_id", "left"),
+        judged.filter(F.col("workflow_type") == "reviewer_workflow").join(has_delta, "id", "left"),
         outcomes, live_dishes.select("entity_id"),
     )
     first, patches = fixed(first.select("id", "entity_id")), fixed(patches.select("id", "entity_id"))
     replaced = first.select("entity_id")
     published = first.unionByName(patches)
     new_rows = target_dishes.join(replaced, "entity_id", "left_semi")
-    patch_delta = delta.join(patches.select("entity_id"), "entity_id", "left_semi")
+    patch_delta = delta.join(patches.select(F.col("id").alias("change_id")), "change_id", "left_semi").drop("change_id")
     patched = deltas.patch_rows(live_dishes, target_dishes, patch_delta, ["entity_id", *keys])
     final = review.apply_decisions(changes, decisions, published)
     publish_events = published.select(

@@ -59,8 +59,8 @@ def unknown_entries(rows: DataFrame) -> DataFrame:
 
 def append_audit(rows: DataFrame, path: str) -> None:
     """Entries are only ever added; days are partitions, so recent ones are found
-    without reading the rest."""
-    rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+    without reading the rest. Rows are gathered by day, large days over several tasks."""
+    rows.withColumn("day", F.to_date("created_at")).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:

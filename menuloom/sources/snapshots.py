@@ -35,7 +35,7 @@ def with_snapshot_id(snapshots: DataFrame) -> DataFrame:
 
 
 def append_snapshots(snapshots: DataFrame, path: str) -> None:
-    snapshots.withColumn("fetched_on", F.to_date("fetched_at")).write.mode("append").partitionBy("fetched_on").parquet(path)
+    snapshots.withColumn("fetched_on", F.to_date("fetched_at")).hint("rebalance", "fetched_on").write.mode("append").partitionBy("fetched_on").parquet(path)
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,10 @@ def _pointer(root: str) -> str:
 def current_version(spark: SparkSession, root: str) -> int | None:
     try:
         rows = spark.read.parquet(_pointer(root))
-    except AnalysisException:
+    except AnalysisException as missing:
+        # Any other trouble must not look like an empty catalog.
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return rows.agg(F.max("version")).first()[0]
 
@@ -32,10 +35,11 @@ def read_version(spark: SparkSession, root: str, table: str, version: int | None
 
 
 def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame]) -> int:
-    """Write all tables as the next version and make it current."""
+    """Write all tables as the next version and make it current. A folder that is already
+    there is never written over: it may be another publisher's."""
     version = (current_version(spark, root) or 0) + 1
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/v={version}/{name}")
+        df.write.mode("error").parquet(f"{root.rstrip('/')}/v={version}/{name}")
     spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode(
         "append"
     ).parquet(_pointer(root))

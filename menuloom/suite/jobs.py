@@ -132,7 +132,8 @@ def published(t: Tables):
     target = rows.groupBy("entity_id", "id", "line", "l_partkey", "l_suppkey").agg(F.min("qty").alias("qty"))
     live = target.filter(F.col("entity_id") % 2 == 0).withColumn("qty", F.when(F.col("l_partkey") % 4 == 0, F.col("qty") + 1).otherwise(F.col("qty")))
     keys = ["id", "line", "l_partkey", "l_suppkey"]
-    changed = deltas.table_diff(live, target.filter(F.col("entity_id") % 2 == 0), ["entity_id", *keys], ["qty"])
+    # What differs in the lines of an order is the delta of that order's change.
+    changed = deltas.table_diff(live, target.filter(F.col("entity_id") % 2 == 0), ["entity_id", *keys], ["qty"]).withColumn("change_id", F.col("id"))
     runs = t.nation.select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") % 2 == 1, "reviewer_workflow").otherwise("collector_workflow").alias("workflow_type"))
     return decide.decide_and_publish(_changes(t), _decisions(t), runs, _outcomes(t), live, target, changed, keys)
 
@@ -143,7 +144,7 @@ ok AS (SELECT ch.id, ch.entity_id, agent_run_id < 25 AND agent_run_id % 2 = 1 AS
   WHERE decision = 'approved' AND coalesce(errors, 0) = 0),
 firsts AS (SELECT min(id) AS id, entity_id FROM ok WHERE NOT reviewer
   AND NOT EXISTS (SELECT 1 FROM ch p WHERE p.status = 'published' AND p.entity_id = ok.entity_id AND p.id <> ok.id) GROUP BY entity_id),
-patches AS (SELECT id, entity_id FROM ok WHERE reviewer AND entity_id IN (SELECT entity_id FROM tg WHERE entity_id % 2 = 0 AND l_partkey % 4 = 0)),
+patches AS (SELECT id, entity_id FROM ok WHERE reviewer AND id IN (SELECT id FROM tg WHERE entity_id % 2 = 0 AND l_partkey % 4 = 0)),
 pub AS (SELECT id FROM firsts UNION ALL SELECT id FROM patches)"""
 
 
@@ -155,10 +156,10 @@ def decided(t: Tables):
 
 
 @query("b03_published_dishes", f"""WITH {_PUBLISHED}
-SELECT entity_id, count(*) AS rows, sum(CASE WHEN entity_id IN (SELECT entity_id FROM firsts) OR entity_id IN (SELECT entity_id FROM patches) OR l_partkey % 4 <> 0
-  THEN qty ELSE qty + 1 END) AS qty FROM tg WHERE entity_id % 2 = 0 OR entity_id IN (SELECT entity_id FROM firsts) GROUP BY 1""")
+SELECT entity_id, id, line, l_partkey, l_suppkey, CASE WHEN entity_id IN (SELECT entity_id FROM firsts) OR id IN (SELECT id FROM patches) OR l_partkey % 4 <> 0
+  THEN qty ELSE qty + 1 END AS qty FROM tg WHERE entity_id % 2 = 0 OR entity_id IN (SELECT entity_id FROM firsts)""")
 def published_dishes(t: Tables):
-    return published(t).dishes.groupBy("entity_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("qty").alias("qty"))
+    return published(t).dishes.select("entity_id", "id", "line", "l_partkey", "l_suppkey", "qty")
 
 
 _RUN_STATES = """WITH e AS (SELECT event_id // 5 AS run_id, event_id, ts, CASE WHEN event_id % 5 = 0 THEN 'start' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'succeeded' ELSE 'note' END AS kind FROM events),

@@ -143,8 +143,8 @@ j AS (SELECT e.restaurant_id, any_value(r.restaurant_id) IS NOT NULL AS seen, ma
   FROM e LEFT JOIN r USING (restaurant_id) LEFT JOIN w USING (restaurant_id) GROUP BY 1)
 SELECT restaurant_id, CASE WHEN NOT seen THEN 'not_found' WHEN p IS NULL THEN 'rejected' WHEN p >= 75 THEN 'verified' ELSE 'needs_review' END AS status,
   CASE WHEN p >= 75 THEN 'high' WHEN p >= 50 THEN 'medium' WHEN p IS NOT NULL THEN 'low' END AS confidence, resolved_url, rejected_candidates,
-  CASE WHEN NOT seen THEN 'Provider returned no candidates' WHEN p IS NULL THEN 'All candidates were rejected (aggregator or invalid domain)'
-    WHEN p < 75 THEN 'Best candidate is below the auto-verify confidence threshold' END AS reason FROM j""")
+  CASE WHEN NOT seen THEN 'no_candidates' WHEN p IS NULL THEN 'all_rejected'
+    WHEN p < 75 THEN 'low_confidence' END AS reason FROM j""")
 def resolution(t: Tables):
     ids = t.pages.select(F.floor(k() / 4).cast("long").alias("restaurant_id"))
     unknown = t.pages.select((F.lit(-1) - F.floor(k() / 8)).cast("long").alias("restaurant_id"))
