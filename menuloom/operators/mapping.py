@@ -53,22 +53,25 @@ def extract(
 ) -> tuple[DataFrame, DataFrame]:
     """Run a caller's extractor over the assembled documents, one at a time, and check
     what it returns against the closed schema: (conforming rows, violations).
-    ``schema`` has the key columns and the record's fields; the last key is a position
-    within the document, and rows are known by it together with the document's part
-    and piece. The extractor is costly and need not repeat its answers, so its rows
-    are fixed in the shared folder: it runs once."""
-    placed = T.StructType([*schema.fields, T.StructField("part", T.LongType()), T.StructField("piece", T.IntegerType())])
+    ``schema`` has the key columns and the record's fields. Of documents in parts and
+    pieces the last key is a position within one of them; it is numbered through, so that
+    it is unique again. The extractor is costly and need not repeat its answers, so
+    its rows are fixed in the shared folder: it runs once."""
+    in_parts = {"part", "piece"} <= set(documents.columns)
+    extra = [T.StructField("part", T.LongType()), T.StructField("piece", T.IntegerType())] if in_parts else []
+    placed = T.StructType([*schema.fields, *extra])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(len(pdf)):
                 one = pdf.iloc[[i]].reset_index(drop=True)
-                yield fn(one).assign(part=one["part"][0], piece=one["piece"][0])
+                yield fn(one).assign(**{f.name: one[f.name][0] for f in extra})
 
-    raw = reliable_checkpoint(documents.mapInPandas(run, placed))
-    group, pos = list(keys[:-1]), keys[-1]
-    rows = number_rows(raw, group, ["part", "piece", pos], "_no").withColumn(pos, (F.col("_no") - 1).cast(schema[pos].dataType)).drop("_no", "part", "piece")
-    rows = reliable_checkpoint(rows)
+    rows = reliable_checkpoint(documents.mapInPandas(run, placed))
+    if in_parts:
+        group, pos = list(keys[:-1]), keys[-1]
+        rows = number_rows(rows, group, ["part", "piece", pos], "_no").withColumn(pos, (F.col("_no") - 1).cast(schema[pos].dataType))
+        rows = reliable_checkpoint(rows.drop("_no", "part", "piece"))
     fields = [f.name for f in schema.fields if f.name not in keys]
     with_json = rows.withColumn("_json", F.to_json(F.struct(*fields)))
     issues = flat_schema_issues(with_json, list(keys), "_json", record)

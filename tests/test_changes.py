@@ -167,10 +167,22 @@ def test_metrics_runs_and_mean(spark):
 
 def test_documents_in_parts_are_whole(spark):
     docs = spark.range(25).select(F.lit("s").alias("source"), F.col("id"), F.repeat(F.col("id").cast("string"), 15000).alias("text"))
-    parts = mapping.assemble_documents(docs, "source", "id", "id", "text", part_positions=10).orderBy("part").collect()
-    assert [p.sections for p in parts] == [10, 10, 5]
-    want = mapping.SECTION_SEPARATOR.join(f"[snapshot:{i}]\n{(str(i) * 15000)[:20000]}" for i in range(25))
-    assert mapping.SECTION_SEPARATOR.join(p.content for p in parts) == want
+    parts = mapping.assemble_documents(docs, "source", "id", "id", "text", part_positions=10).orderBy("part", "piece").collect()
+    # Numbers of two digits make texts of 30 000 characters, which take two sections.
+    assert [(p.part, p.piece, p.sections) for p in parts] == [(0, 0, 10), (1, 0, 10), (1, 1, 10), (2, 0, 5), (2, 1, 5)]
+    found = {}
+    for p in parts:
+        for section in p.content.split(mapping.SECTION_SEPARATOR):
+            head, _, text = section.partition("\n")
+            assert len(text) <= 20_000
+            found[head] = found.get(head, "") + text
+    assert found == {f"[snapshot:{i}]": str(i) * 15000 for i in range(25)}
+
+
+def test_sections_end_before_tags_and_lines(spark):
+    text = "<li>one</li><li>two</li>\nthree " + "x" * 30
+    row = spark.createDataFrame([(text,)], "t string").select(mapping.sections(F.col("t"), 16).alias("s")).first()
+    assert "".join(row.s) == text and row.s[:3] == ["<li>one</li>", "<li>two</li>", "\nthree xxxxxxxxx"]
 
 
 def test_mapped_dish(spark):

@@ -103,4 +103,4 @@ def test_run_lifecycle(spark, tmp_path):
     twin = runs.run_lifecycle(events)
     out = jobs.drain_run_lifecycle(stream(spark, tmp_path, events, 3))
     same(out.na.fill(""), twin.na.fill(""), "run_id", "status", F.coalesce("duration_ms", F.lit(-1.0)), "error_message")
-    assert twin.agg(F.max(F.length("error_message"))).first()[0] == 2000
+    assert tuple(twin.agg(F.max(F.length("error_message")), F.max(F.length("error_shown"))).first()) == (3000, 2000)
