@@ -104,3 +104,17 @@ def test_run_lifecycle(spark, tmp_path):
     out = jobs.drain_run_lifecycle(stream(spark, tmp_path, events, 3))
     same(out.na.fill(""), twin.na.fill(""), "run_id", "status", F.coalesce("duration_ms", F.lit(-1.0)), "error_message")
     assert tuple(twin.agg(F.max(F.length("error_message")), F.max(F.length("error_shown"))).first()) == (3000, 2000)
+
+
+def test_late_attempts_get_a_verdict(spark, tmp_path):
+    """An attempt hours older than what was seen before is judged, not dropped."""
+    first = [(i, 1, "u", 7_200_000_000 + i) for i in range(12)]
+    late = [(100, 1, "u", 5), (101, 2, None, 6)]
+    for n, rows in enumerate((first, late)):
+        df = spark.createDataFrame(rows, "attempt_id long, ip long, identifier string, ts_us long").withColumn("ts", F.timestamp_micros("ts_us"))
+        df.coalesce(1).write.parquet(str(tmp_path / f"{n}"))
+    source = jobs.file_stream(spark, str(tmp_path / "*"), "*.parquet", df.schema, files_per_batch=1)
+    out = spark.read.parquet(jobs.drain(jobs.limit_logins(source), target=str(tmp_path / "drained"), timeout=120))
+    got = {r.attempt_id: r.allowed for r in out.collect()}
+    assert set(got) == {*range(12), 100, 101}
+    assert got[101] and [got[i] for i in range(12)] == [True] * 5 + [False] * 7
