@@ -127,6 +127,9 @@ def review_linked_pages(t: Tables):
 
 
 def published(t: Tables):
+    """Orders are changes of customers; what a reviewer edits is the name, and an empty
+    one must be refused. Customers with an even key are live."""
+    k = F.col("c_custkey")
     lines = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), "l_partkey", "l_suppkey", F.col("l_quantity").alias("qty"))
     rows = lines.join(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity_id")), "id")
     target = rows.groupBy("entity_id", "id", "line", "l_partkey", "l_suppkey").agg(F.min("qty").alias("qty"))
@@ -134,25 +137,47 @@ def published(t: Tables):
     keys = ["id", "line", "l_partkey", "l_suppkey"]
     # What differs in the lines of an order is the delta of that order's change.
     changed = deltas.table_diff(live, target.filter(F.col("entity_id") % 2 == 0), ["entity_id", *keys], ["qty"]).withColumn("change_id", F.col("id"))
+    profile = t.customer.select(k.alias("entity_id"), F.col("c_name").alias("name"), F.when(k % 3 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment")).alias("description"), F.concat(F.lit("https://c.example/"), k).alias("website_url"))
+    shown = profile.filter("entity_id % 2 = 0").withColumn("description", F.lower("description"))
+    # The changed description belongs to every fourth order of a customer.
+    orders = t.orders.filter(F.col("o_orderkey") % 4 == 1).select(F.col("o_orderkey").alias("change_id"), F.col("o_custkey").alias("entity_id"))
+    profile_delta = deltas.table_diff(shown, profile.filter("entity_id % 2 = 0"), ["entity_id"], ["description"]).select("entity_id", "field").join(orders, "entity_id")
+    menus = t.orders.select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("menu_id"), F.col("o_orderpriority").alias("name"))
     runs = t.nation.select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") % 2 == 1, "reviewer_workflow").otherwise("collector_workflow").alias("workflow_type"))
-    return decide.decide_and_publish(_changes(t), _decisions(t), runs, _outcomes(t), live, target, changed, keys)
+    as_json = lambda **fields: F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()]))
+    changes = _changes(t).withColumn("structured_json", as_json(name=F.concat(F.lit("n"), "id")))
+    name = F.when(F.col("seq") % 5 == 0, " ").otherwise(F.concat(F.lit("e"), "seq"))
+    decisions = _decisions(t).withColumn("edited_structured_json", as_json(name=name, website_url=F.concat(F.lit("https://e.example/"), "seq")))
+    outcomes = _outcomes(t)
+
+    def check(approved):
+        found = outcomes.unionByName(decide.record_errors(approved))
+        return found.groupBy("id").agg(F.sum("errors").alias("errors"))
+
+    return decide.decide_and_publish(
+        changes, decisions, runs, check, {"restaurants": shown, "menus": menus.filter("entity_id % 2 = 0 AND menu_id % 2 = 0"), "dishes": live},
+        {"restaurants": profile, "menus": menus, "dishes": target}, changed, keys, profile_delta,
+    )
 
 
 _PUBLISHED = f"""{_DECIDED}, {_ERRORS},
 tg AS (SELECT o_custkey AS entity_id, l_orderkey AS id, l_linenumber AS line, l_partkey, l_suppkey, min(l_quantity) AS qty FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
-ok AS (SELECT ch.id, ch.entity_id, agent_run_id < 25 AND agent_run_id % 2 = 1 AS reviewer FROM ch JOIN a ON a.proposed_change_id = ch.id LEFT JOIN e ON e.id = ch.id
-  WHERE decision = 'approved' AND coalesce(errors, 0) = 0),
+app AS (SELECT ch.id, ch.entity_id, agent_run_id < 25 AND agent_run_id % 2 = 1 AS reviewer, action = 'edit_then_approve' AS edited, seq,
+    coalesce(errors, 0) + (action = 'edit_then_approve' AND seq % 5 = 0)::INT AS errors
+  FROM ch JOIN a ON a.proposed_change_id = ch.id LEFT JOIN e ON e.id = ch.id WHERE decision = 'approved'),
+ok AS (SELECT * FROM app WHERE errors = 0),
 firsts AS (SELECT min(id) AS id, entity_id FROM ok WHERE NOT reviewer
   AND NOT EXISTS (SELECT 1 FROM ch p WHERE p.status = 'published' AND p.entity_id = ok.entity_id AND p.id <> ok.id) GROUP BY entity_id),
-patches AS (SELECT id, entity_id FROM ok WHERE reviewer AND id IN (SELECT id FROM tg WHERE entity_id % 2 = 0 AND l_partkey % 4 = 0)),
+patches AS (SELECT id, entity_id FROM ok WHERE reviewer AND entity_id % 2 = 0
+  AND (id IN (SELECT id FROM tg WHERE l_partkey % 4 = 0) OR id % 4 = 1 AND entity_id % 3 = 0)),
 pub AS (SELECT id FROM firsts UNION ALL SELECT id FROM patches)"""
 
 
 @query("b03_decided_changes", f"""WITH {_PUBLISHED}
-SELECT CASE WHEN decision IS NULL THEN status WHEN ch.id IN (SELECT id FROM pub) THEN 'published' ELSE decision END AS status, count(*) AS changes
-FROM ch LEFT JOIN a ON a.proposed_change_id = ch.id GROUP BY 1""")
+SELECT ch.id, CASE WHEN decision IS NULL THEN status WHEN ch.id IN (SELECT id FROM pub) THEN 'published' ELSE decision END AS status
+FROM ch LEFT JOIN a ON a.proposed_change_id = ch.id""")
 def decided(t: Tables):
-    return published(t).changes.groupBy("status").agg(F.count(F.lit(1)).alias("changes"))
+    return published(t).changes.select("id", "status")
 
 
 @query("b03_published_dishes", f"""WITH {_PUBLISHED}
@@ -162,6 +187,47 @@ def published_dishes(t: Tables):
     return published(t).dishes.select("entity_id", "id", "line", "l_partkey", "l_suppkey", "qty")
 
 
+@query("b03_published_profiles", f"""WITH {_PUBLISHED},
+f AS (SELECT entity_id, CASE WHEN edited THEN 'e' || seq ELSE 'n' || id END AS name, CASE WHEN edited THEN 'https://e.example/' || seq END AS site FROM firsts JOIN ok USING (id, entity_id)),
+rev AS (SELECT entity_id, arg_max(CASE WHEN edited THEN 'https://e.example/' || seq ELSE '' END, id) AS site, bool_or(id % 4 = 1) AS told FROM patches JOIN ok USING (id, entity_id) GROUP BY 1)
+SELECT c_custkey AS entity_id, coalesce(f.name, c_name) AS name, coalesce(f.site, nullif(rev.site, ''), 'https://c.example/' || c_custkey) AS website_url,
+  CASE WHEN c_custkey % 3 = 0 AND (f.entity_id IS NOT NULL OR told) THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS description
+FROM customer LEFT JOIN f ON f.entity_id = c_custkey LEFT JOIN rev ON rev.entity_id = c_custkey AND f.entity_id IS NULL WHERE c_custkey % 2 = 0 OR f.entity_id IS NOT NULL""")
+def published_profiles(t: Tables):
+    return published(t).tables["restaurants"].select("entity_id", "name", "website_url", "description")
+
+
+@query("b03_published_menus", f"""WITH {_PUBLISHED}
+SELECT o_custkey AS entity_id, o_orderkey AS menu_id FROM orders WHERE o_custkey IN (SELECT entity_id FROM firsts) OR o_custkey % 2 = 0 AND o_orderkey % 2 = 0""")
+def published_menus(t: Tables):
+    return published(t).tables["menus"].select("entity_id", "menu_id")
+
+
+@query("b03_run_results", f"""WITH {_PUBLISHED}
+SELECT id, id % 50 AS agent_run_id, CASE WHEN id IN (SELECT id FROM pub) THEN 'succeeded' ELSE 'failed' END AS status,
+  CASE WHEN id IN (SELECT id FROM pub) THEN '' WHEN reviewer AND id NOT IN (SELECT id FROM tg WHERE entity_id % 2 = 0 AND l_partkey % 4 = 0)
+      AND NOT (id % 4 = 1 AND entity_id % 3 = 0 AND entity_id % 2 = 0) THEN 'missing_input'
+    WHEN errors > 0 THEN 'revalidation_failed' WHEN reviewer THEN 'not_in_production' ELSE 'already_published' END AS error FROM app""")
+def run_results(t: Tables):
+    return published(t).runs.select("id", "agent_run_id", "status", F.coalesce("error_message", F.lit("")).alias("error"))
+
+
+_RULE_ERRORS = SQL["p11_issue_split"]
+
+
+@query("b03_revalidation", f"""WITH i AS ({_RULE_ERRORS}), n AS (SELECT restaurant_id, count(*) AS errors FROM i GROUP BY 1),
+r AS (SELECT DISTINCT p_partkey // 20 AS restaurant_id FROM part)
+SELECT restaurant_id AS id, coalesce(errors, 0) + CASE restaurant_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS errors FROM r LEFT JOIN n USING (restaurant_id)""")
+def revalidation(t: Tables):
+    """Each restaurant's change is checked again: every rule on its rows, and its edited JSON,
+    of which some have a blank name or two wrong fields."""
+    r = F.col("restaurant_id")
+    restaurants = t.dishes.select(r.alias("entity_id")).distinct()
+    edited = F.when(F.col("entity_id") % 5 == 0, F.lit('{"name":" "}')).when(F.col("entity_id") % 5 == 1, F.lit('{"name":"x","cuisine_types":5,"color":"red"}')).otherwise(F.lit('{"name":"x"}'))
+    changes = restaurants.select(F.col("entity_id").alias("id"), "entity_id", edited.alias("structured_json"))
+    return decide.revalidation({"restaurants": restaurants, "dishes": t.dishes.withColumnRenamed("restaurant_id", "entity_id")})(changes)
+
+
 _RUN_STATES = """WITH e AS (SELECT event_id // 5 AS run_id, event_id, ts, CASE WHEN event_id % 5 = 0 THEN 'start' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'succeeded' ELSE 'note' END AS kind FROM events),
 x AS (SELECT run_id, coalesce(arg_max(kind, (ts, event_id)) FILTER (kind IN ('failed', 'succeeded')), 'running') AS status FROM e GROUP BY 1)"""
 
