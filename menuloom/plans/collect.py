@@ -14,8 +14,8 @@ from ..functions.urls import canonical_url, domain_of
 from ..operators import authority, groups, mapping, pages as pg, report, review, workqueue
 from ..operators.conform import gate
 from ..session import reliable_checkpoint as fixed
-from ..schema import EXTRACTED_DISH, EXTRACTED_DISH_RECORD, Record, Rule
-from ..sources import snapshots as snap
+from ..schema import EXTRACTED_DISH, EXTRACTED_DISH_RECORD, EXTRACTED_PROFILE, EXTRACTED_PROFILE_RECORD, Record, Rule
+from ..sources import audit, snapshots as snap
 from ..sources.upload import upload_items
 
 SEED_PREFIX = "restaurant-seed:"
@@ -37,6 +37,13 @@ EXTRACTION_SCHEMA = T.StructType(
         *[f for f in EXTRACTED_DISH.fields if f.name not in ("run_id", "stub_pos", "pos")],
     ]
 )
+PROFILE_SCHEMA = T.StructType(
+    [
+        T.StructField("restaurant_id", T.StringType()), T.StructField("pos", T.IntegerType()),
+        *[f for f in EXTRACTED_PROFILE.fields if f.name != "run_id"],
+    ]
+)
+PROFILE_FIELDS = ("description", "cuisine_types", "logo_url", "cover_image_url")
 Extractor = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -59,18 +66,31 @@ class Collected:
     outcomes: DataFrame
     staged: DataFrame
     errors: DataFrame
+    to_render: DataFrame
+    runs: DataFrame
+    audit: DataFrame
 
 
 def captured_pages(pages: DataFrame) -> DataFrame:
-    """The newest capture (page_url, html, fetched_at) of each canonical URL, of equal
+    """The newest capture (page_url, html, fetched_at, kind) of each canonical URL, of equal
     ones the one whose digest is first. It is chosen on small columns; page bodies are
-    not aggregated."""
-    known = pages.withColumn("page_url", canonical_url(F.col("url"))["url"]).filter(F.col("page_url").isNotNull())
-    known = known.withColumn("_hash", F.sha2("html", 256))
-    newest = known.groupBy("page_url").agg(F.max(F.struct("fetched_at", "url", "_hash")).alias("_n")).select("page_url", "_n.*")
-    chosen = known.join(newest, ["page_url", "fetched_at", "url", "_hash"], "left_semi")
+    not aggregated. ``kind`` is html or pdf by the header ``content_type``; with
+    ``http_status``, ``server`` and ``mitigated`` challenge pages are told: they never stand
+    before another capture, and alone they have no body and the kind challenge. All four
+    columns are optional."""
+    given = lambda c, kind: F.col(c).cast(kind) if c in pages.columns else F.lit(None).cast(kind)
+    blocked = pg.is_challenge_page(given("http_status", "int"), given("server", "string"), given("mitigated", "string"), F.col("html").cast("string"))
+    known = pages.select(
+        canonical_url(F.col("url"))["url"].alias("page_url"), "url", "html", "fetched_at",
+        F.coalesce(pg.content_type(given("content_type", "string")), F.lit("html")).alias("kind"), (~blocked).alias("_real"), F.sha2("html", 256).alias("_hash"),
+    ).filter(F.col("page_url").isNotNull())
+    place = ["_real", "fetched_at", "url", "_hash"]
+    newest = known.groupBy("page_url").agg(F.max(F.struct(*place)).alias("_n")).select("page_url", "_n.*")
+    chosen = known.join(newest, ["page_url", *place], "left_semi")
     # What repeats in every column is one capture.
-    return chosen.dropDuplicates(["page_url"]).select("page_url", "html", "fetched_at")
+    return chosen.dropDuplicates(["page_url"]).select(
+        "page_url", F.when(F.col("_real"), F.col("html")).alias("html"), "fetched_at", F.when(F.col("_real"), F.col("kind")).otherwise("challenge").alias("kind")
+    )
 
 
 @dataclass
@@ -82,16 +102,25 @@ class Material:
     lost_links: DataFrame
     documents: DataFrame
     no_page: DataFrame
+    to_render: DataFrame
 
 
 def material(sites: DataFrame, stored: DataFrame) -> Material:
     """Root page first, then the linked pages in page order, then the nutrition page, as
     far as they were captured and lie in the verified domain. ``sites`` has restaurant_id,
     resolved_url and nutrition_url. Collecting and reviewing read by this one function,
-    so a review compares like with like. Links beyond the limit of a page are told."""
+    so a review compares like with like. Links beyond the limit of a page are told. Only
+    html is read for links and texts; other kinds are captured all the same. ``to_render``
+    lists root pages so thin that a browser should capture them again."""
+    text = F.make_valid_utf8(F.col("html").cast("string")) if dict(stored.dtypes)["html"] == "binary" else F.col("html")
     roots = sites.join(stored, F.col("resolved_url") == F.col("page_url"), "left").withColumn("domain", domain_of(F.col("resolved_url")))
     with_page, no_page = gate(roots, "extraction", ["html"])
-    parsed = pg.parse_pages(with_page, ["restaurant_id", "domain"], "resolved_url", "html")
+    no_page = no_page.withColumn(
+        "error_message", F.when(F.col("kind") == "challenge", F.concat(F.lit("only a challenge page was captured of "), "resolved_url")).otherwise(F.col("error_message"))
+    )
+    root_html = with_page.filter(F.col("kind") == "html").withColumn("html", text)
+    to_render = root_html.filter(pg.is_thin_page(F.col("kind"), F.col("html"))).select("restaurant_id", "resolved_url")
+    parsed = pg.parse_pages(root_html, ["restaurant_id", "domain"], "resolved_url", "html")
     every = fixed(pg.discover_links(parsed, ["restaurant_id"], "domain", limit=ALL_LINKS))
     links = every.filter(F.col("rank") < pg.LINKS_PER_PAGE)
     crawled = fixed(with_page.select("restaurant_id", "resolved_url", "domain", canonical_url(F.col("nutrition_url"))["url"].alias("nutrition")))
@@ -104,9 +133,10 @@ def material(sites: DataFrame, stored: DataFrame) -> Material:
         )
         .groupBy("restaurant_id", "page_url").agg(F.min("rank").alias("rank"))
     )
-    captured = fixed(wanted).join(stored, "page_url")
-    documents = mapping.assemble_documents(captured.withColumn("snapshot", F.sha2("html", 256)), "restaurant_id", "rank", "snapshot", "html")
-    return Material(captured, links, every.filter(F.col("rank") >= pg.LINKS_PER_PAGE), documents, no_page)
+    captured = fixed(wanted).join(stored.filter(F.col("html").isNotNull()), "page_url")
+    readable = captured.filter(F.col("kind") == "html").withColumn("snapshot", F.sha2("html", 256)).withColumn("html", text)
+    documents = mapping.assemble_documents(readable, "restaurant_id", "rank", "snapshot", "html")
+    return Material(captured, links, every.filter(F.col("rank") >= pg.LINKS_PER_PAGE), documents, no_page, to_render)
 
 
 def extract_dishes(documents: DataFrame, extractor: Extractor) -> Extraction:
@@ -141,9 +171,24 @@ def extract_dishes(documents: DataFrame, extractor: Extractor) -> Extraction:
     return Extraction(dishes, issues)
 
 
-def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, extractor: Extractor) -> Collected:
+def extract_profiles(documents: DataFrame, extractor: Extractor) -> tuple[DataFrame, DataFrame]:
+    """(profiles, issues): one row per restaurant with the profile fields, of each the first
+    non-empty value in the order of the material, and all snapshots they were read from."""
+    rows, issues = mapping.extract(documents, extractor, PROFILE_SCHEMA, ["restaurant_id", "pos"], EXTRACTED_PROFILE_RECORD)
+
+    def first(name: str):
+        filled = (F.size(name) > 0) if name == "cuisine_types" else (F.length(name) > 0)
+        return F.min_by(name, F.when(filled, F.col("pos"))).alias(name)
+
+    merged = rows.groupBy("restaurant_id").agg(*map(first, PROFILE_FIELDS))
+    refs = rows.select("restaurant_id", F.explode("source_snapshot_ids").alias("_s")).groupBy("restaurant_id").agg(F.sort_array(F.collect_set("_s")).alias("source_snapshot_ids"))
+    return merged.join(refs, "restaurant_id", "left"), issues
+
+
+def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, extractor: Extractor, profile_extractor: Extractor | None = None) -> Collected:
     """``uploads`` are request bodies (batch_id, body); ``pages`` are captures made
-    by a crawler (url, html, fetched_at). A stage that cannot go on for a record
+    by a crawler (url, html, fetched_at, and what ``captured_pages`` takes besides).
+    ``profile_extractor`` reads description, cuisines and images of the restaurant. A stage that cannot go on for a record
     writes an error row and the record stops there.
 
     What a stage hands on is fixed in the shared folder, since several later
@@ -169,7 +214,7 @@ def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, e
     read = material(verified.select("restaurant_id", "resolved_url", "nutrition_url"), stored)
     links, no_page, captured, documents = read.links, read.no_page, read.captured, read.documents
     snapshots = snap.with_snapshot_id(
-        snap.capture(captured, "restaurant_id", "html", F.lit("html"), ["rank", "page_url", "fetched_at"])
+        snap.capture(captured, "restaurant_id", "html", F.col("kind"), ["rank", "page_url", "fetched_at"])
     )
     extraction = extract_dishes(documents, extractor)
 
@@ -187,31 +232,60 @@ def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, e
         F.concat(F.lit("found "), F.col("errors").cast("string"), F.lit(" error(s): "), "first_errors").alias("error_message"),
     )
     valid = outcomes.filter("is_valid").join(verified.select("restaurant_id", "name", "resolved_url", "batch_id", "pos"), "restaurant_id")
-    batch = valid.select(
+    known = valid.withColumn("website_url", F.col("resolved_url")).withColumns(
+        {f: F.lit(None).cast(PROFILE_SCHEMA[f].dataType) for f in PROFILE_FIELDS} | {"cuisine_types": F.array().cast("array<string>")}
+    )
+    profile_issues = extraction.issues.limit(0)
+    if profile_extractor is not None:
+        profiles, profile_issues = extract_profiles(documents, profile_extractor)
+        known = mapping.merge_profiles(known, fixed(profiles))
+    run_id = uuid5_url(F.concat(F.lit("run:collect:"), "restaurant_id"))
+    batch = known.select(
         uuid5_url(F.concat(F.lit("change:"), "restaurant_id")).alias("id"),
         F.lit("restaurant").alias("entity_type"),
         F.col("restaurant_id").alias("entity_id"),
-        F.to_json(F.struct("name", F.col("resolved_url").alias("website_url"))).alias("structured_json"),
+        F.to_json(F.struct("name", "website_url", *PROFILE_FIELDS)).alias("structured_json"),
         F.to_json(F.struct("is_valid", "errors", "warnings")).alias("validation_result"),
         F.lit("pending").alias("status"),
         F.concat(F.lit("collect:"), "restaurant_id").alias("thread_id"),
+        run_id.alias("agent_run_id"),
         F.col("pos").cast("long").alias("pos"),
     )
-    staged = review.new_changes(existing_changes, batch).drop("pos")
+    staged = fixed(review.new_changes(existing_changes, batch).drop("pos"))
     bad_uploads = upload_issues.select(
         F.lit(None).cast("string").alias("restaurant_id"), F.lit("upload").alias("stage"),
         F.concat_ws(" ", F.col("batch_id").cast("string"), F.col("pos").cast("string"), "field_path", "message").alias("error_message"),
     )
-    bad_rows = extraction.issues.select(
+    bad_rows = extraction.issues.select("restaurant_id", "field_path", "message").unionByName(profile_issues.select("restaurant_id", "field_path", "message")).select(
         "restaurant_id", F.lit("multimodal_translation").alias("stage"), F.concat_ws(" ", "field_path", "message").alias("error_message")
     )
     too_many = read.lost_links.groupBy("restaurant_id").agg(F.count(F.lit(1)).alias("n")).select(
         "restaurant_id", F.lit("discovery").alias("stage"), F.format_string("%d link(s) beyond the first %d not followed", F.col("n"), F.lit(pg.LINKS_PER_PAGE)).alias("error_message"),
     )
+    # One of these ends the run of a restaurant; what goes on waits for its review.
+    ended = fixed(unresolved.unionByName(no_page.select("restaurant_id", "stage", "error_message")).unionByName(invalid))
+    run_rows = queued.select("restaurant_id").join(ended, "restaurant_id", "left").select(
+        run_id.alias("id"), F.lit("collector_workflow").alias("workflow_type"), "restaurant_id",
+        F.when(F.col("stage").isNotNull(), "failed").otherwise("running").alias("status"), "error_message",
+    )
+    told = lambda **facts: F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), v.cast("string"))]).alias("metadata")
+    event = lambda action, kind, entity, metadata: [F.lit(action).alias("action"), F.lit(kind).alias("entity_type"), entity.alias("entity_id"), metadata]
+    dish_counts = restaurants.join(outcome.dishes.groupBy("restaurant_id").agg(F.count(F.lit(1)).alias("n")), "restaurant_id", "left")
+    events = ended.select(*event("agent_run.trigger", "agent_run", run_id, told(node=F.col("stage"), error=F.col("error_message")))).unionByName(
+        outcomes.filter("is_valid AND corrected_fields > 0").select(*event(
+            "agent_run.trigger", "agent_run", run_id,
+            told(node=F.lit("deterministic_validation"), errors=F.col("errors"), warnings=F.col("warnings"), corrected_fields=F.col("corrected_fields")),
+        ))
+    ).unionByName(
+        dish_counts.select(*event("ai.extraction", "agent_run", run_id, told(node=F.lit("multimodal_translation"), restaurant_id=F.col("restaurant_id"), dishes=F.coalesce("n", F.lit(0)))))
+    ).unionByName(
+        staged.select(*event("proposed_change.create", "proposed_change", F.col("id"), told(node=F.lit("human_review"), restaurant_id=F.col("entity_id"))))
+    )
     errors = bad_uploads
     for e in (too_many, unresolved, no_page.select("restaurant_id", "stage", "error_message"), bad_rows, invalid):
         errors = errors.unionByName(e)
     return Collected(
         queue, resolved, authority.verified_source_rows(resolved, F.current_timestamp()), snapshots, links,
         outcome.dishes, outcome.issues, outcome.log, outcomes, staged, errors,
+        read.to_render, run_rows, audit.audit_rows(events),
     )

@@ -219,3 +219,13 @@ EXTRACTED_DISH_RECORD = Record(
         Rule("source_snapshot_ids", "array", nullable=False),
     )
 )
+EXTRACTED_PROFILE_RECORD = Record(
+    (
+        Rule("description", max_len=2000),
+        Rule("cuisine_types", "array", nullable=False),
+        Rule("logo_url"),
+        Rule("cover_image_url"),
+        Rule("confidence", "decimal", ge=0, le=1),
+        Rule("source_snapshot_ids", "array", nullable=False),
+    )
+)

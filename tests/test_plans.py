@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,44 @@ def test_collect(spark):
     assert again.staged.count() == 0
 
 
+def test_collect_kinds_profiles_and_runs(spark):
+    names = c.PROFILE_SCHEMA.names
+
+    def _cuisine_profile(pdf):
+        """The first heading is the description; a word in it is the cuisine."""
+        rows = []
+        for restaurant, content in zip(pdf["restaurant_id"], pdf["content"]):
+            title = content.partition("<title>")[2].partition("</title>")[0]
+            rows.append({"restaurant_id": restaurant, "pos": 0, "description": title or None, "cuisine_types": ["thai"] if "Thai" in title else [], "logo_url": None,
+                         "cover_image_url": "", "confidence": 1.0, "source_snapshot_ids": [content[10:74]]})
+        return pd.DataFrame(rows, columns=names)
+
+    hosts = {"Good": "good", "Printed": "pdf", "Guarded": "guard"}
+    items = [{"name": n, "menu_url": f"https://{h}.example.org/start", "nutrition_url": f"https://{h}.example.org/n"} for n, h in hosts.items()]
+    uploads = spark.createDataFrame([("b", json.dumps(items))], "batch_id string, body string")
+    page = '<title>Thai food</title><a href="/menu">The menu</a>'
+    pages = spark.createDataFrame(
+        [("https://good.example.org/start", bytearray(page.encode()), "text/html", 200, 1), ("https://good.example.org/start", bytearray(b"Just a moment..."), "text/html", 503, 2),
+         ("https://good.example.org/menu", bytearray(b"%PDF \xff\xfe"), "application/pdf", 200, 1), ("https://pdf.example.org/start", bytearray(b"%PDF <a href='/x'>No dish</a>"), "application/pdf", 200, 1),
+         ("https://guard.example.org/start", bytearray(b"Just a moment..."), "text/html", 403, 1)],
+        "url string, html binary, content_type string, http_status int, at long",
+    ).withColumn("fetched_at", F.timestamp_seconds("at"))
+    out = c.collect(uploads, pages, spark.createDataFrame([], "thread_id string"), link_text_extractor, _cuisine_profile)
+    name = {r.restaurant_id: r.name for r in out.queue.select(c.uuid5_url(F.concat(F.lit(c.SEED_PREFIX), "batch_id", F.lit(":"), F.lower("name"))).alias("restaurant_id"), "name").collect()}
+    kinds = {(name[r.source_id], r.page_url.rsplit("/", 1)[1]): r.content_type for r in out.snapshots.collect()}
+    assert kinds == {("Good", "start"): "html", ("Good", "menu"): "pdf", ("Printed", "start"): "pdf"}
+    assert [r.name for r in out.dishes.collect()] == ["The menu"]
+    staged = json.loads(out.staged.first().structured_json)
+    assert staged == {"name": "Good", "website_url": "https://good.example.org/start", "description": "Thai food", "cuisine_types": ["thai"]}
+    assert {(name[r.restaurant_id], r.stage) for r in out.errors.collect()} == {("Guarded", "extraction"), ("Printed", "deterministic_validation")}
+    assert "challenge" in out.errors.filter("stage = 'extraction'").first().error_message
+    assert {name[r.restaurant_id]: r.status for r in out.runs.collect()} == {"Good": "running", "Guarded": "failed", "Printed": "failed"}
+    assert [name[r.restaurant_id] for r in out.to_render.collect()] == ["Good"]
+    assert sorted(r.action for r in out.audit.collect()) == ["agent_run.trigger", "agent_run.trigger", "ai.extraction", "ai.extraction", "proposed_change.create"]
+    assert audit.unknown_entries(out.audit).count() == 0
+    assert out.staged.first().agent_run_id in {r.id for r in out.runs.filter("status = 'running'").collect()}
+
+
 def test_review_sweep(spark):
     out = sweep(Tables(spark, "/root/testdata/sf0.001"))
     changed = {r.restaurant_id for r in out.gate.filter("changed").collect()}
