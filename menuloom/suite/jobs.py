@@ -68,6 +68,26 @@ def collect_staged(t: Tables):
     return staged.select(F.get_json_object("structured_json", "$.name").alias("name"), "status")
 
 
+@query("b01_run_states", """
+WITH p AS (SELECT page_id, page_id // 10 AS b, 'Site ' || (page_id - page_id % 11 % 2) AS name FROM pages),
+q AS (SELECT *, row_number() OVER (PARTITION BY b, name ORDER BY page_id) AS rn FROM p)
+SELECT page_id, CASE WHEN page_id % 7 = 3 OR page_id % 5 = 1 THEN 'failed' ELSE 'running' END AS status,
+  CASE WHEN page_id % 7 = 3 THEN 'extraction' WHEN page_id % 5 = 1 THEN 'deterministic_validation' ELSE '' END AS stage FROM q WHERE rn = 1""")
+def collect_run_states(t: Tables):
+    """Some sites answer with a challenge page and some with a printed menu; neither gives
+    a dish, so their runs fail, each at its own stage."""
+    n = F.regexp_extract("url", r"/p(\d+)$", 1).cast("long")
+    captures = _captures(t).withColumns({
+        "content_type": F.when(n % 5 == 1, "application/pdf").otherwise("text/html; charset=utf-8"),
+        "http_status": F.when(n % 7 == 3, 403).otherwise(200), "mitigated": F.when(n % 7 == 3, "challenge"),
+    })
+    out = c.collect(_uploads(t), captures, _no_changes(t), link_text_extractor)
+    page = out.resolved.select("restaurant_id", F.regexp_extract("resolved_url", r"/p(\d+)$", 1).cast("long").alias("page_id"))
+    ended = out.errors.filter(F.col("restaurant_id").isNotNull() & F.col("stage").isin("extraction", "deterministic_validation")).select("restaurant_id", "stage")
+    rows = out.runs.join(page, "restaurant_id").join(ended, "restaurant_id", "left")
+    return rows.select("page_id", "status", F.coalesce("stage", F.lit("")).alias("stage"))
+
+
 def _sweep(t: Tables, pages, linked):
     """Live: what an earlier capture of each site gave; fresh: the same pages, of which the
     root of every third site gained a link. ``pages`` are roots (page_id, url, html), ``linked``
