@@ -174,10 +174,25 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def tree_paths(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``path``, as the table has none: documents as files of a tree whose
+    repository is the source, with directories of a thousand and of a hundred ids. By a hash of
+    the id, one document in 20 lies directly in its source, two in 20 lie in their thousand, the
+    others in their hundred. A document of which half or more speaks of a licence is a licence
+    file by name and never lies as deep as the hundreds."""
+    n, text = F.col("doc_id"), F.col("text")
+    deal = F.pmod(F.xxhash64(n.cast("string")), F.lit(20))
+    licence = F.coalesce(2 * F.length(licenses.header(F.lit(""), text)) >= F.length(text), F.lit(False))
+    deepest = F.when(deal < 1, 0).when((deal < 3) | F.col("__licence"), 1).otherwise(2)
+    name = F.concat(F.when(F.col("__licence"), "LICENSE-").otherwise(""), F.coalesce(n.cast("string"), F.lit("unnamed")), F.lit(".txt"))
+    path = F.concat_ws(
+        "/", F.coalesce("source", F.lit("unknown")), F.when(F.col("__deepest") >= 1, F.floor(n / 1000).cast("string")),
+        F.when(F.col("__deepest") >= 2, F.floor(n / 100).cast("string")), name,
+    )
+    return docs.withColumn("__licence", licence).withColumn("__deepest", deepest).withColumn("path", path).drop("__licence", "__deepest")
+
+
 @query("op8_license_scan")
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as files of a tree: the source is the repository, and ids stand in
-    directories of a thousand and of a hundred."""
-    n = F.col("doc_id")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(n / 1000).cast("string"), F.floor(n / 100).cast("string"), F.concat(n.cast("string"), F.lit(".txt")))
-    return licenses.scan(table(spark, folder, "documents"), path)
+    """Documents as files of the tree that ``tree_paths`` derives."""
+    return licenses.scan(tree_paths(table(spark, folder, "documents")), F.col("path"))

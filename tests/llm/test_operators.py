@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from menuloom.llm import decontamination, embedding_dedup, language, licenses, minhash, mixing, pii, substring, token_counts, toxicity
+from menuloom.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, kept boolean, n_words int, component_id string"
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
@@ -474,5 +475,33 @@ def test_every_template_finds_itself(spark):
     assert list(got.licence) == list(got.name)
 
 
+def test_licences_of_the_shared_tables(spark):
+    """The whole result against a walk up each path: rows inherit from above their own directory,
+    and licence files decide."""
+    got = QUERIES["op8_license_scan"](spark, "/root/testdata/sf0.1").collect()
+    docs = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source").collect()}
+    assert sorted(r["doc_id"] for r in got) == sorted(docs) and all(r["path"].startswith(docs[r["doc_id"]]["source"] + "/") for r in got)
+    is_file = lambda p: re.search(licenses.LICENCE_FILE.replace("(?i)", ""), p, re.I) is not None
+    votes, files = defaultdict(Counter), defaultdict(set)
+    for r in got:
+        if r["origin"] == "stated":
+            up = r["path"].rpartition("/")[0]
+            votes[up][r["licence"]] += 1
+            if is_file(r["path"]):
+                files[up].add(r["licence"])
+    states = {d: max(v, key=lambda x: (x in files[d], v[x], x)) for d, v in votes.items()}
+    distances, decided = Counter(), 0
+    for r in got:
+        if r["origin"] != "stated":
+            parts = r["path"].split("/")[:-1]
+            above = next((n for n in range(len(parts), -1, -1) if "/".join(parts[:n]) in states), None)
+            want = None if above is None else states["/".join(parts[:above])]
+            assert (r["licence"], r["origin"]) == (want, "none" if want is None else "inherited"), r
+            distances[None if above is None else len(parts) - above] += 1
+            decided += above is not None and bool(files["/".join(parts[:above])])
+    assert distances[1] > 100 and distances[2] > 100 and decided > 0
+    assert any(files.values())
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
