@@ -5,7 +5,10 @@ Base kinds (email, ip, card, phone) are leftmost, non-overlapping matches per ki
 a match that its check refuses is dropped without another try, and one that passes
 stays whatever its score. Further kinds stand only if their score reaches
 ``THRESHOLD``: iban (mod-97 confirms it) and national_id (a written number that only
-words nearby can confirm).
+words nearby can confirm). An iban may be followed by capital words or numbers: it ends
+where its country's fixed length says or, for codes without one, at the last end
+between two words that mod-97 confirms; the search goes on after it, or else just after the
+failed start.
 
 All patterns take time in proportion to the text: starts inside a run that already
 failed are ruled out by look-behinds, and addresses are sought from their @ sign.
@@ -35,10 +38,22 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# Every start, with the longest text that could be a number from there.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
+# Fixed lengths of account numbers by country code (fixed values of the IBAN registry).
+IBAN_LENGTH = {
+    code: length
+    for length, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
+
 # Context words that make a kind likelier or less likely (fixed values).
 FOR = {
     "email": ("mail", "contact", "write", "schreib", "correo", "courriel"),
@@ -63,13 +78,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def mod97(code: str) -> bool:
-    """The check of bank account numbers: letters are 10 to 35, the head goes last."""
-    code = code.replace(" ", "")
-    rest = 0
-    for c in code[4:] + code[:4]:
-        rest = int(f"{rest}{int(c, 36)}") % 97
-    return rest == 1
+def iban_length(text: str) -> int:
+    """Characters from the start of ``text`` that are an account number, 0 if none are. In the
+    check letters are 10 to 35, the head goes last, and mod 97 is 1; one walk checks all ends."""
+    head = int(f"{int(text[0], 36)}{int(text[1], 36)}{text[2:4]}")
+    fixed = IBAN_LENGTH.get(text[:2])
+    rest, n, fits = 0, 4, 0
+    for i in range(4, len(text) + 1):
+        if i == len(text) or text[i] == " ":
+            if n >= 15 and n == (fixed or n) and (rest * 1_000_000 + head) % 97 == 1:
+                fits = i
+        else:
+            value = int(text[i], 36)
+            rest = (rest * (10 if value < 10 else 100) + value) % 97
+            n += 1
+    return fits
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    done = 0
+    for m in _IBAN.finditer(text):
+        if m.start() >= done and (length := iban_length(m[1])):
+            done = m.start() + length
+            yield m.start(), done
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -125,12 +156,11 @@ def score(text: str, kind: str, start: int, end: int) -> float:
 def spans(text: str) -> list[tuple[int, str, int, float]]:
     """All spans by start, then by kind in the order of ``KINDS``."""
     found = [(a, k, b, score(text, k, a, b)) for a, k, b in base_spans(text)]
-    for kind, pattern, check in (("iban", _IBAN, mod97), ("national_id", _NATIONAL, None)):
-        for m in pattern.finditer(text):
-            if check is None or check(m[0]):
-                value = score(text, kind, *m.span())
-                if value >= THRESHOLD:
-                    found.append((m.start(), kind, m.end(), value))
+    further = [("iban", *span) for span in ibans(text)] + [("national_id", *m.span()) for m in _NATIONAL.finditer(text)]
+    for kind, start, end in further:
+        value = score(text, kind, start, end)
+        if value >= THRESHOLD:
+            found.append((start, kind, end, value))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 

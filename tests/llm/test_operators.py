@@ -228,6 +228,22 @@ def test_further_kinds_and_context():
     assert pii.redact("mail a@b.cd or +1 (377) 555-0271!") == "mail <email> or <phone>!"
 
 
+def test_ibans_before_capital_words_and_numbers():
+    numbers = ("DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606")
+    for number in numbers:
+        for before in ("", "IBAN ", "AB12 ", "DE89 3704 0044 0532 0130 01 "):
+            for after in ("", ".", " x", " BIC COBADEFFXXX", " A payment", " 12 May", " 7 " + number, " A" * 40):
+                text = before + number + after
+                at = [i for i in range(len(text)) if text.startswith(number, i)]
+                assert list(pii.ibans(text)) == [(i, i + len(number)) for i in at], text
+    assert pii.redact("to DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX") == "to <iban> BIC COBADEFFXXX"
+    assert not list(pii.ibans("DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX")) and not list(pii.ibans("DE89370400440532013000X"))
+    # A code without a known length.
+    assert list(pii.ibans("ZZ81 1234 5678 901 AB")) == [(0, 18)] and not list(pii.ibans("ZZ82 1234 5678 901 AB"))
+    for text in ("AB12 " * 60_000, "A" * 200_000, "DE89 3704 0044 0532 0130 01 " * 10_000):
+        assert not [s for s in pii.spans(text) if s[1] == "iban" and text[s[0] : s[2]].endswith("01")]
+
+
 def test_redacted_rows(spark):
     docs = documents(spark, [(1, "write to a@b.cd"), (2, None), (3, "clean")])
     out = {r["doc_id"]: r for r in pii.without_personal_data(docs).collect()}
