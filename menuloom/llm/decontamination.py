@@ -2,9 +2,11 @@
 items; training tokens stream through it and the longest matching lengths say
 which words lie inside an item's window.
 
-The automaton is built on the driver from items read in turn, in shards of at most
-``SHARD_WORDS`` words, so what is sent to the tasks has a fixed bound; more items mean
-more passes over the documents, whose findings are united per document.
+Tasks cut the items into pieces, and prefix sums of their numbers of words deal them to
+shards of at most ``SHARD_WORDS`` words. One shard is built on the driver; the automata of
+more are each built in a task, and the driver holds and sends one after the other, so both
+have a fixed bound. More items mean more passes over the documents, whose findings are
+united per document.
 
 Cases: a null or empty text has no words, no hits and isn't contaminated; items
 that are null or have no word are nothing; repeated item ids count once; repeated
@@ -13,11 +15,14 @@ kept as they are. Very long texts are read whole, in slices of a batch."""
 
 from __future__ import annotations
 
+import itertools
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -204,54 +209,88 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def shards(benchmark: DataFrame, item_id: str, text: str, window: int, shard_words: int) -> Iterator[Automaton]:
-    """Automata of the items in turn, each of bounded size. An item longer than
-    a shard is cut with an overlap of a window less one word, which loses no window."""
-    held: list[tuple[str, list[bytes]]] = []
-    room = shard_words
-    for name, body in benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("string")).where(F.col(item_id).isNotNull()).toLocalIterator():
-        words = normal_words(body)
-        step = max(1, shard_words - window + 1)
-        for start in range(0, max(1, len(words) - window + 1), step):
-            piece = words[start : start + step + window - 1]
-            if held and len(piece) > room:
-                yield Automaton(held, window)
-                held, room = [], shard_words
-            held.append((name, piece))
-            room -= len(piece)
-    if held:
-        yield Automaton(held, window)
+def pieces(benchmark: DataFrame, item_id: str, text: str, window: int, shard_words: int) -> tuple[DataFrame, int]:
+    """Rows (name, words, shard) of the items, and the number of shards. Items longer
+    than a tenth of a shard (or two windows) are cut with an overlap of a window less one word, which loses no
+    window. A shard holds what starts in its stretch of the running sum of words."""
+    most = min(shard_words, max(2 * window, shard_words // 10))
+    step = max(1, most - window + 1)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for name, body in zip(*(c.to_pylist() for c in batch.columns)):
+                words = normal_words(body)
+                for start in range(0, max(1, len(words) - window + 1), step) if words else ():
+                    piece = words[start : start + step + window - 1]
+                    yield pa.RecordBatch.from_pydict({"name": [name], "words": [b" ".join(piece)], "part": [part], "before": [before], "n": [len(piece)]})
+                    before += len(piece)
+
+    items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(text).cast("string").alias("body")).where("name IS NOT NULL")
+    cut_up = reliable_checkpoint(items.mapInArrow(split, "name string, words binary, part long, before long, n long"))
+    sums = sorted(cut_up.groupBy("part").agg(F.sum("n")).collect())  # one row a task
+    starts = [0, *itertools.accumulate(n for _, n in sums)]
+    if starts[-1] <= shard_words:
+        return cut_up.select("name", "words", F.lit(0).cast("long").alias("shard")), int(starts[-1] > 0)
+    stretch = max(1, shard_words - max(most, window) + 1)
+    offsets = benchmark.sparkSession.createDataFrame([(p, at) for (p, _), at in zip(sums, starts)], "part long, at long")
+    dealt = cut_up.join(F.broadcast(offsets), "part").select("name", "words", F.floor((F.col("at") + F.col("before")) / stretch).alias("shard"))
+    return dealt, -(-starts[-1] // stretch)
+
+
+def shards(benchmark: DataFrame, item_id: str, text: str, window: int, shard_words: int) -> tuple[int, Iterator[Automaton]]:
+    """The number of shards, and their automata one after the other."""
+    dealt, count = pieces(benchmark, item_id, text, window, shard_words)
+    read = lambda names, words: [(n, bytes(w).split()) for n, w in zip(names, words)]
+    if count <= 1:
+        rows = dealt.collect() if count else []  # no more words than one shard
+        return count, iter([Automaton(read([r["name"] for r in rows], [r["words"] for r in rows]), window)] if rows else [])
+
+    def build(table: pa.Table) -> pa.Table:
+        machine = Automaton(read(table["name"].to_pylist(), table["words"].to_pylist()), window)
+        return pa.table({"state": pa.array([pickle.dumps(vars(machine))], pa.binary())})
+
+    built = reliable_checkpoint(dealt.repartition(count, "shard").groupBy("shard").applyInArrow(build, "state binary"))
+
+    def each() -> Iterator[Automaton]:
+        for row in built.toLocalIterator():
+            machine = Automaton.__new__(Automaton)
+            vars(machine).update(pickle.loads(bytes(row["state"])))
+            yield machine
+
+    return count, each()
 
 
 def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS,
+    item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, sharded: tuple[int, Iterator[Automaton]] | None = None,
 ) -> DataFrame:
     """Rows (doc_id, n_words, spans, items): the merged spans of words inside an
-    occurrence of a window, and the names of the items with occurring windows."""
+    occurrence of a window, and the names of the items with occurring windows.
+    ``sharded`` is what ``shards`` gave for the benchmark, if that is known already."""
     sc = docs.sparkSession.sparkContext
     fields = [StructField("n_words", LongType()), StructField("spans", ArrayType(SPAN)), StructField("items", ArrayType(StringType()))]
 
-    def one(automaton: Automaton, frame: DataFrame) -> DataFrame:
-        sent = sc.broadcast(automaton)
-
+    def one(sent, frame: DataFrame) -> DataFrame:
         def make() -> Callable[[list], list]:
             machine = sent.value
             return lambda texts: [list(c) for c in zip(*((n, [{"start": a, "end": b} for a, b in s], i) for n, s, i in machine.hits(texts)))]
 
         return map_texts(frame, [doc_id], fields, make, text)
 
-    machines = shards(benchmark, item_id, item_text, window, shard_words)
-    first = next(machines, None) or Automaton([], window)
-    second = next(machines, None)
-    if second is None:
-        return one(first, docs)
+    count, machines = sharded or shards(benchmark, item_id, item_text, window, shard_words)
+    if count <= 1:
+        return one(sc.broadcast(next(machines, None) or Automaton([], window)), docs)
     # More than one pass: number the rows once, so that the passes can be united.
     numbered = reliable_checkpoint(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t"), F.monotonically_increasing_id().alias("__row")))
     parts = None
-    for machine in (first, second, *machines):
-        found = one(machine, numbered.select(F.struct("__row", "__id").alias(doc_id), F.col("__t").alias(text)))
-        found = reliable_checkpoint(found.select(doc_id, "n_words", F.when(F.size("spans") > 0, F.col("spans")).alias("spans"), "items"))
+    for machine in machines:
+        sent = sc.broadcast(machine)
+        found = one(sent, numbered.select(F.struct("__row", "__id").alias(doc_id), F.col("__t").alias(text)))
+        found = found.select(doc_id, "n_words", F.when(F.size("spans") > 0, F.col("spans")).alias("spans"), "items")
+        # The first pass has a row for each document, the others for those they hit.
+        found = reliable_checkpoint(found if parts is None else found.where("spans IS NOT NULL"))
+        sent.destroy()
         parts = found if parts is None else parts.union(found)
     united = parts.groupBy(doc_id).agg(
         F.max("n_words").alias("n_words"),
@@ -284,9 +323,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     With one shard of items it is one pass without a shuffle; with more, the spans
     of all passes are united first, as a document is judged on all of them."""
     sc, pattern = docs.sparkSession.sparkContext, re.compile(_WORD_CHARS)
-    machines = shards(benchmark, "item_id", "text", window, shard_words)
-    first = next(machines, None)
-    if first is None:
+    count, machines = shards(benchmark, "item_id", "text", window, shard_words)
+    if not count:
         return docs
 
     def judged(texts: list, hits: list) -> tuple[list, list]:
@@ -298,8 +336,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
             new.append(cut(body, spans, pattern) if spans and not bad else body)
         return keep, new
 
-    if next(machines, None) is None:
-        sent = sc.broadcast(first)
+    if count == 1:
+        sent = sc.broadcast(next(machines))
 
         def make() -> Callable[[list], tuple[list, list]]:
             automaton = sent.value
@@ -309,7 +347,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 
     names = docs.columns
     numbered = reliable_checkpoint(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = benchmark_hits(numbered, benchmark, "__row", text, window=window, shard_words=shard_words).where(F.size("spans") > 0)
+    found = benchmark_hits(numbered, benchmark, "__row", text, window=window, sharded=(count, machines)).where(F.size("spans") > 0)
     joined = numbered.join(found.select("__row", F.col("n_words").alias("__n"), F.col("spans").alias("__spans")), "__row", "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ empty tables and extra columns that have the names of outputs."""
 
 import hashlib
 import itertools
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -359,6 +360,44 @@ def test_decontamination(spark, shard_words):
     assert kept.count() == sum(not (h > 0 and 20 * h >= n) for _, n, h, _ in bad)
 
 
+def test_automata_are_held_one_at_a_time(spark, monkeypatch):
+    """The driver builds none of many shards, unpickles one at a time, destroys each that was
+    sent, and no shard is larger than it may be."""
+    import gc
+    import weakref
+
+    rng = random.Random(12)
+    items = spark.createDataFrame([(n, prose(rng, rng.choice([3, 20, 70, 200]), 50)) for n in range(6)], "item_id long, text string").repartition(5)
+    dealt, count = decontamination.pieces(items, "item_id", "text", 13, 60)
+    sizes = [r["n"] for r in dealt.groupBy("shard").agg(F.sum(F.size(F.split(F.col("words").cast("string"), " "))).alias("n")).collect()]
+    assert count >= len(sizes) > 2 and max(sizes) <= 60
+    live, most, sent, destroyed = weakref.WeakSet(), [], [], []
+    sc, real = type(spark.sparkContext), spark.sparkContext.broadcast
+
+    def broadcast(self, value):
+        live.add(value)
+        gc.collect()
+        most.append(len(live))
+        out = real(value)
+        sent.append(out)
+        gone = out.destroy
+        out.destroy = lambda *a, **k: (destroyed.append(out), gone(*a, **k))
+        return out
+
+    monkeypatch.setattr(sc, "broadcast", broadcast)
+    driver, plain = os.getpid(), decontamination.Automaton.__init__
+
+    def init(self, *args):
+        assert os.getpid() != driver, "built on the driver"
+        plain(self, *args)
+
+    monkeypatch.setattr(decontamination.Automaton, "__init__", init)
+    docs = documents(spark, [(1, "a b c"), (2, None)])
+    hits = decontamination.benchmark_hits(docs, items, shard_words=60)
+    monkeypatch.undo()
+    assert hits.count() == 2 and len(sent) == len(sizes) and len(destroyed) == len(sent) and max(most) <= 2
+
+
 def test_cut_spans(spark):
     item = " ".join(f"q{i}" for i in range(13))
     docs = documents(spark, [(1, "Intro. " + prose(random.Random(1), 600) + f" <{item.upper()}>. End"), (2, item), (3, None)])
