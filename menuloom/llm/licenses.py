@@ -4,7 +4,9 @@ licence files to templates, then inheritance from the nearest ancestor directory
 A document is a file of a source tree. Its header is made of the lines that speak of a
 licence (all lines of a file whose name says so). Words of headers become sparse
 TF-IDF vectors over the templates' words, with document frequencies counted over all
-headers; the template with the highest cosine is the licence if it reaches the threshold. A
+headers; the template with the highest score is the licence if it reaches the threshold. The
+score is the cosine, but with the geometric mean of both norms for the template's norm where
+the header's is smaller (headers quote templates in part), and at most 1. A
 directory has the licence that its licence files (or else most of its headers) state. Files
 that state none take that of the nearest directory above, found by joining all
 ancestor paths, whose number is bounded by a path's depth.
