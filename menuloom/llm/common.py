@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
@@ -156,3 +157,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate tables that its job has written and read."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def travelling(spark: SparkSession, thing: object) -> Broadcast:
+    """An object of this package, sent once to each executor; ``arrived`` gives it back in a task.
+    It is pickled by value into bytes, so workers need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def arrived(sent: Broadcast) -> object:
+    return cloudpickle.loads(sent.value)
