@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, embedding_dedup, language, licenses, minhash, mixing, pii, substring, token_counts, toxicity
+from . import alignment, collocations, decontamination, embedding_dedup, language, licenses, minhash, mixing, pii, substring, token_counts, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -196,3 +196,48 @@ def tree_paths(docs: DataFrame) -> DataFrame:
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as files of the tree that ``tree_paths`` derives."""
     return licenses.scan(tree_paths(table(spark, folder, "documents")), F.col("path"))
+
+
+COLLOCATIONS_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({_LETTERS}, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+ f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+   FROM w, unnest(range(1, {collocations.LONGEST + 1})) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i) GROUP BY ALL),
+ totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+ c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {collocations.SUPPORT}),
+ cuts AS (SELECT c.lang, c.phrase, c.k, a, j, x.f AS l, y.f AS r, ({collocations.SCALE}::HUGEINT * a) // (x.f + y.f) AS score
+   FROM c, unnest(range(1, c.k)) AS t(j) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : j], ' ')
+   JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1 : c.k], ' ')),
+ best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ around AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+   FROM c, unnest(range(2, k)) AS s(m), unnest(range(1, k - m + 2)) AS t(i) GROUP BY ALL),
+ kept AS (SELECT best.* FROM best LEFT JOIN around USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < {collocations.ABSORBED} * a),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= {collocations.REPORTED}"""
+
+
+@query("op11_collocations", COLLOCATIONS_SQL)
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(table(spark, folder, "documents"), *paths)
+
+
+TOP_K_SQL = rf"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+ u AS (SELECT r, vec_id, list_transform(e, lambda x: floor({topk.SCALE} * x)) AS e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e)::BIGINT AS score
+   FROM u a JOIN u b ON a.vec_id % 50 = 0 AND a.r <> b.r AND len(a.e) = len(b.e)),
+ t AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM t WHERE rank <= {topk.K}"""
+
+
+@query("op13_exact_top_k", TOP_K_SQL)
+def op13_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
