@@ -7,13 +7,15 @@ piece is one place on, and no place is one on across pieces. A block's row holds
 nearly all 1) and local numbers of phrases beside the block's list of phrases, both packed.
 
 One length after the other:
-1. group-count: the blocks' lists, already counted within each block, are summed up by phrase;
-   phrases below ``support`` are gone, the others get ids;
-2. semi-join: the frequent ids come back to the blocks, in a broadcast while they are at most
-   ``SENT`` rows, else by a join on (block, local number) that is as large as the lists;
-3. merge-join: what stands one place apart in the sorted relation makes the next length. Both are
+1. merge-join: what stands one place apart in the sorted relation makes the next length. Both are
    frequent phrases, as the first and the last words of a frequent phrase are frequent; the pair
-   of their ids names the longer phrase exactly, whatever the vocabulary's size.
+   of their ids names the longer phrase exactly, whatever the vocabulary's size;
+2. group-count: the pairs, already counted within each block, are summed up by phrase; phrases
+   below ``support`` are gone, the others get ids;
+3. semi-join: the frequent ids come back to the blocks, in a broadcast while they are at most
+   ``SENT`` rows, else by a join on (block, local number) that is as large as the lists. Only what is
+   frequent is written as the next relation; the merge-join is made again for that, as its whole
+   result would take more room than the counts.
 
 Counts stay integers, scores are decimal divisions. No phrase gathers its occurrences anywhere, so a
 hot word or a hot language is rows in many blocks. Words are never hashed.
@@ -140,15 +142,31 @@ def word_blocks(docs: DataFrame, block: int, window: int) -> DataFrame:
 
 
 def merge_join(gap: np.ndarray, name: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of a sorted relation and the ids of its local numbers (-1: not frequent), the relation of the next
-    length: (gap, name, ids of the first part, ids of the rest, counts)."""
-    at, keep = np.cumsum(gap.astype(np.int64)), ids[name] >= 0
-    at, name = at[keep], name[keep].astype(np.int64)
+    """Of a sorted relation and the ids of its local numbers, the candidates of the next length:
+    (gap, name, ids of the first part, ids of the rest, counts)."""
+    at, name = np.cumsum(gap.astype(np.int64)), name.astype(np.int64)
     first = np.flatnonzero(np.diff(at) == 1)
     code, local = np.unique(name[first] * len(ids) + name[first + 1], return_inverse=True)
     return np.diff(at[first], prepend=0), local, ids[code // max(1, len(ids))], ids[code % max(1, len(ids))], np.bincount(local, minlength=len(code))
 
 
+def semi_join(gap: np.ndarray, name: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A relation without what has no id (-1), numbered anew: (gap, name, ids)."""
+    there = ids >= 0
+    keep = there[name]
+    return np.diff(np.cumsum(gap.astype(np.int64))[keep], prepend=0), (np.cumsum(there) - 1)[name[keep]], ids[there]
+
+
+def candidates(kind: int, occurrences: pa.BinaryScalar, packed: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
+    """(gap, name, list) of a block's candidates: its words, or pairs of its frequent phrases."""
+    places, listed = _unpack(occurrences), _unpack(packed)
+    gap, name = (places.column(c).to_numpy() for c in ("gap", "name"))
+    if kind == 1:
+        return gap, name, listed
+    gap, name, *arrays = merge_join(gap, name, listed.column("id").to_numpy())
+    return gap, name, pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["g", "h", "n"])
+
+
 def _lookup(length: int, frequent: pa.Table):
     """Plain data that finds ids of a block's list."""
     ids = frequent.column("id").to_numpy()
@@ -182,27 +200,25 @@ def _found(length: int, listed: pa.RecordBatch, known) -> np.ndarray:
 
 
 def lists(blocks: DataFrame, kind: int, places: bool = False) -> DataFrame:
-    """The rows of the blocks' lists; ``places`` adds the block and the local number."""
+    """The counted candidates of each block; ``places`` adds the block and the local number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                listed = _unpack(packed)
+            for block, occurrences, packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                listed = candidates(kind, occurrences, packed)[2]
                 if places:
                     listed = listed.append_column("block", pa.array(np.full(len(listed), block), pa.int64())).append_column("j", pa.array(np.arange(len(listed))))
                 yield from (listed.slice(start, 50_000) for start in range(0, len(listed), 50_000))
 
-    return blocks.select("block", "list").mapInArrow(run, _LISTS[kind] + (", block long, j long" if places else ""))
+    return blocks.mapInArrow(run, _LISTS[kind] + (", block long, j long" if places else ""))
 
 
-def longer(blocks: DataFrame, length: int, frequent: DataFrame, sent: int) -> DataFrame:
-    """The relation of the next length, from that of ``length`` and its frequent phrases."""
-    kind = min(length, 2)
+def frequent_only(blocks: DataFrame, kind: int, frequent: DataFrame, sent: int) -> DataFrame:
+    """The relation of the next length: the blocks' candidates that are frequent."""
 
-    def extend(block: int, occurrences: pa.BinaryScalar, ids: np.ndarray) -> pa.RecordBatch:
-        places = _unpack(occurrences)
-        gap, name, g, h, n = merge_join(places.column("gap").to_numpy(), places.column("name").to_numpy(), ids)
-        return _row(block, gap, name, g=pa.array(g, pa.int64()), h=pa.array(h, pa.int64()), n=pa.array(n, pa.int64()))
+    def relation(block: int, gap: np.ndarray, name: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        gap, name, ids = semi_join(gap, name, ids)
+        return _row(block, gap, name, id=pa.array(ids, pa.int64()))
 
     if frequent.count() <= sent:
         known = blocks.sparkSession.sparkContext.broadcast(_lookup(kind, frequent.toArrow()))
@@ -210,7 +226,8 @@ def longer(blocks: DataFrame, length: int, frequent: DataFrame, sent: int) -> Da
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block, occurrences, packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                    yield extend(block, occurrences, _found(kind, _unpack(packed), known.value))
+                    gap, name, listed = candidates(kind, occurrences, packed)
+                    yield relation(block, gap, name, _found(kind, listed, known.value))
 
         return blocks.mapInArrow(run, _DDL)
 
@@ -219,9 +236,10 @@ def longer(blocks: DataFrame, length: int, frequent: DataFrame, sent: int) -> Da
     def meet(key: tuple, rows: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         for block, occurrences, packed in zip(rows.column("block").to_pylist(), rows.column("occurrences"), rows.column("list"), strict=True):
-            ids = np.full(len(_unpack(packed)), -1, np.int64)
+            gap, name, listed = candidates(kind, occurrences, packed)
+            ids = np.full(len(listed), -1, np.int64)
             ids[found.column("j").to_numpy()] = found.column("id").to_numpy()
-            out.append(extend(block, occurrences, ids))
+            out.append(relation(block, gap, name, ids))
         return pa.Table.from_batches(out, _ROW)
 
     return blocks.groupBy("block").cogroup(back.groupBy("b")).applyInArrow(meet, _DDL)
@@ -237,8 +255,7 @@ def collocations(
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     blocks, phrases, parts = word_blocks(source, block, window), None, []
     for length in range(1, longest + 1):
-        kind = min(length, 2)
-        path = f"{folder}/{length}"
+        kind, path = min(length, 2), f"{folder}/{length}"
         blocks.write.option("compression", "none").parquet(path)
         if length > 1:
             remove_folder(spark, f"{folder}/{length - 1}")
@@ -260,7 +277,7 @@ def collocations(
             phrases = reliable_checkpoint(phrases)
         parts.append(phrases.select("lang", "phrase", "f", F.lit(length).alias("words")))
         if length < longest:
-            blocks = longer(blocks, length, frequent, sent)
+            blocks = frequent_only(blocks, kind, frequent, sent)
     known = parts[0]
     for more in parts[1:]:
         known = known.union(more)
