@@ -28,6 +28,7 @@ sure boundary is one run. An empty table gives no rows. Extra columns are ignore
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -53,7 +54,9 @@ FAN = 32
 #: Rows of the pair table that are sent to the tasks, at most.
 PAIRS = 4_000_000
 #: Runs remembered in a task.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: Runs that are spelt as one text.
+_JOINED = 500
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _SPACE = "▁"
 _BREAK = re.compile(r"(?<=\S) ")
@@ -96,7 +99,7 @@ class Vocabularies:
 
 
 class Aligner:
-    """Tokens, groups and links of runs, remembered by run."""
+    """Tokens, groups and links of runs; many runs are spelt as one text, and aligned by arrays."""
 
     def __init__(self, a: str, b: bytes, table: tuple[np.ndarray, ...] | None = None, remembered: int = REMEMBERED) -> None:
         """``table``: (codes in order, links, whether none of the same B id has more)."""
@@ -115,60 +118,87 @@ class Aligner:
         for entry, i in entries.items():
             self.bytes_a[i] = bytes(byte.get(c, 0) for c in entry)
         self.bytes_b = [self._piece(i) for i in range(self.second.get_piece_size())]
+        self.sizes = [np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b)]
         self.ids_a = len(self.bytes_a)
-        # A run of one space alone ends a text; the library drops it without a neighbour.
-        self.space = self.second.encode("a ")[len(self.second.encode("a")) :]
+        self.written: list[str] = []
         self.table, self.remembered, self.known = table, remembered, {}
+        self.sums, self.groups = np.zeros((0, len(SUMS)), np.int64), []
 
     def _piece(self, i: int) -> bytes:
         piece = self.second.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.second.is_byte(i) else utf8(piece.replace(_SPACE, " "))
 
-    def learn(self, keys: list[str]) -> dict[str, tuple]:
-        """Remember of runs (n_a, n_b, n_groups, n_links, n_best, count_sum, groups as text, codes of
-        links); without a table the sums are 0."""
+    def spell(self, keys: list[str]) -> tuple[np.ndarray, ...]:
+        """Ids and ends of all tokens of both kinds, and the ends of the runs, as if the runs
+        were one text. A run that ends in white space ends a text of its own."""
+        ids, begin = ([], []), 0
+        for at, key in enumerate(keys, 1):
+            if not key or key[-1].isspace() or at - begin == _JOINED or at == len(keys):
+                part, begin = keys[begin:at], at
+                ids[0].append("".join([" " + k for k in part]))
+                ids[1].append(" ".join(part))
+        firsts = self.first.encode_batch_fast(ids[0], add_special_tokens=False)
+        # The library gives no token for an empty text; here that is one space.
+        seconds = [two or self.second.encode("a ")[-1:] for two in self.second.encode(ids[1], num_threads=1)]
+        a, b = (np.fromiter(itertools.chain.from_iterable(x), np.int64, sum(map(len, x))) for x in ([one.ids for one in firsts], seconds))
+        ends = np.cumsum(np.array([len(utf8(k)) + 1 for k in keys], np.int64))
+        end_a, end_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        if len(keys) and not end_a[-1] == end_b[-1] == ends[-1]:
+            raise ValueError("tokens do not spell their text")
+        return a, end_a, b, end_b, ends
+
+    def links(self, spelt: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(code, run) of all links, by run."""
+        a, end_a, b, end_b, ends = spelt
+        start = end_a - self.sizes[0][a]
+        low, high = np.searchsorted(end_b, start, "right"), np.searchsorted(end_b - self.sizes[1][b], end_a, "left")
+        n = high - low
+        one = np.repeat(np.arange(len(a)), n)
+        two = np.arange(len(one)) + np.repeat(low - np.cumsum(n) + n, n)
+        return b[two] * self.ids_a + a[one], np.searchsorted(ends, end_a[one])
+
+    def write(self, spelt: tuple[np.ndarray, ...]) -> tuple[list[str], np.ndarray]:
+        """The groups of each run as text, and (n_a, n_b, n_groups) of each run."""
+        a, end_a, b, end_b, ends = spelt
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b, run = np.searchsorted(common, end_a), np.searchsorted(common, end_b), np.searchsorted(ends, common)
+        last_a, last_b, last = (np.append(x[1:] != x[:-1], True) for x in (group_a, group_b, run))
+        if not self.written:
+            self.written = [f"{i}{mark}" for i in range(max(map(len, self.sizes))) for mark in ",|;\n"]
+        out = np.empty(len(a) + len(b), np.int64)
+        # A token stands behind all tokens of earlier groups; B's also behind A's of its own group.
+        place = np.arange(len(common))
+        out[np.arange(len(a)) + np.searchsorted(group_b, place)[group_a]] = a * 4 + last_a
+        out[np.arange(len(b)) + np.searchsorted(group_a, place, "right")[group_b]] = b * 4 + np.where(last_b, 2 + last[group_b], 0)
+        texts = "".join(map(self.written.__getitem__, out.tolist())).split("\n")[:-1]
+        counts = [np.bincount(x, minlength=len(ends)) for x in (np.searchsorted(ends, end_a), np.searchsorted(ends, end_b), run)]
+        return texts, np.stack(counts, axis=1)
+
+    def learn(self, keys: list[str]) -> dict[str, int]:
+        """The places of runs in ``sums`` (without a table the last two are 0) and ``groups``."""
         new = [k for k in dict.fromkeys(keys) if k not in self.known]
         if new:
             if len(self.known) + len(new) > self.remembered:
-                self.known.clear()
+                self.known, self.groups = {}, []
                 new = list(dict.fromkeys(keys))
-            firsts = self.first.encode_batch([" " + k for k in new], add_special_tokens=False)
-            seconds = self.second.encode(new, num_threads=1)
-            made = [self._align(utf8(" " + k), one.ids, two if k else self.space) for k, one, two in zip(new, firsts, seconds, strict=True)]
-            best, total = [0] * len(new), [0] * len(new)
+            first = len(self.known)
+            if first + len(new) > len(self.sums):
+                grown = np.zeros((max(first + len(new), min(2 * len(self.sums), self.remembered)), len(SUMS)), np.int64)
+                grown[:first] = self.sums[:first]
+                self.sums = grown
+            sums = self.sums[first : first + len(new)]
+            spelt = self.spell(new)
+            texts, sums[:, :3] = self.write(spelt)
+            code, run = self.links(spelt)
+            sums[:, 3] = np.bincount(run, minlength=len(new))
             if self.table:
                 codes, n, leads = self.table
-                begins = np.cumsum([0, *(len(m[3]) for m in made)])[:-1]
-                at = np.searchsorted(codes, np.fromiter((c for m in made for c in m[3]), np.int64))
-                best, total = (np.add.reduceat(x[at].astype(np.int64), begins).tolist() for x in (leads, n))
-            for key, (a, b, groups, links, text), x, y in zip(new, made, best, total, strict=True):
-                self.known[key] = (a, b, groups, len(links), x, y, text, links)
+                at, begins = np.searchsorted(codes, code), np.searchsorted(run, np.arange(len(new)))
+                sums[:, 4], sums[:, 5] = (np.add.reduceat(x[at].astype(np.int64), begins) for x in (leads, n))
+            self.groups += texts
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
         return self.known
 
-    def _align(self, raw: bytes, a: list[int], b: list[int]) -> tuple:
-        one, two = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(one) != raw or b"".join(two) != raw:
-            raise ValueError(f"tokens do not spell their text: {raw[:80]!r}")
-        links, groups = [], []
-        i = j = from_i = from_j = 0
-        end_a, end_b = len(one[0]), len(two[0])
-        while True:
-            links.append(b[j] * self.ids_a + a[i])
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[from_i : i + 1])) + "|" + ",".join(map(str, b[from_j : j + 1])))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                from_i, from_j = i, j
-                end_a, end_b = end_a + len(one[i]), end_b + len(two[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(one[i])
-            else:
-                j += 1
-                end_b += len(two[j])
-        return len(a), len(b), len(groups), links, ";".join(groups)
-
 
 # --- fragments of long texts ---------------------------------------------------
 
@@ -291,6 +321,14 @@ def closed_runs(parts: DataFrame, fan: int) -> DataFrame:
 # --- passes --------------------------------------------------------------------
 
 
+def _added(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal codes as one."""
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+    return code[first], np.add.reduceat(n, first) if len(n) else n
+
+
 def pair_counts(texts: DataFrame, make: Callable[[], Aligner]) -> DataFrame:
     """(code, n): links by pair of ids over the runs of texts, summed up in each task first."""
 
@@ -298,19 +336,14 @@ def pair_counts(texts: DataFrame, make: Callable[[], Aligner]) -> DataFrame:
         aligner, counts = make(), Counter()
 
         def flush() -> pa.RecordBatch:
-            total: dict[int, int] = {}
-            keys = list(counts)
-            for start in range(0, len(keys), 20_000):
-                part = keys[start : start + 20_000]
-                known = aligner.learn(part)
-                links = [known[k][7] for k in part]
-                code, at = np.unique(np.fromiter((c for l in links for c in l), np.int64), return_inverse=True)
-                n = np.zeros(len(code), np.int64)
-                np.add.at(n, at, np.repeat([counts[k] for k in part], [len(l) for l in links]))
-                for c, m in zip(code.tolist(), n.tolist(), strict=True):
-                    total[c] = total.get(c, 0) + m
+            keys, found = list(counts), []
+            for start in range(0, len(keys), 50_000):
+                part = keys[start : start + 50_000]
+                code, run = aligner.links(aligner.spell(part))
+                found.append(_added(code, np.array([counts[k] for k in part])[run]))
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["code", "n"])
+            code, n = _added(*(np.concatenate(x) for x in zip(*found))) if found else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
@@ -330,16 +363,21 @@ def _sums(make: Callable[[], Aligner], whole: bool) -> Callable[[], Callable[[li
     def start() -> Callable[[list], list]:
         aligner = make()
 
-        def one(text: str | None) -> tuple:
-            if whole and (not text or _SPACE in text):
-                return 0, 0, 0, 0, 0, 0, ""
-            keys = runs(text)
-            known = aligner.learn(keys)
-            *sums, groups, _ = zip(*[known[k] for k in keys], strict=True)
-            groups = ";".join(groups)
-            return *map(sum, sums), hashlib.sha256(groups.encode()).hexdigest() if whole else groups
-
-        return lambda texts: list(zip(*map(one, texts), strict=True)) if texts else [[] for _ in range(7)]
+        def work(texts: list) -> list:
+            cut = [None if whole and (not t or _SPACE in t) else runs(t) for t in texts]
+            known = aligner.learn([k for keys in cut if keys for k in keys])
+            sums, groups = np.zeros((len(texts), len(SUMS)), np.int64), []
+            for i, keys in enumerate(cut):
+                if keys is None:
+                    groups.append("")
+                    continue
+                at = [known[k] for k in keys]
+                sums[i] = aligner.sums[at].sum(axis=0)
+                text = ";".join([aligner.groups[j] for j in at])
+                groups.append(hashlib.sha256(text.encode()).hexdigest() if whole else text)
+            return [*sums.T.tolist(), groups]
+
+        return work
 
     return start
 
@@ -352,11 +390,9 @@ def _links(texts: DataFrame, make: Callable[[], Aligner]) -> DataFrame:
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys = Counter(runs(text))
-                known, counts = aligner.learn(list(keys)), Counter()
-                for key, m in keys.items():
-                    for code in known[key][7]:
-                        counts[code] += m
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(counts), pa.int64()), pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["row", "code", "m"])
+                code, at = aligner.links(aligner.spell(list(keys)))
+                code, m = _added(code, np.array(list(keys.values()))[at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), row)), pa.array(code), pa.array(m)], ["row", "code", "m"])
 
     return texts.select("row", "text").mapInArrow(run, "row long, code long, m long")
 
