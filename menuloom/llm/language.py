@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, StringType, StructField
 
-from .common import map_texts, mix, odd_numbers
+from .common import arrived, map_texts, mix, odd_numbers, travelling
 
 #: Documents of the training sample, about.
 SAMPLE = 3_000
@@ -172,10 +172,10 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
 def predict(docs: DataFrame, decoder: Decoder | None, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` with lang_pred, score and ambiguous; no shuffle."""
     fields = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())]
-    sent = docs.sparkSession.sparkContext.broadcast(decoder)
+    sent = travelling(docs.sparkSession, decoder)
 
     def make() -> Callable[[list], list]:
-        model = sent.value
+        model = arrived(sent)
 
         def work(texts: list) -> list:
             names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
