@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from menuloom.session import reliable_checkpoint
 
-from .common import map_texts, rewrite_texts, utf8
+from .common import arrived, map_texts, rewrite_texts, travelling, utf8
 from .language import held_out
 
 #: Labelled rows that are learnt from, about.
@@ -231,9 +231,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
     if not n:
         return Model(Lexicon({}), None, ([], []))
     part = int(min(1.0, sample / n) * (1 << 30))
-    few = known.where(F.pmod(F.xxhash64(F.lit("tox"), doc_id), F.lit(1 << 30)) < part)
-    # About ``sample`` rows of an id and a number: bounded, so it may be sent to all tasks.
-    rows = docs.select(doc_id, text).join(F.broadcast(few), doc_id).withColumn("__half", F.pmod(F.xxhash64(doc_id, F.lit("half")), F.lit(2)).cast("int"))
+    few = known.where(F.pmod(F.xxhash64(F.lit("tox"), doc_id), F.lit(1 << 30)) < part).limit(2 * sample)
+    # About ``sample`` rows of an id and a number: bounded, so it may be sent to all tasks. Of
+    # rows with one id the one whose text has the smallest hash stands for all.
+    rows = docs.select(doc_id, text).join(F.broadcast(few), doc_id).groupBy(doc_id, "__toxic").agg(F.min_by(text, F.xxhash64(text)).alias(text)).withColumn("__half", F.pmod(F.xxhash64(doc_id, F.lit("half")), F.lit(2)).cast("int"))
     rows = reliable_checkpoint(rows)
 
     def word_sets() -> Callable[[list], list]:
@@ -279,10 +280,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The columns ``keep`` with score and predicted; no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = travelling(docs.sparkSession, model)
 
     def make() -> Callable[[list], list]:
-        own = sent.value
+        own = arrived(sent)
 
         def work(texts: list) -> list:
             s = own.scores(texts)
@@ -302,5 +303,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", parts: int = 4, part: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score is below the threshold, unchanged."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, ~held_out(doc_id, parts, part), doc_id, text))
-    return rewrite_texts(docs, lambda: lambda texts: ([s < threshold for s in sent.value.scores(texts)], texts), text)
+    sent = travelling(docs.sparkSession, train(docs, labels, ~held_out(doc_id, parts, part), doc_id, text))
+
+    def make() -> Callable[[list], tuple[list, list]]:
+        own = arrived(sent)
+        return lambda texts: ([s < threshold for s in own.scores(texts)], texts)
+
+    return rewrite_texts(docs, make, text)
