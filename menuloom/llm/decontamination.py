@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from menuloom.session import reliable_checkpoint
 
-from .common import map_texts, rewrite_texts, utf8
+from .common import arrived, map_texts, rewrite_texts, travelling, utf8
 
 WINDOW = 13
 #: Most words of benchmark items in one automaton (about 250 bytes a word in a task).
@@ -181,7 +181,7 @@ class Automaton:
             for stop, size, found in self.scan(flat[begin:end]):
                 spans.append([begin - starts[d] + stop - size, begin - starts[d] + stop])
                 names.extend(found)
-        return [(n, merged(spans), sorted(set(names))) if spans else (n, spans, names) for n, spans, names in out]
+        return [(n, merged(spans), sorted(set(names) - {None})) if spans else (n, spans, names) for n, spans, names in out]
 
     def _runs(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """Stretches in which every word and pair of neighbours occurs in some item
@@ -226,7 +226,7 @@ def pieces(benchmark: DataFrame, item_id: str, text: str, window: int, shard_wor
                     yield pa.RecordBatch.from_pydict({"name": [name], "words": [b" ".join(piece)], "part": [part], "before": [before], "n": [len(piece)]})
                     before += len(piece)
 
-    items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(text).cast("string").alias("body")).where("name IS NOT NULL")
+    items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(text).cast("string").alias("body"))
     cut_up = reliable_checkpoint(items.mapInArrow(split, "name string, words binary, part long, before long, n long"))
     sums = sorted(cut_up.groupBy("part").agg(F.sum("n")).collect())  # one row a task
     starts = [0, *itertools.accumulate(n for _, n in sums)]
@@ -268,24 +268,24 @@ def benchmark_hits(
     """Rows (doc_id, n_words, spans, items): the merged spans of words inside an
     occurrence of a window, and the names of the items with occurring windows.
     ``sharded`` is what ``shards`` gave for the benchmark, if that is known already."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     fields = [StructField("n_words", LongType()), StructField("spans", ArrayType(SPAN)), StructField("items", ArrayType(StringType()))]
 
     def one(sent, frame: DataFrame) -> DataFrame:
         def make() -> Callable[[list], list]:
-            machine = sent.value
+            machine = arrived(sent)
             return lambda texts: [list(c) for c in zip(*((n, [{"start": a, "end": b} for a, b in s], i) for n, s, i in machine.hits(texts)))]
 
         return map_texts(frame, [doc_id], fields, make, text)
 
     count, machines = sharded or shards(benchmark, item_id, item_text, window, shard_words)
     if count <= 1:
-        return one(sc.broadcast(next(machines, None) or Automaton([], window)), docs)
+        return one(travelling(spark, next(machines, None) or Automaton([], window)), docs)
     # More than one pass: number the rows once, so that the passes can be united.
     numbered = reliable_checkpoint(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t"), F.monotonically_increasing_id().alias("__row")))
     parts = None
     for machine in machines:
-        sent = sc.broadcast(machine)
+        sent = travelling(spark, machine)
         found = one(sent, numbered.select(F.struct("__row", "__id").alias(doc_id), F.col("__t").alias(text)))
         found = found.select(doc_id, "n_words", F.when(F.size("spans") > 0, F.col("spans")).alias("spans"), "items")
         # The first pass has a row for each document, the others for those they hit.
@@ -322,7 +322,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     out of the text. Columns stay as they are; texts that nothing hits are untouched.
     With one shard of items it is one pass without a shuffle; with more, the spans
     of all passes are united first, as a document is judged on all of them."""
-    sc, pattern = docs.sparkSession.sparkContext, re.compile(_WORD_CHARS)
+    pattern = re.compile(_WORD_CHARS)
     count, machines = shards(benchmark, "item_id", "text", window, shard_words)
     if not count:
         return docs
@@ -337,10 +337,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
         return keep, new
 
     if count == 1:
-        sent = sc.broadcast(next(machines))
+        sent = travelling(docs.sparkSession, next(machines))
 
         def make() -> Callable[[list], tuple[list, list]]:
-            automaton = sent.value
+            automaton = arrived(sent)
             return lambda texts: judged(texts, [h[:2] for h in automaton.hits(texts)])
 
         return rewrite_texts(docs, make, text)

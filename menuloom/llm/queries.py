@@ -54,7 +54,7 @@ _ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 DECONTAMINATION_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LETTERS}, '{_ITEM_WORD}') AS w FROM documents),
- b AS (SELECT item_id, regexp_extract_all({_LETTERS}, '{_ITEM_WORD}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+ b AS (SELECT item_id, regexp_extract_all({_LETTERS}, '{_ITEM_WORD}') AS w FROM benchmark),
  windows AS (SELECT DISTINCT item_id, least(len(w), {decontamination.WINDOW}) AS n,
    array_to_string(w[i : i + least(len(w), {decontamination.WINDOW}) - 1], ' ') AS s
    FROM b, unnest(range(1, greatest(len(w) - {decontamination.WINDOW - 1}, 1) + 1)) AS t(i) WHERE len(w) > 0),
@@ -62,7 +62,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LETTER
  places AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)),
  hits AS (SELECT r, p.i, p.n, item_id FROM places p JOIN windows v ON p.n = v.n AND p.s = v.s),
  words AS (SELECT r, count(DISTINCT j) AS n_hit FROM hits, unnest(range(i, i + n)) AS t(j) GROUP BY r),
- items AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS l FROM hits GROUP BY r)
+ items AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR)) FILTER (WHERE item_id IS NOT NULL)) AS l FROM hits GROUP BY r)
 SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(l), 0) AS n_items,
  sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AND {decontamination.COVERAGE} * coalesce(n_hit, 0) >= len(w) AS contaminated
