@@ -15,8 +15,9 @@ a group of any size costs one row. A crowded cell is dealt into chunks of bounde
 and visitors into groups, so no task holds more than ``CHUNK`` by ``VISITORS`` rows, and
 it sends on numbers of links and a spanning forest, never all pairs.
 
-Cases: rows whose vector is null, empty, zero, of another length than most, or has null
-or non-finite components, and rows without a label or id, link with nothing; each row in gives
+Cases: rows whose vector is null, empty, zero, or has null or non-finite components, and rows
+without a label or id, link with nothing; vectors meet those of their own length only (the ``LENGTHS``
+commonest lengths have codebooks of their own, a rarer one has a single cell a label); each row in gives
 one row out, so a repeated id counts as another vector; an empty table gives no rows."""
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SAMPLE = 20_000
 #: Codewords of a half, at most; cells aim at ``PER_CELL`` vectors of a label.
 CODEWORDS = 128
 PER_CELL = 100
+#: Vector lengths with codebooks, at most.
+LENGTHS = 64
 CHUNK = 512
 VISITORS = 4096
 _SLACK = 1e-7
@@ -60,8 +63,8 @@ def unit_rows(values: list, size: int) -> tuple[np.ndarray, np.ndarray]:
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """k codewords by Lloyd's rounds, started from spread rows of the sample."""
     k = min(k, len(x))
-    if not k:
-        return np.zeros((0, x.shape[1]))
+    if not k or not x.shape[1]:
+        return np.zeros((1, x.shape[1]))
     words = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
         near = nearest(x, words)
@@ -120,10 +123,8 @@ def near_vectors(
     """Rows (vec_id, n_links, component_id, kept), one per row of ``vectors``."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"), F.col(label).cast("string").alias("label"))
-    size = rows.where("e IS NOT NULL").groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    size = size["n"] if size else 0
     fit = rows.where(
-        (F.size("e") == size) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+        (F.size("e") > 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
         & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0)
     )
     # -0.0 and 0.0 are one value here.
@@ -136,21 +137,28 @@ def near_vectors(
     labels = classes.select("label").distinct().count()
     k = int(min(CODEWORDS, max(2, (n / labels / PER_CELL) ** 0.5 + 1)))
     part = classes.where(F.abs(F.xxhash64("rep")) % 1_000_000 < int(1_000_000 * min(1.0, sample / n)) + 1).select("rep", "e").limit(2 * sample).toPandas().sort_values("rep")
-    x, good = unit_rows(list(part["e"]), size)
-    x = x[good] if good.any() else np.eye(1, size)
-    books = spark.sparkContext.broadcast((codebook(x[:, : size // 2], k), codebook(x[:, size // 2 :], k)))
+    lengths = part["e"].map(len)
+    trained = {}
+    for size in lengths.value_counts().index[:LENGTHS]:
+        x, good = unit_rows(list(part["e"][lengths == size]), size)
+        x = x[good] if good.any() else np.eye(1, size)
+        trained[int(size)] = codebook(x[:, : size // 2], k), codebook(x[:, size // 2 :], k)
+    books = spark.sparkContext.broadcast(trained)
     limit = (2 - 2 * threshold) * radius**2 + _SLACK
 
     def visit(frames):
-        one, two = books.value
         for frame in frames:
-            for start in range(0, len(frame), 2048):
-                f = frame.iloc[start : start + 2048]
-                x, _ = unit_rows(list(f["e"]), size)
-                at, cell, own = traverse(x, one, two, limit)
-                yield pd.DataFrame({"rep": f["rep"].to_numpy()[at], "label": f["label"].to_numpy()[at], "cell": cell, "home": cell == own[at]})
-
-    visits = reliable_checkpoint(classes.mapInPandas(visit, "rep long, label string, cell long, home boolean"))
+            for size, same in frame.groupby(frame["e"].map(len)):
+                one, two = books.value.get(size) or (np.zeros((1, size // 2)), np.zeros((1, size - size // 2)))
+                for start in range(0, len(same), 2048):
+                    f = same.iloc[start : start + 2048]
+                    x, _ = unit_rows(list(f["e"]), size)
+                    at, cell, own = traverse(x, one, two, limit)
+                    yield pd.DataFrame({"rep": f["rep"].to_numpy()[at], "label": f["label"].to_numpy()[at], "cell": cell, "home": cell == own[at]})
+
+    # Lengths never meet, so cells are those of a length and a label.
+    placed = F.concat_ws(":", F.size("e").cast("string"), "label").alias("label")
+    visits = reliable_checkpoint(classes.select("rep", "e", placed).mapInPandas(visit, "rep long, label string, cell long, home boolean"))
     cells = visits.groupBy("label", "cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("visits"))
     cells = cells.where("homes > 0 AND visits > 1").select(
         "label", "cell", F.ceil(F.col("homes") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("visits") / VISITORS).cast("int").alias("groups"),
@@ -165,7 +173,7 @@ def near_vectors(
         home = rows.column("home").to_numpy(zero_copy_only=False)
         ids, copies = rows.column("rep").to_numpy(), rows.column("copies").to_numpy()
         e = rows.column("e").combine_chunks()
-        x, _ = unit_rows(list(e.values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)), size)
+        x, _ = unit_rows(list(e.values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)), len(e.values) // max(1, len(ids)))
         h, v = np.flatnonzero(home), np.flatnonzero(~home)
         out_id, out_links, out_a, out_b = [], [], [], []
         if len(h) and len(v):
