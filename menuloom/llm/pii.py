@@ -4,8 +4,8 @@ confirm them, and words nearby raise or lower a score.
 Base kinds (email, ip, card, phone) are leftmost, non-overlapping matches per kind;
 a match that its check refuses is dropped without another try, and one that passes
 stays whatever its score. Further kinds stand only if their score reaches
-``THRESHOLD``: iban (mod-97 confirms it) and national_id (a written number that only
-words nearby can confirm). An iban may be followed by capital words or numbers: it ends
+``THRESHOLD``: iban (mod-97 confirms it, so no word nearby speaks against it) and national_id (a
+written number that only words nearby can confirm). An iban may be followed by capital words or numbers: it ends
 where its country's fixed length says or, for codes without one, at the last end
 between two words that mod-97 confirms; the search goes on after it, or else just after the
 failed start.
@@ -56,18 +56,25 @@ IBAN_LENGTH = {
 
 # Context words that make a kind likelier or less likely (fixed values).
 FOR = {
-    "email": ("mail", "contact", "write", "schreib", "correo", "courriel"),
+    "email": ("mail", "email", "contact", "write", "schreib", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address", "login", "connect"),
-    "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "pay", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "anruf", "appel", "llama"),
-    "iban": ("iban", "account", "bank", "konto", "compte", "cuenta", "transfer"),
+    "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "pay", "payment", "karte", "carte", "tarjeta"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax", "cell", "anruf", "appel", "llama"),
+    "iban": ("iban", "account", "bank", "konto", "bankkonto", "compte", "cuenta", "transfer"),
     "national_id": ("ssn", "social security", "national id", "tax id", "taxpayer"),
 }
+# Words count whole, also with an s at the end. Those against weigh on kinds only that no checksum has confirmed.
 AGAINST = ("version", "release", "isbn", "order", "invoice", "build", "part no", "example", "serial")
 # What a span scores before the words nearby are looked at.
 START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "national_id": 0.5}
 
 
+#: Kinds whose spans have passed a checksum.
+CONFIRMED = ("card", "iban")
+_whole = lambda words: re.compile(rf"(?<!\w)(?:{'|'.join(words)})s?(?!\w)")
+_FOR, _AGAINST = {kind: _whole(words) for kind, words in FOR.items()}, _whole(AGAINST)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -146,9 +153,9 @@ def score(text: str, kind: str, start: int, end: int) -> float:
     """Between 0 and 1: what the kind starts with, raised or lowered by words nearby."""
     near = f"{text[max(0, start - NEARBY) : start]} {text[end : end + NEARBY]}".lower()
     value = START[kind]
-    if any(w in near for w in FOR[kind]):
+    if _FOR[kind].search(near):
         value += 0.3
-    if any(w in near for w in AGAINST):
+    if kind not in CONFIRMED and _AGAINST.search(near):
         value -= 0.25
     return min(1.0, max(0.0, value))
 
