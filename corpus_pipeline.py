@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from menuloom.llm import decontamination, minhash, mixing, pii, toxicity
+from menuloom.llm import common, decontamination, minhash, mixing, pii, toxicity
 from menuloom.session import shared_dir
 
 
@@ -54,10 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on ``documents``, each written to the shared folder and read again."""
+    """The stages on ``documents``, each written to the shared folder and read
+    again; a stage's table goes once the next one is there."""
     docs = _table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            common.remove_folder(spark, f"{folder}/{before}")
+        before = name
     return docs
