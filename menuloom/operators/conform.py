@@ -10,6 +10,7 @@ from ..functions.let import let
 from ..functions.text import strip_space
 from ..schema import Record, Rule
 from ..session import reliable_checkpoint
+from .groups import join_keys
 
 CODE = "schema_violation"
 # Words taken as booleans, whatever their case.
@@ -189,7 +190,7 @@ def flat_schema_issues(df: DataFrame, keys: list[str], json: str, record: Record
 
 def conforming(df: DataFrame, issues: DataFrame, keys: list[str]) -> DataFrame:
     """Records without any violation; only these go on to the other rules."""
-    return df.join(issues.select(*keys).distinct(), keys, "left_anti")
+    return join_keys(df, issues.select(*keys).distinct(), keys, "left_anti")
 
 
 def gate(df: DataFrame, stage: str, required: list[str]) -> tuple[DataFrame, DataFrame]:

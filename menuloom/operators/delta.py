@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import normalize_name
 from ..session import broadcast_if_small
-from .groups import number_rows
+from .groups import join_keys, number_rows
 
 # Bookkeeping fields no diff reports, fields a patch may write, and
 # profile fields that have a provenance of their own.
@@ -49,8 +49,8 @@ def table_diff(
 ) -> DataFrame:
     """(keys, field, op, old_value, new_value). An added or removed row is one
     line with the whole row as JSON and a null field; a changed row gives one line
-    per changed field. One full outer join on a unique key: no key repeats, so
-    the shuffle is even."""
+    per changed field. One full outer join on a unique key (``repeated_keys`` lists those
+    that are not), so the shuffle is even; a null key part equals a null one."""
     keys = list(keys)
     chosen = list(fields) if fields is not None else [
         c for c in current.columns if c not in keys and c not in IGNORED_FIELDS
@@ -76,10 +76,18 @@ def table_diff(
         .when(F.col("_new").isNull(), F.array(line(None, REMOVED, F.to_json("_old"), None)))
         .otherwise(F.array(*changes))
     )
-    exploded = old.join(new, keys, "full_outer").select(*keys, F.explode(lines).alias("_d"))
+    exploded = join_keys(old, new, keys, "full_outer").select(*keys, F.explode(lines).alias("_d"))
     return exploded.filter(F.col("_d").isNotNull()).select(*keys, "_d.*")
 
 
+def repeated_keys(current: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, in_current, in_target) of keys that a side holds more than once. Their rows cannot
+    be paired; tell them apart (``with_natural_key``) before a diff. Only keys are shuffled."""
+    sides = current.select(*keys, F.lit(True).alias("_old")).unionByName(target.select(*keys, F.lit(False).alias("_old")))
+    counted = sides.groupBy(*keys).agg(F.count_if("_old").alias("in_current"), F.count_if(~F.col("_old")).alias("in_target"))
+    return counted.filter("in_current > 1 OR in_target > 1")
+
+
 def touched_keys(delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys the delta adds or changes; a removed row has nothing left to check."""
     return delta.filter(F.col("op").isin(ADDED, CHANGED)).select(*keys).distinct()
@@ -91,7 +99,7 @@ def scoped_issues(issues: DataFrame, touched: DataFrame | None, keys: Sequence[s
     if touched is None:
         return issues
     keys = list(keys)
-    owned = issues.filter(F.col(keys[-1]).isNotNull()).join(touched, keys, "left_semi")
+    owned = join_keys(issues.filter(F.col(keys[-1]).isNotNull()), touched, keys, "left_semi")
     return owned.unionByName(issues.filter(F.col(keys[-1]).isNull()))
 
 
@@ -102,7 +110,7 @@ def scoped_report(records: DataFrame, issues: DataFrame, touched: DataFrame | No
 
     full = outcome_per_record(records, issues, [entity])
     shown = scoped_issues(issues, touched, keys).groupBy(entity).agg(F.count(F.lit(1)).alias("reported_issues"))
-    return full.join(shown, entity, "left").withColumn("reported_issues", F.coalesce("reported_issues", F.lit(0)).cast("long"))
+    return join_keys(full, shown, [entity], "left").withColumn("reported_issues", F.coalesce("reported_issues", F.lit(0)).cast("long"))
 
 
 def with_provenance(
@@ -111,9 +119,8 @@ def with_provenance(
 ) -> DataFrame:
     """Snapshots each change was read from: the row's own, else the profile's for
     the four profile fields, none for a removal. Both tables are unique per key."""
-    joined = delta.join(row_refs.select(*keys, F.col(refs).alias("_row")), list(keys), "left").join(
-        profile_refs.select(entity, F.col(refs).alias("_profile")), entity, "left"
-    )
+    own = join_keys(delta, row_refs.select(*keys, F.col(refs).alias("_row")), keys, "left")
+    joined = join_keys(own, profile_refs.select(entity, F.col(refs).alias("_profile")), [entity], "left")
     none = F.array().cast("array<string>")
     found = (
         F.when(F.col("op") == REMOVED, none)
@@ -136,8 +143,8 @@ def patch_rows(current: DataFrame, target: DataFrame, delta: DataFrame, keys: Se
     broadcast and untouched rows are not shuffled, else both sides are."""
     keys = list(keys)
     ops = broadcast_if_small(one_op_per_key(delta, keys))
-    kept = current.join(ops.select(*keys), keys, "left_anti")
-    put = target.join(ops.filter(~F.col("is_removed")).select(*keys), keys, "left_semi")
+    kept = join_keys(current, ops.select(*keys), keys, "left_anti")
+    put = join_keys(target, ops.filter(~F.col("is_removed")).select(*keys), keys, "left_semi")
     return kept.unionByName(put)
 
 
@@ -149,10 +156,10 @@ def patch_fields(
     keys, present = list(keys), [f for f in fields if f in current.columns]
     named = delta.filter(F.col("field").isin(*present))
     touched = named.groupBy(*keys).agg(*[F.bool_or(F.col("field") == f).alias(f"_t_{f}") for f in present])
-    values = target.join(touched, keys, "inner").select(
+    values = join_keys(target, touched, keys).select(
         *keys, *[f"_t_{f}" for f in present], *[F.col(f).alias(f"_v_{f}") for f in present]
     )
-    joined = current.join(values, keys, "left")
+    joined = join_keys(current, values, keys, "left")
     return joined.select(
         *[
             F.when(F.col(f"_t_{c}"), F.col(f"_v_{c}")).otherwise(F.col(c)).alias(c) if c in present else F.col(c)

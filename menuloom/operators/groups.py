@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..session import HOT_GROUP_ROWS_CONF, HOT_GROUP_ROWS_DEFAULT, broadcast_if_small, int_conf, reliable_checkpoint
 
 CHUNK = "chunk_no"
+# Stands for no hold where a release is asked for.
+_FREE = -(1 << 62)
 
 
 def hot_limit(df: DataFrame) -> int:
@@ -64,6 +66,19 @@ def by_group_size(
     return out.unionByName(chunked(with_chunks(hot, keys, order)).drop(CHUNK))
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on key columns of both sides where a null key part equals a null one. Catalyst
+    still sees an equality join. The keys come out once."""
+    keys = list(keys)
+    other = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    joined = left.join(other, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    if how == "full_outer":
+        joined = joined.withColumns({k: F.coalesce(k, f"_k_{k}") for k in keys})
+    return joined.drop(*[f"_k_{k}" for k in keys])
+
+
 def _join_back(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on the keys and the chunk; a null key is a key like any other."""
     on = [*keys, CHUNK]
@@ -147,10 +162,12 @@ def hold_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str
     hold, holder = 1) and ``holder_ts``. ``ts`` and ``release`` are integers and
     ``order`` starts with ``ts``.
 
-    For a hot key each chunk first reports how it would leave for every time it
-    may be entered at (a step function, equal neighbours merged); the steps are
-    then followed chunk by chunk, and each chunk is marked with the hold it was
-    really entered with."""
+    A hot key is never one task's. Each chunk tells with which releases it may be left; these
+    few (the holds in force at its end) are the ways in which later chunks may be entered. What
+    follows from each way is worked out within its chunk, which gives pointers from release to
+    release. Those that really happen start at the key's first row and are found by doubling
+    the pointers, in as many rounds as the number of chunks has binary digits. Last, each chunk
+    is marked with the hold it was really entered with."""
     order = list(order)
     added = [
         T.StructField("is_holder", T.BooleanType()),
@@ -170,67 +187,87 @@ def hold_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str
         return rows.groupBy(*keys).applyInPandas(mark, plain_schema)
 
     def chunked(rows: DataFrame) -> DataFrame:
-        key_fields = [rows.schema[k] for k in keys]
-        longs = T.ArrayType(T.LongType())
-        steps_schema = T.StructType(
-            [*key_fields, T.StructField(CHUNK, T.IntegerType()), T.StructField("last_ts", T.LongType()),
-             T.StructField("n", T.LongType()), T.StructField("enter_upto", longs),
-             T.StructField("leave", longs), T.StructField("leave_ts", longs), T.StructField("leave_rank", longs)]
+        keys_, limit = list(keys), max(hot_limit(df), 1)
+        place = [*[rows.schema[k] for k in keys_], T.StructField(CHUNK, T.IntegerType())]
+        longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+        narrow = rows.select(*dict.fromkeys([*keys_, CHUNK, *order, ts, release]))
+
+        def chains(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Times, releases, and for each row the last holder within the chunk if it takes the hold."""
+            t, r = arrays(pdf.sort_values(order, kind="stable"))
+            follow, last = _next_holder(t, r), np.arange(len(t))
+            for i in range(len(t) - 1, -1, -1):
+                if follow[i] < len(t):
+                    last[i] = last[follow[i]]
+            return t, r, last
+
+        def ways_out(pdf: pd.DataFrame) -> pd.DataFrame:
+            t, r, last = chains(pdf)
+            out = np.unique(r[np.unique(last)])
+            return pd.DataFrame({**{c: pdf[c].iloc[0] for c in [*keys_, CHUNK]}, "until": out, "last_ts": t[-1], "n": len(t)}, index=range(len(out)))
+
+        left = reliable_checkpoint(narrow.groupBy(*keys_, CHUNK).applyInPandas(ways_out, T.StructType([*place, *longs("until", "last_ts", "n")])))
+        by_chunk = Window.partitionBy(*keys_).orderBy(CHUNK)  # one row per chunk
+        chunks = left.select(*keys_, CHUNK, "last_ts", "n").distinct().withColumn("_from", F.lag("last_ts").over(by_chunk)).withColumn(
+            "_before", F.coalesce(F.sum("n").over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         )
-        entry_schema = T.StructType(
-            [*key_fields, T.StructField(CHUNK, T.IntegerType()), T.StructField("busy_until", T.LongType()),
-             T.StructField("carried_ts", T.LongType()), T.StructField("carried_rank", T.LongType())]
+        chunks = reliable_checkpoint(chunks)
+        bounds = broadcast_if_small(chunks.filter("_from IS NOT NULL").select(*[F.col(k).alias(f"_b_{k}") for k in keys_], F.col(CHUNK).alias("_to"), "_from", F.col("last_ts").alias("_upto")))
+
+        def entered(releases: DataFrame, until: str) -> DataFrame:
+            """The chunk that holds the first row at or after a release; none at the key's end."""
+            same = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys_]
+            return releases.join(bounds, [*same, F.col(until) > F.col("_from"), F.col(until) <= F.col("_upto")])
+
+        # A key's first chunk is entered freely, which is no release at all.
+        free = chunks.filter("_from IS NULL").select(*keys_, CHUNK, F.lit(_FREE).alias("until"))
+        ways = entered(left.select(*keys_, "until").distinct(), "until").select(*keys_, F.col("_to").alias(CHUNK), "until").unionByName(free)
+        parts = ways.groupBy(*keys_, CHUNK).agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("_parts"))
+        dealt = join_keys(ways, parts, [*keys_, CHUNK]).withColumn("_part", F.pmod(F.xxhash64("until"), F.col("_parts")).cast("int"))
+        copies = join_keys(narrow, parts, [*keys_, CHUNK]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+
+        def ways_through(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            until = asked["until"].to_numpy("int64")
+            if not len(until):
+                return pd.DataFrame({f.name: [] for f in found.fields})
+            t, r, last = chains(pdf)
+            at = last[np.searchsorted(t, until, side="left")]
+            return pd.DataFrame({**{c: asked[c].iloc[0] for c in [*keys_, CHUNK]}, "until": until, "leave": r[at], "leave_ts": t[at], "leave_pos": at}, index=range(len(until)))
+
+        found = T.StructType([*place, *longs("until", "leave", "leave_ts", "leave_pos")])
+        # Names of their own, as both sides come from one table.
+        sides = [x.drop("_parts").select(*[F.col(c).alias(c) for c in x.columns if c != "_parts"]).groupBy(*keys_, CHUNK, "_part") for x in (copies, dealt)]
+        through = reliable_checkpoint(sides[0].cogroup(sides[1]).applyInPandas(ways_through, found))
+        steps = reliable_checkpoint(entered(through.select(*keys_, "until", "leave"), "leave").select(*keys_, "until", F.col("leave").alias("_next")))
+        real, known = free.select(*keys_, "until"), 0
+        while (count := real.count()) > known:
+            known = count
+            further = join_keys(real, steps, [*keys_, "until"]).select(*keys_, F.col("_next").alias("until"))
+            real = reliable_checkpoint(real.unionByName(further).distinct())
+            twice = steps.select(*keys_, F.col("until").alias("_first"), F.col("_next").alias("until"))
+            steps = reliable_checkpoint(join_keys(twice, steps, [*keys_, "until"]).select(*keys_, F.col("_first").alias("until"), "_next"))
+
+        happened = join_keys(through, real, [*keys_, "until"], "left_semi").select(*keys_, CHUNK, "leave", "leave_ts", "leave_pos")
+        held = join_keys(chunks, happened, [*keys_, CHUNK], "left").withColumn(
+            "_hold", F.when(F.col("leave").isNotNull(), F.struct("leave", "leave_ts", (F.col("_before") + F.col("leave_pos")).alias("pos")))
+        )
+        carried = held.withColumn("_hold", F.last("_hold", ignorenulls=True).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)))
+        entries = carried.select(
+            *keys_, CHUNK, F.col("_hold.leave").alias("busy_until"), F.col("_hold.leave_ts").alias("carried_ts"),
+            F.coalesce(F.col("_before") - F.col("_hold.pos"), F.lit(0)).alias("carried_rank"),
         )
-
-        def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable")
-            t, r = arrays(pdf)
-            follow, n = _next_holder(t, r), len(t)
-            last = np.arange(n)
-            for i in range(n - 1, -1, -1):
-                if follow[i] < n:
-                    last[i] = last[follow[i]]
-            # Entering no later than t[i] makes i (or an equal earlier row) the first holder.
-            ends = np.append(np.nonzero(last[1:] != last[:-1])[0], n - 1)
-            head = pdf.iloc[0]
-            return pd.DataFrame(
-                [{**{k: head[k] for k in keys}, CHUNK: head[CHUNK], "last_ts": t[-1], "n": n,
-                  "enter_upto": t[ends].tolist(), "leave": r[last[ends]].tolist(),
-                  "leave_ts": t[last[ends]].tolist(), "leave_rank": (n - last[ends]).tolist()}]
-            )
-
-        def follow_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-            out, until, held, rank = [], None, None, 0
-            for row in pdf.sort_values(CHUNK).itertuples(index=False):
-                out.append({**{k: getattr(row, k) for k in keys}, CHUNK: getattr(row, CHUNK),
-                            "busy_until": until, "carried_ts": held, "carried_rank": rank})
-                if until is not None and row.last_ts < until:
-                    rank += row.n
-                    continue
-                at = 0 if until is None else int(np.searchsorted(row.enter_upto, until, side="left"))
-                until, held, rank = int(row.leave[at]), int(row.leave_ts[at]), int(row.leave_rank[at])
-            done = pd.DataFrame(out)
-            return done.astype({"busy_until": "Int64", "carried_ts": "Int64"})
 
         def mark(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(order, kind="stable")
-            head = pdf.iloc[0]
-            until = None if pd.isna(head["busy_until"]) else int(head["busy_until"])
-            held = None if pd.isna(head["carried_ts"]) else int(head["carried_ts"])
-            rank = int(head["carried_rank"])
+            head = pdf[["busy_until", "carried_ts", "carried_rank"]].iloc[0]
+            until, held = (None if pd.isna(v) else int(v) for v in head[:2])
             pdf = pdf.drop(columns=["busy_until", "carried_ts", "carried_rank"])
-            return _marked(pdf, *arrays(pdf), until, rank, held)
-
-        # One row per chunk goes to a key's task here, never the key's own rows.
-        entries = (
-            rows.select(*keys, CHUNK, *order, *[c for c in (ts, release) if c not in order])
-            .groupBy(*keys, CHUNK)
-            .applyInPandas(steps, steps_schema)
-            .groupBy(*keys)
-            .applyInPandas(follow_chunks, entry_schema)
-        )
+            return _marked(pdf, *arrays(pdf), until, int(head.iloc[2]), held)
+
+        # Times that may be null go through pandas as text; as numbers they would be rounded.
+        told = entries.withColumn("busy_until", F.col("busy_until").cast("string")).withColumn("carried_ts", F.col("carried_ts").cast("string"))
         schema = T.StructType([*rows.schema.fields, *added])
-        return _join_back(rows, entries, keys).groupBy(*keys, CHUNK).applyInPandas(mark, schema)
+        return _join_back(rows, told, keys).groupBy(*keys, CHUNK).applyInPandas(mark, schema)
 
     return by_group_size(df, keys, order, plain, chunked)
 
@@ -245,12 +282,11 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], siz
     limit = hot_limit(rows)
     hot = facts.filter(F.col(size) > limit)
     if hot.isEmpty():
-        return rows.join(facts, list(keys), how)  # facts of null keys are never joined
+        return join_keys(rows, facts, keys, how)
     hot = broadcast_if_small(hot)
-    on_hot = rows.join(hot, list(keys), "inner")
-    rest = rows.join(hot.select(*keys), list(keys), "left_anti").join(
-        facts.filter(F.col(size) <= limit), list(keys), how
-    )
+    on_hot = join_keys(rows, hot, keys)
+    cold = join_keys(rows, hot.select(*keys), keys, "left_anti")
+    rest = join_keys(cold, facts.filter(F.col(size) <= limit), keys, how)
     return on_hot.unionByName(rest)
 
 

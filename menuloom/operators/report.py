@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from . import corrections, rules
-from .groups import top_of_group
+from .groups import join_keys, top_of_group
 
 MESSAGES_SHOWN = 5
 
@@ -21,19 +21,19 @@ def outcome_per_record(
     records: DataFrame, issues: DataFrame, keys: Sequence[str], log: DataFrame | None = None
 ) -> DataFrame:
     """Errors, warnings, issue count and validity of every record; a record
-    without issues shows zeros. Warnings never make a record invalid."""
+    without issues shows zeros; issues of a null key are those of the records without one. Warnings never make a record invalid."""
     keys = list(keys)
     counted = issues.groupBy(*keys).agg(
         F.count_if(F.col("severity") == rules.ERROR).alias("errors"),
         F.count_if(F.col("severity") == rules.WARNING).alias("warnings"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    out = records.select(*keys).join(counted, keys, "left").select(
+    out = join_keys(records.select(*keys), counted, keys, "left").select(
         *keys, zero("errors").alias("errors"), zero("warnings").alias("warnings")
     ).withColumn("issue_count", F.col("errors") + F.col("warnings")).withColumn("is_valid", F.col("errors") == 0)
     if log is not None:
         fixes = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("corrected_fields"))
-        out = out.join(fixes, keys, "left").withColumn("corrected_fields", zero("corrected_fields"))
+        out = join_keys(out, fixes, keys, "left").withColumn("corrected_fields", zero("corrected_fields"))
     return out
 
 

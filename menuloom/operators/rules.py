@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.let import let
 from ..functions.text import normalize_name
-from .groups import join_group_facts
+from .groups import join_group_facts, join_keys
 
 ERROR, WARNING = "error", "warning"
 
@@ -207,12 +207,13 @@ def undeclared_by_word_table(
 
 
 def duplicate_groups(dishes: DataFrame, scope: Sequence[str], name: str = "name") -> DataFrame:
-    """(scope, name_key, copies) of every normalised name used twice or more.
+    """(scope, name_key, copies) of every normalised name used twice or more. A null part of
+    the scope is a scope like any other; rows without a name are no duplicates.
     Counts combine map-side, so a name held by a third of all rows is cheap."""
     return (
         dishes.groupBy(*scope, normalize_name(F.col(name)).alias("name_key"))
         .agg(F.count(F.lit(1)).alias("copies"))
-        .filter(F.col("copies") >= 2)
+        .filter((F.col("copies") >= 2) & F.col("name_key").isNotNull())
     )
 
 
@@ -246,7 +247,7 @@ def restaurant_issues(
 
     facts = restaurants.select(key)
     for df, name in ((locations, "_locations"), (menus, "_menus"), (dish_keys, "_dishes")):
-        facts = facts.join(counts(df, name), key, "left")
+        facts = join_keys(facts, counts(df, name), [key], "left")
     none = lambda c: F.col(c).isNull()
     found = F.array(
         issue(none("_locations"), F.lit("locations"), "missing_locations", WARNING, F.lit("Restaurant has no locations.")),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.conform import flat_schema_issues
+from ..operators.groups import join_keys
 from ..schema import UPLOAD_ITEM, UPLOAD_RECORD
 
 
@@ -36,7 +37,7 @@ def upload_items(uploads: DataFrame, batch: str = "batch_id", body: str = "body"
         batch, "pos", F.to_json("_v").alias("_json")
     )
     issues = flat_schema_issues(items, [batch, "pos"], "_json", UPLOAD_RECORD).select(batch, "pos", "field_path", "message")
-    good = items.join(issues.select(batch, "pos").distinct(), [batch, "pos"], "left_anti")
+    good = join_keys(items, issues.select(batch, "pos").distinct(), [batch, "pos"], "left_anti")
     typed = good.withColumn("_i", F.from_json("_json", UPLOAD_ITEM)).select(batch, "pos", "_i.*")
     return typed, refused.unionByName(issues)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import delta, listing, rules, tree
+from ..operators import delta, leaves, listing, rules, tree
 from .base import Tables, query, sql_collapse, with_dishes
 from .validation import KEYS, _RULES
 
@@ -234,6 +234,69 @@ def table_diff(t: Tables):
     return _delta(t)
 
 
+_NULL_KEYS = f"""{_VERSIONS},
+cut AS (SELECT CASE WHEN k % 50 = 0 THEN NULL ELSE k % 50 END AS part, k // 50 AS place, price FROM cur),
+cut2 AS (SELECT CASE WHEN k % 50 = 0 THEN NULL ELSE k % 50 END AS part, k // 50 AS place, price FROM tgt)"""
+
+
+@query("d01_null_keys", f"""WITH {_NULL_KEYS}
+SELECT coalesce(a.part, b.part, -1) AS part, coalesce(a.place, b.place) AS place,
+  CASE WHEN b.place IS NULL THEN 'removed' WHEN a.place IS NULL THEN 'added' ELSE 'changed' END AS op
+FROM cut a FULL JOIN cut2 b ON a.part IS NOT DISTINCT FROM b.part AND a.place = b.place
+WHERE a.place IS NULL OR b.place IS NULL OR a.price <> b.price""")
+def null_keys(t: Tables):
+    """A null key part is a key like any other."""
+    k = F.col("p_partkey")
+    current, target = (v.select(F.when(k % 50 != 0, k % 50).alias("part"), F.floor(k / 50).alias("place"), "price") for v in _versions(t))
+    return delta.table_diff(current, target, ["part", "place"], ["price"]).select(F.coalesce("part", F.lit(-1)).alias("part"), "place", "op")
+
+
+# Customers with their orders and lines as one nested row each, and a second version of them.
+_TREES = """
+cust AS (SELECT c_custkey AS k, c_name, c_nationkey::VARCHAR AS c_phone, c_mktsegment FROM customer),
+ords AS (SELECT o_custkey AS k, o_orderkey AS o, o_orderstatus AS st, o_orderpriority AS pr, o_totalprice::DECIMAL(12,2)::VARCHAR AS price FROM orders),
+lins AS (SELECT o_custkey AS k, l_orderkey AS o, l_linenumber AS l, sum(l_quantity::BIGINT)::BIGINT AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+live AS (SELECT k FROM cust WHERE k % 17 <> 0),
+kept AS (SELECT ords.* FROM ords JOIN live USING (k) WHERE o % 11 <> 0)"""
+
+
+@query("d01_leaf_diff", f"""WITH {_TREES}
+SELECT k AS c_custkey, NULL::VARCHAR AS path, 'removed' AS op, NULL::VARCHAR AS old_value, NULL::VARCHAR AS new_value, 1::BIGINT AS copies FROM cust WHERE k % 17 = 0
+UNION ALL SELECT k, 'profile.contact.phone', 'changed', c_phone, 'n' || c_phone, 1 FROM cust JOIN live USING (k) WHERE k % 4 = 0
+UNION ALL SELECT k, 'profile.segment', 'changed', c_mktsegment, NULL, 1 FROM cust JOIN live USING (k) WHERE k % 6 = 0
+UNION ALL SELECT k, 'orders[id=' || o || ']', 'removed', NULL, NULL, 1 FROM ords JOIN live USING (k) WHERE o % 11 = 0
+UNION ALL SELECT k, 'orders[id=' || o || '].status', 'changed', st, st || '!', 1 FROM kept WHERE o % 7 = 0
+UNION ALL SELECT k, 'orders[id=' || o || '].marks[]', 'removed', st, NULL, 1 FROM kept WHERE o % 3 = 0
+UNION ALL SELECT k, 'orders[id=' || o || '].marks[]', 'added', NULL, 'new', 2 FROM kept WHERE o % 5 = 0
+UNION ALL SELECT k, 'orders[id=' || o || '].lines[id=' || l || ']', 'removed', NULL, NULL, 1 FROM lins JOIN kept USING (k, o) WHERE (o + l) % 13 = 0
+UNION ALL SELECT k, 'orders[id=' || o || '].lines[id=' || l || '].qty', 'changed', qty::VARCHAR, (qty + 1)::VARCHAR, 1 FROM lins JOIN kept USING (k, o) WHERE (o + l) % 13 <> 0 AND (o + l) % 5 = 0""")
+def nested_leaf_diff(t: Tables):
+    """Leaves at four depths, lists in another order and with repeats. The JSON of whole items is left out."""
+    o, l, k = F.col("o"), F.col("l"), F.col("c_custkey")
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l")).agg(F.sum(F.col("l_quantity").cast("long")).alias("qty"))
+
+    def trees(lines, orders, customers, down: bool):
+        inner = lines.groupBy("o").agg(F.sort_array(F.collect_list(F.struct(l.alias("id"), "qty")), not down).alias("lines"))
+        full = orders.join(inner, "o", "left").groupBy("c_custkey").agg(F.sort_array(F.collect_list(F.struct(o.alias("id"), "status", "marks", "lines")), not down).alias("orders"))
+        return customers.join(full, "c_custkey", "left")
+
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    orders = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("o"), status.alias("status"), F.array(status, status, priority).alias("marks"))
+    profile = lambda phone, segment: F.struct(F.col("c_name").alias("name"), F.struct(phone.alias("phone")).alias("contact"), segment.alias("segment")).alias("profile")
+    phone, segment = F.col("c_nationkey").cast("string"), F.col("c_mktsegment")
+    current = trees(lines, orders, t.customer.select(k, profile(phone, segment)), False)
+    marks = F.concat(
+        F.array(F.element_at("marks", 3), F.element_at("marks", 1)), F.when(o % 3 != 0, F.slice("marks", 2, 1)).otherwise(F.array().cast("array<string>")),
+        F.when(o % 5 == 0, F.array(F.lit("new"), F.lit("new"))).otherwise(F.array().cast("array<string>")),
+    )
+    changed = orders.filter(o % 11 != 0).select("c_custkey", o, F.when(o % 7 == 0, F.concat("status", F.lit("!"))).otherwise(F.col("status")).alias("status"), marks.alias("marks"))
+    fewer = lines.filter((o + l) % 13 != 0).withColumn("qty", F.when((o + l) % 5 == 0, F.col("qty") + 1).otherwise(F.col("qty")))
+    people = t.customer.filter(k % 17 != 0).select(k, profile(F.when(k % 4 == 0, F.concat(F.lit("n"), phone)).otherwise(phone), F.when(k % 6 != 0, segment)))
+    found = leaves.leaf_diff(current, trees(fewer, changed, people, True), ["c_custkey"])
+    whole = F.col("path").isNull() | (F.col("path").endswith("]") & ~F.col("path").endswith("[]"))
+    return found.select("c_custkey", "path", "op", *[F.when(~whole, F.col(c)).alias(c) for c in ("old_value", "new_value")], "copies")
+
+
 _NAT = f"""keyed AS (SELECT *, lower({sql_collapse('name')}) AS name_key FROM dishes),
 cur AS (SELECT restaurant_id, menu_pos, name_key, row_number() OVER (PARTITION BY restaurant_id, menu_pos, name_key ORDER BY dish_id) AS occurrence, price FROM keyed),
 tgt AS (SELECT restaurant_id, menu_pos, name_key, row_number() OVER (PARTITION BY restaurant_id, menu_pos, name_key ORDER BY dish_id) AS occurrence,

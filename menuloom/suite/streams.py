@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import attempts as limits
+from ..session import HOT_GROUP_ROWS_CONF
 from ..streaming import jobs
 from .base import Tables, query
 from .work import RUN_SQL, run_events
@@ -95,6 +98,26 @@ def refresh_limits_stream(t: Tables):
     return t.spark.read.parquet(jobs.drain(jobs.limit_refreshes(_attempts(_streams(t))))).select("attempt_id", "allowed")
 
 
+@contextmanager
+def _all_hot(t: Tables, rows: int):
+    """Every key with more rows than this takes the path of groups too large for a task."""
+    conf, name = t.spark.conf, HOT_GROUP_ROWS_CONF
+    before = conf.get(name, None)
+    conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        conf.set(name, before) if before else conf.unset(name)
+
+
+@query("t02_hot_refresh_limits", _REFRESH.replace("user_id % 5", "coalesce(nullif(user_id % 5, 2), -1)"))
+def hot_refresh_limits(t: Tables):
+    """One of the addresses is null."""
+    attempts = _attempts(t).withColumn("ip", F.nullif(F.col("ip"), F.lit(2)))
+    with _all_hot(t, 100):
+        return limits.limit_refreshes(attempts).select("attempt_id", "allowed")
+
+
 # Every second event starts a job; most jobs end up to 50 minutes later.
 def _job_events(t: Tables):
     e = F.col("event_id")
@@ -123,6 +146,12 @@ def one_at_a_time(t: Tables):
     return limits.one_at_a_time(_job_events(t), ["job_type", "entity_id"]).select("job_type", "entity_id", "token", "accepted")
 
 
+@query("t03_hot_holds", _HOLDS)
+def hot_holds(t: Tables):
+    with _all_hot(t, 50):
+        return limits.one_at_a_time(_job_events(t), ["job_type", "entity_id"]).select("job_type", "entity_id", "token", "accepted")
+
+
 @query("t03_one_at_a_time_stream", _HOLDS)
 def one_at_a_time_stream(t: Tables):
     stream = jobs.one_at_a_time(_job_events(_streams(t)), ["job_type", "entity_id"])

@@ -55,6 +55,36 @@ def test_hold_chain_against_one_by_one(rows):
         assert got[r["id"]] == (n == 0, n + 1, start)
 
 
+def one_by_one(rows):
+    """(id: is_holder, rank, holder_ts), row after row."""
+    state, out = {}, {}
+    for key, ts, i, release in sorted(rows, key=lambda r: (r[1], r[2])):
+        until, start, n = state.get(key, (None, None, 0))
+        if until is None or ts >= until:
+            until, start, n = release, ts, 0
+        state[key] = (until, start, n + 1)
+        out[i] = (n == 0, n + 1, start)
+    return out
+
+
+HUGE = 1 << 55  # such times are rounded as doubles
+HOLDS = {
+    "evenly spaced": [(None, HUGE + 10 * i, i, HUGE + 10 * i + 65) for i in range(700)],
+    "over many chunks": [("k", i, i, i + (301 if i % 97 == 0 else 1)) for i in range(700)],
+    "one hold over all": [("k", i // 3, i, i // 3 + 10_000) for i in range(300)] + [("j", i, 1000 + i, i + 2) for i in range(100)],
+    "all at one time": [("k", 5, i, 5 + i % 3) for i in range(200)] + [("k", 6, 500 + i, 9) for i in range(20)],
+    "many releases in one chunk": [("k", i, i, 5000 + i % 50) for i in range(400)] + [("k", 5000 + i, 1000 + i, 5001 + i) for i in range(60)],
+}
+
+
+@pytest.mark.parametrize("name", HOLDS)
+def test_hot_holds_against_one_by_one(spark, hot_groups, name):
+    rows = [(*r[:3], r[3]) for r in HOLDS[name]]
+    frame = spark.createDataFrame(rows, "key string, ts long, id long, release long").repartition(5)
+    got = groups.hold_chain(frame, ["key"], ["ts", "id"], "ts", "release").collect()
+    assert {r["id"]: (r["is_holder"], r["rank"], r["holder_ts"]) for r in got} == one_by_one(rows)
+
+
 def test_join_group_facts_hot_equals_plain(spark, rows, hot_groups):
     facts = rows.groupBy("key").agg(F.count("*").alias("n"))
     hot = collected(groups.join_group_facts(rows, facts, ["key"], "n"))
