@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.ids import uuid5_url
 from ..functions.text import SECTION_CHARS, list_or, strip_space, text_or
 from ..schema import DEFAULT_CURRENCY, MACROS, MICRONUTRIENTS, MONEY, NUTRIENT, Record
 from ..session import reliable_checkpoint
 from .conform import conforming, flat_schema_issues
-from .groups import number_rows
+from .groups import join_keys, number_rows
 
 # How documents are joined.
 SECTION_SEPARATOR = "\n\n---\n\n"
 SECTION_FORMAT = "[snapshot:%s]\n%s"
+# Characters of an error message that are kept.
+ERROR_CHARS = 2000
 # Positions one assembled text covers.
 PART_POSITIONS = 1000
 
@@ -47,35 +52,126 @@ def sections(text: Column, chars: int) -> Column:
     return F.when(F.length(text) <= chars, F.array(text)).when(text.isNotNull(), found)
 
 
-def extract(
-    documents: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType,
-    keys: Sequence[str], record: Record,
-) -> tuple[DataFrame, DataFrame]:
-    """Run a caller's extractor over the assembled documents, one at a time, and check
-    what it returns against the closed schema: (conforming rows, violations).
-    ``schema`` has the key columns and the record's fields. Of documents in parts and
-    pieces the last key is a position within one of them; it is numbered through, so that
-    it is unique again. The extractor is costly and need not repeat its answers, so
-    its rows are fixed in the shared folder: it runs once."""
+Call = Callable[[pd.DataFrame], pd.DataFrame]
+_ERROR = "_error"
+
+
+@dataclass
+class Extracted:
+    """``rows`` conform to the closed schema and are of owners without any failure; ``issues`` are
+    violations (keys, field_path, message); ``failures`` are (owner, phase, message), one per failed call."""
+
+    rows: DataFrame
+    issues: DataFrame
+    failures: DataFrame
+
+
+def call_each(documents: DataFrame, fn: Call, schema: T.StructType, carry: Sequence[str]) -> DataFrame:
+    """Rows (carry, schema, ``_error``) of a function called with each row of ``documents`` as a frame
+    of one row. What the call raises, also for rows that do not fit the schema, is one row
+    with the message; no document ends the job. Columns of ``carry`` that the schema has too
+    are taken from the document. Batches are bounded by bytes; the rows are fixed in the
+    shared folder, as the function is costly and need not repeat its answers."""
+    kept = [documents.schema[c] for c in carry]
+    own = [f for f in schema.fields if f.name not in carry]
+    out = T.StructType([*kept, *own, T.StructField(_ERROR, T.StringType())])
+    arrow = to_arrow_schema(out)
+    fields = to_arrow_schema(T.StructType(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                try:
+                    made = fn(row.to_pandas())
+                    table = pa.Table.from_pandas(made[fields.names], schema=fields, preserve_index=False)
+                    columns, error = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns], None
+                except Exception as e:  # noqa: BLE001  whatever the caller's function raises
+                    columns, error = [pa.nulls(1, f.type) for f in fields], f"{type(e).__name__}: {e}"
+                n = len(columns[0])
+                told = [pa.array(row.column(c).to_pylist() * n, arrow.field(c).type) for c in carry]
+                yield pa.RecordBatch.from_arrays([*told, *columns, pa.array([error] * n, pa.string())], schema=arrow)
+
+    return reliable_checkpoint(documents.mapInArrow(run, out))
+
+
+def _checked(rows: DataFrame, failures: DataFrame, owner: str, schema: T.StructType, keys: Sequence[str], record: Record) -> Extracted:
+    """All or nothing: an owner with a failed call keeps none of its rows."""
+    failures = reliable_checkpoint(failures)
+    whole = join_keys(rows, failures.select(owner).distinct(), [owner], "left_anti")
+    names = [f.name for f in schema.fields if f.name not in keys]
+    with_json = whole.withColumn("_json", F.to_json(F.struct(*names)))
+    issues = flat_schema_issues(with_json, list(keys), "_json", record)
+    return Extracted(conforming(with_json, issues, list(keys)).drop("_json"), issues, failures)
+
+
+def _failed(rows: DataFrame, owner: str, phase: str) -> DataFrame:
+    return rows.filter(F.col(_ERROR).isNotNull()).select(owner, F.lit(phase).alias("phase"), F.left(F.col(_ERROR), F.lit(ERROR_CHARS)).alias("message"))
+
+
+def extract(documents: DataFrame, fn: Call, schema: T.StructType, keys: Sequence[str], record: Record) -> Extracted:
+    """Run a caller's extractor over the assembled documents, one at a time, and check what
+    it returns against the closed schema. ``schema`` has the key columns and the record's
+    fields; the first key is the owner, which ``documents`` may have or the function gives. Of
+    documents in parts and pieces the last key is a position within one of them; it is
+    numbered through, so that it is unique again. A call that fails is a row of
+    ``failures`` and takes all rows of its owner with it."""
+    owner = keys[0]
+    if owner not in documents.columns:
+        documents = documents.withColumn(owner, F.lit(None).cast(schema[owner].dataType))
+        given, carry = True, []
+    else:
+        given, carry = False, [owner]
     in_parts = {"part", "piece"} <= set(documents.columns)
-    extra = [T.StructField("part", T.LongType()), T.StructField("piece", T.IntegerType())] if in_parts else []
-    placed = T.StructType([*schema.fields, *extra])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(len(pdf)):
-                one = pdf.iloc[[i]].reset_index(drop=True)
-                yield fn(one).assign(**{f.name: one[f.name][0] for f in extra})
-
-    rows = reliable_checkpoint(documents.mapInPandas(run, placed))
+    rows = call_each(documents, fn, schema, [*carry, *(["part", "piece"] if in_parts else [])])
+    failures, rows = _failed(rows, owner, "extraction"), rows.filter(F.col(_ERROR).isNull()).drop(_ERROR)
     if in_parts:
         group, pos = list(keys[:-1]), keys[-1]
         rows = number_rows(rows, group, ["part", "piece", pos], "_no").withColumn(pos, (F.col("_no") - 1).cast(schema[pos].dataType))
         rows = reliable_checkpoint(rows.drop("_no", "part", "piece"))
-    fields = [f.name for f in schema.fields if f.name not in keys]
-    with_json = rows.withColumn("_json", F.to_json(F.struct(*fields)))
-    issues = flat_schema_issues(with_json, list(keys), "_json", record)
-    return conforming(with_json, issues, list(keys)).drop("_json"), issues
+    if given:
+        # The function names the owners, so a failed call has none.
+        found = _checked(rows, failures.limit(0), owner, schema, keys, record)
+        return Extracted(found.rows, found.issues, reliable_checkpoint(failures))
+    return _checked(rows, failures, owner, schema, keys, record)
+
+
+@dataclass(frozen=True)
+class TwoPhase:
+    """``discover`` gives the stubs (menu_name, category_name) of a document in their order; ``read`` gets
+    the document again with one stub and gives the dishes of that category with their ``pos``."""
+
+    discover: Call
+    read: Call
+
+
+STUBS = T.StructType([T.StructField("menu_name", T.StringType()), T.StructField("category_name", T.StringType())])
+
+
+def extract_by_category(documents: DataFrame, calls: TwoPhase, schema: T.StructType, keys: Sequence[str], record: Record) -> Extracted:
+    """Two phases: the categories of each document, then a call for each category. ``keys`` are the
+    owner, ``stub_pos`` and ``pos``. Stubs meet their documents in a join of the small side with the
+    texts, so texts are not copied before the calls; the calls of one document may run in
+    different tasks only as far as its rows do. Any failed call of an owner, in either
+    phase, takes all its rows. A document without categories has no second call."""
+    owner, stub_pos = keys[0], keys[1]
+    place = [owner, *[c for c in ("part", "piece") if c in documents.columns]]
+    discover, ordered = calls.discover, T.StructType([*STUBS.fields, T.StructField("_at", T.IntegerType())])
+
+    def numbered(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = discover(pdf)
+        return found.assign(_at=range(len(found)))
+
+    listed = call_each(documents, numbered, ordered, place)
+    failures, stubs = _failed(listed, owner, "discovery"), listed.filter(F.col(_ERROR).isNull()).drop(_ERROR)
+    # An owner that has failed already is not asked further.
+    stubs = join_keys(stubs, failures.select(owner).distinct(), [owner], "left_anti")
+    through = number_rows(stubs, [owner], [*place[1:], "_at"], stub_pos).drop("_at")
+    through = reliable_checkpoint(through.withColumn(stub_pos, (F.col(stub_pos) - 1).cast(schema[stub_pos].dataType)))
+    asked = join_keys(documents, through, place)
+    read = call_each(asked, calls.read, schema, [owner, stub_pos, *STUBS.fieldNames()])
+    failures = failures.unionByName(_failed(read, owner, "category"))
+    return _checked(read.filter(F.col(_ERROR).isNull()).drop(_ERROR), failures, owner, schema, keys, record)
 
 
 def mean_if_all(value: Column) -> Column:

@@ -44,13 +44,14 @@ PROFILE_SCHEMA = T.StructType(
     ]
 )
 PROFILE_FIELDS = ("description", "cuisine_types", "logo_url", "cover_image_url")
-Extractor = Callable[[pd.DataFrame], pd.DataFrame]
+Extractor = Callable[[pd.DataFrame], pd.DataFrame] | mapping.TwoPhase
 
 
 @dataclass
 class Extraction:
     dishes: DataFrame
     issues: DataFrame
+    failures: DataFrame
 
 
 @dataclass
@@ -140,9 +141,12 @@ def material(sites: DataFrame, stored: DataFrame) -> Material:
 
 
 def extract_dishes(documents: DataFrame, extractor: Extractor) -> Extraction:
-    """Run the extractor, refuse rows outside the closed schema, and give every
-    dish its menu and category index, path label and stable id."""
-    rows, issues = mapping.extract(documents, extractor, EXTRACTION_SCHEMA, DISH_KEYS, EXTRACTION_RECORD)
+    """Run the extractor, in one call per document or in two phases, refuse rows outside the
+    closed schema, and give every dish its menu and category index, path label and stable
+    id. A restaurant of which a call failed has no dishes, but a row in ``failures``."""
+    run = mapping.extract_by_category if isinstance(extractor, mapping.TwoPhase) else mapping.extract
+    extracted = run(documents, extractor, EXTRACTION_SCHEMA, DISH_KEYS, EXTRACTION_RECORD)
+    rows, issues = extracted.rows, extracted.issues
     stubs = rows.groupBy("restaurant_id", "menu_name", "category_name").agg(F.min("stub_pos").alias("pos"))
     ordered = mapping.menus_in_first_seen_order(stubs, "restaurant_id")
     menus = groups.number_rows(
@@ -168,13 +172,14 @@ def extract_dishes(documents: DataFrame, extractor: Extractor) -> Extraction:
             ),
         )
     )
-    return Extraction(dishes, issues)
+    return Extraction(dishes, issues, extracted.failures)
 
 
-def extract_profiles(documents: DataFrame, extractor: Extractor) -> tuple[DataFrame, DataFrame]:
-    """(profiles, issues): one row per restaurant with the profile fields, of each the first
+def extract_profiles(documents: DataFrame, extractor: mapping.Call) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profiles, issues, failures): one row per restaurant with the profile fields, of each the first
     non-empty value in the order of the material, and all snapshots they were read from."""
-    rows, issues = mapping.extract(documents, extractor, PROFILE_SCHEMA, ["restaurant_id", "pos"], EXTRACTED_PROFILE_RECORD)
+    extracted = mapping.extract(documents, extractor, PROFILE_SCHEMA, ["restaurant_id", "pos"], EXTRACTED_PROFILE_RECORD)
+    rows = extracted.rows
 
     def first(name: str):
         filled = (F.size(name) > 0) if name == "cuisine_types" else (F.length(name) > 0)
@@ -182,10 +187,10 @@ def extract_profiles(documents: DataFrame, extractor: Extractor) -> tuple[DataFr
 
     merged = rows.groupBy("restaurant_id").agg(*map(first, PROFILE_FIELDS))
     refs = rows.select("restaurant_id", F.explode("source_snapshot_ids").alias("_s")).groupBy("restaurant_id").agg(F.sort_array(F.collect_set("_s")).alias("source_snapshot_ids"))
-    return merged.join(refs, "restaurant_id", "left"), issues
+    return merged.join(refs, "restaurant_id", "left"), extracted.issues, extracted.failures
 
 
-def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, extractor: Extractor, profile_extractor: Extractor | None = None) -> Collected:
+def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, extractor: Extractor, profile_extractor: mapping.Call | None = None) -> Collected:
     """``uploads`` are request bodies (batch_id, body); ``pages`` are captures made
     by a crawler (url, html, fetched_at, and what ``captured_pages`` takes besides).
     ``profile_extractor`` reads description, cuisines and images of the restaurant. A stage that cannot go on for a record
@@ -218,7 +223,16 @@ def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, e
     )
     extraction = extract_dishes(documents, extractor)
 
-    restaurants = fixed(captured.filter("rank = 0").select("restaurant_id"))
+    profile_issues, failures, profiles = extraction.issues.limit(0), extraction.failures, None
+    if profile_extractor is not None:
+        profiles, profile_issues, lost = extract_profiles(documents, profile_extractor)
+        failures = failures.unionByName(lost)
+    # A failed call ends the run of its restaurant, however many calls failed.
+    unread = failures.groupBy("restaurant_id").agg(F.min("message").alias("m"), F.count(F.lit(1)).alias("n")).select(
+        "restaurant_id", F.lit("multimodal_translation").alias("stage"), F.format_string("%d extraction call(s) failed: %s", "n", "m").alias("error_message"),
+    )
+    unread = fixed(unread)
+    restaurants = fixed(captured.filter("rank = 0").select("restaurant_id").join(unread, "restaurant_id", "left_anti"))
     menus = extraction.dishes.select("restaurant_id", "menu_name").distinct()
     no_locations = restaurants.limit(0)
     outcome = report.run_rules(restaurants, no_locations, menus, extraction.dishes)
@@ -235,9 +249,7 @@ def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, e
     known = valid.withColumn("website_url", F.col("resolved_url")).withColumns(
         {f: F.lit(None).cast(PROFILE_SCHEMA[f].dataType) for f in PROFILE_FIELDS} | {"cuisine_types": F.array().cast("array<string>")}
     )
-    profile_issues = extraction.issues.limit(0)
-    if profile_extractor is not None:
-        profiles, profile_issues = extract_profiles(documents, profile_extractor)
+    if profiles is not None:
         known = mapping.merge_profiles(known, fixed(profiles))
     run_id = uuid5_url(F.concat(F.lit("run:collect:"), "restaurant_id"))
     batch = known.select(
@@ -263,7 +275,7 @@ def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, e
         "restaurant_id", F.lit("discovery").alias("stage"), F.format_string("%d link(s) beyond the first %d not followed", F.col("n"), F.lit(pg.LINKS_PER_PAGE)).alias("error_message"),
     )
     # One of these ends the run of a restaurant; what goes on waits for its review.
-    ended = fixed(unresolved.unionByName(no_page.select("restaurant_id", "stage", "error_message")).unionByName(invalid))
+    ended = fixed(unresolved.unionByName(no_page.select("restaurant_id", "stage", "error_message")).unionByName(unread).unionByName(invalid))
     run_rows = queued.select("restaurant_id").join(ended, "restaurant_id", "left").select(
         run_id.alias("id"), F.lit("collector_workflow").alias("workflow_type"), "restaurant_id",
         F.when(F.col("stage").isNotNull(), "failed").otherwise("running").alias("status"), "error_message",
@@ -282,7 +294,7 @@ def collect(uploads: DataFrame, pages: DataFrame, existing_changes: DataFrame, e
         staged.select(*event("proposed_change.create", "proposed_change", F.col("id"), told(node=F.lit("human_review"), restaurant_id=F.col("entity_id"))))
     )
     errors = bad_uploads
-    for e in (too_many, unresolved, no_page.select("restaurant_id", "stage", "error_message"), bad_rows, invalid):
+    for e in (too_many, unresolved, no_page.select("restaurant_id", "stage", "error_message"), unread, bad_rows, invalid):
         errors = errors.unionByName(e)
     return Collected(
         queue, resolved, authority.verified_source_rows(resolved, F.current_timestamp()), snapshots, links,

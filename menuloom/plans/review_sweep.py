@@ -71,7 +71,11 @@ def review_sweep(
     verdicts = fixed(gate)
     documents = read.documents.join(verdicts.filter("changed").select("restaurant_id"), "restaurant_id", "left_semi")
     extraction = extract_dishes(documents, extractor)
-    checked = verdicts.filter("changed").select("restaurant_id")
+    unread = extraction.failures.select(
+        "restaurant_id", F.lit("targeted_reextraction").alias("stage"), F.concat(F.lit("extraction call failed: "), "message").alias("error_message")
+    )
+    # A restaurant of which a call failed keeps all it has, and is not staged.
+    checked = fixed(verdicts.filter("changed").select("restaurant_id").join(unread, "restaurant_id", "left_anti"))
     fresh = extraction.dishes
     live_of_checked = live_dishes.join(checked, "restaurant_id", "left_semi")
     # An entity for which nothing was extracted keeps its live menus.
@@ -104,5 +108,5 @@ def review_sweep(
     )
     return Reviewed(
         due, verdicts, target, traced, reports,
-        review.new_changes(existing_changes, batch).drop("pos"), no_source.unionByName(failed).unionByName(bad_rows),
+        review.new_changes(existing_changes, batch).drop("pos"), no_source.unionByName(failed).unionByName(unread).unionByName(bad_rows),
     )

@@ -472,5 +472,55 @@ _LINES = "x AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, length(tex
 @query("u03_extraction_hook", f"WITH {_LINES} SELECT doc_id, title FROM x WHERE length(title) BETWEEN 1 AND 40 AND trim(title) <> '' AND words >= 1")
 def extraction(t: Tables):
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("words", T.IntegerType())])
-    rows, _ = mapping.extract(t.documents.select("doc_id", "text"), first_lines, schema, ["doc_id"], LINE_RECORD)
-    return rows.select("doc_id", "title")
+    found = mapping.extract(t.documents.select("doc_id", "text"), first_lines, schema, ["doc_id"], LINE_RECORD)
+    return found.rows.select("doc_id", "title")
+
+
+def page_categories(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Phase 1: up to three categories of a page in two menus; some pages cannot be read."""
+    n = int(pdf["page_id"][0])
+    if n % 11 == 3:
+        raise ValueError(f"page {n} cannot be read")
+    return pd.DataFrame({"menu_name": [f"m{i % 2}" for i in range(n % 4)], "category_name": [f"c{i}" for i in range(n % 4)]})
+
+
+def category_dishes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Phase 2: the dishes of one category; some calls fail, some names break the schema."""
+    n, category, size = int(pdf["page_id"][0]), pdf["category_name"][0], len(pdf["html"][0])
+    if n % 7 == 5 and category == "c1":
+        raise ValueError(f"no answer for {category} of {n}")
+    return pd.DataFrame({"pos": range(n % 3 + 1), "name": ["" if p == 2 else f"{category} {size} {p}" for p in range(n % 3 + 1)]})
+
+
+PAGE_DISHES = T.StructType([T.StructField(n, k) for n, k in (
+    ("owner", T.LongType()), ("stub_pos", T.IntegerType()), ("pos", T.IntegerType()), ("menu_name", T.StringType()), ("category_name", T.StringType()), ("name", T.StringType()),
+)])
+PAGE_RECORD = Record((Rule("menu_name", required=True), Rule("category_name", required=True), Rule("name", required=True, min_len=1)))
+
+
+def _two_phases(t: Tables) -> mapping.Extracted:
+    """Two pages are one owner, as two pieces of its material."""
+    k = F.col("page_id")
+    docs = t.pages.select(F.floor(k / 2).alias("owner"), F.lit(0).cast("long").alias("part"), (k % 2).cast("int").alias("piece"), "page_id", "html")
+    return mapping.extract_by_category(docs, mapping.TwoPhase(page_categories, category_dishes), PAGE_DISHES, ["owner", "stub_pos", "pos"], PAGE_RECORD)
+
+
+_TWO_PHASES = """WITH p AS (SELECT page_id, page_id // 2 AS owner, length(html) AS size FROM pages),
+s AS (SELECT p.*, i, row_number() OVER (PARTITION BY owner ORDER BY page_id, i) - 1 AS stub_pos FROM p, unnest(range(page_id % 4)) AS t(i) WHERE page_id % 11 <> 3),
+bad1 AS (SELECT owner, page_id FROM p WHERE page_id % 11 = 3),
+bad2 AS (SELECT owner, page_id FROM s WHERE page_id % 7 = 5 AND i = 1 AND owner NOT IN (SELECT owner FROM bad1))"""
+
+
+@query("u03_two_phase_rows", f"""{_TWO_PHASES}
+SELECT owner, stub_pos, pos::INTEGER AS pos, 'm' || (i % 2) AS menu_name, 'c' || i || ' ' || size || ' ' || pos AS name FROM s, unnest(range(page_id % 3 + 1)) AS d(pos)
+WHERE pos < 2 AND owner NOT IN (SELECT owner FROM bad1 UNION ALL SELECT owner FROM bad2)""")
+def two_phase_rows(t: Tables):
+    """A failed call of either phase takes all rows of its owner; nothing else stops."""
+    return _two_phases(t).rows.select("owner", F.col("stub_pos").cast("long").alias("stub_pos"), "pos", "menu_name", "name")
+
+
+@query("u03_two_phase_failures", f"""{_TWO_PHASES}
+SELECT owner, 'discovery' AS phase, 'ValueError: page ' || page_id || ' cannot be read' AS message FROM bad1
+UNION ALL SELECT owner, 'category', 'ValueError: no answer for c1 of ' || page_id FROM bad2""")
+def two_phase_failures(t: Tables):
+    return _two_phases(t).failures

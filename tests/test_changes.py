@@ -200,10 +200,34 @@ def test_extraction_hook_runs_once_and_is_checked(spark):
     def fn(pdf):
         return pd.DataFrame({"k": pdf["id"], "name": ["" if i % 2 else "ok" for i in pdf["id"]]})
 
-    good, issues = mapping.extract(spark.range(4), fn, schema, ["k"], Record((Rule("name", required=True, min_len=1),)))
+    found = mapping.extract(spark.range(4), fn, schema, ["k"], Record((Rule("name", required=True, min_len=1),)))
+    good, issues = found.rows, found.issues
+    assert found.failures.count() == 0
     assert rows(good, "k") == [(0,), (2,)] and rows(issues, "k", "field_path") == [(1, "name"), (3, "name")]
 
 
+def test_a_failing_document_is_a_row(spark):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("price", T.DoubleType())])
+
+    def fn(pdf):
+        n = int(pdf["n"][0])
+        if n == 3:
+            raise RuntimeError("no answer")
+        if n == 5:
+            return pd.DataFrame({"pos": [0], "price": ["many"]})  # does not fit the schema
+        if n == 6:
+            return pd.DataFrame({"pos": [0]})  # a column is missing
+        return pd.DataFrame({"pos": range(n % 3), "price": [1.5] * (n % 3)})
+
+    docs = spark.range(9).select(F.when(F.col("id") < 8, F.floor(F.col("id") / 2)).alias("k"), F.col("id").alias("n"), F.lit(0).cast("long").alias("part"), (F.col("id") % 2).cast("int").alias("piece"))
+    found = mapping.extract(docs, fn, schema, ["k", "pos"], Record((Rule("price", "decimal"),)))
+    # Owners 1, 2 and 3 have a failed call; the null owner is one like any other.
+    assert rows(found.rows, "k", "pos") == sorted([(0, 0), (None, 0), (None, 1)], key=repr)
+    assert [r[0] for r in rows(found.failures, "k")] == [1, 2, 3]
+    told = {r["k"]: r["message"] for r in found.failures.collect()}
+    assert told[1] == "RuntimeError: no answer" and told[2].startswith("Arrow") and told[3].startswith("KeyError")
+
+
 def test_profiles_and_menus(spark):
     base = spark.createDataFrame([("a", "old", "l", "c", ["x"])], "restaurant_id string, description string, logo_url string, cover_image_url string, cuisine_types array<string>")
     fresh = spark.createDataFrame([("a", "", "new", None, [])], base.schema)
