@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json as json_text
+import re
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.let import let
 from ..functions.text import strip_space
 from ..schema import Record, Rule
-from ..session import reliable_checkpoint
 from .groups import join_keys
 
 CODE = "schema_violation"
+Decode = Callable[[str, int], tuple[object, int]]
 # Words taken as booleans, whatever their case.
 BOOL_WORDS = ("true", "false", "1", "0", "yes", "no", "on", "off", "y", "n", "t", "f")
 
@@ -137,10 +141,10 @@ def _at(path: str, message: Column) -> Column:
     return F.struct(F.lit(path).alias("path"), message.alias("message"))
 
 
-def _issue_rows(records: DataFrame, record: Record, keys: list[str]) -> DataFrame:
+def _issue_rows(records: DataFrame, problems: Column, keys: list[str]) -> DataFrame:
     path = F.concat(F.col("_at"), F.when(F.col("_at") != "", ".").otherwise(""), F.col("_p.path"))
     return (
-        records.withColumn("_p", F.explode(_record_problems(record, F.col("_json"))))
+        records.withColumn("_p", F.explode(problems))
         .select(
             *keys,
             F.when(F.col("_p.path") == "<root>", F.when(F.col("_at") != "", F.col("_at")).otherwise("<root>"))
@@ -150,42 +154,108 @@ def _issue_rows(records: DataFrame, record: Record, keys: list[str]) -> DataFram
     )
 
 
-def _children(records: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    array = F.try_variant_get(F.try_parse_json("_json"), "$." + name, "array<variant>")
-    return records.select(*keys, "_at", F.posexplode(array).alias("_i", "_v")).select(
-        *keys,
-        F.concat("_at", F.when(F.col("_at") != "", ".").otherwise(""), F.lit(name + "."), "_i").alias("_at"),
-        F.to_json("_v").alias("_json"),
-    )
+def _kinds(record: Record) -> list[Record]:
+    """The record and all kinds of records below it, each once."""
+    out = [record]
+    for kind in out:
+        for child in kind.children.values():
+            if child != "self" and not any(child is k for k in out):
+                out.append(child)
+    return out
+
+
+def _decoder() -> Decode:
+    """The value at a place of a text and the place behind it. Words that are no JSON are errors."""
+
+    def refuse(word: str) -> None:
+        raise ValueError(word)
+
+    return json_text.JSONDecoder(parse_constant=refuse).raw_decode
+
+
+_SKIP = re.compile(r"[ \t\n\r]*").match
+
+
+def _elements(decode: Decode, text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the elements of the list that begins at ``at``."""
+    at = _SKIP(text, at + 1).end()
+    while at < end and text[at] != "]":
+        _, stop = decode(text, at)
+        yield at, stop
+        at = _SKIP(text, stop).end()
+        at = _SKIP(text, at + 1).end() if text[at] == "," else at
+
+
+def _members(decode: Decode, text: str, at: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """(key, start, end) of the members of the object that begins at ``at``."""
+    at = _SKIP(text, at + 1).end()
+    while at < end and text[at] != "}":
+        key, stop = decode(text, at)
+        start = _SKIP(text, _SKIP(text, stop).end() + 1).end()
+        _, stop = decode(text, start)
+        yield key, start, stop
+        at = _SKIP(text, stop).end()
+        at = _SKIP(text, at + 1).end() if text[at] == "," else at
+
+
+def nested_records(decode: Decode, text: str | None, below: Sequence[dict[str, int]]) -> list[tuple[int, str, str | None]]:
+    """(kind, place, text) of a record and of all records below it. ``below`` has for each kind the kind
+    of the records in each of its lists. Texts are cut out as they stand. A text that is no JSON, or
+    an object that repeats a key, holds no records."""
+    out: list[tuple[int, str, str | None]] = [(0, "", text)]
+    try:
+        start = _SKIP(text or "").end()
+        _, end = decode(text or "", start)
+        todo = [(0, "", start, end)] if not (text or "")[end:].strip(" \t\n\r") else []
+    except (ValueError, RecursionError):
+        todo = []
+    while todo:
+        kind, place, start, end = todo.pop()
+        if text[start] != "{":
+            continue
+        members = list(_members(decode, text, start, end))
+        if len({m[0] for m in members}) < len(members):
+            continue
+        for name, a, b in members:
+            if name in below[kind] and text[a] == "[":
+                for i, (c, d) in enumerate(_elements(decode, text, a, b)):
+                    at = f"{place}.{name}.{i}" if place else f"{name}.{i}"
+                    out.append((below[kind][name], at, text[c:d]))
+                    todo.append((below[kind][name], at, c, d))
+    return out
 
 
 def schema_issues(df: DataFrame, keys: list[str], json: str, record: Record) -> DataFrame:
     """One row per offending field of every record, arrays of records included, at
-    any depth. Records of one kind are gathered from all depths and tested once. Each
-    level is read out of the one above and fixed, so the input is read once and no text
-    is parsed again; the levels end where no record holds another. Nothing is shuffled."""
-    issues: list[DataFrame] = []
-
-    def visit(rows: DataFrame, kind: Record) -> None:
-        for name in [n for n, child in kind.children.items() if child == "self"]:
-            level = rows
-            while True:
-                level = reliable_checkpoint(_children(level, name, keys))
-                if level.isEmpty():
-                    break
-                rows = rows.unionByName(level)
-        issues.append(_issue_rows(rows, kind, keys))
-        for name, child in kind.children.items():
-            if child != "self":
-                visit(reliable_checkpoint(_children(rows, name, keys)), child)
-
-    visit(reliable_checkpoint(df.select(*keys, F.lit("").alias("_at"), F.col(json).alias("_json"))), record)
-    return reduce(DataFrame.unionByName, issues)
+    any depth. One pass takes each text apart into its records, and one expression tests
+    each by the rules of its kind; nothing is shuffled or written."""
+    kinds = _kinds(record)
+    place = lambda kind, child: next(i for i, k in enumerate(kinds) if k is (kind if child == "self" else child))
+    below = [{name: place(kind, child) for name, child in kind.children.items()} for kind in kinds]
+    source = df.select(*keys, F.col(json).cast("string").alias("_text"))
+    schema = T.StructType([*(source.schema[k] for k in keys), *(T.StructField(n, t) for n, t in (("_kind", T.IntegerType()), ("_at", T.StringType()), ("_json", T.StringType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = _decoder()
+        for batch in batches:
+            found = [(i, *node) for i, text in enumerate(batch.column(len(keys)).to_pylist()) for node in nested_records(decode, text, below)]
+            rows, kind, at, text = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [])
+            own = batch.select(list(range(len(keys)))).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*own.columns, pa.array(kind, pa.int32()), pa.array(at, pa.string()), pa.array(text, pa.string())], [*keys, "_kind", "_at", "_json"]
+            )
+
+    nodes = source.mapInArrow(run, schema)
+    problems = reduce(
+        lambda acc, i: acc.when(F.col("_kind") == i, _record_problems(kinds[i], F.col("_json"))),
+        range(1, len(kinds)), F.when(F.col("_kind") == 0, _record_problems(record, F.col("_json"))),
+    )
+    return _issue_rows(nodes, problems, keys)
 
 
 def flat_schema_issues(df: DataFrame, keys: list[str], json: str, record: Record) -> DataFrame:
     """``schema_issues`` for records without arrays of records: a single pass."""
-    return _issue_rows(df.select(*keys, F.lit("").alias("_at"), F.col(json).alias("_json")), record, keys)
+    return _issue_rows(df.select(*keys, F.lit("").alias("_at"), F.col(json).alias("_json")), _record_problems(record, F.col("_json")), keys)
 
 
 def conforming(df: DataFrame, issues: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,8 +1,13 @@
 """Stateful streaming forms of the change gate, attempt limits, one-at-a-time
 holds and run lifecycle.
 
-State is two numbers per key, kept in RocksDB. There is no watermark and no timer: a row
-that comes late is judged against the state it meets, and no row is ever dropped.
+By arrival (the default): state is two numbers per key, kept in RocksDB, without watermark or
+timer; a row that comes late is judged against the state it meets.
+
+In event order (``late_after``): rows wait in a buffer of their key until the watermark has passed
+them, so that their verdicts are those of the batch form, whatever the order of arrival.
+A row behind the watermark comes out at once, marked late and without a verdict. State
+that can change no verdict any more is removed by a timer. No row is dropped either way.
 """
 
 from __future__ import annotations
@@ -35,11 +40,12 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTyp
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def drain(stream: DataFrame, mode: str = "append", target: str | None = None, timeout: int | None = None) -> str:
+def drain(stream: DataFrame, mode: str = "append", target: str | None = None, timeout: int | None = None, progress: list | None = None) -> str:
     """Process everything available into a parquet folder and return its path. The
     folder and the query's own checkpoint are under ``target``, by default in the shared
     folder; a target that was drained before goes on where it stopped. Updated rows carry
-    the number of the micro-batch that wrote them. ``timeout`` in seconds; none by default."""
+    the number of the micro-batch that wrote them. ``timeout`` in seconds; none by default.
+    ``progress`` receives what the query tells of its last micro-batches."""
     root = (target or f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4()}").rstrip("/")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     if mode == "append":
@@ -52,6 +58,8 @@ def drain(stream: DataFrame, mode: str = "append", target: str | None = None, ti
             query.awaitTermination()
         elif not query.awaitTermination(timeout):
             raise TimeoutError(f"stream did not finish within {timeout} s")
+        if progress is not None:
+            progress += query.recentProgress
     finally:
         query.stop()
     return f"{root}/out"
@@ -62,6 +70,130 @@ def _sorted_rows(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame
     return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
 
 
+class InOrder(StatefulProcessor):
+    """Rows of a key in event order. ``fold`` has ``schema`` (of its state), ``columns`` (what it adds),
+    ``row(state, row)`` giving the new state and the added values (None: no output row), and
+    ``expiry(state)``, the microsecond from which the state is as good as none (None: never)."""
+
+    def __init__(self, fold, kinds: T.StructType, key: list[str], order: list[str], late: tuple) -> None:
+        self._fold, self._kinds, self._key, self._order, self._late = fold, kinds, key, order, late
+        self._names = kinds.fieldNames()
+        self._at = [self._names.index(c) for c in order]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._waiting = handle.getListState("waiting", self._kinds)
+        self._state = handle.getValueState("state", self._fold.schema)
+
+    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        names = [*self._names, *self._fold.columns, "late"]
+        made = pd.DataFrame(rows, columns=names, dtype=object)
+        return made.assign(**{k: [v] * len(made) for k, v in zip(self._key, key, strict=True)})
+
+    def _wake(self, us: int) -> None:
+        self._handle.registerTimer(us // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed, late, fresh = timerValues.getCurrentWatermarkInMs() * 1000, [], []
+        for pdf in rows:
+            for row in pdf[self._names].astype(object).where(pdf[self._names].notna(), None).itertuples(index=False, name=None):
+                (late if row[self._at[0]] < passed else fresh).append(row)
+        if fresh:
+            self._waiting.appendList(fresh)
+            self._wake(min(r[self._at[0]] for r in fresh))
+        if late:
+            yield self._frame(key, [(*r, *self._late, True) for r in late])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self._waiting.get()) if self._waiting.exists() else []
+        state = self._state.get() if self._state.exists() else None
+        out = []
+        for row in sorted((r for r in rows if r[self._at[0]] < passed), key=lambda r: [r[i] for i in self._at]):
+            state, told = self._fold.row(state, dict(zip(self._names, row, strict=True)))
+            if told is not None:
+                out.append((*row, *told, False))
+        rest = [r for r in rows if r[self._at[0]] >= passed]
+        if len(rest) < len(rows):
+            self._waiting.put(rest) if rest else self._waiting.clear()
+        until = None if state is None else self._fold.expiry(state)
+        # What is waiting is at or behind the watermark, so a state that ends before it changes nothing.
+        if state is None or until is not None and until <= passed:
+            self._state.clear()
+        else:
+            self._state.update(tuple(state))
+        if rest:
+            self._wake(min(r[self._at[0]] for r in rest))
+        elif state is not None and until is not None and until > passed:
+            self._wake(until)
+        if out:
+            yield self._frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(events: DataFrame, keys: list[str], order: list[str], fold, added: list[T.StructField], late_after: str, late: tuple) -> DataFrame:
+    """``events`` have ``ts`` for the watermark; ``order`` starts with a column of microseconds."""
+    # The operator must not see the watermark's own column: it would drop late rows.
+    rows = events.withWatermark("ts", late_after).drop("ts")
+    kinds = T.StructType([f for f in rows.schema.fields if f.name not in keys])
+    schema = T.StructType([*kinds.fields, *added, T.StructField("late", T.BooleanType()), *[rows.schema[k] for k in keys]])
+    processor = InOrder(fold, kinds, keys, order, late)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+class GateFold:
+    """The change gate; the last hash never expires."""
+
+    schema, columns = "content_hash string", ("outcome",)
+
+    def row(self, state, row: dict):
+        if not row["ok"]:
+            return state, ("error",)
+        digest = row["content_hash"]
+        return (digest,), ("changed" if state is None or state[0] is None or state[0] != digest else "unchanged",)
+
+    def expiry(self, state) -> int | None:
+        return None
+
+
+class AttemptFold:
+    """Attempts of the open window; it ends by itself."""
+
+    schema = "start_us long, count long"
+
+    def __init__(self, limit: int, flag: str, window_seconds: int) -> None:
+        self._limit, self._window, self.columns = limit, window_seconds * SECOND_US, (flag,)
+
+    def row(self, state, row: dict):
+        start, count = state or (None, 0)
+        if start is None or row["ts_us"] >= start + self._window:
+            start, count = int(row["ts_us"]), 0
+        return (start, count + 1), (count < self._limit,)
+
+    def expiry(self, state) -> int | None:
+        return state[0] + self._window
+
+
+class HoldFold:
+    """The hold in force; it ends with its token's end or by itself."""
+
+    schema, columns = "token long, until_us long", ("accepted",)
+
+    def __init__(self, hold_seconds: int) -> None:
+        self._hold = hold_seconds * SECOND_US
+
+    def row(self, state, row: dict):
+        if row["kind"] == "end":
+            return (None if state and state[0] == row["token"] else state), None
+        free = state is None or row["ts_us"] >= state[1]
+        return ((int(row["token"]), int(row["ts_us"]) + self._hold) if free else state), (free,)
+
+    def expiry(self, state) -> int | None:
+        return state[1]
+
+
 class ChangeGate(StatefulProcessor):
     """State: the hash of the last good poll."""
 
@@ -86,9 +218,12 @@ class ChangeGate(StatefulProcessor):
         pass
 
 
-def change_gate(polls: DataFrame) -> DataFrame:
-    """Polls (source_id, poll_id, fetched_us, content_hash, ok) to outcomes."""
+def change_gate(polls: DataFrame, late_after: str | None = None) -> DataFrame:
+    """Polls (source_id, poll_id, fetched_us, content_hash, ok) to outcomes; in event order
+    (and with ``ts``) a late poll has the outcome ``late``."""
     prepare(polls.sparkSession)
+    if late_after is not None:
+        return _in_order(polls, ["source_id"], ["fetched_us", "poll_id"], GateFold(), [T.StructField("outcome", T.StringType())], late_after, ("late",))
     return polls.groupBy("source_id").transformWithStateInPandas(
         ChangeGate(), f"source_id {dict(polls.dtypes)['source_id']}, poll_id {dict(polls.dtypes)['poll_id']}, outcome string", "Append", "None"
     )
@@ -147,8 +282,12 @@ def limit_logins(attempts: DataFrame) -> DataFrame:
     return by_id.drop("counted", "route").withColumn("allowed", F.col("ip_ok") & F.col("id_ok"))
 
 
-def limit_refreshes(attempts: DataFrame) -> DataFrame:
+def limit_refreshes(attempts: DataFrame, late_after: str | None = None) -> DataFrame:
+    """Attempts (attempt_id, ip, ts, ts_us) with ``allowed``; null for late ones in event order."""
     prepare(attempts.sparkSession)
+    if late_after is not None:
+        fold = AttemptFold(limits.REFRESH_PER_IP, "allowed", limits.WINDOW_SECONDS)
+        return _in_order(attempts, ["ip"], ["ts_us", "attempt_id"], fold, [T.StructField("allowed", T.BooleanType())], late_after, (None,))
     return _limited(attempts, "ip", limits.REFRESH_PER_IP, "allowed", limits.WINDOW_SECONDS, None)
 
 
@@ -189,9 +328,12 @@ class OneAtATime(StatefulProcessor):
         pass
 
 
-def one_at_a_time(events: DataFrame, keys: list[str], hold_seconds: int = limits.HOLD_SECONDS) -> DataFrame:
-    """Job events (keys, token, kind, ts, ts_us) to accepted and refused starts."""
+def one_at_a_time(events: DataFrame, keys: list[str], hold_seconds: int = limits.HOLD_SECONDS, late_after: str | None = None) -> DataFrame:
+    """Job events (keys, token, kind, ts, ts_us) to accepted and refused starts. In event
+    order late events of both kinds come out too, with a null verdict."""
     prepare(events.sparkSession)
+    if late_after is not None:
+        return _in_order(events, keys, ["ts_us", "kind", "token"], HoldFold(hold_seconds), [T.StructField("accepted", T.BooleanType())], late_after, (None,))
     fields = [events.schema[k] for k in keys]
     schema = T.StructType(
         [*fields, T.StructField("ts_us", T.LongType()), T.StructField("token", T.LongType()), T.StructField("accepted", T.BooleanType())]

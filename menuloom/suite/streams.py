@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import attempts as limits
-from ..session import HOT_GROUP_ROWS_CONF
+from ..session import HOT_GROUP_ROWS_CONF, shared_dir
 from ..streaming import jobs
 from .base import Tables, query
 from .work import RUN_SQL, run_events
@@ -98,6 +99,22 @@ def refresh_limits_stream(t: Tables):
     return t.spark.read.parquet(jobs.drain(jobs.limit_refreshes(_attempts(_streams(t))))).select("attempt_id", "allowed")
 
 
+@query("t02_refresh_limits_in_order", _REFRESH)
+def refresh_limits_in_order(t: Tables):
+    """Rows wait for the watermark; a row ten days after the last one lets all of them through."""
+    rows = _attempts(t)
+    ten = 10 * 86_400_000_000
+    beat = rows.agg(F.max("ts_us").alias("last")).select(
+        F.lit(-1).cast("long").alias("attempt_id"), F.lit(-1).cast(rows.schema["ip"].dataType).alias("ip"), F.lit(" ").alias("identifier"),
+        F.timestamp_micros(F.col("last") + ten).alias("ts"), (F.col("last") + ten).alias("ts_us"),
+    )
+    folder = f"{shared_dir(t.spark).rstrip('/')}/beat-{uuid.uuid4()}"
+    beat.write.parquet(folder)
+    stream = _attempts(_streams(t)).unionByName(jobs.file_stream(t.spark, folder, "*.parquet", beat.schema))
+    out = t.spark.read.parquet(jobs.drain(jobs.limit_refreshes(stream, "1 day")))
+    return out.filter("attempt_id >= 0 AND NOT late").select("attempt_id", "allowed")
+
+
 @contextmanager
 def _all_hot(t: Tables, rows: int):
     """Every key with more rows than this takes the path of groups too large for a task."""

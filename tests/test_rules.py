@@ -129,6 +129,17 @@ def test_nested_records_and_depth(spark):
     assert {p for k, p in got if k == "b" and p.endswith(".name")} == {"menus.0.categories.0" + ".children.0" * 10 + ".name"}
 
 
+def test_records_are_cut_out_of_texts_as_they_stand():
+    decode, below = conform._decoder(), [{"a": 1}, {"a": 1, "b": 2}, {}]
+    text = ' { "x" : [1, {"a": [9]}] , "a" : [ {"n":1.50 ,"b":[ 7 , {"q":"]}\\""}, [] ],"a":[{}]} , null ] } '
+    assert conform.nested_records(decode, text, below) == [
+        (0, "", text), (1, "a.0", '{"n":1.50 ,"b":[ 7 , {"q":"]}\\""}, [] ],"a":[{}]}'), (1, "a.1", "null"),
+        (2, "a.0.b.0", "7"), (2, "a.0.b.1", '{"q":"]}\\""}'), (2, "a.0.b.2", "[]"), (1, "a.0.a.0", "{}"),
+    ]
+    for bad in (None, "", "{", '{"a": [NaN]}', '{"a": [{}]} x', '{"a": 5}', "[{}]", '{"a": [{}], "a": [{}]}', '{"a": [],}', "[" * 100_000):
+        assert conform.nested_records(decode, bad, below) == [(0, "", bad)]
+
+
 def test_long_chains_and_cycles(spark):
     nodes = [(str(i), str(i - 1) if i else None) for i in range(100)] + [("p", "q"), ("q", "p"), ("below", "p")]
     good, bad = tree.category_paths(spark.createDataFrame(nodes, "id string, parent string"), "id", "parent", F.col("id"))

@@ -118,3 +118,64 @@ def test_late_attempts_get_a_verdict(spark, tmp_path):
     got = {r.attempt_id: r.allowed for r in out.collect()}
     assert set(got) == {*range(12), 100, 101}
     assert got[101] and [got[i] for i in range(12)] == [True] * 5 + [False] * 7
+
+
+# --- event order ---------------------------------------------------------------
+
+def shuffled_stream(spark, tmp_path, df, rng, files=6, beat=None):
+    """The rows in any order over several files, then a row that moves the watermark past all."""
+    rows = df.collect()
+    rng.shuffle(rows)
+    size = -(-len(rows) // files)
+    parts = [rows[n * size:(n + 1) * size] for n in range(files)] + ([[beat]] if beat else [])
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.parquet(str(tmp_path / f"{n:03d}"))
+    return jobs.file_stream(spark, str(tmp_path / "*"), "*.parquet", df.schema, files_per_batch=1)
+
+
+def test_refreshes_in_any_order(spark, tmp_path, login_attempts):
+    """Shuffled attempts get the verdicts of the batch form, and all state ends."""
+    from datetime import datetime, timedelta
+
+    twin = attempts.limit_refreshes(login_attempts)
+    last = max(r.ts_us for r in login_attempts.collect()) + 10 * 86_400_000_000
+    beat = (9999, "beat", None, last, datetime(1970, 1, 1) + timedelta(microseconds=last))
+    source = shuffled_stream(spark, tmp_path, login_attempts, random.Random(8), beat=beat)
+    told = []
+    out = spark.read.parquet(jobs.drain(jobs.limit_refreshes(source, "1 day"), timeout=240, progress=told)).filter("ip <> 'beat'")
+    assert out.filter("late").count() == 0
+    same(out, twin, "attempt_id", "allowed")
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in told if p["stateOperators"]]
+    assert max(held) >= 3 and held[-1] == 1, held  # only the beat is left waiting
+
+
+def test_late_rows_are_told(spark, tmp_path):
+    """With a short wait some rows are late: each comes out once, and the others are judged without them."""
+    rng = random.Random(9)
+    polls = spark.createDataFrame([("s", i, i * 1_000_000, rng.choice("ab"), i % 5 != 0) for i in range(60)], "source_id string, poll_id long, fetched_us long, content_hash string, ok boolean")
+    polls = polls.withColumn("ts", F.timestamp_micros("fetched_us"))
+    beat = polls.orderBy(F.desc("fetched_us")).limit(1).withColumns({"source_id": F.lit("beat"), "ts": F.col("ts") + F.expr("INTERVAL 1 DAY"), "fetched_us": F.col("fetched_us") + 86_400_000_000}).first()
+    source = shuffled_stream(spark, tmp_path, polls, rng, beat=beat)
+    out = spark.read.parquet(jobs.drain(jobs.change_gate(source, "5 seconds"), timeout=240)).filter("source_id = 's'").collect()
+    assert sorted(r.poll_id for r in out) == list(range(60))
+    late = {r.poll_id for r in out if r.late}
+    assert 0 < len(late) < 60 and all((r.outcome == "late") == r.late for r in out)
+    twin = attempts.change_gate(polls.filter(~F.col("poll_id").isin(*late)), "source_id", ["fetched_us", "poll_id"])
+    assert {(r.poll_id, r.outcome) for r in out if not r.late} == {(r.poll_id, r.outcome) for r in twin.collect()}
+
+
+def test_holds_in_any_order(spark, tmp_path):
+    rng = random.Random(10)
+    data = []
+    for token in range(150):
+        ts = token * 200_000_000 + rng.randrange(100_000_000)
+        data.append(("crawl", f"e{token % 3}", token, "start", ts))
+        if token % 4:
+            data.append(("crawl", f"e{token % 3}", token, "end", ts + rng.randrange(1, 3_000) * 1_000_000))
+    events = spark.createDataFrame(data, "job_type string, entity_id string, token long, kind string, ts_us long").withColumn("ts", F.timestamp_micros("ts_us"))
+    twin = attempts.one_at_a_time(events, ["job_type", "entity_id"])
+    beat = events.orderBy(F.desc("ts_us")).limit(1).withColumns({"job_type": F.lit("beat"), "ts": F.col("ts") + F.expr("INTERVAL 30 DAY"), "ts_us": F.col("ts_us") + 30 * 86_400_000_000}).first()
+    source = shuffled_stream(spark, tmp_path, events, rng, beat=beat)
+    out = spark.read.parquet(jobs.drain(jobs.one_at_a_time(source, ["job_type", "entity_id"], late_after="2 days"), timeout=240)).filter("job_type = 'crawl'")
+    assert out.filter("late").count() == 0
+    same(out, twin, "token", "accepted")
