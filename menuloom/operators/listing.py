@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import reliable_checkpoint
+from .groups import join_keys
+
 # Page sizes.
 DEFAULT_PAGE_SIZE = 20
 MAX_PAGE_SIZE = 100
@@ -25,6 +28,32 @@ def page(
     return rows
 
 
+def deep_page(df: DataFrame, order: Sequence[tuple[str, bool]], number: int, size: int = DEFAULT_PAGE_SIZE, parts: int | None = None) -> DataFrame:
+    """A page far from the start. ``order`` are (column, descending) that together are unique, with
+    ``page``'s place of nulls. Only these columns are dealt out by range; each range is counted,
+    and only the ranges in which the page lies are sorted, so no task holds what comes before
+    it. The page's keys, ``size`` at most, then fetch their rows. ``parts`` is the number of ranges,
+    by default one per shuffle partition."""
+    if number < 1 or not 1 <= size <= MAX_PAGE_SIZE:
+        raise ValueError("page numbers start at 1 and sizes are 1 to 100")
+    names = [c for c, _ in order]
+    by = lambda: [F.col(c).desc() if down else F.col(c).asc() for c, down in order]
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = reliable_checkpoint(df.select(*names).repartitionByRange(parts, *by()).withColumn("_range", F.spark_partition_id()))
+    counts = dict(ranged.groupBy("_range").count().collect())  # a number for each range
+    first, before, start, wanted = (number - 1) * size, 0, None, []
+    for n in sorted(counts):
+        if before < first + size and before + counts[n] > first:
+            start = before if start is None else start
+            wanted.append(n)
+        before += counts[n]
+    near = ranged.where(F.col("_range").isin(wanted)) if wanted else ranged.limit(0)
+    keys = near.orderBy("_range", *by()).offset(max(0, first - (start or 0))).limit(size).drop("_range")
+    # At most a page of keys.
+    found = F.broadcast(reliable_checkpoint(keys))
+    return join_keys(df, found, names, "left_semi").orderBy(*by())
+
+
 def newest(df: DataFrame, n: int, ts: str = "created_at", key: str = "id") -> DataFrame:
     return df.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(n)
 

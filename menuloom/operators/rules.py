@@ -6,15 +6,20 @@ dishes; only duplicate names need a count per group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.let import let
 from ..functions.text import normalize_name
+from ..session import reliable_checkpoint
 from .groups import join_group_facts, join_keys
 
 ERROR, WARNING = "error", "warning"
+# Characters of the words that one automaton holds, about.
+SHARD_CHARS = 8_000_000
 
 # Energy per gram, tolerances and plausibility bounds.
 KCAL_PER_G_PROTEIN = 4
@@ -186,24 +191,55 @@ def allergen_issues(dishes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return dishes.select(*keys, F.explode(undeclared_allergens()).alias("_i")).select(*keys, "_i.*")
 
 
+def words_inside(rows: DataFrame, words: DataFrame, keys: Sequence[str], text: str, word: str, value: str, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """(keys, value) of every word that a text holds as a substring, each pair once a text. ``words`` are
+    (word, value) rows of any number: they are dealt into shards of at most about ``shard_chars``
+    characters, and each text is scanned once a shard by an Aho-Corasick automaton, in time
+    that follows the text, not the words. Empty words and null texts hold nothing."""
+    spark, keys = rows.sparkSession, list(keys)
+    known = reliable_checkpoint(words.where(F.length(word) > 0).select(F.col(word).alias("_word"), F.col(value).alias("_value")).distinct())
+    chars = known.agg(F.coalesce(F.sum(F.length("_word")), F.lit(0))).first()[0]
+    shards = -(-chars // shard_chars)
+    source = rows.select(*keys, F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    schema = T.StructType([*(source.schema[k] for k in keys), T.StructField(value, known.schema["_value"].dataType)])
+    kind = to_arrow_type(known.schema["_value"].dataType)
+
+    def scanned(sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for w, v in zip(*sent.value, strict=True):
+                machine.get(w, None) or machine.add_word(w, [])
+                machine.get(w).append(v)
+            machine.make_automaton()
+            for batch in batches:
+                rows, values = [], []
+                for i, body in enumerate(batch.column(len(keys)).to_pylist()):
+                    found = dict.fromkeys(v for _, held in machine.iter(body) for v in held)
+                    rows += [i] * len(found)
+                    values += found
+                own = batch.select(list(range(len(keys)))).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(values, kind)], [*keys, value])
+
+        return source.mapInArrow(run, schema)
+
+    out = spark.createDataFrame([], schema)
+    for n in range(shards):
+        shard = known.where(F.pmod(F.xxhash64("_word"), F.lit(shards)) == n).toArrow()
+        if len(shard):
+            out = out.unionByName(scanned(spark.sparkContext.broadcast((shard.column("_word").to_pylist(), shard.column("_value").to_pylist()))))
+    return out
+
+
 def undeclared_by_word_table(
     ingredients: DataFrame, declared: DataFrame, words: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """The same test against a word table of the caller, of any size: (keys, name) rows
-    against (word, allergen) rows by ``contains``, minus what is declared. Each name
-    gives its substrings of the lengths that words have, and these meet the words in an
-    equality join; so the work follows the names, not names times words."""
-    known = words.where(F.length("word") > 0).select(F.col("word").alias("_word"), "allergen").distinct()
-    # One row per length that occurs; a word of n characters is one length.
-    lengths = [r[0] for r in known.select(F.length("_word").alias("n")).distinct().orderBy("n").toLocalIterator()]
-    if not lengths:
-        return ingredients.select(*keys, F.lit(None).cast("string").alias("allergen")).limit(0)
-    name = F.lower(F.col("name"))
-    places = lambda n: F.when(F.length("_name") >= n, F.transform(F.sequence(F.lit(1), F.length("_name") - n + 1), lambda i: F.substring(F.col("_name"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    pieces = F.array_distinct(F.flatten(F.array(*[places(n) for n in lengths])))
-    asked = ingredients.withColumn("_name", name).select(*keys, F.explode(pieces).alias("_word"))
-    found = asked.join(known, "_word").select(*keys, "allergen")
-    return found.distinct().join(declared.select(*keys, "allergen"), [*keys, "allergen"], "left_anti")
+    against (word, allergen) rows by ``contains``, minus what is declared."""
+    names = ingredients.select(*keys, F.lower(F.col("name")).alias("name"))
+    found = words_inside(names, words, keys, "name", "word", "allergen").distinct()
+    return join_keys(found, declared.select(*keys, "allergen"), [*keys, "allergen"], "left_anti")
 
 
 def duplicate_groups(dishes: DataFrame, scope: Sequence[str], name: str = "name") -> DataFrame:

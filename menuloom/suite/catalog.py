@@ -129,6 +129,15 @@ def _restaurants(t: Tables):
     return t.orders.select(F.col("o_orderkey").alias("restaurant_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("name"))
 
 
+@query("l01_deep_page", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag FROM lineitem
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50 OFFSET 30000""")
+def deep_page(t: Tables):
+    order = [("l_extendedprice", True), *((c, False) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))]
+    rows = listing.deep_page(t.lineitem, order, 601, 50)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+
+
 @query("l01_a01_page_listing", """
 SELECT o_orderkey AS restaurant_id, epoch_us(o_orderdate) AS created_us, (SELECT count(*) FROM orders) AS total FROM orders
 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 100""")

@@ -238,6 +238,15 @@ def test_profiles_and_menus(spark):
     assert rows(mapping.merge_menus(live, new, keep_current=False), "restaurant_id", "v") == [("a", 9)]
 
 
+def test_deep_pages_are_the_plain_ones(spark):
+    df = spark.range(997).select((F.col("id") * 7 % 13).alias("a"), F.when(F.col("id") % 50 != 0, F.col("id") * 31 % 997).alias("b"), "id").repartition(7)
+    order, plain = [("a", True), ("b", False), ("id", True)], [F.col("a").desc(), F.col("b").asc(), F.col("id").desc()]
+    for number, size, parts in ((1, 20, 8), (2, 20, 8), (17, 33, 5), (50, 20, 8), (10, 100, 300), (11, 100, 3), (9, 100, 1)):
+        want = [r.id for r in listing.page(df, plain, number, size).collect()]
+        assert [r.id for r in listing.deep_page(df, order, number, size, parts).collect()] == want
+    assert listing.deep_page(df.limit(0), order, 1, 20).count() == 0
+
+
 def test_page_bounds(spark):
     import pytest
 

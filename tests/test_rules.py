@@ -140,6 +140,23 @@ def test_records_are_cut_out_of_texts_as_they_stand():
         assert conform.nested_records(decode, bad, below) == [(0, "", bad)]
 
 
+def test_words_inside_names(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [("".join(rng.choices("abé", k=rng.randrange(0, 5))), f"v{rng.randrange(4)}") for _ in range(60)] + [(None, "n"), ("ab", None)]
+    names = [(i if i % 9 else None, None if i % 17 == 0 else "".join(rng.choices("ABabéx ", k=rng.randrange(12)))) for i in range(200)]
+    table, rows = spark.createDataFrame(words, "word string, allergen string"), spark.createDataFrame(names, "k int, name string")
+    want = sorted({(k, v) for k, n in names if n is not None for w, v in words if w and w in n.lower()}, key=repr)
+    for shard in (7, 10_000):
+        got = rules.words_inside(rows.withColumn("name", F.lower("name")), table, ["k"], "name", "word", "allergen", shard_chars=shard)
+        assert sorted({(r.k, r.allergen) for r in got.collect()}, key=repr) == want
+    declared = spark.createDataFrame([(None, "v1"), (5, "v2")], "k int, allergen string")
+    left = rules.undeclared_by_word_table(rows, declared, table, ["k"]).collect()
+    assert sorted(((r.k, r.allergen) for r in left), key=repr) == [x for x in want if x not in ((None, "v1"), (5, "v2"))]
+    assert rules.undeclared_by_word_table(rows, declared, table.limit(0), ["k"]).count() == 0
+
+
 def test_long_chains_and_cycles(spark):
     nodes = [(str(i), str(i - 1) if i else None) for i in range(100)] + [("p", "q"), ("q", "p"), ("below", "p")]
     good, bad = tree.category_paths(spark.createDataFrame(nodes, "id string, parent string"), "id", "parent", F.col("id"))
