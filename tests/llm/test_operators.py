@@ -372,19 +372,19 @@ def test_automata_are_held_one_at_a_time(spark, monkeypatch):
     sizes = [r["n"] for r in dealt.groupBy("shard").agg(F.sum(F.size(F.split(F.col("words").cast("string"), " "))).alias("n")).collect()]
     assert count >= len(sizes) > 2 and max(sizes) <= 60
     live, most, sent, destroyed = weakref.WeakSet(), [], [], []
-    sc, real = type(spark.sparkContext), spark.sparkContext.broadcast
+    real = decontamination.travelling
 
-    def broadcast(self, value):
-        live.add(value)
+    def travelling(session, machine):
+        live.add(machine)
         gc.collect()
         most.append(len(live))
-        out = real(value)
+        out = real(session, machine)
         sent.append(out)
         gone = out.destroy
         out.destroy = lambda *a, **k: (destroyed.append(out), gone(*a, **k))
         return out
 
-    monkeypatch.setattr(sc, "broadcast", broadcast)
+    monkeypatch.setattr(decontamination, "travelling", travelling)
     driver, plain = os.getpid(), decontamination.Automaton.__init__
 
     def init(self, *args):
