@@ -224,19 +224,18 @@ def hold_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str
         ways = entered(left.select(*keys_, "until").distinct(), "until").select(*keys_, F.col("_to").alias(CHUNK), "until").unionByName(free)
         parts = ways.groupBy(*keys_, CHUNK).agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("_parts"))
         dealt = join_keys(ways, parts, [*keys_, CHUNK]).withColumn("_part", F.pmod(F.xxhash64("until"), F.col("_parts")).cast("int"))
-        copies = join_keys(narrow, parts, [*keys_, CHUNK]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        dealt = dealt.drop("_parts")
+        copies = join_keys(narrow, dealt.select(*keys_, CHUNK, "_part").distinct(), [*keys_, CHUNK])
 
         def ways_through(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             until = asked["until"].to_numpy("int64")
-            if not len(until):
-                return pd.DataFrame({f.name: [] for f in found.fields})
             t, r, last = chains(pdf)
             at = last[np.searchsorted(t, until, side="left")]
             return pd.DataFrame({**{c: asked[c].iloc[0] for c in [*keys_, CHUNK]}, "until": until, "leave": r[at], "leave_ts": t[at], "leave_pos": at}, index=range(len(until)))
 
         found = T.StructType([*place, *longs("until", "leave", "leave_ts", "leave_pos")])
         # Names of their own, as both sides come from one table.
-        sides = [x.drop("_parts").select(*[F.col(c).alias(c) for c in x.columns if c != "_parts"]).groupBy(*keys_, CHUNK, "_part") for x in (copies, dealt)]
+        sides = [x.select(*[F.col(c).alias(c) for c in x.columns]).groupBy(*keys_, CHUNK, "_part") for x in (copies, dealt)]
         through = reliable_checkpoint(sides[0].cogroup(sides[1]).applyInPandas(ways_through, found))
         steps = reliable_checkpoint(entered(through.select(*keys_, "until", "leave"), "leave").select(*keys_, "until", F.col("leave").alias("_next")))
         real, known = free.select(*keys_, "until"), 0
