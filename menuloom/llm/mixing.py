@@ -13,8 +13,9 @@ taken equal the budget.
 
 A prefix sum over a hot source never meets in one task: keys are dealt into bins by a
 monotone function of the key, sums of bins find the bin in which the budget ends, and
-only that bin (about the root of the source's rows) is ordered. All other documents
-compare their key with the source's threshold.
+only that bin is ordered. Bins are even for the least quality, and as dense as its inverse
+(four times) for the highest, so a bin has about four times the root of the rows at most, whatever
+the qualities are. All other documents compare their key with the source's threshold.
 
 Cases: null and empty texts have size 0 and are never taken; null sources form one
 source; null ids draw as an empty id; rows with one id tie and share what is left of
@@ -31,6 +32,8 @@ from menuloom.session import broadcast_if_small, reliable_checkpoint
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix"
+#: The least quality that bins are made for; lower ones are mixed right, in fuller bins.
+LEAST_QUALITY = 0.25
 OUTPUT = ("size", "source_size", "target", "taken")
 
 
@@ -41,7 +44,7 @@ def word_count(text: str = "text") -> Column:
 def prose_quality(size: Column, text: str = "text") -> Column:
     """Between 0.25 and 1: highest where words are about as long as in prose."""
     off = (F.length(text).cast("double") / size.cast("double") - F.lit(6.0)) / F.lit(3.0)
-    return F.when(size > 0, F.greatest(F.lit(0.25), F.lit(1.0) / (F.lit(1.0) + off * off))).otherwise(F.lit(0.25))
+    return F.when(size > 0, F.greatest(F.lit(LEAST_QUALITY), F.lit(1.0) / (F.lit(1.0) + off * off))).otherwise(F.lit(LEAST_QUALITY))
 
 
 def draw_key(doc_id: str, quality: Column, seed: str = SEED) -> Column:
@@ -51,6 +54,11 @@ def draw_key(doc_id: str, quality: Column, seed: str = SEED) -> Column:
     return -F.log(u) / quality
 
 
+def bin_number(key: Column, bins: int, least_quality: float = LEAST_QUALITY) -> Column:
+    """The bin of a key; it never falls as the key rises."""
+    return F.floor((F.lit(1.0) - F.exp(-key * F.lit(least_quality))) * bins).cast("long")
+
+
 def _tie(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
 
@@ -81,15 +89,15 @@ def _ranked(sizes: DataFrame) -> DataFrame:
     ordered = sizes.repartitionByRange(n, F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
     ordered = reliable_checkpoint(ordered)
     counts = ordered.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.part") < F.col("a.part"), "left")
-    before = before.groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    # One row a partition.
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
     return ordered.withColumn("inside", inside).join(before, "part").select("source", "source_size", (F.col("before") + F.col("inside") - 1).alias("rank"))
 
 
 def mix(
     docs: DataFrame, size: Column, quality: Column, doc_id: str = "doc_id", source: str = "source",
-    weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, narrow: bool = False,
+    weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, narrow: bool = False, least_quality: float = LEAST_QUALITY,
 ) -> DataFrame:
     """``docs`` with size, source_size, target and taken (words taken, repeats counted).
     ``size`` and ``quality`` are expressions over the documents. ``narrow`` returns the id
@@ -100,7 +108,7 @@ def mix(
     ))
     rows = fixed.count()
     bins = max(16, int(rows**0.5))
-    bin_of = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * bins).cast("long")
+    bin_of = bin_number(F.col("key"), bins, least_quality)
     sums = reliable_checkpoint(fixed.withColumn("bin", bin_of).groupBy("source", "bin").agg(F.sum("size").alias("size")))
 
     targets = source_targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)

@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from test_operators import EDGE, documents, prose
 
-from menuloom.llm import alignment, collocations, decontamination, embedding_dedup, pii, topk, toxicity
+from menuloom.llm import alignment, collocations, decontamination, embedding_dedup, mixing, pii, topk, toxicity
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 PATHS = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
@@ -285,6 +285,16 @@ def test_items_without_an_id_count(spark):
     assert got == {1: (30, []), 2: (2, ["7"]), 3: (0, [])}
 
 
+@pytest.mark.parametrize("quality", [1.0, 0.5, 0.25])
+def test_bins_of_the_mix_are_even(spark, quality):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(400_000).select(mixing.draw_key("id", F.lit(quality)).alias("key"))
+    bins = 632
+    sizes = [r["count"] for r in keys.groupBy(mixing.bin_number(F.col("key"), bins).alias("bin")).count().collect()]
+    assert sum(sizes) == 400_000 and max(sizes) < 5 * 632
+
+
 def test_one_id_with_many_rows_is_one_labelled_row(spark):
     rng = random.Random(25)
     rows = [(i % 40, prose(rng, 20, 300) + (" snorkfool" if i % 2 else "")) for i in range(400)]
