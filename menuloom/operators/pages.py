@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.let import let
 from ..functions.urls import OCTET, domain_of
 from .groups import top_of_group
+from .prefixes import first_prefix_rule
 
 # Page size, challenge marks, link words, link limit.
 THIN_PAGE_BYTES = 8000
@@ -199,20 +200,28 @@ def discover_links(
 
 # --- access rules and addresses -------------------------------------------------
 
-def allowed_by_rules(pages: DataFrame, rules: DataFrame, domain: str, path: str, out: str = "allowed") -> DataFrame:
-    """First matching rule of the domain's file decides; no rule or no file means
-    allowed. A file's rules are folded into one array (a file is capped by the
-    25 MiB response limit), so no page is multiplied by its domain's rules."""
-    files = rules.groupBy("domain").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "allow", F.col("path").alias("prefix")))).alias("_rules")
-    ).withColumnRenamed("domain", domain)
-    # An empty prefix stands for a rule that forbids nothing.
-    matching = F.filter(
-        "_rules", lambda r: (r["prefix"] == "*") | (r["prefix"] == "") | F.startswith(F.col(path), r["prefix"])
+def allowed_by_rules(
+    pages: DataFrame, rules: DataFrame, domain: str, path: str, out: str = "allowed", parts: int | None = None
+) -> DataFrame:
+    """First matching rule (domain, seq, allow, path) of the domain's file decides; no rule or no
+    file means allowed, so does a rule without a verdict. A null domain has no rules, and to a
+    null path only rules for all paths apply.
+
+    Distinct paths and rules alone are sorted together (``first_prefix_rule``), so neither a
+    domain's rules nor its pages are ever in one task or one array; what is found is joined to the
+    pages by domain and path. Both sides of that join are split by adaptive execution where
+    a path is hot. ``parts`` is the number of chunks."""
+    # An empty prefix stands for a rule that forbids nothing; it covers all paths, as a star does.
+    prefix = F.col("path")
+    known = rules.filter(F.col("domain").isNotNull() & prefix.isNotNull()).select(
+        F.col("domain").alias("_group"), F.when(prefix == "*", "").otherwise(prefix).alias("_text"), "seq", "allow",
+        prefix.alias("prefix"), F.when(prefix == "", True).otherwise(F.coalesce("allow", F.lit(True))).alias("verdict"),
     )
-    first = F.get(matching, F.lit(0))
-    verdict = F.when(first["prefix"] == "", True).otherwise(first["allow"])
-    return pages.join(files, domain, "left").withColumn(out, F.coalesce(verdict, F.lit(True))).drop("_rules")
+    text = F.coalesce(F.col(path), F.lit(""))
+    wanted = pages.filter(F.col(domain).isNotNull()).select(F.col(domain).alias("_group"), text.alias("_text")).distinct()
+    found = first_prefix_rule(wanted, known, parts)
+    joined = pages.join(found, (F.col(domain) == F.col("_group")) & (text == F.col("_text")), "left")
+    return joined.withColumn(out, F.coalesce("_verdict", F.lit(True))).drop("_group", "_text", "_verdict")
 
 
 # Addresses no crawl may reach (private, loopback, link-local,

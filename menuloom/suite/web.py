@@ -314,6 +314,28 @@ def access_rules(t: Tables):
     return pg.allowed_by_rules(pages, rules, "host", "path").select("page_id", "allowed")
 
 
+# Numbers as paths on few hosts, and rules nested digit by digit.
+@query("j11_nested_rules", """
+WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 = 0 THEN 'b' ELSE 'a' END AS host, '/' || l_orderkey || '/' || l_linenumber AS path FROM lineitem),
+rules AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'b' ELSE 'a' END AS host, o_orderkey AS seq, o_orderkey % 3 = 0 AS allow,
+  CASE WHEN o_orderkey % 1001 = 0 THEN '/' ELSE left('/' || o_orderkey || '/1', 3 + o_custkey % 6) END AS prefix FROM orders),
+h AS (SELECT DISTINCT host, path, left(path, n) AS prefix FROM p CROSS JOIN range(1, 9) AS r(n) WHERE n <= length(path)),
+v AS (SELECT h.host, h.path, coalesce(arg_min(allow, seq), true) AS allowed FROM h LEFT JOIN rules USING (host, prefix) GROUP BY 1, 2)
+SELECT p.l_orderkey, p.l_linenumber, v.allowed FROM p JOIN v USING (host, path)""")
+def nested_rules(t: Tables):
+    number, order = F.col("l_orderkey"), F.col("o_orderkey")
+    rows = t.lineitem.select(
+        number, "l_linenumber", F.when(number % 5 == 0, "b").otherwise("a").alias("host"),
+        F.concat(F.lit("/"), number, F.lit("/"), "l_linenumber").alias("path"),
+    )
+    prefix = F.substring(F.concat(F.lit("/"), order, F.lit("/1")), F.lit(1), (3 + F.col("o_custkey") % 6).cast("int"))
+    rules = t.orders.select(
+        F.when(order % 7 == 0, "b").otherwise("a").alias("domain"), order.alias("seq"), (order % 3 == 0).alias("allow"),
+        F.when(order % 1001 == 0, "/").otherwise(prefix).alias("path"),
+    )
+    return pg.allowed_by_rules(rows, rules, "host", "path").select("l_orderkey", "l_linenumber", "allowed")
+
+
 @query("j12_unsafe_addresses", """
 WITH a AS (SELECT event_id, user_id AS host, CASE WHEN user_id % 2 = 0 THEN 100 + event_id % 120 ELSE 100 END AS o1, event_id % 256 AS o2, event_id % 97 AS o3, event_id % 4 AS f FROM events)
 SELECT host, bool_or(CASE f WHEN 0 THEN false WHEN 1 THEN o2 % 2 = 1 AND host % 3 = 0

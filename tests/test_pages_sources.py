@@ -1,4 +1,5 @@
 import hashlib
+import random
 import json
 
 import pytest
@@ -47,6 +48,37 @@ def test_access_rules(spark):
     assert got == {("a.com", "/menu/open/1"): True, ("a.com", "/menu/x"): False, ("a.com", "/"): True, ("b.com", "/z"): True, ("c.com", "/z"): True}
 
 
+def _first_rule(rules, host, path):
+    """The rule file read one line at a time."""
+    for domain, seq, allow, prefix in sorted(rules, key=lambda r: (r[1], r[2], r[3] or "")):
+        if domain == host and host is not None and prefix is not None:
+            if prefix in ("", "*") or (path is not None and path.startswith(prefix)):
+                return True if prefix == "" else allow
+    return True
+
+
+def test_access_rules_in_many_chunks(spark):
+    """Deep nesting, one hot domain, equal paths, stars, nulls and texts beyond ASCII, in chunks so
+    small that most begin inside open ranges."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("ab/é\U0001F35C") for _ in range(rng.randint(0, n)))
+    rules = [("hot" if rng.random() < 0.8 else rng.choice(["b", None]), rng.randint(5, 60), rng.random() < 0.5, rng.choice([None, "*", ""]) if rng.random() < 0.01 else "/" + word(7)) for _ in range(400)]
+    rules += [("deep", 100 - n, n % 2 == 0, "/" + "x" * n) for n in range(60)]
+    pages = [(i, "hot" if rng.random() < 0.7 else rng.choice(["b", "c", None]), rng.choice([None, "", "/" + word(9)])) for i in range(1500)]
+    pages += [(2000 + i, "hot", "/ab") for i in range(300)] + [(3000 + n, "deep", "/" + "x" * n + "y") for n in range(70)]
+    r = spark.createDataFrame(rules, "domain string, seq int, allow boolean, path string")
+    p = spark.createDataFrame(pages, "id int, host string, path string")
+    want = {i: _first_rule(rules, host, path) for i, host, path in pages}
+    for parts in (1, 40):
+        got = [(x.id, x.allowed) for x in pg.allowed_by_rules(p, r, "host", "path", parts=parts).collect()]
+        assert len(got) == len(pages) and dict(got) == want
+    assert set(want.values()) == {True, False}
+    empty = pg.allowed_by_rules(p, r.limit(0), "host", "path")
+    assert empty.filter("allowed").count() == len(pages) and empty.columns == ["id", "host", "path", "allowed"]
+    assert pg.allowed_by_rules(p.limit(0), r, "host", "path").count() == 0
+    assert "collect_list" not in pg.allowed_by_rules(p, r, "host", "path")._jdf.queryExecution().toString()
+
+
 def test_capture_and_read_back(spark, tmp_path):
     (tmp_path / "a.html").write_bytes(b"caf\xc3\xa9 \xff")
     files = snapshots.read_captures(spark, str(tmp_path)).withColumn("source", F.regexp_extract("path", r"([a-z]+)\.html$", 1))
