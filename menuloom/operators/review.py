@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .groups import first_rows
+from ..sources import commits
+from .groups import first_rows, join_keys
 
 DEFAULT_WORKFLOW = "collector_workflow"
 
@@ -22,6 +23,19 @@ def new_changes(existing: DataFrame, batch: DataFrame, by: str = "thread_id", po
     return first.join(existing.select(by), by, "left_anti")
 
 
+def stage(spark: SparkSession, root: str, batch: DataFrame, by: str = "thread_id", pos: str = "pos") -> int | None:
+    """Append the batch to the staged changes under ``root`` as one commit: the first row of each
+    thread, and only threads that are not staged. Of writers that stage the same thread at the
+    same time the first to commit does, the others drop it. A null thread is a thread."""
+    first = first_rows(batch, [by], pos, "_first").filter("_first").drop("_first")
+    return commits.append(spark, root, first, lambda staged, rows: join_keys(rows, staged.select(by), [by], "left_anti"))
+
+
+def staged_changes(spark: SparkSession, root: str) -> DataFrame | None:
+    """All staged changes; None before the first commit."""
+    return commits.read_rows(spark, root)
+
+
 def with_workflow(changes: DataFrame, runs: DataFrame) -> DataFrame:
     """Workflow of each change by its run; the collector when there is none."""
     types = runs.select(F.col("id").alias("agent_run_id"), "workflow_type")

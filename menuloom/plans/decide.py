@@ -152,8 +152,9 @@ def decide_and_publish(
     )
 
 
-def write(spark: SparkSession, result: Published, root: str, audit_path: str) -> int:
-    """Publish the new version, then append the audit entries."""
-    version = versions.publish(spark, root, {**result.tables, "changes": result.changes, "approvals": result.approvals})
+def write(spark: SparkSession, result: Published, root: str, audit_path: str, base: int | None = None) -> int:
+    """Publish the new version, then append the audit entries. ``base`` is the version whose
+    tables went into the result; if another one was published since, nothing is written."""
+    version = versions.publish(spark, root, {**result.tables, "changes": result.changes, "approvals": result.approvals}, base)
     audit.append_audit(result.audit.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())), audit_path)
     return version
