@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.urls import canonical_url
-from ..operators import delta as deltas
+from ..operators import catalog, delta as deltas
 from ..plans import collect as c, decide, operations, review_sweep
 from ..schema import MACROS, MICRONUTRIENTS
 from .base import SQL, Tables, query
@@ -232,6 +233,90 @@ def run_results(t: Tables):
     return published(t).runs.select("id", "agent_run_id", "status", F.coalesce("error_message", F.lit("")).alias("error"))
 
 
+# A catalog of ten entities: categories are customers, in half of them a chain and else a binary
+# tree, three roots and their menus each; dishes are orders, locations suppliers. In the new
+# version menus and categories go, categories move under another root, cities and prices change.
+_TREE = """
+c0 AS (SELECT c_custkey AS id, c_custkey % 10 AS e, c_custkey // 10 AS i, c_mktsegment AS name FROM customer),
+c1 AS (SELECT id, e, i, name, CASE WHEN i < 3 THEN NULL WHEN e % 2 = 0 THEN (i - 3) * 10 + e ELSE (i // 2) * 10 + e END AS parent, CASE WHEN i < 3 THEN e * 10 + i END AS menu FROM c0),
+m1 AS (SELECT e * 10 + j AS id, e, 'menu ' || j AS name FROM range(10) AS a(e), range(3) AS b(j)),
+c2 AS (SELECT id, e, i, CASE WHEN id % 13 = 1 THEN lower(name) ELSE name END AS name, CASE WHEN i > 3 AND id % 11 = 5 THEN 20 + e ELSE parent END AS parent, menu FROM c1 WHERE id % 17 <> 3),
+lost AS (SELECT id FROM c1 WHERE id % 17 = 3),
+dead AS (SELECT id, e FROM c2 WHERE (e % 4 <> 0 AND menu % 10 = 1) OR parent IN (FROM lost) UNION SELECT c2.id, c2.e FROM c2 JOIN dead ON c2.parent = dead.id),
+d1 AS (SELECT o_orderkey AS id, o_custkey % 10 AS e, o_custkey AS cat, o_totalprice AS price FROM orders),
+d2 AS (SELECT id, e, cat, CASE WHEN id % 13 = 0 THEN price + 1 ELSE price END AS price FROM d1 WHERE id % 31 <> 0)"""
+
+
+def _catalog(t: Tables, new: bool) -> dict:
+    key = F.col("c_custkey")
+    e, i = key % 10, F.floor(key / 10).cast("long")
+    parent = F.when(i >= 3, F.when(e % 2 == 0, (i - 3) * 10 + e).otherwise(F.floor(i / 2).cast("long") * 10 + e))
+    moved = (i > 3) & (key % 11 == 5)
+    was = lambda old, when, value: F.when(when, value).otherwise(old) if new else old
+    menus = t.spark.range(30).select((F.col("id") / 3).cast("long").alias("entity_id"), (F.col("id") % 3).alias("j"))
+    tables = {
+        "locations": t.supplier.select(
+            (F.col("s_suppkey") % 10).alias("entity_id"), F.col("s_suppkey").alias("location_id"),
+            was(F.col("s_name"), F.col("s_suppkey") % 5 == 2, F.upper("s_name")).alias("city")),
+        "menus": menus.select("entity_id", (F.col("entity_id") * 10 + F.col("j")).alias("menu_id"), F.concat(F.lit("menu "), "j").alias("name")),
+        "categories": t.customer.select(
+            e.alias("entity_id"), key.alias("category_id"),
+            was(F.col("c_mktsegment"), key % 13 == 1, F.lower("c_mktsegment")).alias("name"), was(parent, moved, 20 + e).alias("parent_id"),
+            F.when(i < 3, e * 10 + i).alias("menu_id")),
+        "dishes": t.orders.select(
+            (F.col("o_custkey") % 10).alias("entity_id"), F.col("o_orderkey").alias("dish_id"), F.col("o_custkey").alias("category_id"),
+            was(F.col("o_totalprice"), F.col("o_orderkey") % 13 == 0, F.col("o_totalprice") + 1).alias("price")),
+    }
+    if new:
+        tables["locations"] = tables["locations"].filter("location_id % 7 <> 3")
+        tables["menus"] = tables["menus"].filter("entity_id % 4 = 0 OR menu_id % 10 <> 1")
+        tables["categories"] = tables["categories"].filter("category_id % 17 <> 3")
+        tables["dishes"] = tables["dishes"].filter("dish_id % 31 <> 0")
+    return tables
+
+
+def patched_catalog(t: Tables) -> catalog.Patched:
+    live, target = _catalog(t, False), _catalog(t, True)
+    return catalog.apply_catalog_delta(live, target, catalog.catalog_diff(live, target))
+
+
+@query("b02_catalog_delta", f"""WITH {_TREE}
+SELECT 'locations' AS "table", s_suppkey % 10 AS entity_id, s_suppkey AS id, CASE WHEN s_suppkey % 7 = 3 THEN '' ELSE 'city' END AS field, CASE WHEN s_suppkey % 7 = 3 THEN 'removed' ELSE 'changed' END AS op
+  FROM supplier WHERE s_suppkey % 7 = 3 OR (s_suppkey % 5 = 2 AND upper(s_name) <> s_name)
+UNION ALL SELECT 'menus', e, id, '', 'removed' FROM m1 WHERE e % 4 <> 0 AND id % 10 = 1
+UNION ALL SELECT 'categories', e, id, '', 'removed' FROM c1 WHERE id IN (FROM lost)
+UNION ALL SELECT 'categories', c1.e, c1.id, 'name', 'changed' FROM c1 JOIN c2 USING (id) WHERE c1.name <> c2.name
+UNION ALL SELECT 'categories', c1.e, c1.id, 'parent_id', 'changed' FROM c1 JOIN c2 USING (id) WHERE c1.parent IS DISTINCT FROM c2.parent
+UNION ALL SELECT 'dishes', d1.e, d1.id, CASE WHEN d2.id IS NULL THEN '' ELSE 'price' END, CASE WHEN d2.id IS NULL THEN 'removed' ELSE 'changed' END FROM d1 LEFT JOIN d2 USING (id) WHERE d2.id IS NULL OR d1.price <> d2.price""".replace("WITH", "WITH RECURSIVE", 1))
+def catalog_delta(t: Tables):
+    changes = catalog.catalog_diff(_catalog(t, False), _catalog(t, True))
+    lines = [d.select(F.lit(x.table).alias("table"), "entity_id", F.col(x.id).alias("id"), F.coalesce("field", F.lit("")).alias("field"), "op") for x in catalog.LEVELS for d in [changes[x.table]]]
+    return reduce(DataFrame.unionAll, lines)
+
+
+@query("b03_catalog_patch", f"""WITH {_TREE}
+SELECT 'locations' AS "table", s_suppkey % 10 AS entity_id, s_suppkey AS id, -1 AS ref, CASE WHEN s_suppkey % 5 = 2 THEN upper(s_name) ELSE s_name END AS value FROM supplier WHERE s_suppkey % 7 <> 3
+UNION ALL SELECT 'menus', e, id, -1, name FROM m1 WHERE e % 4 = 0 OR id % 10 <> 1
+UNION ALL SELECT 'categories', e, id, coalesce(parent, menu), name FROM c2 WHERE id NOT IN (SELECT id FROM dead)
+UNION ALL SELECT 'dishes', e, id, cat, CAST(CAST(round(price * 100) AS BIGINT) AS VARCHAR) FROM d2 WHERE cat NOT IN (FROM lost) AND cat NOT IN (SELECT id FROM dead)""".replace("WITH", "WITH RECURSIVE", 1))
+def catalog_patch(t: Tables):
+    tables = patched_catalog(t).tables
+    shown = {
+        "locations": ("location_id", F.lit(-1), F.col("city")), "menus": ("menu_id", F.lit(-1), F.col("name")),
+        "categories": ("category_id", F.coalesce("parent_id", "menu_id"), F.col("name")),
+        "dishes": ("dish_id", F.col("category_id"), F.round(F.col("price") * 100).cast("long").cast("string")),
+    }
+    rows = [tables[name].select(F.lit(name).alias("table"), "entity_id", F.col(id).alias("id"), ref.cast("long").alias("ref"), value.alias("value")) for name, (id, ref, value) in shown.items()]
+    return reduce(DataFrame.unionAll, rows)
+
+
+@query("b03_catalog_cascade", f"""WITH {_TREE}
+SELECT 'categories' AS "table", e AS entity_id, CAST(id AS VARCHAR) AS id FROM dead
+UNION ALL SELECT 'dishes', e, CAST(id AS VARCHAR) FROM d2 WHERE cat IN (FROM lost) OR cat IN (SELECT id FROM dead)""".replace("WITH", "WITH RECURSIVE", 1))
+def catalog_cascade(t: Tables):
+    return patched_catalog(t).cascaded
+
+
 _RULE_ERRORS = SQL["p11_issue_split"]
 
 
