@@ -5,13 +5,13 @@ them); every row carries ``entity_id``, the restaurant it belongs to."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.let import let
-from ..operators import conform, delta as deltas, report, review
+from ..operators import catalog, conform, delta as deltas, report, review
 from ..schema import RESTAURANT, RESTAURANT_RECORD, Record, Rule
 from ..session import reliable_checkpoint as fixed
 from ..sources import audit, versions
@@ -85,14 +85,17 @@ def _staged_field_names(staged: DataFrame) -> DataFrame:
 def decide_and_publish(
     changes: DataFrame, decisions: DataFrame, runs: DataFrame, check: DataFrame | Callable[[DataFrame], DataFrame],
     live: dict[str, DataFrame], target: dict[str, DataFrame], delta: DataFrame, keys: list[str], profile_delta: DataFrame | None = None,
+    table_deltas: Mapping[str, DataFrame] | None = None, levels: Sequence[catalog.Level] = catalog.LEVELS,
 ) -> Published:
     """``check`` gives the errors per change (id, errors), or makes them from the approved
     changes with their edits (see ``revalidation``). ``delta`` has the dish rows and
     ``profile_delta`` the restaurant fields (entity_id, field) a review changes, both with
-    the ``change_id`` they belong to.
+    the ``change_id`` they belong to. ``table_deltas`` are the changes of the tables above the
+    dishes (locations, menus, categories), alike; with them a removal takes what is below it (see
+    ``catalog.apply_catalog_delta``), and dishes carry the id and the category that ``levels`` names.
 
     First publications bring all rows of their entity in every table of ``target``; reviews
-    touch only the dishes and profile fields that their own delta or an edit names, so
+    touch only the rows and profile fields that their own deltas or an edit name, so
     another pending change of the entity stays pending. Of several reviews of one
     entity that edit its profile, the one with the greatest id counts."""
     decided = review.apply_decisions(changes, decisions)
@@ -105,6 +108,8 @@ def decide_and_publish(
     ids = delta.select(F.col("change_id").alias("id"))
     if profile_delta is not None:
         ids = ids.union(profile_delta.select("change_id"))
+    for lines in (table_deltas or {}).values():
+        ids = ids.union(lines.select("change_id"))
     has_delta = ids.distinct().withColumn("delta", F.lit("given"))
     first, refused_first = review.collector_gate(
         judged.filter(F.col("workflow_type") != "reviewer_workflow"), outcomes, already, order="id"
@@ -120,7 +125,11 @@ def decide_and_publish(
 
     patched = dict(live)
     own = lambda d: d.join(patches.select(F.col("id").alias("change_id")), "change_id", "left_semi").drop("change_id")
-    patched["dishes"] = deltas.patch_rows(live["dishes"], target["dishes"], own(delta), ["entity_id", *keys])
+    if table_deltas:
+        named = {name: own(lines) for name, lines in table_deltas.items()} | {"dishes": own(delta)}
+        patched |= catalog.apply_catalog_delta(live, target, named, catalog.with_keys(levels, "dishes", keys)).tables
+    else:
+        patched["dishes"] = deltas.patch_rows(live["dishes"], target["dishes"], own(delta), ["entity_id", *keys])
     put = dict(target)
     if "restaurants" in target:
         last = patches.groupBy("entity_id").agg(F.max_by("structured_json", "id").alias("structured_json"))
