@@ -22,6 +22,8 @@ SECTION_SEPARATOR = "\n\n---\n\n"
 SECTION_FORMAT = "[snapshot:%s]\n%s"
 # Characters of an error message that are kept.
 ERROR_CHARS = 2000
+# How far from its end a section looks for a place to break.
+BREAK_CHARS = 200
 # Positions one assembled text covers.
 PART_POSITIONS = 1000
 
@@ -47,8 +49,10 @@ def assemble_documents(
 
 def sections(text: Column, chars: int) -> Column:
     """A text in consecutive sections of at most ``chars`` characters that together are
-    the text. A section ends before a line break or an opening tag where there is one."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{chars}}}(?=\n|<[A-Za-z]|\z)|.{{1,{chars}}}"), F.lit(0))
+    the text. A section ends before a line break or an opening tag where there is one among
+    its last ``BREAK_CHARS`` characters, so no section is walked back further than that."""
+    least = max(1, chars - BREAK_CHARS)
+    found = F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{chars}}}(?=\n|<[A-Za-z]|\z)|.{{1,{chars}}}"), F.lit(0))
     return F.when(F.length(text) <= chars, F.array(text)).when(text.isNotNull(), found)
 
 
