@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.ids import uuid5_url
 from ..session import reliable_checkpoint as fixed
 from ..operators import authority, delta, mapping, report, review, workqueue
-from .collect import Extractor, captured_pages, extract_dishes, material
+from .collect import Extractor, captured_pages, extract_dishes, extract_profiles, material
 
 NATURAL_KEY = ["restaurant_id", "menu_name", "category_name", "name_key", "occurrence"]
 DIFF_FIELDS = ["name", "description", "image_url", "nutrition", "allergens", "ingredients", "quantity", "price", "currency"]
@@ -24,6 +24,8 @@ class Reviewed:
     reports: DataFrame
     staged: DataFrame
     errors: DataFrame
+    #: Changed profile fields with the change they belong to; None without a profile extractor.
+    profile_delta: DataFrame | None = None
 
 
 def keyed(dishes: DataFrame) -> DataFrame:
@@ -34,13 +36,18 @@ def keyed(dishes: DataFrame) -> DataFrame:
 def review_sweep(
     live: DataFrame, live_dishes: DataFrame, sources: DataFrame, hints: DataFrame, snapshots: DataFrame,
     running: DataFrame, pages: DataFrame, existing_changes: DataFrame, extractor: Extractor,
+    profile_extractor: mapping.Call | None = None,
 ) -> Reviewed:
     """``live`` are published restaurants (restaurant_id, and nutrition_url if known),
     ``snapshots`` earlier captures per restaurant (source_id, id, fetched_at, content_type,
     content_hash, and page_url if linked pages were kept too; without it a row is of the
     root page), ``pages`` fresh captures (url, html, fetched_at). Root, linked and nutrition
     pages are read just as when the restaurant was collected. The hash gate is a filter
-    before the extractor, so restaurants none of whose pages changed never reach Python."""
+    before the extractor, so restaurants none of whose pages changed never reach Python.
+
+    With a ``profile_extractor`` the profile is read again too and ``live`` has the profile fields; what
+    differs is the ``profile_delta``, and the new values are in the staged JSON, from which
+    publishing takes them. An empty value never replaces a filled one."""
     due = workqueue.due_entities(live, running)
     current = fixed(authority.current_source(due, sources, hints))
     no_source = current.filter(F.col("url").isNull()).select(
@@ -71,7 +78,12 @@ def review_sweep(
     verdicts = fixed(gate)
     documents = read.documents.join(verdicts.filter("changed").select("restaurant_id"), "restaurant_id", "left_semi")
     extraction = extract_dishes(documents, extractor)
-    unread = extraction.failures.select(
+    failures, issues, profiles = extraction.failures, extraction.issues.select("restaurant_id", "field_path", "message"), None
+    if profile_extractor is not None:
+        profiles, profile_issues, lost = extract_profiles(documents, profile_extractor)
+        profiles = fixed(profiles)
+        failures, issues = failures.unionByName(lost), issues.unionByName(profile_issues.select(*issues.columns))
+    unread = failures.select(
         "restaurant_id", F.lit("targeted_reextraction").alias("stage"), F.concat(F.lit("extraction call failed: "), "message").alias("error_message")
     )
     # A restaurant of which a call failed keeps all it has, and is not staged.
@@ -90,23 +102,42 @@ def review_sweep(
     touched = delta.touched_keys(changes, NATURAL_KEY).join(target.select(*NATURAL_KEY, "dish_id"), NATURAL_KEY).select("restaurant_id", "dish_id")
     reports = delta.scoped_report(checked, outcome.issues, touched, "restaurant_id", ["restaurant_id", "dish_id"])
     sizes = changes.groupBy("restaurant_id").agg(F.count(F.lit(1)).alias("changes"))
+    change_id = uuid5_url(F.concat_ws(":", F.lit("review"), "restaurant_id", "material_hash"))
+    number, staged_fields, profile_delta = F.coalesce("changes", F.lit(0)), [], None
+    if profiles is not None:
+        shown = live.join(checked, "restaurant_id", "left_semi").select("restaurant_id", *delta.PROFILE_FIELDS)
+        renewed = mapping.merge_profiles(shown, profiles)
+        lines = fixed(delta.table_diff(shown, renewed, ["restaurant_id"], delta.PROFILE_FIELDS))
+        told = delta.with_provenance(lines, no_profile, profiles.select("restaurant_id", "source_snapshot_ids"), ["restaurant_id"], "restaurant_id")
+        profile_delta = told.join(verdicts.select("restaurant_id", "material_hash"), "restaurant_id").withColumn("change_id", change_id).drop("material_hash")
+        # One row a restaurant: the fields that changed with their new values, others null and so not in the JSON.
+        names = lines.groupBy("restaurant_id").agg(F.collect_set("field").alias("_fields"))
+        values = renewed.join(names, "restaurant_id").select(
+            "restaurant_id", F.size("_fields").alias("_profile_changes"),
+            *[F.when(F.array_contains("_fields", f), F.col(f)).alias(f) for f in delta.PROFILE_FIELDS],
+        )
+        judged = reports.join(values, "restaurant_id", "left")
+        number, staged_fields = number + F.coalesce("_profile_changes", F.lit(0)), list(delta.PROFILE_FIELDS)
+    else:
+        judged = reports
     batch = (
-        reports.join(sizes, "restaurant_id", "left").join(verdicts.select("restaurant_id", "material_hash"), "restaurant_id")
+        judged.join(sizes, "restaurant_id", "left").join(verdicts.select("restaurant_id", "material_hash"), "restaurant_id")
         .select(
-            uuid5_url(F.concat_ws(":", F.lit("review"), "restaurant_id", "material_hash")).alias("id"),
+            change_id.alias("id"),
             F.lit("restaurant").alias("entity_type"),
             F.col("restaurant_id").alias("entity_id"),
-            F.to_json(F.struct(F.coalesce("changes", F.lit(0)).alias("changes"))).alias("structured_json"),
+            F.to_json(F.struct(number.alias("changes"), *staged_fields)).alias("structured_json"),
             F.to_json(F.struct("is_valid", "errors", "warnings", "reported_issues")).alias("validation_result"),
             F.lit("pending").alias("status"),
             F.concat_ws(":", F.lit("review"), "restaurant_id", "material_hash").alias("thread_id"),
             F.lit(0).cast("long").alias("pos"),
         )
     )
-    bad_rows = extraction.issues.select(
+    bad_rows = issues.select(
         "restaurant_id", F.lit("targeted_reextraction").alias("stage"), F.concat_ws(" ", "field_path", "message").alias("error_message")
     )
     return Reviewed(
         due, verdicts, target, traced, reports,
         review.new_changes(existing_changes, batch).drop("pos"), no_source.unionByName(failed).unionByName(unread).unionByName(bad_rows),
+        profile_delta,
     )

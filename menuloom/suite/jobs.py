@@ -89,7 +89,18 @@ def collect_run_states(t: Tables):
     return rows.select("page_id", "status", F.coalesce("stage", F.lit("")).alias("stage"))
 
 
-def _sweep(t: Tables, pages, linked):
+def news_profile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The profile of a page: whether it tells of a new dish, and a kitchen."""
+    told = ["with news" if "Brand new dish" in content else "" for content in pdf["content"]]
+    return pd.DataFrame({
+        "restaurant_id": pdf["restaurant_id"], "pos": 0, "description": told, "cuisine_types": [["new"]] * len(pdf),
+        "logo_url": None, "cover_image_url": None, "confidence": 1.0,
+        # A text begins with the name of its snapshot.
+        "source_snapshot_ids": [[content[10:74]] for content in pdf["content"]],
+    })
+
+
+def _sweep(t: Tables, pages, linked, profile_extractor=None):
     """Live: what an earlier capture of each site gave; fresh: the same pages, of which the
     root of every third site gained a link. ``pages`` are roots (page_id, url, html), ``linked``
     pages below them (url, html)."""
@@ -111,8 +122,10 @@ def _sweep(t: Tables, pages, linked):
     ).unionByName(linked).withColumn("fetched_at", F.timestamp_seconds(F.lit(1)))
     running = page.filter(k % 10 == 9).select("restaurant_id")
     hints = page.limit(0).select("restaurant_id", "url", F.lit(True).alias("is_verified_domain"))
+    profile = [F.concat(F.lit("old "), "restaurant_id").alias("description"), F.lit(None).cast("string").alias("logo_url"), F.lit(None).cast("string").alias("cover_image_url"),
+               F.when(k % 2 == 0, F.array(F.lit("new"))).otherwise(F.array().cast("array<string>")).alias("cuisine_types")]
     return review_sweep.review_sweep(
-        page.select("restaurant_id"), live_dishes, sources, hints, snapshots, running, fresh, _no_changes(t), link_text_extractor
+        page.select("restaurant_id", *profile), live_dishes, sources, hints, snapshots, running, fresh, _no_changes(t), link_text_extractor, profile_extractor,
     )
 
 
@@ -136,6 +149,18 @@ def review_gate(t: Tables):
     return sweep(t).gate.select("restaurant_id", "previous_hash", "content_hash", "changed")
 
 
+def profile_sweep(t: Tables):
+    return _sweep(t, _sites(t), t.pages.limit(0).select("url", "html"), news_profile)
+
+
+@query("b02_review_profile", """
+WITH p AS (SELECT page_id::VARCHAR AS restaurant_id, page_id FROM pages WHERE page_id % 3 = 0 AND page_id % 10 <> 9)
+SELECT restaurant_id, 'description' AS field, 'old ' || page_id AS old_value, 'with news' AS new_value FROM p
+UNION ALL SELECT restaurant_id, 'cuisine_types', '[]', '["new"]' FROM p WHERE page_id % 2 = 1""")
+def review_profile(t: Tables):
+    return profile_sweep(t).profile_delta.select("restaurant_id", "field", "old_value", "new_value")
+
+
 @query("b02_review_linked_pages", _NEW_DISH + " AND page_id % 2 = 0")
 def review_linked_pages(t: Tables):
     """Even pages are roots that link to the page after them: no dish of a linked page is

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from menuloom.plans import collect as c, decide
 from menuloom.sources import audit, versions
 from menuloom.suite.base import Tables
-from menuloom.suite.jobs import link_text_extractor, published, sweep
+from menuloom.suite.jobs import link_text_extractor, published, profile_sweep, sweep
 
 PAGE = '<html><title>{0}</title><a href="/menu">Menu of {0}</a><a href="/x">Soup</a></html>'
 
@@ -89,6 +89,21 @@ def test_review_sweep(spark):
     assert all(r.source_snapshot_ids for r in out.delta.filter("op = 'added'").collect())
 
 
+def test_review_stages_the_profile(spark):
+    out = profile_sweep(Tables(spark, "/root/testdata/sf0.001"))
+    staged = {r.id: json.loads(r.structured_json) for r in out.staged.collect()}
+    lines = out.profile_delta.collect()
+    assert lines and {r.change_id for r in lines} <= set(staged) and all(r.source_snapshot_ids for r in lines)
+    dishes = {r.restaurant_id: r["count"] for r in out.delta.groupBy("restaurant_id").count().collect()}
+    told = {}
+    for r in lines:
+        told.setdefault((r.change_id, r.restaurant_id), set()).add(r.field)
+    for (change, restaurant), fields in told.items():
+        assert set(staged[change]) == {"changes", *fields} and staged[change]["description"] == "with news"
+        assert staged[change]["changes"] == dishes.get(restaurant, 0) + len(fields)
+    assert decide.record_errors(out.staged).count() == 0
+
+
 def test_publish(spark, tmp_path):
     result = published(Tables(spark, "/root/testdata/sf0.001"))
     version = decide.write(spark, result, str(tmp_path / "catalog"), str(tmp_path / "audit"))
