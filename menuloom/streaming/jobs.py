@@ -36,8 +36,10 @@ FILES_PER_BATCH = 100
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
-    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """``name`` (a pattern) in ``folder``: single files or folders of files."""
+    # As a glob the path may name a file, which as a plain path it may not.
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{folder.rstrip('/')}/{{{name}}}")
 
 
 def drain(stream: DataFrame, mode: str = "append", target: str | None = None, timeout: int | None = None, progress: list | None = None) -> str:

@@ -35,6 +35,19 @@ def test_change_gate(spark, tmp_path):
     same(out, twin, "source_id", "poll_id", "outcome")
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_of_a_table_in_one_file_or_a_folder(spark, tmp_path, files):
+    rows = spark.range(12).withColumn("v", F.col("id") * 2)
+    rows.repartition(files).write.parquet(str(tmp_path / "made"))
+    if files == 1:
+        next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "t.parquet")
+    else:
+        (tmp_path / "made").rename(tmp_path / "t.parquet")
+    spark.range(5).withColumn("v", F.lit(-1).cast("long")).write.parquet(str(tmp_path / "other.parquet"))
+    got = spark.read.parquet(jobs.drain(jobs.file_stream(spark, str(tmp_path), "t.parquet", rows.schema, files_per_batch=2), timeout=120))
+    same(got, rows, "id", "v")
+
+
 @pytest.fixture
 def login_attempts(spark):
     rng = random.Random(3)
