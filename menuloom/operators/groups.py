@@ -9,23 +9,32 @@ combined in order. Both ways give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..session import HOT_GROUP_ROWS_CONF, HOT_GROUP_ROWS_DEFAULT, broadcast_if_small, int_conf, reliable_checkpoint
+from ..session import (
+    CHUNK_ROWS_CONF, CHUNK_ROWS_DEFAULT, HOT_GROUP_ROWS_CONF, HOT_GROUP_ROWS_DEFAULT, broadcast_if_small, int_conf, reliable_checkpoint,
+)
 
 CHUNK = "chunk_no"
 # Stands for no hold where a release is asked for.
 _FREE = -(1 << 62)
+# Stands for no time; such rows come last and take no hold that is not free.
+_LEAST = -(1 << 63)
 
 
 def hot_limit(df: DataFrame) -> int:
     return int_conf(df.sparkSession, HOT_GROUP_ROWS_CONF, HOT_GROUP_ROWS_DEFAULT)
 
 
+def _chunk_rows(df: DataFrame) -> int:
+    return max(int_conf(df.sparkSession, CHUNK_ROWS_CONF, CHUNK_ROWS_DEFAULT), 1)
+
+
 def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of hot keys or None when there are none).
 
@@ -44,8 +53,9 @@ def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame
 
 def with_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add a chunk number that grows with (keys, order). It is fixed in the
-    shared folder before use, so a re-run task cannot number rows differently."""
-    per_chunk = max(hot_limit(df), 1)
+    shared folder before use, so a re-run task cannot number rows differently. The size
+    of chunks is what a task handles well; it does not follow the limit for hot keys."""
+    per_chunk = _chunk_rows(df)
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = max(shuffle, -(-df.count() // per_chunk), 2)
     ranged = df.repartitionByRange(int(wanted), *keys, *order)
@@ -132,27 +142,36 @@ def _next_holder(ts: np.ndarray, release: np.ndarray) -> np.ndarray:
     return np.maximum(later, np.arange(len(ts)) + 1)
 
 
-def _chain(ts: np.ndarray, release: np.ndarray, first: int) -> np.ndarray:
-    """Rows that become holders when ``first`` is the first one."""
-    follow, at, holders = _next_holder(ts, release), first, []
-    while at < len(ts):
-        holders.append(at)
-        at = follow[at]
-    return np.array(holders, dtype=np.int64)
-
-
-def _marked(pdf: pd.DataFrame, ts: np.ndarray, release: np.ndarray, busy_until: int | None, rank: int, holder_ts):
-    first = 0 if busy_until is None else int(np.searchsorted(ts, busy_until, side="left"))
-    holders = _chain(ts, release, first)
-    is_holder = np.zeros(len(ts), dtype=bool)
-    is_holder[holders] = True
-    # Position of the holder in force at each row; -1 is the one carried in.
-    at = np.searchsorted(holders, np.arange(len(ts)), side="right") - 1
-    start = np.where(at >= 0, holders[np.maximum(at, 0)] if len(holders) else 0, 0)
-    ranks = np.where(at >= 0, np.arange(len(ts)) - start + 1, rank + np.arange(len(ts)) + 1)
-    carried = -1 if holder_ts is None else holder_ts
-    starts = np.where(at >= 0, ts[start], carried)
-    return pdf.assign(is_holder=is_holder, rank=ranks.astype("int64"), holder_ts=starts.astype("int64"))
+def _with_holds(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, release: str, entered: Sequence[str] = ()) -> DataFrame:
+    """``is_holder``, ``rank`` and ``holder_ts`` of each row, in one pass over the sorted rows of
+    each ``by``: Spark sorts, Python holds one batch. ``entered`` names the columns of the
+    hold a group is entered with (its release, time and rank); they are dropped."""
+    numbered = df.withColumn("_no", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.col(c).asc_nulls_last() for c in order])))
+    kept = [c for c in df.columns if c not in entered]
+    added = [T.StructField("is_holder", T.BooleanType()), T.StructField("rank", T.LongType()), T.StructField("holder_ts", T.LongType())]
+    schema = T.StructType([*[df.schema[c] for c in kept], *added])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        until, start, rank = None, None, 0
+        for batch in batches:
+            column = lambda c: batch.column(c).to_pylist()
+            heads = list(zip(*map(column, entered), strict=True)) if entered else None
+            holder, ranks, starts = [], [], []
+            for i, (no, t, end) in enumerate(zip(column("_no"), column(ts), column(release), strict=True)):
+                if no == 1:
+                    until, start, rank = heads[i] if heads else (None, None, 0)
+                t, end = _LEAST if t is None else t, _LEAST if end is None else end
+                takes = until is None or t >= until
+                if takes:
+                    until, start, rank = end, t, 0
+                rank += 1
+                holder.append(takes)
+                ranks.append(rank)
+                starts.append(start)
+            told = [pa.array(holder, pa.bool_()), pa.array(ranks, pa.int64()), pa.array(starts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *told], names=[f.name for f in schema.fields])
+
+    return numbered.mapInArrow(mark, schema)
 
 
 def hold_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, release: str) -> DataFrame:
@@ -167,27 +186,16 @@ def hold_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str
     follows from each way is worked out within its chunk, which gives pointers from release to
     release. Those that really happen start at the key's first row and are found by doubling
     the pointers, in as many rounds as the number of chunks has binary digits. Last, each chunk
-    is marked with the hold it was really entered with."""
+    is marked with the hold it was really entered with. Marking never holds a group in Python."""
     order = list(order)
-    added = [
-        T.StructField("is_holder", T.BooleanType()),
-        T.StructField("rank", T.LongType()),
-        T.StructField("holder_ts", T.LongType()),
-    ]
-    plain_schema = T.StructType([*df.schema.fields, *added])
-
     def arrays(pdf: pd.DataFrame):
         return pdf[ts].to_numpy("int64"), pdf[release].to_numpy("int64")
 
     def plain(rows: DataFrame) -> DataFrame:
-        def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable")
-            return _marked(pdf, *arrays(pdf), None, 0, None)
-
-        return rows.groupBy(*keys).applyInPandas(mark, plain_schema)
+        return _with_holds(rows, keys, order, ts, release)
 
     def chunked(rows: DataFrame) -> DataFrame:
-        keys_, limit = list(keys), max(hot_limit(df), 1)
+        keys_, limit = list(keys), _chunk_rows(df)
         place = [*[rows.schema[k] for k in keys_], T.StructField(CHUNK, T.IntegerType())]
         longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
         narrow = rows.select(*dict.fromkeys([*keys_, CHUNK, *order, ts, release]))
@@ -256,17 +264,8 @@ def hold_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str
             F.coalesce(F.col("_before") - F.col("_hold.pos"), F.lit(0)).alias("carried_rank"),
         )
 
-        def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable")
-            head = pdf[["busy_until", "carried_ts", "carried_rank"]].iloc[0]
-            until, held = (None if pd.isna(v) else int(v) for v in head[:2])
-            pdf = pdf.drop(columns=["busy_until", "carried_ts", "carried_rank"])
-            return _marked(pdf, *arrays(pdf), until, int(head.iloc[2]), held)
-
-        # Times that may be null go through pandas as text; as numbers they would be rounded.
-        told = entries.withColumn("busy_until", F.col("busy_until").cast("string")).withColumn("carried_ts", F.col("carried_ts").cast("string"))
-        schema = T.StructType([*rows.schema.fields, *added])
-        return _join_back(rows, told, keys).groupBy(*keys, CHUNK).applyInPandas(mark, schema)
+        hold = ["busy_until", "carried_ts", "carried_rank"]
+        return _with_holds(_join_back(rows, entries, keys), [*keys, CHUNK], order, ts, release, hold)
 
     return by_group_size(df, keys, order, plain, chunked)
 

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # A group with more rows than this is never handed to one task.
 HOT_GROUP_ROWS_CONF = "spark.menuloom.hotGroupRows"
 HOT_GROUP_ROWS_DEFAULT = 2_000_000
+# Rows of a hot group that one task works on at a time, about.
+CHUNK_ROWS_CONF = "spark.menuloom.chunkRows"
+CHUNK_ROWS_DEFAULT = 250_000
 # The most rows and bytes an explicitly broadcast table may have.
 BROADCAST_ROWS_CONF = "spark.menuloom.broadcastRows"
 BROADCAST_ROWS_DEFAULT = 100_000

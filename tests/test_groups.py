@@ -111,3 +111,31 @@ def test_first_rows_and_top_of_group(rows):
 def test_repartitioning_changes_nothing(rows, hot_groups):
     for case in CASES.values():
         assert collected(case(rows.repartition(3))) == collected(case(rows.repartition(7, "value")))
+
+
+def test_chunks_do_not_follow_the_limit_for_hot_keys(spark, rows, hot_groups):
+    chunked = groups.with_chunks(rows, ["key"], ["ts", "id"])
+    assert chunked.select(groups.CHUNK).distinct().count() <= 8
+
+
+@pytest.mark.parametrize("name", HOLDS)
+def test_small_chunks_and_batches(spark, hot_groups, name):
+    """Holds go on over chunks and over Python's batches."""
+    few = {"spark.menuloom.chunkRows": "7", "spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
+    frame = spark.createDataFrame(HOLDS[name], "key string, ts long, id long, release long").repartition(5)
+    for conf, value in few.items():
+        spark.conf.set(conf, value)
+    try:
+        hot = groups.hold_chain(frame, ["key"], ["ts", "id"], "ts", "release").collect()
+        spark.conf.set("spark.menuloom.hotGroupRows", "100000")
+        plain = groups.hold_chain(frame, ["key"], ["ts", "id"], "ts", "release").collect()
+    finally:
+        for conf in few:
+            spark.conf.unset(conf)
+    for got in (hot, plain):
+        assert {r["id"]: (r["is_holder"], r["rank"], r["holder_ts"]) for r in got} == one_by_one(HOLDS[name])
+
+
+def test_a_hold_chain_never_hands_python_a_whole_group(spark, rows):
+    plan = groups.hold_chain(rows, ["key"], ["ts", "id"], "ts", "release")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
