@@ -240,31 +240,32 @@ def conforming(t: Tables):
     return conform.conforming(records, issues, ["p_partkey"]).select("p_partkey")
 
 
-# Orders as restaurants with one menu, parts as restaurants with nested categories and dishes.
+# Orders as restaurants with one menu, lines as restaurants with nested categories and dishes.
 @query("p01_nested_records", """
-SELECT o_orderkey AS restaurant_id, 'menus.0.name' AS field_path, 'String should have at least 1 character' AS message
+SELECT o_custkey AS restaurant_id, 'menus.0.name' AS field_path, 'String should have at least 1 character' AS message
 FROM orders WHERE o_orderstatus = 'P'
-UNION ALL SELECT p_partkey, 'menus.1.categories.0.dishes.0.price', 'Input should be greater than or equal to 0'
-FROM part WHERE p_size > 25
-UNION ALL SELECT p_partkey, 'menus.1.categories.0.children.0.colour', 'Extra inputs are not permitted' FROM part""")
+UNION ALL SELECT l_orderkey, 'menus.1.categories.0.dishes.0.price', 'Input should be greater than or equal to 0'
+FROM lineitem WHERE l_discount > 0.05
+UNION ALL SELECT l_orderkey, 'menus.1.categories.0.children.0.colour', 'Extra inputs are not permitted' FROM lineitem""")
 def nested_records(t: Tables):
+    """Every order and every line is tested."""
     from ..schema import RESTAURANT_RECORD
 
     text = lambda pattern, *cols: F.format_string(pattern, *cols)
     by_order = t.orders.select(
-        F.col("o_orderkey").alias("restaurant_id"),
+        F.col("o_custkey").alias("restaurant_id"),
         text('{"name": "x", "menus": [{"name": "%s"}]}', F.when(F.col("o_orderstatus") == "P", "").otherwise("m")).alias("record"),
     )
-    by_part = t.part.select(
-        F.col("p_partkey").alias("restaurant_id"),
+    by_line = t.lineitem.select(
+        F.col("l_orderkey").alias("restaurant_id"),
         text(
             '{"name": "n", "menus": [{"name": "a"}, {"categories": [{"name": "c", "children": [{"name": "d", "colour": 1}],'
             ' "dishes": [{"name": "e", "category_id": "f", "price": %s}]}]}]}',
-            F.when(F.col("p_size") > 25, "-0.01").otherwise("1.50"),
+            F.when(F.col("l_discount") > 0.05, "-0.01").otherwise("1.50"),
         ).alias("record"),
     )
     return conform.schema_issues(
-        by_order.unionByName(by_part), ["restaurant_id"], "record", RESTAURANT_RECORD
+        by_order.unionByName(by_line), ["restaurant_id"], "record", RESTAURANT_RECORD
     ).select("restaurant_id", "field_path", "message")
 
 
