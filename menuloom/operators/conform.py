@@ -57,13 +57,21 @@ def _right_type(rule: Rule, kind: Column, text: Column) -> Column:
     return F.startswith(kind, F.lit("ARRAY" if rule.type == "array" else "OBJECT"))
 
 
+def _kind(rule: Rule, value: Column, doc: Column) -> Column:
+    """The type of a value. Of lists and objects only that they are such: their whole schema takes
+    a walk through all that is below them."""
+    if rule.type not in ("array", "object"):
+        return F.schema_of_variant(value)
+    wanted, name = ("array<variant>", "ARRAY") if rule.type == "array" else ("map<string,variant>", "OBJECT")
+    fits = F.try_variant_get(doc, "$." + rule.name, wanted).isNotNull()
+    return F.when(F.is_variant_null(value), "VOID").when(fits, name).otherwise("OTHER")
+
+
 def _problem(rule: Rule, doc: Column, present: Column) -> Column:
     """Message of the first constraint a field breaks; null when it meets all."""
-    seen = F.struct(
-        F.schema_of_variant(F.variant_get(doc, "$." + rule.name, "variant")).alias("kind"),
-        F.try_variant_get(doc, "$." + rule.name, "string").alias("text"),
-        present.alias("present"),
-    )
+    path = "$." + rule.name
+    text = F.lit(None).cast("string") if rule.type in ("array", "object") else F.try_variant_get(doc, path, "string")
+    seen = F.struct(_kind(rule, F.variant_get(doc, path, "variant"), doc).alias("kind"), text.alias("text"), present.alias("present"))
     return let(seen, lambda s: _first_broken(rule, doc, s["kind"], s["text"], s["present"]))
 
 
@@ -102,31 +110,43 @@ def _unknown_keys(keys: Column, prefix: str) -> Column:
     )
 
 
+def _asks(by_object: dict[str, list[Rule]], parent: str) -> bool:
+    """Whether an object that is absent lacks a required field, its own or below it."""
+    return any(r.required for p, rules in by_object.items() if p == parent or p.startswith(parent + ".") for r in rules)
+
+
 def _record_problems(record: Record, json: Column) -> Column:
     """All violations of one record as array<struct<path, message>>. The text is
     parsed once; the keys of each object in it are read once."""
     by_object: dict[str, list[Rule]] = {"": []}
     for rule in record.rules():
         by_object.setdefault(rule.name.rpartition(".")[0], []).append(rule)
-    empty = F.array().cast("array<string>")
+    empty, nothing = F.array().cast("array<string>"), F.array().cast("array<struct<path:string,message:string>>")
 
-    def object_problems(doc: Column, parent: str, rules: list[Rule]) -> Column:
-        prefix = parent + "." if parent else ""
+    def object_problems(doc: Column, parent: str) -> Column:
+        prefix, rules = parent + "." if parent else "", by_object[parent]
         node = F.get_json_object(json, "$." + parent) if parent else json
         allowed = F.array(*[F.lit(r.name.rpartition(".")[2]) for r in rules])
 
         def with_keys(keys: Column) -> Column:
+            has = lambda path: F.array_contains(keys, path.rpartition(".")[2])
             found = []
             for rule in rules:
-                message = _problem(rule, doc, F.array_contains(keys, rule.name.rpartition(".")[2]))
-                found.append(_when_given(rule.name, message))
-            return F.concat(F.array(*found), _unknown_keys(F.array_except(keys, allowed), prefix))
+                # A field that is absent and may be so breaks no rule.
+                problem = _when_given(rule.name, _problem(rule, doc, has(rule.name) if rule.required else F.lit(True)))
+                found.append(problem if rule.required else F.when(has(rule.name), problem))
+            below = [
+                object_problems(doc, p) if _asks(by_object, p) else F.when(has(p), object_problems(doc, p)).otherwise(nothing)
+                for p in by_object if p and p.rpartition(".")[0] == parent
+            ]
+            return F.concat(F.array(*found), _unknown_keys(F.array_except(keys, allowed), prefix), *below)
 
         return let(F.coalesce(F.json_object_keys(node), empty), with_keys)
 
     def problems(doc: Column) -> Column:
-        is_object = F.startswith(F.coalesce(F.schema_of_variant(doc), F.lit("")), F.lit("OBJECT"))
-        found = F.concat(*[object_problems(doc, parent, rules) for parent, rules in by_object.items()])
+        is_object = doc.isNotNull() & json.rlike("^\\uFEFF?[ \\t\\n\\r]*\\{")
+        loose = [p for p in by_object if p and p.rpartition(".")[0] not in by_object]
+        found = F.concat(*[object_problems(doc, p) for p in ["", *loose]])
         root = F.array(_at("<root>", F.lit(TYPE_TEXT["object"])))
         return F.when(is_object, F.array_compact(found)).otherwise(root)
 
@@ -209,9 +229,12 @@ def nested_records(decode: Decode, text: str | None, below: Sequence[dict[str, i
         todo = [(0, "", start, end)] if not (text or "")[end:].strip(" \t\n\r") else []
     except (ValueError, RecursionError):
         todo = []
+    names = [[json_text.dumps(name) for name in lists] for lists in below]
+    plain = "\\" not in (text or "")
     while todo:
         kind, place, start, end = todo.pop()
-        if text[start] != "{":
+        # Without escapes a list's name stands in the text as it is.
+        if text[start] != "{" or plain and all(text.find(name, start, end) < 0 for name in names[kind]):
             continue
         members = list(_members(decode, text, start, end))
         if len({m[0] for m in members}) < len(members):

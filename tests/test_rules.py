@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from menuloom.operators import conform, corrections, report, rules, tree
-from menuloom.schema import Record, Rule, DISH_RECORD, MACROS, MICRONUTRIENTS, NUTRITION, RESTAURANT_RECORD
-from menuloom.suite.base import dishes as derived_dishes
+from menuloom.schema import DISH_RECORD, MACROS, MICRONUTRIENTS, NUTRITION, RESTAURANT_RECORD, Record, Rule
+from menuloom.suite import validation
+from menuloom.suite.base import Tables, dishes as derived_dishes
 
 COLUMNS = (
     "restaurant_id long, menu_pos int, dish_id long, path string, name string, description string, nutrition "
@@ -223,3 +224,39 @@ def test_assemble_and_shred_all(spark, part_rows):
 def test_derived_dishes_have_the_rule_columns(spark):
     part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
     assert {"path", "nutrition", "ingredients", "allergens"} <= set(derived_dishes(part).columns)
+
+
+def test_whole_orders_and_lines_are_tested_for_nested_records(spark, tmp_path):
+    spark.createDataFrame([(1, 7, "P"), (2, 8, "O")], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(4, 1, 0.06), (4, 2, 0.07), (4, 3, 0.01), (5, 2, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted((r.restaurant_id, r.field_path.rpartition(".")[2]) for r in validation.nested_records(Tables(spark, str(tmp_path))).collect())
+    assert got == [(4, "colour")] * 3 + [(4, "price")] * 2 + [(5, "colour"), (7, "name")]
+
+
+def test_types_of_lists_objects_and_absent_fields(spark):
+    record = Record(
+        (Rule("tags", "array", nullable=False), Rule("box", "object"), Rule("box.in", "object", nullable=False), Rule("box.in.n", "int", required=True), Rule("far.off", required=True))
+    )
+    texts = [
+        '{"tags": [], "box": {"in": {"n": 1}}, "far": {"off": "x"}}', '{"tags": {}, "box": [1]}', '{"tags": null, "box": null}', ' \n{"tags": "[]", "box": {"in": 4}}',
+        '{"a": 1}', "[]", None, "{", '{"box": {"in": {"n": "x", "m": 1}}}',
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, j string")
+    got = {}
+    for r in conform.flat_schema_issues(rows, ["k"], "j", record).collect():
+        got.setdefault(r.k, set()).add((r.field_path, r.message.split()[-1]))
+    lack = {("box.in.n", "required"), ("far.off", "required")}
+    assert got == {
+        0: {("far", "permitted")},
+        1: {("tags", "list"), ("box", "dictionary"), *lack}, 2: {("tags", "list"), *lack}, 3: {("tags", "list"), ("box.in", "dictionary"), *lack}, 4: {("a", "permitted"), *lack},
+        **{k: {("<root>", "dictionary")} for k in (5, 6, 7)}, 8: {("box.in.n", "integer"), ("box.in.m", "permitted"), ("far.off", "required")},
+    }
+
+
+def test_only_fields_that_can_fail_are_looked_at(spark):
+    """A record with many optional fields costs little where they are absent."""
+    decode, below = conform._decoder(), [{"a": 0}]
+    seen = []
+    conform.nested_records(lambda t, at: seen.append(at) or decode(t, at), '{"x": [{"b": 1}], "y": 2}', below)
+    assert len(seen) == 1
