@@ -62,6 +62,13 @@ def with_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return reliable_checkpoint(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
+def _dealt(df: DataFrame, chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt by chunk to as many tasks as ``chunks`` has, so that a task sorts a few of them whatever
+    the number of shuffle partitions."""
+    last = chunks.agg(F.max(CHUNK)).first()[0]
+    return df.repartition((last or 0) + 1, *keys, CHUNK)
+
+
 def by_group_size(
     df: DataFrame,
     keys: Sequence[str],
@@ -110,7 +117,7 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
         carried = last.withColumn(
             "_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK))
         ).drop("_last")
-        numbered = rows.withColumn("_rn", F.row_number().over(local)).withColumn("_lag", F.lag(value).over(local))
+        numbered = _dealt(rows, rows, keys).withColumn("_rn", F.row_number().over(local)).withColumn("_lag", F.lag(value).over(local))
         return (
             _join_back(numbered, carried, keys)
             .withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry")[value]).otherwise(F.col("_lag")))
@@ -130,7 +137,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
         counts = rows.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
         before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         carried = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-        local = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order)))
+        local = _dealt(rows, rows, keys).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order)))
         return _join_back(local, carried, keys).withColumn(out, F.col("_before") + F.col("_rn")).drop("_before", "_rn")
 
     return by_group_size(df, keys, order, plain, chunked)
@@ -265,7 +272,7 @@ def hold_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str
         )
 
         hold = ["busy_until", "carried_ts", "carried_rank"]
-        return _with_holds(_join_back(rows, entries, keys), [*keys, CHUNK], order, ts, release, hold)
+        return _with_holds(_dealt(_join_back(rows, entries, keys), chunks, keys), [*keys, CHUNK], order, ts, release, hold)
 
     return by_group_size(df, keys, order, plain, chunked)
 

@@ -139,3 +139,14 @@ def test_small_chunks_and_batches(spark, hot_groups, name):
 def test_a_hold_chain_never_hands_python_a_whole_group(spark, rows):
     plan = groups.hold_chain(rows, ["key"], ["ts", "id"], "ts", "release")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_chunks_are_dealt_to_as_many_tasks(spark, rows, hot_groups):
+    """A task sorts a few chunks, however few shuffle partitions there are."""
+    spark.conf.set("spark.menuloom.chunkRows", "20")
+    try:
+        numbered = groups.number_rows(rows, ["key"], ["ts", "id"], "no")
+        assert "REPARTITION_BY_NUM" in numbered._jdf.queryExecution().executedPlan().toString()
+        assert numbered.groupBy("key", "no").count().where("count > 1").isEmpty()
+    finally:
+        spark.conf.unset("spark.menuloom.chunkRows")
