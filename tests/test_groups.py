@@ -150,3 +150,13 @@ def test_chunks_are_dealt_to_as_many_tasks(spark, rows, hot_groups):
         assert numbered.groupBy("key", "no").count().where("count > 1").isEmpty()
     finally:
         spark.conf.unset("spark.menuloom.chunkRows")
+
+
+def test_rows_without_a_time_change_no_hold(spark):
+    """They come last and take no hold, and the holds of the other rows are found to the end."""
+    timed = [("k", 10 * i, i, 10 * i + 25) for i in range(64)]
+    rows = [*timed, *[("k", None, 100 + i, None) for i in range(6)]]
+    got = groups.hold_chain(spark.createDataFrame(rows, "key string, ts long, id long, release long"), ["key"], ["ts", "id"], "ts", "release").collect()
+    want = one_by_one(timed)
+    assert {r["id"]: (r["is_holder"], r["rank"], r["holder_ts"]) for r in got if r["id"] < 100} == want
+    assert not any(r["is_holder"] for r in got if r["id"] >= 100)
