@@ -12,8 +12,13 @@ that can change no verdict any more is removed by a timer. No row is dropped eit
 
 from __future__ import annotations
 
+import heapq
+import math
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -72,19 +77,37 @@ def _sorted_rows(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame
     return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
 
 
+# Waiting rows are kept in sorted runs. A run is made of rows held at once, in pages that are read one at
+# a time; this many runs are merged at once, so a task never holds more than a page of each.
+RUN_ROWS, PAGE_ROWS, RUNS_MERGED = 50_000, 500, 100
+# Rows of one frame that an ordered stream gives.
+FRAME_ROWS = 10_000
+
+
+def _batches(rows: Iterable[tuple], size: int) -> Iterator[list[tuple]]:
+    rest = iter(rows)
+    while batch := list(islice(rest, size)):
+        yield batch
+
+
 class InOrder(StatefulProcessor):
     """Rows of a key in event order. ``fold`` has ``schema`` (of its state), ``columns`` (what it adds),
     ``row(state, row)`` giving the new state and the added values (None: no output row), and
-    ``expiry(state)``, the microsecond from which the state is as good as none (None: never)."""
+    ``expiry(state)``, the microsecond from which the state is as good as none (None: never).
 
-    def __init__(self, fold, kinds: T.StructType, key: list[str], order: list[str], late: tuple) -> None:
+    Rows wait in sorted runs of pages. A timer merges the runs and reads their pages as it goes, so
+    what it holds is bounded however many rows of the key the watermark has passed."""
+
+    def __init__(self, fold, kinds: T.StructType, key: list[str], order: list[str], late: tuple, sizes: tuple | None = None) -> None:
         self._fold, self._kinds, self._key, self._order, self._late = fold, kinds, key, order, late
         self._names = kinds.fieldNames()
         self._at = [self._names.index(c) for c in order]
+        self._run_rows, self._page_rows, self._merged, self._frame_rows = sizes or (RUN_ROWS, PAGE_ROWS, RUNS_MERGED, FRAME_ROWS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", self._kinds)
+        # The key of a page tells its first instant, so pages that must wait are not read.
+        self._waiting = handle.getMapState("waiting", "run long, page long, from_us long", "rows binary")
         self._state = handle.getValueState("state", self._fold.schema)
 
     def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
@@ -95,37 +118,91 @@ class InOrder(StatefulProcessor):
     def _wake(self, us: int) -> None:
         self._handle.registerTimer(us // 1000 + 1)
 
+    def _place(self, row: tuple) -> list:
+        return [row[i] for i in self._at]
+
+    def _runs(self) -> list[list[tuple]]:
+        """The pages of every run, in order."""
+        pages = sorted(tuple(page) for page in self._waiting.keys()) if self._waiting.exists() else []
+        return [list(run) for _, run in groupby(pages, key=itemgetter(0))]
+
+    def _store(self, run: int, page: int, rows: list[tuple]) -> None:
+        self._waiting.updateValue((run, page, int(rows[0][self._at[0]])), (pickle.dumps(rows),))
+
+    def _keep(self, run: int, rows: Iterable[tuple]) -> None:
+        for page, part in enumerate(_batches(rows, self._page_rows)):
+            self._store(run, page, part)
+
+    def _take(self, pages: list[tuple], passed: float) -> Iterator[tuple]:
+        """Rows of a run before ``passed``; they leave the state, the others stay."""
+        for page in pages:
+            if page[2] >= passed:
+                return
+            rows = pickle.loads(bytes(self._waiting.getValue(page)[0]))
+            self._waiting.removeKey(page)
+            ready = [r for r in rows if r[self._at[0]] < passed]
+            if len(ready) < len(rows):
+                self._store(page[0], page[1], rows[len(ready):])
+            yield from ready
+
+    def _merge(self, runs: list[list[tuple]], passed: float) -> Iterator[tuple]:
+        return heapq.merge(*[self._take(run, passed) for run in runs], key=self._place)
+
+    def _passed_rows(self, passed: int) -> Iterator[tuple]:
+        """All rows before the watermark in event order."""
+        runs = self._runs()
+        number = 1 + max((run[0][0] for run in runs), default=0)
+        due = sorted((run for run in runs if run[0][2] < passed), key=len)
+        while len(due) > self._merged:
+            self._keep(number, self._merge(due[:self._merged], math.inf))
+            number += 1
+            due = sorted((run for run in self._runs() if run[0][2] < passed), key=len)
+        return self._merge(due, passed)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed, late, fresh = timerValues.getCurrentWatermarkInMs() * 1000, [], []
+        passed, fresh, first = timerValues.getCurrentWatermarkInMs() * 1000, [], None
+        number = 1 + max((run[0][0] for run in self._runs()), default=0)
         for pdf in rows:
+            late = []
             for row in pdf[self._names].astype(object).where(pdf[self._names].notna(), None).itertuples(index=False, name=None):
                 (late if row[self._at[0]] < passed else fresh).append(row)
+            if len(fresh) >= self._run_rows:
+                first = self._new_run(number, fresh, first)
+                number, fresh = number + 1, []
+            if late:
+                yield self._frame(key, [(*r, *self._late, True) for r in late])
         if fresh:
-            self._waiting.appendList(fresh)
-            self._wake(min(r[self._at[0]] for r in fresh))
-        if late:
-            yield self._frame(key, [(*r, *self._late, True) for r in late])
+            first = self._new_run(number, fresh, first)
+        if first is not None:
+            self._wake(first)
+
+    def _new_run(self, number: int, rows: list[tuple], first: int | None) -> int:
+        """Store the rows as a run; gives the first instant of these and earlier ones."""
+        rows.sort(key=self._place)
+        self._keep(number, rows)
+        least = rows[0][self._at[0]]
+        return least if first is None else min(first, least)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = list(self._waiting.get()) if self._waiting.exists() else []
         state = self._state.get() if self._state.exists() else None
         out = []
-        for row in sorted((r for r in rows if r[self._at[0]] < passed), key=lambda r: [r[i] for i in self._at]):
+        for row in self._passed_rows(passed):
             state, told = self._fold.row(state, dict(zip(self._names, row, strict=True)))
             if told is not None:
                 out.append((*row, *told, False))
-        rest = [r for r in rows if r[self._at[0]] >= passed]
-        if len(rest) < len(rows):
-            self._waiting.put(rest) if rest else self._waiting.clear()
+            if len(out) >= self._frame_rows:
+                yield self._frame(key, out)
+                out = []
         until = None if state is None else self._fold.expiry(state)
         # What is waiting is at or behind the watermark, so a state that ends before it changes nothing.
         if state is None or until is not None and until <= passed:
             self._state.clear()
         else:
             self._state.update(tuple(state))
+        rest = [run[0][2] for run in self._runs()]
         if rest:
-            self._wake(min(r[self._at[0]] for r in rest))
+            self._wake(min(rest))
         elif state is not None and until is not None and until > passed:
             self._wake(until)
         if out:

@@ -192,3 +192,99 @@ def test_holds_in_any_order(spark, tmp_path):
     out = spark.read.parquet(jobs.drain(jobs.one_at_a_time(source, ["job_type", "entity_id"], late_after="2 days"), timeout=240)).filter("job_type = 'crawl'")
     assert out.filter("late").count() == 0
     same(out, twin, "token", "accepted")
+
+
+class HeldState:
+    """State of one key without Spark; ``read`` are the rows that each read of a page gave."""
+
+    def __init__(self):
+        self.pages, self.value, self.timers, self.read = {}, None, [], []
+
+    def getMapState(self, name, key, value):
+        return MapOfPages(self)
+
+    def getValueState(self, name, schema):
+        return OneValue(self)
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class MapOfPages:
+    def __init__(self, held):
+        self.held = held
+
+    def exists(self):
+        return bool(self.held.pages)
+
+    def keys(self):
+        return iter(list(self.held.pages))
+
+    def getValue(self, page):
+        import pickle
+
+        self.held.read.append(len(pickle.loads(self.held.pages[page][0])))
+        return self.held.pages[page]
+
+    def updateValue(self, page, value):
+        self.held.pages[page] = value
+
+    def removeKey(self, page):
+        del self.held.pages[page]
+
+
+class OneValue:
+    def __init__(self, held):
+        self.held = held
+
+    def exists(self):
+        return self.held.value is not None
+
+    def get(self):
+        return self.held.value
+
+    def update(self, value):
+        self.held.value = value
+
+    def clear(self):
+        self.held.value = None
+
+
+class Watermark:
+    def __init__(self, us):
+        self.ms = us // 1000
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_timer_holds_a_page_of_each_run():
+    """However many rows wait, a timer reads them page by page and gives them in small frames."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    rng = random.Random(11)
+    kinds = T.StructType([T.StructField("attempt_id", T.LongType()), T.StructField("ts_us", T.LongType())])
+    ordered = sorted((rng.randrange(400) * 1_000_000, n) for n in range(600))
+    given = [(n, ts) for ts, n in ordered]
+    rng.shuffle(given)
+    held = HeldState()
+    job = jobs.InOrder(jobs.AttemptFold(3, "allowed", 60), kinds, ["ip"], ["ts_us", "attempt_id"], (None,), sizes=(20, 4, 3, 10))
+    job.init(held)
+    for at in range(0, 600, 60):
+        batches = (pd.DataFrame(given[n:n + 30], columns=kinds.fieldNames()) for n in (at, at + 30))
+        assert list(job.handleInputRows(("a",), batches, Watermark(0))) == []
+    assert len(held.pages) >= 150
+    told = []
+    for passed in (150_500_000, 1_000_000_000):
+        frames = list(job.handleExpiredTimer(("a",), Watermark(passed), None))
+        assert max(len(f) for f in frames) <= 10
+        told += [r for f in frames for r in zip(f["ts_us"], f["attempt_id"], f["allowed"])]
+    assert max(held.read) <= 4 and not held.pages and held.value is None
+    assert [(ts, n) for ts, n, _ in told] == ordered
+    start, count = None, 0
+    for ts, _, allowed in told:
+        if start is None or ts >= start + 60_000_000:
+            start, count = ts, 0
+        count += 1
+        assert allowed == (count <= 3)
