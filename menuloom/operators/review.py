@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..sources import commits
 from .groups import first_rows, join_keys
@@ -58,10 +58,9 @@ class Decided:
     refused: DataFrame
 
 
-def apply_decisions(changes: DataFrame, decisions: DataFrame, published: DataFrame | None = None) -> Decided:
-    """Decisions on pending changes. Of several on one change the first usable one
-    (by ``seq``) counts and the others meet a change that is no longer pending.
-    ``published`` lists change ids whose data was written."""
+def choose_decisions(changes: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decisions that count, refused ones with the problem). Of several on one pending change the
+    first usable one (by ``seq``) counts and the others meet a change that is no longer pending."""
     action_map = F.create_map(*[F.lit(v) for kv in DECISION_OF_ACTION.items() for v in kv])
     base = decisions.withColumn("decision", F.try_element_at(action_map, F.col("action"))).join(
         changes.select(F.col("id").alias("proposed_change_id"), "status", "thread_id", F.lit(True).alias("_known")),
@@ -75,13 +74,25 @@ def apply_decisions(changes: DataFrame, decisions: DataFrame, published: DataFra
     )
     checked = base.withColumn("problem", problem)
     usable = checked.filter(F.col("problem").isNull()).drop("problem")
-    flagged = first_rows(usable, ["proposed_change_id"], "seq", "_first")
-    applied = flagged.filter("_first")
+    # The decisions of a change are in one task already, where they met it; so they are read once.
+    flagged = usable.withColumn("_first", F.col("seq").eqNullSafe(F.min("seq").over(Window.partitionBy("proposed_change_id"))))
     columns = ["proposed_change_id", "seq", "action"]
+    applied = flagged.filter("_first").select(*columns, "decision", "edited_structured_json", "reviewer_user_id", "reason", "decided_at")
     refused = (
         checked.filter(F.col("problem").isNotNull()).select(*columns, "problem")
         .unionByName(flagged.filter(~F.col("_first")).select(*columns, F.lit("not_pending").alias("problem")))
     )
+    return applied, refused
+
+
+def apply_decisions(changes: DataFrame, decisions: DataFrame, published: DataFrame | None = None) -> Decided:
+    """Decisions on pending changes, see ``choose_decisions``. ``published`` lists change ids
+    whose data was written."""
+    return with_decisions(changes, *choose_decisions(changes, decisions), published)
+
+
+def with_decisions(changes: DataFrame, applied: DataFrame, refused: DataFrame, published: DataFrame | None = None) -> Decided:
+    """Changes after the decisions that ``choose_decisions`` gave."""
     final = applied.select(
         F.col("proposed_change_id").alias("id"),
         F.col("decision").alias("_decision"),

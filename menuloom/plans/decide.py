@@ -97,18 +97,27 @@ def decide_and_publish(
     First publications bring all rows of their entity in every table of ``target``; reviews
     touch only the rows and profile fields that their own deltas or an edit name, so
     another pending change of the entity stays pending. Of several reviews of one
-    entity that edit its profile, the one with the greatest id counts."""
-    decided = review.apply_decisions(changes, decisions)
-    judged = review.with_workflow(decided.changes, runs).join(
-        decided.approvals.select(F.col("proposed_change_id").alias("id")), "id", "left_semi"
-    ).filter(F.col("status") == "approved")
-    judged = fixed(judged)
-    outcomes = check(judged) if callable(check) else check
+    entity that edit its profile, the one with the greatest id counts.
+
+    Decisions, outcomes and deltas are read once: what concerns the approved changes is fixed,
+    and all that follows works on it."""
+    applied, unused = review.choose_decisions(changes, decisions)
+    applied = fixed(applied)
+    approved = applied.filter(F.col("decision") == "approved").select(F.col("proposed_change_id").alias("id"))
+    decided = review.with_decisions(changes.join(approved, "id", "left_semi"), applied, unused)
+    judged = fixed(review.with_workflow(decided.changes, runs).filter(F.col("status") == "approved"))
+    outcomes = fixed((check(judged) if callable(check) else check).select("id", "errors").join(judged.select("id"), "id", "left_semi"))
+    # Deltas of changes that were not approved touch nothing.
+    reviews = judged.filter(F.col("workflow_type") == "reviewer_workflow").select(F.col("id").alias("change_id"))
+    asked = lambda d, columns: fixed(d.select("change_id", *columns).join(reviews, "change_id", "left_semi"))
+    delta = asked(delta, ["entity_id", *keys, "op"])
+    profile_delta = None if profile_delta is None else asked(profile_delta, ["entity_id", "field"])
+    table_deltas = {name: asked(lines, [c for c in lines.columns if c != "change_id"]) for name, lines in (table_deltas or {}).items()}
     already = changes.filter(F.col("status") == "published").select("id", "entity_id")
     ids = delta.select(F.col("change_id").alias("id"))
     if profile_delta is not None:
         ids = ids.union(profile_delta.select("change_id"))
-    for lines in (table_deltas or {}).values():
+    for lines in table_deltas.values():
         ids = ids.union(lines.select("change_id"))
     has_delta = ids.distinct().withColumn("delta", F.lit("given"))
     first, refused_first = review.collector_gate(
@@ -144,7 +153,7 @@ def decide_and_publish(
         for name in target
     }
 
-    final = review.apply_decisions(changes, decisions, published)
+    final = review.with_decisions(changes, applied, unused, published)
     publish_events = published.select(
         F.lit("proposed_change.publish").alias("action"), F.lit("proposed_change").alias("entity_type"),
         F.col("id").cast("string").alias("entity_id"), F.lit(None).cast("string").alias("actor_id"),

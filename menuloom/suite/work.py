@@ -191,7 +191,8 @@ def in_production(t: Tables):
 def _decisions(t: Tables):
     """The first lines of an order decide on it, some with an unknown action."""
     n = F.col("l_partkey") % 4
-    lines = t.lineitem.groupBy(
+    # Dealt by order, as they meet their change by it too.
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").repartition("l_orderkey").groupBy(
         F.col("l_orderkey").alias("proposed_change_id"), (F.col("l_linenumber") * 1_000_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("seq")
     ).agg(F.min(n).alias("n"), F.min("l_shipdate").alias("decided_at"))
     return lines.select(

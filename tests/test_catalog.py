@@ -109,3 +109,38 @@ def test_a_published_review_patches_all_tables(spark):
     assert contents(out.tables) == {**AFTER, "locations": sorted(LIVE["locations"], key=repr)}
     assert [r.id for r in out.published.collect()] == [1]
     assert contents(publish("reject").tables) == contents(live)
+
+
+def test_publishing_reads_decisions_outcomes_and_deltas_once(spark):
+    """Whatever is asked of the result, no input of the decisions is worked out again."""
+    from pyspark.sql import types as T
+
+    dishes = tables(spark, dishes=[("r", 1, 1, 1.0), ("r", 2, 1, 2.0), ("s", 3, 1, 1.0)])["dishes"]
+    target = tables(spark, dishes=[("r", 1, 1, 5.0), ("r", 2, 1, 2.0), ("s", 3, 1, 7.0)])["dishes"]
+    changes = spark.createDataFrame(
+        [(1, "r", 7, "{}", "pending", "t1"), (2, "s", 7, "{}", "pending", "t2")],
+        "id long, entity_id string, agent_run_id long, structured_json string, status string, thread_id string")
+    runs = spark.createDataFrame([(7, "reviewer_workflow")], "id long, workflow_type string")
+    seen = {name: spark.sparkContext.accumulator(0) for name in ("decisions", "outcomes", "delta")}
+
+    def counted(df, name, column):
+        counter = seen[name]
+
+        def count(value):
+            counter.add(1)
+            return value
+
+        return df.withColumn(column, F.udf(count, df.schema[column].dataType).asNondeterministic()(column))
+
+    decisions = spark.createDataFrame(
+        [(1, 1, "approve", None, "u", None, "d"), (1, 2, "reject", None, "u", None, "d"), (2, None, "reject", None, "u", None, "d")],
+        T.StructType.fromDDL("proposed_change_id long, seq long, action string, edited_structured_json string, reviewer_user_id string, reason string, decided_at string"))
+    outcomes = spark.createDataFrame([(1, 0), (2, 0)], "id long, errors long")
+    delta = spark.createDataFrame([("r", 1, "changed", 1), ("s", 3, "changed", 2)], "entity_id string, dish_id long, op string, change_id long")
+    out = decide.decide_and_publish(
+        changes, counted(decisions, "decisions", "action"), runs, counted(outcomes, "outcomes", "errors"), {"dishes": dishes}, {"dishes": target},
+        counted(delta, "delta", "op"), ["dish_id"])
+    assert sorted((r.id, r.status) for r in out.changes.collect()) == [(1, "published"), (2, "rejected")]
+    assert sorted((r.entity_id, r.dish_id, r.price) for r in out.dishes.collect()) == [("r", 1, 5.0), ("r", 2, 2.0), ("s", 3, 1.0)]
+    assert [r.status for r in out.runs.collect()] == ["succeeded"]
+    assert seen["decisions"].value <= 3 and seen["outcomes"].value <= 2 and seen["delta"].value <= 2, seen
