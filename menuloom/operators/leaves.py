@@ -62,11 +62,25 @@ def leaves(value: Column, kind: T.DataType, path: Column, owner: Column, identit
     return F.coalesce(F.flatten(F.transform(value, item)), F.array().cast(_LEAF))
 
 
+def _all_leaves(row: Column, kinds: T.StructType, fields: Sequence[str], identity: Sequence[str]) -> Column:
+    return F.concat(*[leaves(row[c] if row is not None else F.col(c), kinds[c].dataType, F.lit(c), F.lit("").cast("string"), identity) for c in fields])
+
+
 def leaf_rows(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], identity: Sequence[str] = IDENTITY) -> DataFrame:
     """(keys, path, owner, kind, value, whole) of all leaves; no shuffle."""
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    all_ = F.concat(*[leaves(F.col(c), kinds[c], F.lit(c), F.lit("").cast("string"), identity) for c in fields])
-    return rows.select(*keys, F.explode(all_).alias("_l")).select(*keys, "_l.*")
+    return rows.select(*keys, F.explode(_all_leaves(None, rows.schema, fields, identity)).alias("_l")).select(*keys, "_l.*")
+
+
+def leaf_counts(both: DataFrame, keys: Sequence[str], fields: Sequence[str], identity: Sequence[str] = IDENTITY) -> DataFrame:
+    """(keys, path, owner, kind, value, d, n_old, n_new, whole) of the leaves of ``_old`` and ``_new``. Rows are
+    dealt by key while they are whole, so leaves are counted where they are taken apart."""
+    def side(c: str, sign: int) -> Column:
+        return F.transform(_all_leaves(F.col(c), both.schema[c].dataType, fields, identity), lambda e: F.struct(e.alias("l"), F.lit(sign).alias("d")))
+
+    dealt = both.repartition(*keys).select(*keys, F.explode(F.concat(side("_old", -1), side("_new", 1))).alias("_l"))
+    return dealt.select(*keys, "_l.l.*", F.col("_l.d").alias("_d")).groupBy(*keys, "path", "owner", "kind", "value").agg(
+        F.sum("_d").cast("long").alias("d"), F.count_if(F.col("_d") < 0).alias("n_old"), F.count_if(F.col("_d") > 0).alias("n_new"), F.max("whole").alias("whole"),
+    )
 
 
 def leaf_diff(
@@ -77,7 +91,7 @@ def leaf_diff(
     elements of other lists give one line per text with the number of copies added or removed.
 
     Rows that are equal end at the join on the keys; only the leaves of the others are counted
-    by (keys, path, text), a difference of multisets. Keys may be null and must be unique
+    by (keys, path, text), a difference of multisets. Leaves are not shuffled, but those that differ. Keys may be null and must be unique
     (``delta.repeated_keys``). Items of one identity in one list are compared as multisets too."""
     keys = list(keys)
     chosen = list(fields) if fields is not None else [c for c in current.columns if c not in keys and c not in IGNORED_FIELDS]
@@ -94,11 +108,7 @@ def leaf_diff(
         *keys, null.alias("path"), F.when(F.col("_old").isNull(), ADDED).otherwise(REMOVED).alias("op"),
         text(F.col("_old")).alias("old_value"), text(F.col("_new")).alias("new_value"), one,
     )
-    both = fixed.filter("_old IS NOT NULL AND _new IS NOT NULL")
-    side = lambda c, sign: leaf_rows(both.select(*keys, f"{c}.*"), keys, chosen, identity).withColumn("_d", F.lit(sign))
-    counted = side("_old", -1).unionByName(side("_new", 1)).groupBy(*keys, "path", "owner", "kind", "value").agg(
-        F.sum("_d").cast("long").alias("d"), F.count_if(F.col("_d") < 0).alias("n_old"), F.count_if(F.col("_d") > 0).alias("n_new"), F.max("whole").alias("whole"),
-    )
+    counted = leaf_counts(fixed.filter("_old IS NOT NULL AND _new IS NOT NULL"), keys, chosen, identity)
     changed = reliable_checkpoint(counted.filter("d <> 0"))
     lone = changed.filter((F.col("kind") == ITEM) & ((F.col("n_old") == 0) | (F.col("n_new") == 0)))
     # What stands inside an item that one side lacks is told by the item's own line.

@@ -282,7 +282,9 @@ UNION ALL SELECT k, 'orders[id=' || o || '].lines[id=' || l || '].qty', 'changed
 def nested_leaf_diff(t: Tables):
     """Leaves at four depths, lists in another order and with repeats. The JSON of whole items is left out."""
     o, l, k = F.col("o"), F.col("l"), F.col("c_custkey")
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l")).agg(F.sum(F.col("l_quantity").cast("long")).alias("qty"))
+    # Dealt by order once, as lines are grouped by it and meet their order by it.
+    dealt = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity").repartition("l_orderkey")
+    lines = dealt.groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l")).agg(F.sum(F.col("l_quantity").cast("long")).alias("qty"))
 
     def trees(lines, orders, customers, down: bool):
         inner = lines.groupBy("o").agg(F.sort_array(F.collect_list(F.struct(l.alias("id"), "qty")), not down).alias("lines"))

@@ -134,3 +134,17 @@ def test_records_without_a_key_are_judged(spark):
 def test_duplicates_of_a_null_scope(spark):
     dishes = spark.createDataFrame([(None, "Soup"), (None, "soup "), ("m", "Soup"), ("m", None), ("m", None)], "menu string, name string")
     assert sorted(r["name"] for r in rules.duplicate_members(dishes, ["menu"]).collect()) == ["Soup", "soup "]
+
+
+def test_leaves_are_counted_without_a_shuffle_of_them(spark):
+    """Whole rows are dealt by key; their leaves stay where they are, and keys may be null."""
+    kind = "k long, _old struct<tags: array<string>, items: array<struct<id: long, n: long>>>, _new struct<tags: array<string>, items: array<struct<id: long, n: long>>>"
+    both = spark.createDataFrame([(1, (["a", "a"], [(1, 1), (2, 2)]), (["a", "b"], [(2, 3)])), (None, (["x"], []), (["x"], []))], kind)
+    counted = leaves.leaf_counts(both, ["k"], ["tags", "items"])
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange"), plan
+    found = {(r.k, r.path, r.value): (r.d, r.n_old, r.n_new) for r in counted.collect()}
+    assert found == {
+        (1, "tags[]", "a"): (-1, 2, 1), (1, "tags[]", "b"): (1, 0, 1), (1, "items[id=1]", None): (-1, 1, 0), (1, "items[id=1].n", "1"): (-1, 1, 0),
+        (1, "items[id=2]", None): (0, 1, 1), (1, "items[id=2].n", "2"): (-1, 1, 0), (1, "items[id=2].n", "3"): (1, 0, 1), (None, "tags[]", "x"): (0, 1, 1),
+    }
