@@ -56,6 +56,8 @@ def sections(text: Column, chars: int) -> Column:
     return F.when(F.length(text) <= chars, F.array(text)).when(text.isNotNull(), found)
 
 
+# Answers of one task are handed on together up to this many bytes.
+CALL_BYTES = 4 << 20
 Call = Callable[[pd.DataFrame], pd.DataFrame]
 _ERROR = "_error"
 
@@ -82,19 +84,36 @@ def call_each(documents: DataFrame, fn: Call, schema: T.StructType, carry: Seque
     arrow = to_arrow_schema(out)
     fields = to_arrow_schema(T.StructType(own))
 
+    def columns_of(made: pd.DataFrame) -> list[pa.Array]:
+        try:
+            columns = [pa.array(made[f.name], f.type, from_pandas=True) for f in fields]
+            if all(isinstance(c, pa.Array) for c in columns):
+                return columns
+        except Exception:  # noqa: BLE001  the whole frame is tried again, which says what is wrong with it
+            pass
+        table = pa.Table.from_pandas(made[fields.names], schema=fields, preserve_index=False)
+        return [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns]
+
+    def joined(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        return pa.Table.from_batches(parts, arrow).combine_chunks().to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts, size = [], 0
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 try:
-                    made = fn(row.to_pandas())
-                    table = pa.Table.from_pandas(made[fields.names], schema=fields, preserve_index=False)
-                    columns, error = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns], None
+                    columns, error = columns_of(fn(row.to_pandas())), None
                 except Exception as e:  # noqa: BLE001  whatever the caller's function raises
                     columns, error = [pa.nulls(1, f.type) for f in fields], f"{type(e).__name__}: {e}"
                 n = len(columns[0])
                 told = [pa.array(row.column(c).to_pylist() * n, arrow.field(c).type) for c in carry]
-                yield pa.RecordBatch.from_arrays([*told, *columns, pa.array([error] * n, pa.string())], schema=arrow)
+                parts.append(pa.RecordBatch.from_arrays([*told, *columns, pa.array([error] * n, pa.string())], schema=arrow))
+                size += parts[-1].nbytes
+                if size >= CALL_BYTES:
+                    yield from joined(parts)
+                    parts, size = [], 0
+            yield from joined(parts)
 
     return reliable_checkpoint(documents.mapInArrow(run, out))
 
@@ -105,7 +124,8 @@ def _checked(rows: DataFrame, failures: DataFrame, owner: str, schema: T.StructT
     whole = join_keys(rows, failures.select(owner).distinct(), [owner], "left_anti")
     names = [f.name for f in schema.fields if f.name not in keys]
     with_json = whole.withColumn("_json", F.to_json(F.struct(*names)))
-    issues = flat_schema_issues(with_json, list(keys), "_json", record)
+    # Every reader of the rows asks for their issues; the schema is checked once.
+    issues = reliable_checkpoint(flat_schema_issues(with_json, list(keys), "_json", record))
     return Extracted(conforming(with_json, issues, list(keys)).drop("_json"), issues, failures)
 
 

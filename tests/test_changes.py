@@ -255,3 +255,28 @@ def test_page_bounds(spark):
     for bad in ((0, 20), (1, 0), (1, 101)):
         with pytest.raises(ValueError):
             listing.page(df, [F.col("id")], *bad)
+
+
+def test_answers_are_checked_once_and_handed_on_together(spark):
+    """Calls that fail, empty answers and rows outside the schema among others in one batch; whoever
+    reads the rows does not check them again."""
+    schema = T.StructType.fromDDL("k long, pos int, name string, tags array<string>, price double")
+
+    def fn(pdf):
+        k = int(pdf["k"][0])
+        if k == 3:
+            raise ValueError("no answer")
+        if k == 5:
+            return pd.DataFrame({"pos": ["x"], "name": ["a"], "tags": [[]], "price": [None]})
+        n = k % 4
+        if n == 0:
+            return pd.DataFrame(columns=["pos", "name", "tags", "price"])
+        return pd.DataFrame({"pos": range(n), "name": [None if k == 6 else f"n{k}"] * n, "tags": [["t"] * k] * n, "price": [None if k == 1 else 1.5] * n})
+
+    found = mapping.extract(spark.range(12).withColumnRenamed("id", "k").coalesce(1), fn, schema, ["k", "pos"], Record((
+        Rule("name", required=True, nullable=False, min_len=1), Rule("tags", "array"), Rule("price", "decimal"))))
+    assert sorted((r.k, r.pos, r.name, len(r.tags), r.price) for r in found.rows.collect()) == [
+        (k, p, f"n{k}", k, None if k == 1 else 1.5) for k in (1, 2, 7, 9, 10, 11) for p in range(k % 4)]
+    assert sorted(r.k for r in found.issues.collect()) == [6, 6]
+    assert {r.k: r.message.split(":")[0] for r in found.failures.collect()} == {3: "ValueError", 5: "ArrowInvalid"}
+    assert "Generate" not in found.rows._jdf.queryExecution().optimizedPlan().toString()
