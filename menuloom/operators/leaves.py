@@ -18,6 +18,8 @@ from .groups import join_keys
 
 #: Fields by which list items are known; the first one that the item has counts.
 IDENTITY = ("id", "name")
+#: JSON of the rows whose leaves one task counts, about; their paths take several times as much.
+TASK_CHARS = 16 << 20
 FIELD, ELEMENT, ITEM = "field", "element", "item"
 _LEAF = "array<struct<path string, owner string, kind string, value string, whole string>>"
 
@@ -71,13 +73,14 @@ def leaf_rows(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], ident
     return rows.select(*keys, F.explode(_all_leaves(None, rows.schema, fields, identity)).alias("_l")).select(*keys, "_l.*")
 
 
-def leaf_counts(both: DataFrame, keys: Sequence[str], fields: Sequence[str], identity: Sequence[str] = IDENTITY) -> DataFrame:
+def leaf_counts(both: DataFrame, keys: Sequence[str], fields: Sequence[str], identity: Sequence[str] = IDENTITY, tasks: int = 0) -> DataFrame:
     """(keys, path, owner, kind, value, d, n_old, n_new, whole) of the leaves of ``_old`` and ``_new``. Rows are
-    dealt by key while they are whole, so leaves are counted where they are taken apart."""
+    dealt by key (to at least ``tasks`` tasks) while they are whole, so leaves are counted where they are taken apart."""
     def side(c: str, sign: int) -> Column:
         return F.transform(_all_leaves(F.col(c), both.schema[c].dataType, fields, identity), lambda e: F.struct(e.alias("l"), F.lit(sign).alias("d")))
 
-    dealt = both.repartition(*keys).select(*keys, F.explode(F.concat(side("_old", -1), side("_new", 1))).alias("_l"))
+    usual = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (both.repartition(tasks, *keys) if tasks > usual else both.repartition(*keys)).select(*keys, F.explode(F.concat(side("_old", -1), side("_new", 1))).alias("_l"))
     return dealt.select(*keys, "_l.l.*", F.col("_l.d").alias("_d")).groupBy(*keys, "path", "owner", "kind", "value").agg(
         F.sum("_d").cast("long").alias("d"), F.count_if(F.col("_d") < 0).alias("n_old"), F.count_if(F.col("_d") > 0).alias("n_new"), F.max("whole").alias("whole"),
     )
@@ -101,14 +104,17 @@ def leaf_diff(
     text = lambda c: F.to_json(c)
     # Texts compare what no comparison of types can (maps); the order of lists is looked at below.
     differ = join_keys(old, new, keys, "full_outer").filter(~text(F.col("_old")).eqNullSafe(text(F.col("_new"))))
-    fixed = reliable_checkpoint(differ)
+    length = lambda c: F.coalesce(F.length(text(F.col(c))), F.lit(0))
+    fixed = reliable_checkpoint(differ.withColumn("_chars", (length("_old") + length("_new")).cast("long")))
     null = F.lit(None).cast("string")
     one = F.lit(1).cast("long").alias("copies")
     whole = fixed.filter("_old IS NULL OR _new IS NULL").select(
         *keys, null.alias("path"), F.when(F.col("_old").isNull(), ADDED).otherwise(REMOVED).alias("op"),
         text(F.col("_old")).alias("old_value"), text(F.col("_new")).alias("new_value"), one,
     )
-    counted = leaf_counts(fixed.filter("_old IS NOT NULL AND _new IS NOT NULL"), keys, chosen, identity)
+    both = fixed.filter("_old IS NOT NULL AND _new IS NOT NULL")
+    chars = both.agg(F.sum("_chars")).first()[0] or 0
+    counted = leaf_counts(both, keys, chosen, identity, -(-chars // TASK_CHARS))
     changed = reliable_checkpoint(counted.filter("d <> 0"))
     lone = changed.filter((F.col("kind") == ITEM) & ((F.col("n_old") == 0) | (F.col("n_new") == 0)))
     # What stands inside an item that one side lacks is told by the item's own line.
