@@ -17,6 +17,7 @@ from .groups import join_keys
 
 CODE = "schema_violation"
 Decode = Callable[[str, int], tuple[object, int]]
+Test = Callable[[dict, str, list[tuple[str, str, str]]], None]
 # Words taken as booleans, whatever their case.
 BOOL_WORDS = ("true", "false", "1", "0", "yes", "no", "on", "off", "y", "n", "t", "f")
 
@@ -37,6 +38,20 @@ def _characters(n: int) -> str:
     return f"{n} character" + ("" if n == 1 else "s")
 
 
+def _limit_text(rule: Rule, limit: str) -> str:
+    """Message of a value beyond one of its rule's limits."""
+    value = getattr(rule, limit)
+    return {
+        "min_len": lambda: f"String should have at least {_characters(value)}",
+        "max_len": lambda: f"String should have at most {_characters(value)}",
+        "ge": lambda: f"Input should be greater than or equal to {value:g}",
+        "le": lambda: f"Input should be less than or equal to {value:g}",
+        "one_of": lambda: "Input should be one of " + ", ".join(value),
+        "items_of": lambda: "Input should be one of " + ", ".join(value),
+        "not_blank": lambda: "Value error, this field cannot be blank",
+    }[limit]()
+
+
 def _finite(text: Column) -> Column:
     value = text.try_cast("double")
     return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
@@ -86,21 +101,21 @@ def _first_broken(rule: Rule, doc: Column, kind: Column, text: Column, present:
     filled = present & (kind != "VOID")
     tests.append((filled & ~_right_type(rule, kind, text), TYPE_TEXT[rule.type]))
     if rule.min_len is not None:
-        tests.append((filled & (F.length(text) < rule.min_len), f"String should have at least {_characters(rule.min_len)}"))
+        tests.append((filled & (F.length(text) < rule.min_len), _limit_text(rule, "min_len")))
     if rule.max_len is not None:
-        tests.append((filled & (F.length(text) > rule.max_len), f"String should have at most {_characters(rule.max_len)}"))
+        tests.append((filled & (F.length(text) > rule.max_len), _limit_text(rule, "max_len")))
     if rule.ge is not None:
-        tests.append((filled & (number < rule.ge), f"Input should be greater than or equal to {rule.ge:g}"))
+        tests.append((filled & (number < rule.ge), _limit_text(rule, "ge")))
     if rule.le is not None:
-        tests.append((filled & (number > rule.le), f"Input should be less than or equal to {rule.le:g}"))
+        tests.append((filled & (number > rule.le), _limit_text(rule, "le")))
     if rule.one_of:
-        tests.append((filled & ~text.isin(*rule.one_of), "Input should be one of " + ", ".join(rule.one_of)))
+        tests.append((filled & ~text.isin(*rule.one_of), _limit_text(rule, "one_of")))
     if rule.items_of:
         items = F.try_variant_get(doc, "$." + rule.name, "array<string>")
         known = F.array(*[F.lit(v) for v in rule.items_of])
-        tests.append((F.size(F.array_except(items, known)) > 0, "Input should be one of " + ", ".join(rule.items_of)))
+        tests.append((F.size(F.array_except(items, known)) > 0, _limit_text(rule, "items_of")))
     if rule.not_blank:
-        tests.append((filled & (strip_space(text) == ""), "Value error, this field cannot be blank"))
+        tests.append((filled & (strip_space(text) == ""), _limit_text(rule, "not_blank")))
     return reduce(lambda acc, t: acc.when(t[0], F.lit(t[1])), tests[1:], F.when(tests[0][0], F.lit(tests[0][1])))
 
 
@@ -110,6 +125,14 @@ def _unknown_keys(keys: Column, prefix: str) -> Column:
     )
 
 
+def _by_object(record: Record) -> dict[str, list[Rule]]:
+    """The rules of each object of a record, by its place; "" is the record itself."""
+    out: dict[str, list[Rule]] = {"": []}
+    for rule in record.rules():
+        out.setdefault(rule.name.rpartition(".")[0], []).append(rule)
+    return out
+
+
 def _asks(by_object: dict[str, list[Rule]], parent: str) -> bool:
     """Whether an object that is absent lacks a required field, its own or below it."""
     return any(r.required for p, rules in by_object.items() if p == parent or p.startswith(parent + ".") for r in rules)
@@ -118,9 +141,7 @@ def _asks(by_object: dict[str, list[Rule]], parent: str) -> bool:
 def _record_problems(record: Record, json: Column) -> Column:
     """All violations of one record as array<struct<path, message>>. The text is
     parsed once; the keys of each object in it are read once."""
-    by_object: dict[str, list[Rule]] = {"": []}
-    for rule in record.rules():
-        by_object.setdefault(rule.name.rpartition(".")[0], []).append(rule)
+    by_object = _by_object(record)
     empty, nothing = F.array().cast("array<string>"), F.array().cast("array<struct<path:string,message:string>>")
 
     def object_problems(doc: Column, parent: str) -> Column:
@@ -184,13 +205,13 @@ def _kinds(record: Record) -> list[Record]:
     return out
 
 
-def _decoder() -> Decode:
+def _decoder(**hooks) -> Decode:
     """The value at a place of a text and the place behind it. Words that are no JSON are errors."""
 
     def refuse(word: str) -> None:
         raise ValueError(word)
 
-    return json_text.JSONDecoder(parse_constant=refuse).raw_decode
+    return json_text.JSONDecoder(parse_constant=refuse, **hooks).raw_decode
 
 
 _SKIP = re.compile(r"[ \t\n\r]*").match
@@ -248,30 +269,201 @@ def nested_records(decode: Decode, text: str | None, below: Sequence[dict[str, i
     return out
 
 
+# Beyond these the parser of the expressions may refuse what Python's takes.
+_MAX_TEXT, _MAX_KEY, _MAX_DEPTH, _MAX_NUMBER = 1_000_000, 50_000, 500, 1e15
+_MANY_DIGITS = re.compile(r"[0-9]{300}").search
+_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]").search
+_PLAIN_NUMBER = re.compile(r"-?[0-9]{1,15}(\.[0-9]{1,15})?").fullmatch
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("repeated key")
+    return out
+
+
+def _once_and_short(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    if any(len(key) >= _MAX_KEY for key, _ in pairs):
+        raise ValueError("long key")
+    return _once(pairs)
+
+
+def _sure(fact: bool) -> bool:
+    if not fact:
+        raise ValueError("only the expressions tell")
+    return True
+
+
+def _too_deep(value: object) -> bool:
+    layer, depth = [value], 0
+    while layer and depth <= _MAX_DEPTH:
+        layer = [x for v in layer if isinstance(v, dict | list) for x in (v.values() if isinstance(v, dict) else v)]
+        depth += 1
+    return depth > _MAX_DEPTH
+
+
+def _value_test(rule: Rule) -> Callable[[object], str | None]:
+    """What ``_first_broken`` says of a field that is there, for a decoded value. Values that the
+    expressions read in ways of their own are errors."""
+    wrong = TYPE_TEXT[rule.type]
+    null = None if rule.nullable else wrong
+    least, most, words, items, whole = rule.ge, rule.le, rule.one_of, frozenset(rule.items_of), rule.type == "int"
+    least_len, most_len = rule.min_len or 0, _MAX_TEXT if rule.max_len is None else rule.max_len
+    limits = {n: getattr(rule, n) for n in ("min_len", "max_len", "ge", "le", "one_of", "items_of", "not_blank")}
+    says = {n: _limit_text(rule, n) for n, x in limits.items() if x is not None and x is not False and x != ()}
+    blank = says.get("not_blank")
+
+    def any_text(value: object) -> str | None:
+        return None if type(value) is str else null if value is None else wrong
+
+    def text(value: object) -> str | None:
+        if type(value) is not str:
+            return null if value is None else wrong
+        if not least_len <= len(value) <= most_len:
+            return says["min_len"] if len(value) < least_len else says["max_len"]
+        if words and value not in words:
+            return says["one_of"]
+        return blank if blank is not None and not value.strip() else None
+
+    def number(value: object) -> str | None:
+        if type(value) is str:
+            value = float(_sure(_PLAIN_NUMBER(value) is not None) and value)
+        elif type(value) is not int and type(value) is not float:
+            return null if value is None else wrong
+        _sure(-_MAX_NUMBER < value < _MAX_NUMBER)
+        if whole and value != int(value):
+            return wrong
+        if least is not None and value < least:
+            return says["ge"]
+        return says["le"] if most is not None and value > most else None
+
+    def boolean(value: object) -> str | None:
+        if value is None or type(value) is bool:
+            return null if value is None else None
+        _sure(type(value) is str or type(value) is int)
+        return None if str(value).lower() in BOOL_WORDS else wrong
+
+    def listed(value: object) -> str | None:
+        if type(value) is not list:
+            return null if value is None else wrong
+        if items and _sure(all(type(x) is str for x in value)) and not items.issuperset(value):
+            return says["items_of"]
+        return None
+
+    def inner(value: object) -> str | None:
+        _sure(type(value) is dict)
+        return None
+
+    test, fits = {
+        "string": (text if says else any_text, {"min_len", "max_len", "one_of", "not_blank"}), "decimal": (number, {"ge", "le"}),
+        "int": (number, {"ge", "le"}), "bool": (boolean, set()), "array": (listed, {"items_of"}), "object": (inner, set()),
+    }[rule.type]
+    return test if says.keys() <= fits else lambda value: _sure(False)
+
+
+def _object_test(by_object: dict[str, list[Rule]], parent: str, lists: Sequence[tuple[str, int]], tests: list[Test]) -> Test:
+    """A function that adds (place with a dot behind it, path, message) of all that an object, those below it and
+    the records in its lists break. ``lists`` has the place of each list's test in ``tests``."""
+    prefix, last = parent + "." if parent else "", lambda path: path.rpartition(".")[2]
+    fields = {last(r.name): _value_test(r) for r in by_object[parent]}
+    required = [last(r.name) for r in by_object[parent] if r.required]
+    inner = [(last(p), _object_test(by_object, p, (), tests), _asks(by_object, p)) for p in by_object if p and p.rpartition(".")[0] == parent]
+    root = TYPE_TEXT["object"]
+
+    def test(value: dict, place: str, found: list[tuple[str, str, str]]) -> None:
+        for key, of in value.items():
+            if key in fields:
+                message = fields[key](of)
+                if message is not None:
+                    found.append((place, prefix + key, message))
+            else:
+                found.append((place, prefix + key, EXTRA))
+        for key in required:
+            if key not in value:
+                found.append((place, prefix + key, MISSING))
+        for key, below, asks in inner:
+            if key in value:
+                below(_sure(type(value[key]) is dict) and value[key], place, found)
+            elif asks:
+                below({}, place, found)
+        for key, kind in lists:
+            if key in value and type(value[key]) is list:
+                below = tests[kind]
+                for i, item in enumerate(value[key]):
+                    at = f"{place}{key}.{i}."
+                    if type(item) is dict:
+                        below(item, at, found)
+                    else:
+                        found.append((at, "<root>", root))
+
+    return test
+
+
+def _record_tests(kinds: Sequence[Record], below: Sequence[dict[str, int]]) -> list[Test]:
+    tests: list[Test] = []
+    for kind, lists in zip(kinds, below, strict=True):
+        by_object = _by_object(kind)
+        loose = any(p and p.rpartition(".")[0] not in by_object for p in by_object)
+        tests.append((lambda value, place, found: _sure(False)) if loose else _object_test(by_object, "", tuple(lists.items()), tests))
+    return tests
+
+
+def plain_problems(text: str | None, test: Test, decode: Decode, decode_long: Decode) -> list[tuple[str, str, str]] | None:
+    """(place with a dot behind it, path, message) of all violations of a record and of all records below it, by its
+    kind's ``test``; None for a text that Python and the expressions might read in different ways."""
+    try:
+        if text is None or len(text) > _MAX_TEXT or len(text) > 300 and _MANY_DIGITS(text):
+            return None
+        value, end = (decode_long if len(text) > _MAX_KEY else decode)(text, _SKIP(text).end())
+        if end < len(text) and _SKIP(text, end).end() < len(text):
+            return None
+        if "\\u" in text and _SURROGATE(text):
+            json_text.dumps(value, ensure_ascii=False).encode()  # a lone half is an error
+        if text.count("[") + text.count("{") > _MAX_DEPTH and _too_deep(value):
+            return None
+        if type(value) is not dict:
+            return [("", "<root>", TYPE_TEXT["object"])]
+        found: list[tuple[str, str, str]] = []
+        test(value, "", found)
+        return found
+    except (ValueError, RecursionError):
+        return None
+
+
 def schema_issues(df: DataFrame, keys: list[str], json: str, record: Record) -> DataFrame:
     """One row per offending field of every record, arrays of records included, at
-    any depth. One pass takes each text apart into its records, and one expression tests
-    each by the rules of its kind; nothing is shuffled or written."""
+    any depth. One pass decodes each text and tests all its records by the rules of their kinds.
+    Texts that Python may read differently are taken apart into their records instead, and one
+    expression tests each; nothing is shuffled or written."""
     kinds = _kinds(record)
     place = lambda kind, child: next(i for i, k in enumerate(kinds) if k is (kind if child == "self" else child))
     below = [{name: place(kind, child) for name, child in kind.children.items()} for kind in kinds]
     source = df.select(*keys, F.col(json).cast("string").alias("_text"))
-    schema = T.StructType([*(source.schema[k] for k in keys), *(T.StructField(n, t) for n, t in (("_kind", T.IntegerType()), ("_at", T.StringType()), ("_json", T.StringType())))])
+    added = (("_kind", T.IntegerType()), ("_at", T.StringType()), ("_json", T.StringType()), ("_path", T.StringType()), ("_message", T.StringType()))
+    schema = T.StructType([*(source.schema[k] for k in keys), *(T.StructField(n, t) for n, t in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = _decoder()
+        decode, plain, plain_long = _decoder(), _decoder(object_pairs_hook=_once), _decoder(object_pairs_hook=_once_and_short)
+        test = _record_tests(kinds, below)[0]
         for batch in batches:
-            found = [(i, *node) for i, text in enumerate(batch.column(len(keys)).to_pylist()) for node in nested_records(decode, text, below)]
-            rows, kind, at, text = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [])
+            found = []
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
+                problems = plain_problems(text, test, plain, plain_long)
+                if problems is None:
+                    found += [(i, *node, None, None) for node in nested_records(decode, text, below)]
+                else:
+                    found += [(i, -1, at[:-1], None, path, message) for at, path, message in problems]
+            rows, kind, *texts = zip(*found, strict=True) if found else [()] * 6
             own = batch.select(list(range(len(keys)))).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*own.columns, pa.array(kind, pa.int32()), pa.array(at, pa.string()), pa.array(text, pa.string())], [*keys, "_kind", "_at", "_json"]
+                [*own.columns, pa.array(kind, pa.int32()), *(pa.array(x, pa.string()) for x in texts)], [*keys, *(n for n, _ in added)]
             )
 
     nodes = source.mapInArrow(run, schema)
     problems = reduce(
         lambda acc, i: acc.when(F.col("_kind") == i, _record_problems(kinds[i], F.col("_json"))),
-        range(1, len(kinds)), F.when(F.col("_kind") == 0, _record_problems(record, F.col("_json"))),
+        range(len(kinds)), F.when(F.col("_kind") == -1, F.array(F.struct(F.col("_path").alias("path"), F.col("_message").alias("message")))),
     )
     return _issue_rows(nodes, problems, keys)
 

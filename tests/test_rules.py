@@ -260,3 +260,79 @@ def test_only_fields_that_can_fail_are_looked_at(spark):
     seen = []
     conform.nested_records(lambda t, at: seen.append(at) or decode(t, at), '{"x": [{"b": 1}], "y": 2}', below)
     assert len(seen) == 1
+
+
+def _odd_texts() -> list[str | None]:
+    """Records as they should be and with values of all kinds in all places, and texts that are hardly JSON."""
+    import random
+
+    rng = random.Random(7)
+    values = [
+        None, True, False, 0, 1, -1, 2.0, 1.5, -0.0, 1e15, -1e300, 10**40, 12345678901234567890, "", " ", "\u00a0\u2003", "x", "USD", "usd\u00e9", "TRUE", "T", "maybe", "12.5", "-3", "1e3",
+        " 7", "NaN", "1d", "0x1", "pending", "milk", "a" * 256, "\U0001f600" * 130, "\u017f", [], [None], ["milk"], ["milk", "sand"], ["milk", 5], [["milk"]], {}, {"a": 1}, '{"a": 1}', "[1]", "tab\there", "nul\x00",
+    ]
+
+    def record(kind: Record, depth: int) -> dict:
+        out: dict = {}
+        for rule in kind.fields:
+            if not rule.required and rng.random() < 0.75:
+                continue
+            good = {"string": "USD" if rule.max_len in (2, 3) else "pending", "decimal": 4, "int": 3, "bool": True, "array": [], "object": {}}[rule.type]
+            if rng.random() < 0.03:
+                continue
+            at, names = out, rule.name.split(".")
+            for name in names[:-1]:
+                at = at.setdefault(name, {}) if isinstance(at, dict) else {}
+            if isinstance(at, dict):
+                at[names[-1]] = good if rng.random() < 0.8 else rng.choice(values)
+        if rng.random() < 0.1:
+            out[rng.choice(["", "<root>", "a.b", "na\u00efve", "q\"", "name "])] = rng.choice(values)
+        for name, child in kind.children.items():
+            if depth < 5 and rng.random() < 0.6:
+                child = kind if child == "self" else child
+                out[name] = [record(child, depth + 1) if rng.random() < 0.93 else rng.choice(values) for _ in range(rng.randrange(3))] if rng.random() < 0.95 else rng.choice(values)
+        return out
+
+    made = [record(RESTAURANT_RECORD, 0) for _ in range(250)]
+    by_hand = [
+        None, "", "{", "[]", "null", "3", '"x"', '{"name": "a"} x', ' \n{"name": "a"}\t ', '\ufeff{"name": "a"}', '{"name": "a", "name": "b"}', '{"name": "a", "id": NaN}', '{"name": "a", "locations": [{"a": 01}]}',
+        '{"name": "a", "menus": [{"name": "b", "x": {"y": 1, "y": 2}}]}', '{"name": "\\ud83d\\ude00", "menus": [{}, null, 3, []]}', '{"name": "\\ud83d", "menus": [{"name": ""}]}', '{"n\\u0061me": "\\u0020", "\\u006denus": [{"name": " "}]}',
+        '{"name": "a\tb"}', '{"name": "a", "x": ' + "[" * 400 + "]" * 400 + "}", '{"name": "a", "x": ' + "[" * 1200 + "]" * 1200 + ', "menus": [{"name": ""}]}', '{"name": "a", "x": ' + "9" * 999 + "}", '{"name": "a", "x": ' + "9" * 1500 + "}",
+        '{"name": "a", "' + "k" * 50_001 + '": 1}', '{"name": "a", "' + "k" * 49_000 + '": "' + "v" * 60_000 + '"}', '{"name": "a", "x": 1e400, "y": -0, "z": 1E-400}', "{'name': 'a'}", '{"name": "a",}', '{"name": "a" /* b */}',
+        *('{"name": "n", "menus": [{"categories": [{"name": "c", "dishes": [{"name": "d", "category_id": "e", %s}]}]}]}' % x for x in (
+            '"price": 1e400', '"price": -1e-400', '"price": 1.00000000000000000000000000000000000000001', '"price": -0.0', '"price": "1e400"', '"price": "-1 "', '"price": "0012.50"', '"price": 1E2',
+            '"nutrition": null', '"nutrition": []', '"nutrition": "{\\"b\\": 1}"', '"nutrition": {"macros": "x"}', '"nutrition": {"macros": {"calories": -1, "b": 2}, "c": 3}', '"allergens": null', '"allergens": [null, "milk"]', '"allergens": "milk"',
+        )),
+    ]
+    return by_hand + [json.dumps(r, ensure_ascii=i % 2 == 0) for i, r in enumerate(made)]
+
+
+def test_decoded_records_and_expressions_find_the_same(spark, monkeypatch):
+    texts = _odd_texts()
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, j string").repartition(4)
+    find = lambda: sorted(map(tuple, conform.schema_issues(rows, ["k"], "j", RESTAURANT_RECORD).collect()))
+    got = find()
+    plain = conform.plain_problems
+    test, once = conform._record_tests(*_kinds_below())[0], conform._decoder(object_pairs_hook=conform._once)
+    decided = [plain(t, test, once, once) is not None for t in texts[-250:]]
+    assert sum(decided) > 50
+    monkeypatch.setattr(conform, "plain_problems", lambda *args: None)
+    assert got == find()
+
+
+def _kinds_below():
+    kinds = conform._kinds(RESTAURANT_RECORD)
+    return kinds, [{n: next(i for i, k in enumerate(kinds) if k is (kind if c == "self" else c)) for n, c in kind.children.items()} for kind in kinds]
+
+
+def test_whole_texts_are_judged_where_they_are_decoded():
+    """Plain records need no expression; what Python may read differently is left to them."""
+    test, once = conform._record_tests(*_kinds_below())[0], conform._decoder(object_pairs_hook=conform._once)
+    plain = lambda text: conform.plain_problems(text, test, once, once)
+    text = '{"name": "n\\u00e9", "a": 1, "menus": [{"name": ""}, {"categories": [{"children": [5], "dishes": [{"name": "e", "category_id": "f", "price": "-0.01"}]}]}]}'
+    assert sorted(plain(text)) == [
+        ("", "a", conform.EXTRA), ("menus.0.", "name", "String should have at least 1 character"), ("menus.1.categories.0.", "name", conform.MISSING),
+        ("menus.1.categories.0.children.0.", "<root>", "Input should be a valid dictionary"), ("menus.1.categories.0.dishes.0.", "price", "Input should be greater than or equal to 0"),
+    ]
+    for odd in (None, "{", '{"name": "a", "name": "b"}', '{"name": "\\ud800"}', '{"name": "a"} x', '{"menus": [{"x": {"y": 1, "y": 2}}]}'):
+        assert plain(odd) is None
