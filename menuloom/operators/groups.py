@@ -75,7 +75,11 @@ def by_group_size(
     order: Sequence[str],
     plain: Callable[[DataFrame], DataFrame],
     chunked: Callable[[DataFrame], DataFrame],
+    largest: int | None = None,
 ) -> DataFrame:
+    """``largest`` is the size of the largest group where the caller knows it, which saves counting."""
+    if largest is not None and largest <= hot_limit(df):
+        return plain(df)
     cold, hot = split_hot(df, keys)
     out = plain(cold)
     if hot is None:
@@ -143,6 +147,22 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
     return by_group_size(df, keys, order, plain, chunked)
 
 
+def totals_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, out: str, largest: int | None = None) -> DataFrame:
+    """Sum of ``size`` over the earlier rows of a key, for groups of any size. ``order`` leaves only equal rows in a tie."""
+    earlier = lambda by, at: F.coalesce(F.sum(size).over(Window.partitionBy(*by).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(out, earlier(keys, order))
+
+    def chunked(rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy(*keys, CHUNK).agg(F.sum(size).alias(size))
+        carried = sums.withColumn("_before", earlier(keys, [CHUNK])).drop(size)
+        local = _dealt(rows, rows, keys).withColumn("_own", earlier([*keys, CHUNK], order))
+        return _join_back(local, carried, keys).withColumn(out, F.col("_before") + F.col("_own")).drop("_before", "_own")
+
+    return by_group_size(df, keys, order, plain, chunked, largest)
+
+
 def _next_holder(ts: np.ndarray, release: np.ndarray) -> np.ndarray:
     """For each row the first later row at or after its release."""
     later = np.searchsorted(ts, release, side="left")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import reliable_checkpoint
-from .groups import number_rows
+from ..session import broadcast_if_small, reliable_checkpoint
+from .groups import hot_limit, join_keys, number_rows, split_hot, totals_before
 
 # The most children one exported array holds; further ones go to further rows.
 PART_ROWS = 10_000
@@ -84,27 +84,36 @@ def assemble(
     menu = menus.select("menu_id", "restaurant_id", F.col("pos").cast("long").alias("menu_pos"), _rest(menus, "menu_id", "restaurant_id", "pos").alias("menu"))
     category = categories.select("category_id", "menu_id", F.col("pos").cast("long").alias("category_pos"), "parent_id", _rest(categories, "category_id", "menu_id", "parent_id", "pos").alias("category"))
     dish = dishes.select("category_id", F.col("pos").cast("long").alias("dish_pos"), _rest(dishes, "category_id", "pos").alias("dish"))
-    # Depth first: a menu (-1, -1), its categories (pos, -1), their dishes (pos, pos).
-    place = menu.select("menu_id", "restaurant_id", "menu_pos")
-    of_category = category.join(place, "menu_id")
-    of_dish = dish.join(of_category.select("category_id", "menu_id", "category_pos", "parent_id", "restaurant_id", "menu_pos"), "category_id")
-    entries = (
-        menu.withColumns({"category_pos": F.lit(-1).cast("long"), "dish_pos": F.lit(-1).cast("long")})
-        .unionByName(of_category.withColumn("dish_pos", F.lit(-1).cast("long")), allowMissingColumns=True)
-        .unionByName(of_dish, allowMissingColumns=True)
+    # Depth first: a menu (-1, -1), its categories (pos, -1), their dishes (pos, pos), nulls first. Numbers come from
+    # sizes: how many entries are before a menu, before a category within its menu, before a dish within
+    # its category. So dishes are dealt twice only, to their category and, listed, to their part.
+    early = lambda pos: F.col(pos).isNull() | (F.col(pos) < -1)
+    none = lambda *names: {n: F.coalesce(n, F.lit(0)) for n in names}
+    sizes = dish.groupBy("category_id").agg(F.count(F.lit(1)).alias("size"), F.count_if(early("dish_pos")).alias("low"))
+    sized = category.join(sizes, "category_id", "left").withColumns(none("size", "low")).withColumn("size", F.col("size") + 1)
+    # Dishes of no category are among those of no menu; only their number matters.
+    held = reliable_checkpoint(category.withColumn("first", F.lit(1)).join(sizes, "category_id", "full_outer").groupBy("menu_id").agg(
+        F.sum(F.coalesce("size", F.lit(0)) + 1).alias("held"), F.sum(F.when(early("category_pos"), F.coalesce("size", F.lit(0)) + 1).otherwise(0)).alias("early"),
+        F.count("first").alias("categories"), F.max("size").alias("dishes"),
+    ))
+    most_categories, most_dishes = (x or 0 for x in held.agg(F.max(F.when(F.col("menu_id").isNotNull(), F.col("categories"))), F.max("dishes")).first())
+    menu_keys = ["restaurant_id", "menu_pos", "menu_id"]
+    places = menu.groupBy(*menu_keys).agg(F.count(F.lit(1)).alias("copies")).join(held.drop("categories", "dishes"), "menu_id", "left").withColumns(none("held", "early"))
+    places = places.withColumn("entries", F.col("copies") * (F.col("held") + 1))
+    places = totals_before(places, ["restaurant_id"], ["menu_pos", "menu_id"], "entries", "start").drop("held", "entries")
+    of_category = _first_numbers(totals_before(
+        sized.join(places, "menu_id"), menu_keys, ["category_pos", "category_id", "parent_id", "category"], "size", "before", most_categories
+    ), menu_keys)
+    parted = lambda no: F.floor((no - 1) / part_rows).cast("long")
+    in_category = _listed_dishes(of_category, dish.where(F.col("category_id").isNotNull()), menu_keys, parted, most_dishes)
+    # What stands at no position is counted, but not listed.
+    in_category = in_category.where(F.col("category_pos").isNotNull()).withColumn("category_id", F.when(F.col("category_pos") >= 0, F.col("category_id")))
+    in_menu = join_keys(number_rows(menu, menu_keys, ["menu"], "copy"), places, menu_keys).select(
+        *menu_keys, "menu", parted(F.col("start") + F.col("copies") * F.col("early") + F.col("copy")).alias("part")
     )
-    order = ["menu_pos", "menu_id", "category_pos", "category_id", "dish_pos"]
-    placed = number_rows(entries, ["restaurant_id"], order, "entry_no")
-    placed = placed.withColumn("part", F.floor((F.col("entry_no") - 1) / part_rows).cast("long"))
-    menu_keys = ["restaurant_id", "part", "menu_pos", "menu_id"]
-    listed = lambda test, *fields: F.sort_array(F.collect_list(F.when(test, F.struct(*fields))))
-    in_category = placed.where("category_pos >= 0").groupBy(*menu_keys, "category_pos", "category_id").agg(
-        F.first("parent_id").alias("parent_id"), F.first("category", ignorenulls=True).alias("category"),
-        listed(F.col("dish_pos") >= 0, F.col("dish_pos").alias("pos"), "dish").alias("dishes"),
-    )
-    in_menu = placed.where("category_pos < 0").select(*menu_keys, "menu").unionByName(in_category, allowMissingColumns=True).groupBy(*menu_keys).agg(
+    in_menu = in_menu.unionByName(in_category, allowMissingColumns=True).repartition("restaurant_id", "part").groupBy("restaurant_id", "part", "menu_pos", "menu_id").agg(
         F.first("menu", ignorenulls=True).alias("menu"),
-        listed(F.col("category_id").isNotNull(), F.col("category_pos").alias("pos"), "category_id", "parent_id", "category", "dishes").alias("categories"),
+        _listed(F.col("category_id").isNotNull(), F.col("category_pos").alias("pos"), "category_id", "parent_id", "category", "dishes").alias("categories"),
     )
     rows = in_menu.groupBy("restaurant_id", "part").agg(
         F.sort_array(F.collect_list(F.struct(F.col("menu_pos").alias("pos"), "menu_id", "menu", "categories"))).alias("menus")
@@ -116,6 +125,54 @@ def assemble(
     }
 
 
+def _listed(test: Column, *fields: Column | str) -> Column:
+    return F.sort_array(F.collect_list(F.when(test, F.struct(*fields))))
+
+
+def _first_numbers(rows: DataFrame, menu_keys: Sequence[str]) -> DataFrame:
+    """Each category as often as its menu is there, with ``base`` and ``step``: its dish n has the number
+    base + (n - 1) * step in its restaurant, and further ``step`` behind the category's own entry. Equal
+    categories of a menu stand side by side, and so do their dishes."""
+    same = Window.partitionBy(*menu_keys, "category_pos", "category_id")
+    nth = F.row_number().over(same.orderBy("parent_id", "category")) - 1
+    rows = rows.withColumns({"nth": nth, "step": F.count(F.lit(1)).over(same) * F.col("copies")}).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    behind_menu = F.when(F.col("category_pos") >= -1, F.col("copies")).otherwise(0)
+    before = F.col("start") + F.col("copies") * (F.col("before") - F.col("nth") * F.col("size")) + behind_menu
+    return rows.select(
+        *menu_keys, "category_pos", "category_id", "parent_id", "category", "step", "low",
+        (before + F.col("nth") * F.col("copies") + F.col("copy")).alias("base"),
+    )
+
+
+def _listed_dishes(categories: DataFrame, dishes: DataFrame, menu_keys: Sequence[str], parted: Callable[[Column], Column], largest: int) -> DataFrame:
+    """One row per category and part in which it or dishes of it are, with its dishes there as an array. Dishes meet their
+    category, are numbered and listed in one task; those of a hot category stay where they are and
+    are dealt by part."""
+    keys, order = ["restaurant_id", "part", *[k for k in menu_keys if k != "restaurant_id"], "category_pos", "category_id"], ["dish_pos", "dish"]
+    own = F.struct(parted(F.col("base") + F.col("step") * F.col("low")).alias("part"), F.lit(True).alias("begins"))
+    dish_no = F.col("base") + (F.col("no") - 1) * F.col("step") + F.when(F.col("dish_pos") >= -1, F.col("step")).otherwise(0)
+    of_dish = F.struct(parted(dish_no).alias("part"), F.lit(False).alias("begins"))
+
+    def listed(joined: DataFrame, entries: Column) -> DataFrame:
+        return joined.withColumn("_entry", F.explode(entries)).withColumns({"part": F.col("_entry.part"), "begins": F.col("_entry.begins")}).groupBy(*keys).agg(
+            F.first("parent_id").alias("parent_id"), F.first(F.when(F.col("begins"), F.col("category")), ignorenulls=True).alias("category"),
+            _listed(~F.col("begins") & (F.col("dish_pos") >= 0), F.col("dish_pos").alias("pos"), "dish").alias("dishes"),
+        )
+
+    cold, hot = split_hot(dishes, ["category_id"]) if largest > hot_limit(dishes) else (dishes, None)
+    numbered = cold.withColumn("no", F.row_number().over(Window.partitionBy("category_id").orderBy(*order)))
+    every = F.when(F.col("no").isNull(), F.array(own)).when(F.col("no") == 1, F.array(own, of_dish)).otherwise(F.array(of_dish))
+    out = listed(categories.join(numbered, "category_id", "left"), every)
+    if hot is None:
+        return out
+    few = broadcast_if_small(categories.join(reliable_checkpoint(hot.select("category_id").distinct()), "category_id", "left_semi"))
+    out = out.unionByName(listed(number_rows(hot, ["category_id"], order, "no").join(few, "category_id"), F.array(of_dish)))
+    return out.groupBy(*keys).agg(
+        F.first("parent_id").alias("parent_id"), F.first("category", ignorenulls=True).alias("category"),
+        F.sort_array(F.flatten(F.collect_list("dishes"))).alias("dishes"),
+    )
+
+
 def _rest(table: DataFrame, *known: str) -> Column:
     """The further columns as one value; it is never null, so it marks where a record begins."""
     return F.struct(F.lit(True).alias("first"), *[c for c in table.columns if c not in known])

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from menuloom.operators import conform, corrections, report, rules, tree
+from menuloom.operators.groups import totals_before
 from menuloom.schema import DISH_RECORD, MACROS, MICRONUTRIENTS, NUTRITION, RESTAURANT_RECORD, Record, Rule
 from menuloom.suite import validation
 from menuloom.suite.base import Tables, dishes as derived_dishes
@@ -336,3 +337,87 @@ def test_whole_texts_are_judged_where_they_are_decoded():
     ]
     for odd in (None, "{", '{"name": "a", "name": "b"}', '{"name": "\\ud800"}', '{"name": "a"} x', '{"menus": [{"x": {"y": 1, "y": 2}}]}'):
         assert plain(odd) is None
+
+
+def _odd_catalog(spark):
+    """Menus, categories and dishes that repeat, lack keys or positions, hang on nothing or stand at negative places."""
+    menus = [("m1", "r1", 1, "a"), ("m1", "r1", 1, "a"), ("m2", "r1", 0, "b"), ("m2", "r2", None, "b"), (None, "r1", 1, "c"), ("m3", None, 2, "d")]
+    categories = [
+        ("c1", "m1", None, 0, "x"), ("c1", "m1", None, 0, "x"), ("c2", "m1", "c1", None, "y"), ("c3", "m1", None, -1, "z"), ("c4", "m1", None, -3, "z"), ("c5", "m2", "c4", 5, "u"),
+        (None, "m1", None, 2, "v"), ("c6", None, None, 0, "w"), ("c7", "gone", None, 0, "w"), ("c5", "m3", None, 1, "t"), ("c8", "m2", None, 6, "s"),
+    ]
+    dishes = [(c, pos, f"d{c}{pos}") for c in ("c1", "c2", "c3", "c4", "c5", "c6", "c7", "gone", None) for pos in (None, -4, -1, 0, 1, 2, 3)] + [("c1", 1, "dc11"), ("c5", 9, "e")]
+    s = spark.createDataFrame
+    flat = {
+        "restaurants": s([("r1", "A")], "restaurant_id string, name string"), "locations": s([("r1", 1, "X")], "restaurant_id string, pos int, city string"),
+        "menus": s(menus, "menu_id string, restaurant_id string, pos int, name string"), "categories": s(categories, "category_id string, menu_id string, parent_id string, pos int, status string"),
+        "dishes": s(dishes, "category_id string, pos int, dish string"),
+    }
+    return flat, menus, categories, dishes
+
+
+def _numbered_parts(menus, categories, dishes, part_rows):
+    """(restaurant, part, menu, category or None) -> [begins, dishes], from one sorted list of entries a restaurant."""
+    entries = [(r, p, m, -1, None, -1, None, n) for m, r, p, n in menus]
+    for c, m, _, pos, status in categories:
+        for menu, r, p, _ in menus:
+            if m is not None and m == menu:
+                entries += [(r, p, m, pos, c, -1, None, status)] + [(r, p, m, pos, c, at, d, None) for own, at, d in dishes if own == c and c is not None]
+    first = lambda x: (x is not None, x)
+    out, last, no = {}, object(), 0
+    for r, p, m, pos, c, at, d, begins in sorted(entries, key=lambda e: (first(e[0]), first(e[1]), first(e[2]), first(e[3]), first(e[4]), first(e[5]), first(e[6]))):
+        no = 0 if r != last else no + 1
+        last = r
+        if pos is None:
+            continue
+        menu = out.setdefault((r, no // part_rows, p, m, None), [None, []])
+        here = out.setdefault((r, no // part_rows, p, m, (pos, c)), [None, []]) if pos >= 0 and c is not None else menu if c is None and pos < 0 else [None, []]
+        here[0] = begins or here[0]
+        here[1] += [(at, d)] if at is not None and at >= 0 and pos >= 0 else []
+    return out
+
+
+@pytest.mark.parametrize("part_rows", [1, 4, 1000])
+@pytest.mark.parametrize("limit", ["0", "3", "2000000"])
+def test_parts_are_numbered_in_document_order(spark, part_rows, limit):
+    flat, *rows = _odd_catalog(spark)
+    spark.conf.set("spark.menuloom.hotGroupRows", limit)
+    spark.conf.set("spark.menuloom.chunkRows", "4")
+    try:
+        got = {}
+        for row in tree.assemble(**flat, part_rows=part_rows)["menus"].collect():
+            for m in row.menus:
+                at = (row.restaurant_id, row.part, m.pos, m.menu_id)
+                assert (*at, None) not in got
+                got[(*at, None)] = [m.menu and m.menu.name, []]
+                for c in m.categories:
+                    got[(*at, (c.pos, c.category_id))] = [c.category and c.category.status, [(d.pos, d.dish.dish) for d in c.dishes]]
+    finally:
+        spark.conf.unset("spark.menuloom.hotGroupRows")
+        spark.conf.unset("spark.menuloom.chunkRows")
+    assert got == _numbered_parts(*rows, part_rows)
+
+
+def test_dishes_are_dealt_twice_only(spark):
+    """Once to their category and once, listed, to their part; all other steps move categories and menus."""
+    flat, *_ = _odd_catalog(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = tree.assemble(**flat, part_rows=4)["menus"]
+        plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [b for b in plan.split("\n\n") if b.lstrip().startswith("(") and ") Exchange" in b.split("\n")[0] + b]
+    assert len([b for b in dealt if any(f" {n}#" in b or f"[{n}#" in b for n in ("dish", "dishes", "buf"))]) == 2, plan
+
+
+@pytest.mark.parametrize("chunk", ["2", "250000"])
+def test_totals_before_in_groups_of_any_size(spark, hot_groups, chunk):
+    spark.conf.set("spark.menuloom.chunkRows", chunk)
+    rows = [(k, i, i * 7 % 5) for k in ("a", None) for i in range(20)] + [("b", 0, 3), ("b", 1, 4)]
+    try:
+        got = totals_before(spark.createDataFrame(rows, "k string, i int, size long"), ["k"], ["i"], "size", "before").collect()
+    finally:
+        spark.conf.unset("spark.menuloom.chunkRows")
+    assert {(r.k, r.i): r.before for r in got} == {(k, i): sum(s for j, n, s in rows if j == k and n < i) for k, i, _ in rows}
+    assert len(got) == len(rows)
